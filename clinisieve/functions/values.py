@@ -21,11 +21,16 @@ CSV_NULL_TOKENS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# The accepted spellings of a date and of a number.
-DATE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
-NUMBER_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*\z"
+# The accepted spellings of a date (1677-09-22 to 2262-04-11) and of a number.
+DATE_PATTERN = (
+    r"^((167[89]|16[89][0-9]|1[789][0-9]{2}|2[01][0-9]{2}|22[0-5][0-9]|226[01])-[0-9]{1,2}-[0-9]{1,2}"
+    r"|1677-(0?9-2[2-9]|0?9-30|1[0-2]-[0-9]{1,2})"
+    r"|2262-(0?[1-3]-[0-9]{1,2}|0?4-(0?[0-9]|1[01])))\z"
+)
+SIMPLE_NUMBER_PATTERN = r"^-?[0-9]{1,15}(\.[0-9]{1,15})?\z"
+FINITE_NUMBER_PATTERN = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*\z"
+INFINITE_NUMBER_PATTERN = r"(?i)^\s*[+-]?inf(inity)?\s*\z"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*\z"
-FIRST_DATE, LAST_DATE = "1677-09-22", "2262-04-11"
 
 
 def _col(c: Column | str) -> Column:
@@ -33,8 +38,13 @@ def _col(c: Column | str) -> Column:
 
 
 def clean(c: Column | str) -> Column:
-    """Null becomes empty text; white space at both ends goes."""
-    return F.btrim(F.coalesce(_col(c), F.lit("")), F.lit(WHITESPACE))
+    """Null becomes empty text; white space at both ends goes.
+
+    Most values start and end with a printable ASCII character and are passed on as they are.
+    """
+    c = _col(c)
+    as_is = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
+    return F.when(as_is, c).otherwise(F.btrim(F.coalesce(c, F.lit("")), F.lit(WHITESPACE)))
 
 
 def blank(c: Column | str) -> Column:
@@ -44,8 +54,7 @@ def blank(c: Column | str) -> Column:
 
 def iso_date(c: Column | str) -> Column:
     """The date written as year-month-day, or null; unpadded parts are fine, partial dates are not."""
-    day = F.when(_col(c).rlike(DATE_PATTERN), _col(c).try_cast("date"))
-    return F.when(day.between(F.lit(FIRST_DATE).cast("date"), F.lit(LAST_DATE).cast("date")), day)
+    return F.when(_col(c).rlike(DATE_PATTERN), _col(c).try_cast("date"))
 
 
 def number(c: Column | str) -> Column:
@@ -54,9 +63,12 @@ def number(c: Column | str) -> Column:
     A finite spelling too large for a double is null; only a written ``inf`` is infinite.
     """
     c = _col(c)
-    parsed = F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
-    overflow = F.abs(parsed).eqNullSafe(F.lit(float("inf"))) & ~F.lower(c).contains("inf")
-    return F.when(~overflow, parsed)
+    parsed = c.try_cast("double")
+    return (
+        F.when(c.rlike(SIMPLE_NUMBER_PATTERN), parsed)
+        .when(c.rlike(FINITE_NUMBER_PATTERN), F.when(F.abs(parsed) < float("inf"), parsed))
+        .when(c.rlike(INFINITE_NUMBER_PATTERN), parsed)
+    )
 
 
 def number_comma(c: Column | str) -> Column:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinisieve import vocab
-from clinisieve.findings import SDTM_RULE, dataset_finding, source_text, union_findings
+from clinisieve.findings import SDTM_RULE, dataset_finding, union_findings
 from clinisieve.functions import values as v
 from clinisieve.operators.joins import lookup_join
 from clinisieve.operators.rules import (
     Rule,
     evaluate,
+    is_blank,
+    listed,
     must_be_date,
     must_be_filled,
     must_be_in,
@@ -36,16 +38,15 @@ class Domain:
 
 
 def dm_rules() -> list[Rule]:
-    age = v.number("AGE")
     return [
         must_be_filled("SDTM_DM_001", "HIGH", "USUBJID"),
         must_be_in("SDTM_DM_003", "MED", "SEX", vocab.SEX, wording="must", show_stripped=True),
         Rule("SDTM_DM_004", "MED", "AGE", "AGE should be between 0 and 120.",
-             (age < 0) | (age > 120), source_text(F.col("AGE")), ("AGE",)),
+             "AGE__number < 0 OR AGE__number > 120", "AGE", ("AGE",)),
         Rule("SDTM_DM_005", "LOW", "AGEU",
              f"AGEU should be one of: {vocab.AGE_UNITS} when AGE is present.",
-             age.isNotNull() & ~v.clean("AGEU").isin(*vocab.AGE_UNITS),
-             v.clean("AGEU"), ("AGE", "AGEU")),
+             f"AGE__number IS NOT NULL AND AGEU__clean NOT IN {listed(vocab.AGE_UNITS)}",
+             "AGEU__clean", ("AGE", "AGEU")),
         must_be_date("SDTM_DM_006", "LOW", "RFSTDTC"),
         must_be_date("SDTM_DM_007", "LOW", "RFENDTC"),
         must_be_ordered("SDTM_DM_008", "HIGH", "RFSTDTC", "RFENDTC"),
@@ -88,7 +89,7 @@ def ex_rules() -> list[Rule]:
         must_be_filled("SDTM_EX_002", "HIGH", "EXTRT"),
         must_be_number("SDTM_EX_003", "HIGH", "EXDOSE"),
         Rule("SDTM_EX_004", "MED", "EXDOSE", "EXDOSE should not be negative.",
-             v.number("EXDOSE") < 0, source_text(F.col("EXDOSE")), ("EXDOSE",)),
+             "EXDOSE__number < 0", "EXDOSE", ("EXDOSE",)),
         must_be_date("SDTM_EX_005", "LOW", "EXSTDTC"),
         must_be_date("SDTM_EX_006", "LOW", "EXENDTC"),
         must_be_ordered("SDTM_EX_007", "HIGH", "EXSTDTC", "EXENDTC"),
@@ -131,20 +132,19 @@ def eg_rules() -> list[Rule]:
 
 def _status_rules(prefix: str, status: str, result: str, reason: str) -> list[Rule]:
     """A result must be there unless the assessment was not done, and then a reason must be."""
-    not_done = v.clean(status) == vocab.NOT_DONE[0]
+    not_done = f"{status}__clean = '{vocab.NOT_DONE[0]}'"
     need_result = f"{result} is required unless {status} is '{vocab.NOT_DONE[0]}'."
     need_reason = f"{reason} is required when {status} is '{vocab.NOT_DONE[0]}'."
-    no_result = F.col(result).isNull()
     return [
         must_be_in(f"{prefix}_006", "MED", status, vocab.NOT_DONE),
-        Rule(f"{prefix}_007", "HIGH", result, need_result, no_result & ~not_done,
-             source_text(F.col(status)), (result, status)),
-        Rule(f"{prefix}_007", "HIGH", result, need_result, no_result,
-             F.lit(""), (result,), absent=(status,)),
-        Rule(f"{prefix}_008", "MED", reason, need_reason, not_done & v.blank(reason),
-             source_text(F.col(reason)), (status, reason)),
-        Rule(f"{prefix}_008", "MED", reason, need_reason, not_done,
-             source_text(F.col(status)), (status,), absent=(reason,)),
+        Rule(f"{prefix}_007", "HIGH", result, need_result,
+             f"{result} IS NULL AND NOT {not_done}", status, (result, status)),
+        Rule(f"{prefix}_007", "HIGH", result, need_result,
+             f"{result} IS NULL", result, (result,), absent=(status,)),
+        Rule(f"{prefix}_008", "MED", reason, need_reason,
+             f"{not_done} AND {is_blank(reason)}", reason, (status, reason)),
+        Rule(f"{prefix}_008", "MED", reason, need_reason,
+             not_done, status, (status,), absent=(reason,)),
     ]
 
 
@@ -221,7 +221,7 @@ def duplicate_subjects(dm: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     repeated = filled.groupBy(*on).count().filter(F.col("count") > 1).select(*on)
     copies = lookup_join(filled, repeated, on, "left_semi")
     rule = Rule("SDTM_DM_002", "HIGH", "USUBJID", "USUBJID must be unique in DM.",
-                F.lit(True), F.col("_subject"), ("USUBJID",))
+                "true", "_subject", ("USUBJID",))
     return evaluate(copies, [rule], domain="DM", scope=scope)
 
 

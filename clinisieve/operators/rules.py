@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,11 +15,17 @@ from clinisieve.functions import values as v
 
 ROW_INDEX = "row_index"
 
+# The derived forms of a column ``X`` that rule texts may name as ``X__clean`` and so on.
+FORMS = {"clean": v.clean, "date": v.iso_date, "number": v.number, "comma": v.number_comma}
+_FORM = re.compile(r"\b(\w+?)__(" + "|".join(FORMS) + r")\b")
+
 
 @dataclass(frozen=True)
 class Rule:
     """A condition that makes a row a finding.
 
+    ``predicate`` and ``evidence`` are Spark SQL expressions over the table's columns and their
+    derived forms (``AGE__number``, ``SEX__clean``, ``VSDTC__date``, ``VSORRES__comma``).
     ``requires`` names the columns the rule reads; without one of them the rule does not apply.
     ``absent`` names columns that must not be there (for the variant of a rule that covers their
     absence).
@@ -27,93 +35,97 @@ class Rule:
     severity: str
     field: str
     message: str
-    predicate: Column
-    evidence: Column
+    predicate: str
+    evidence: str
     requires: tuple[str, ...] = ()
     absent: tuple[str, ...] = ()
 
-    def applies_to(self, columns) -> bool:
+    def applies_to(self, columns: Iterable[str]) -> bool:
         return set(self.requires) <= set(columns) and not set(self.absent) & set(columns)
 
 
+def listed(values: Iterable[str]) -> str:
+    """A SQL list of text literals."""
+    return "(" + ", ".join("'" + x.replace("'", "\\'") + "'" for x in values) + ")"
+
+
+def is_blank(column: str) -> str:
+    return f"{column}__clean IN ('', 'nan')"
+
+
 # --- the rule families ----------------------------------------------------------------------
 
 def must_be_filled(rule_id: str, severity: str, column: str) -> Rule:
     return Rule(rule_id, severity, column, f"{column} is required and must be non-empty.",
-                v.blank(column), source_text(F.col(column)), (column,))
+                is_blank(column), column, (column,))
 
 
 def must_be_date(rule_id: str, severity: str, column: str) -> Rule:
     return Rule(rule_id, severity, column, f"{column} should be ISO date YYYY-MM-DD.",
-                F.col(column).isNotNull() & v.iso_date(column).isNull(),
-                source_text(F.col(column)), (column,))
+                f"{column} IS NOT NULL AND {column}__date IS NULL", column, (column,))
 
 
 def must_be_number(rule_id: str, severity: str, column: str) -> Rule:
     return Rule(rule_id, severity, column, f"{column} should be numeric.",
-                F.col(column).isNotNull() & v.number(column).isNull(),
-                source_text(F.col(column)), (column,))
+                f"{column} IS NOT NULL AND {column}__number IS NULL", column, (column,))
 
 
 def must_be_in(rule_id: str, severity: str, column: str, allowed: list[str], *,
                wording: str = "should", strip: bool = True, show_stripped: bool = False) -> Rule:
-    compared = v.clean(column) if strip else F.col(column)
-    shown = v.clean(column) if show_stripped else source_text(F.col(column))
+    compared = f"{column}__clean" if strip else column
     return Rule(rule_id, severity, column, f"{column} {wording} be one of: {allowed}.",
-                F.col(column).isNotNull() & ~compared.isin(*allowed), shown, (column,))
+                f"{column} IS NOT NULL AND {compared} NOT IN {listed(allowed)}",
+                f"{column}__clean" if show_stripped else column, (column,))
 
 
 def must_be_ordered(rule_id: str, severity: str, start: str, end: str) -> Rule:
     return Rule(rule_id, severity, f"{start}/{end}", f"{start} must be on or before {end}.",
-                v.iso_date(start) > v.iso_date(end),
-                F.concat(F.col(start), F.lit(" > "), F.col(end)), (start, end))
+                f"{start}__date > {end}__date", f"{start} || ' > ' || {end}", (start, end))
 
 
 def result_must_be_number(rule_id: str, severity: str, test: str, result: str,
                           tests: list[str]) -> Rule:
     return Rule(rule_id, severity, result, f"{result} should be numeric for this {test}.",
-                v.clean(test).isin(*tests) & F.col(result).isNotNull()
-                & v.number_comma(result).isNull(),
-                source_text(F.col(result)), (test, result))
+                f"{result} IS NOT NULL AND {result}__comma IS NULL"
+                f" AND {test}__clean IN {listed(tests)}", result, (test, result))
 
 
 def unit_must_fit(rule_id: str, severity: str, test: str, unit: str,
                   units: dict[str, list[str]]) -> Rule:
-    pair_ok = F.lit(False)
-    for code, allowed in units.items():
-        pair_ok = pair_ok | ((v.clean(test) == code) & v.clean(unit).isin(*allowed))
+    branches = " ".join(
+        f"WHEN '{code}' THEN {unit}__clean NOT IN {listed(allowed)}" for code, allowed in units.items())
     return Rule(rule_id, severity, unit, f"{unit} unit is not consistent with {test}.",
-                v.clean(test).isin(*units) & F.col(unit).isNotNull() & ~pair_ok,
-                F.concat(v.clean(test), F.lit(" / "), v.clean(unit)), (test, unit))
+                f"{unit} IS NOT NULL AND CASE {test}__clean {branches} ELSE false END",
+                f"{test}__clean || ' / ' || {unit}__clean", (test, unit))
 
 
 # --- evaluation -----------------------------------------------------------------------------
 
-def _usubjid(df: DataFrame) -> Column:
-    return source_text(F.col("USUBJID")) if "USUBJID" in df.columns else F.lit("")
+def with_forms(df: DataFrame, texts: Iterable[str]) -> DataFrame:
+    """Add the derived forms that the expressions name, each worked out once per row."""
+    needed = sorted({m.groups() for t in texts for m in _FORM.finditer(t)})
+    return df.withColumns({f"{c}__{form}": FORMS[form](c) for c, form in needed}) if needed else df
 
 
-def _guarded(rule: Rule, present: Column | None) -> Column:
+def _guarded(rule: Rule, present: str | None) -> str:
     """With per-row column presence, a rule only fires where its columns are there."""
-    fires = F.coalesce(rule.predicate, F.lit(False))
-    if present is None:
-        return fires
-    for c in rule.requires:
-        fires = fires & F.array_contains(present, c)
-    for c in rule.absent:
-        fires = fires & ~F.array_contains(present, c)
-    return fires
+    checks = [f"coalesce({rule.predicate}, false)"]
+    if present is not None:
+        checks += [f"array_contains({present}, '{c}')" for c in rule.requires]
+        checks += [f"NOT array_contains({present}, '{c}')" for c in rule.absent]
+    return " AND ".join(checks)
 
 
 def evaluate(df: DataFrame, rules: list[Rule], *, domain: str, finding_type: str = SDTM_RULE,
-             scope: tuple[str, ...] = (), present: Column | None = None) -> DataFrame:
+             scope: tuple[str, ...] = (), present: str | None = None) -> DataFrame:
     """One findings row per (row, rule) that fires.
 
     All rules are tested in a single scan: each row yields the list of fired rules, which is
     exploded; the constant columns are looked up from the rule number afterwards, so a row only
-    carries a number and its evidence.  Nothing is shuffled.
+    carries a number and its evidence.  Nothing is shuffled.  (The outer form of explode keeps
+    Spark from testing the list's size first, which would work out every rule twice.)
 
-    ``df`` holds its row position in ``row_index`` (null when it has none).  ``present`` is an
+    ``df`` holds its row position in ``row_index`` (null when it has none).  ``present`` names an
     array column of the column names a row's source has, for tables merged from several sources.
     """
     if present is None:
@@ -122,24 +134,28 @@ def evaluate(df: DataFrame, rules: list[Rule], *, domain: str, finding_type: str
         return df.sparkSession.createDataFrame([], SCHEMA).select(
             *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in scope], *COLUMNS)
 
-    row_index = (F.col(ROW_INDEX) if ROW_INDEX in df.columns else F.lit(None)).cast("bigint")
-    keep = [*scope, row_index.alias(ROW_INDEX), _usubjid(df).alias("usubjid")]
+    row_index = F.col(ROW_INDEX) if ROW_INDEX in df.columns else F.lit(None)
+    usubjid = source_text(F.col("USUBJID")) if "USUBJID" in df.columns else F.lit("")
+    keep = [*scope, row_index.cast("bigint").alias(ROW_INDEX), usubjid.alias("usubjid")]
+    rows = with_forms(df, [t for r in rules for t in (r.predicate, r.evidence)])
     if len(rules) == 1:
-        rule = rules[0]
-        hits = df.filter(_guarded(rule, present)).select(
-            *keep, F.lit(1).alias("n"), rule.evidence.alias("evidence"))
+        hits = rows.filter(_guarded(rules[0], present)).select(
+            *keep, F.lit(0).alias("n"), F.expr(f"coalesce({rules[0].evidence}, '')").alias("evidence"))
     else:
-        fired = F.array(*[
-            F.when(_guarded(r, present), F.struct(F.lit(i + 1).alias("n"), r.evidence.alias("evidence")))
-            for i, r in enumerate(rules)
-        ])
-        hits = (df.select(*keep, F.explode(fired).alias("hit")).filter(F.col("hit").isNotNull())
+        fired = ", ".join(
+            f"CASE WHEN {_guarded(r, present)} THEN"
+            f" named_struct('n', {i}, 'evidence', coalesce({r.evidence}, '')) END"
+            for i, r in enumerate(rules))
+        hits = (rows.select(*keep, F.expr(f"array({fired})").alias("fired"))
+                .select(*scope, ROW_INDEX, "usubjid", F.explode_outer("fired").alias("hit"))
+                .filter(F.col("hit").isNotNull())
                 .select(*scope, ROW_INDEX, "usubjid", "hit.n", "hit.evidence"))
 
     def constant(attribute: str) -> Column:
-        if len(rules) == 1:
-            return F.lit(getattr(rules[0], attribute))
-        return F.element_at(F.array(*[F.lit(getattr(r, attribute)) for r in rules]), F.col("n"))
+        texts = [getattr(r, attribute) for r in rules]
+        if len(set(texts)) == 1:
+            return F.lit(texts[0])
+        return F.get(F.lit(texts), F.col("n"))
 
     return hits.select(
         *scope,

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clinisieve.operators import cross, features, outliers, subjects
 from clinisieve.operators.domains import validate_domain
+from clinisieve.plans import pipeline
+from fixtures import oracle_cross as x
 from fixtures import oracle_rules as o
-from fixtures.tables import view
+from fixtures.tables import domains, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +34,96 @@ def _rule_query(domain: str, number: str):
 for _domain, _rules in o.RULES.items():
     for _number in _rules:
         register(f"rule_{_domain}_{_number}", _rule_query(_domain, _number), o.rule_sql(_domain, _number))
+
+
+# --- cross-domain rules -------------------------------------------------------------------------
+
+def _positions(df: DataFrame, domain: str) -> DataFrame:
+    return df if domain in o.HAS_ROW_ID else df.drop("row_index")
+
+
+def _link_query(domain: str):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _positions(cross.dm_link(view(spark, sf_dir, "dm"), view(spark, sf_dir, domain), domain.upper()),
+                          domain)
+    return build
+
+
+for _domain in x.LINKED:
+    register(f"dmlink_{_domain}", _link_query(_domain),
+             f"WITH {o.domain_cte('dm', _domain)} {x.link_select(_domain)}")
+
+
+def _cross_query(key: str):
+    rule_id = key.upper()
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = {d: view(spark, sf_dir, d) for d in {*x.CROSS_NEEDS[key], *(("dm",) if "irt" in key else ())}}
+        if key.startswith("x_vsae"):
+            return cross.vs_ae(t["vs"], t["ae"], only={rule_id})
+        if key.startswith("x_vscm"):
+            return _positions(cross.vs_cm(t["vs"], t["cm"], only={rule_id}), "cm" if key.endswith("1") else "vs")
+        return cross.irt(t["dm"], t["ex"], t.get("ds"), only={rule_id})
+    return build
+
+
+for _key, _sql in x.cross_selects().items():
+    register(_key, _cross_query(_key), f"WITH {o.domain_cte(*x.CROSS_NEEDS[_key])} {_sql}")
+
+register("vs_date_range", lambda s, d: subjects.vs_date_range(view(s, d, "vs")),
+         f"WITH {o.domain_cte('vs')} {x.VS_RANGE}")
+register("cm_window", lambda s, d: subjects.cm_window(view(s, d, "cm")),
+         f"WITH {o.domain_cte('cm')} {x.CM_WINDOW}")
+register("ds_exit_date", lambda s, d: subjects.ds_exit_date(view(s, d, "ds")),
+         f"WITH {o.domain_cte('ds')} {x.DS_EXIT}")
+
+
+# --- features, range rules, whole validations ---------------------------------------------------
+
+def _frame_domains(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {d.upper(): view(spark, sf_dir, d) for d in x.FRAME_DOMAINS}
+
+
+def _feature_query(name: str):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        domain = x.FEATURE_SQL[name][0]
+        return features.subject_features({domain.upper(): view(spark, sf_dir, domain)},
+                                         only={name}).filter(f"{name} IS NOT NULL")
+    return build
+
+
+for _name in x.FEATURE_SQL:
+    register("feat_first_vsdtc" if _name == "VSDTC" else f"feat_{_name.lower()}", _feature_query(_name),
+             x.feature_sql(_name))
+
+register("feature_frame", lambda s, d: features.feature_frame(_frame_domains(s, d)),
+         f"WITH {o.domain_cte(*x.FRAME_DOMAINS)} {x.frame_select()}")
+
+
+def _generic_query(key: str):
+    rule_id = f"GENERIC_{key.removeprefix('generic_').upper()}_001"
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = features.range_findings(features.flagged_features(_frame_domains(spark, sf_dir)))
+        return found.filter(found.rule_id == rule_id)
+    return build
+
+
+for _key in x.generic_selects():
+    register(_key, _generic_query(_key), x.generic_sql(_key))
+
+
+def _validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.validate_all(domains(spark, sf_dir), outliers=False).drop("row_index")
+
+
+register("validate_rules", _validate_rules, f"{x.all_rules_sql()} SELECT * FROM all_findings")
+register("validate_all", lambda s, d: pipeline.validate_all(domains(s, d)))
+
+
+def _outlier_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.detect_outliers(features.flagged_features(_frame_domains(spark, sf_dir)))
+
+
+register("anomaly_flags", lambda s, d: _outlier_frame(s, d).select("row_index", "USUBJID", "anomaly"))
+register("anomaly_findings", lambda s, d: outliers.outlier_findings(_outlier_frame(s, d)))

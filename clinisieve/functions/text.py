@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clinisieve.functions.values import WHITESPACE
+from clinisieve.functions.values import WHITESPACE, literal
 
 # How a message names the value it complains about.
 FOUND_PREFIX = " (found: '"
@@ -17,38 +17,24 @@ EVIDENCE_LIMIT = 120
 REPORT_MESSAGE_LIMIT = 200
 
 
-def with_found(message: Column, evidence: Column) -> Column:
-    """Add the offending value to a rule text, unless there is none."""
-    return F.when(evidence == "", message).otherwise(
-        F.concat(message, F.lit(FOUND_PREFIX), evidence, F.lit(FOUND_SUFFIX))
-    )
+def with_found_sql(message: str, evidence: str) -> str:
+    """SQL that adds the offending value to a rule text, unless there is none."""
+    return (f"CASE WHEN {evidence} = '' THEN {message} "
+            f"ELSE concat({message}, {literal(FOUND_PREFIX)}, {evidence}, {literal(FOUND_SUFFIX)}) END")
 
 
 def double_text(c: Column) -> Column:
     """A double spelled with the fewest digits: plain from 1e-4 up to 1e16, else with an exponent."""
     raw = c.cast("string")
-    parts = r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$"
-    sign = F.regexp_extract(raw, parts, 1)
-    fraction = F.regexp_extract(raw, parts, 3)
-    fraction = F.when(fraction == "0", F.lit("")).otherwise(fraction)
-    digits = F.concat(F.regexp_extract(raw, parts, 2), fraction)
-    exponent = F.regexp_extract(raw, parts, 4).try_cast("int")
-    whole = F.rpad(F.left(digits, exponent + 1), exponent + 1, F.lit("0"))
-    rest = F.substr(digits, exponent + 2)
-    plain = F.concat(sign, whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    mantissa = F.concat(
-        F.left(digits, F.lit(1)), F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction))
-    )
-    scientific = F.concat(
-        sign, mantissa, F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
+    # Spark switches to an exponent earlier; a decimal of the same digits gives the plain form.
+    plain = F.regexp_replace(c.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    exponent = F.regexp_replace(F.regexp_replace(raw, r"\.0E", "E"), r"E(\d)", "e+$1")
+    exponent = F.regexp_replace(F.lower(exponent), r"e([+-])(\d)$", "e$10$2")
     return (
-        F.when(~raw.contains("E"), raw)
-        .when(exponent.between(0, 15), plain)
-        .when(exponent.between(-4, -1), small)
-        .otherwise(scientific)
+        F.when(~raw.contains("E") & ~raw.contains("y"), raw)
+        .when(raw.contains("y"), F.replace(raw, F.lit("Infinity"), F.lit("inf")))
+        .when((F.abs(c) >= 1e-4) & (F.abs(c) < 1e16), plain)
+        .otherwise(exponent)
     )
 
 

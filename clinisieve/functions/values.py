@@ -1,7 +1,7 @@
 """How a raw text value is cleaned, tested for blankness and parsed.
 
-Everything here is a plain column expression, so a rule built from these stays inside
-whole-stage code generation.  Each function takes a column (or its name) of text.
+Everything here is a plain SQL expression over a text column, so a rule built from these stays
+inside whole-stage code generation.  Each form comes as SQL text and as a column.
 """
 
 from __future__ import annotations
@@ -33,51 +33,77 @@ INFINITE_NUMBER_PATTERN = r"(?i)^\s*[+-]?inf(inity)?\s*\z"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*\z"
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def literal(value: str) -> str:
+    """A SQL text literal."""
+    return "'" + "".join(
+        ch if " " <= ch <= "~" and ch not in "'\\" else f"\\u{ord(ch):04x}" for ch in value) + "'"
 
 
-def clean(c: Column | str) -> Column:
-    """Null becomes empty text; white space at both ends goes.
+# The SQL of each derived form of a column.  Most values start and end with a printable ASCII
+# character, so that stripping passes them on as they are; most numbers are plain digits.
+_CLEAN = (
+    "CASE WHEN left({c}, 1) BETWEEN '!' AND '~' AND right({c}, 1) BETWEEN '!' AND '~' THEN {c} "
+    f"ELSE btrim(coalesce({{c}}, ''), {literal(WHITESPACE)}) END"
+)
+_DATE = f"CASE WHEN {{c}} RLIKE {literal(DATE_PATTERN)} THEN try_cast({{c}} AS DATE) END"
+_NUMBER = (
+    f"CASE WHEN {{c}} RLIKE {literal(SIMPLE_NUMBER_PATTERN)} THEN try_cast({{c}} AS DOUBLE) "
+    f"WHEN {{c}} RLIKE {literal(FINITE_NUMBER_PATTERN)} "
+    "THEN CASE WHEN abs(try_cast({c} AS DOUBLE)) < double('inf') THEN try_cast({c} AS DOUBLE) END "
+    f"WHEN {{c}} RLIKE {literal(INFINITE_NUMBER_PATTERN)} THEN try_cast({{c}} AS DOUBLE) END"
+)
 
-    Most values start and end with a printable ASCII character and are passed on as they are.
-    """
-    c = _col(c)
-    as_is = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
-    return F.when(as_is, c).otherwise(F.btrim(F.coalesce(c, F.lit("")), F.lit(WHITESPACE)))
 
+def _fill(template: str, column: str) -> str:
+    return template.replace("{c}", column)
 
-def blank(c: Column | str) -> Column:
-    """True for null, empty, white-space-only and the text ``nan``."""
-    return clean(c).isin("", "nan")
 
+def clean_sql(column: str) -> str:
+    """Null becomes empty text; white space at both ends goes."""
+    return _fill(_CLEAN, column)
 
-def iso_date(c: Column | str) -> Column:
+
+def date_sql(column: str) -> str:
     """The date written as year-month-day, or null; unpadded parts are fine, partial dates are not."""
-    return F.when(_col(c).rlike(DATE_PATTERN), _col(c).try_cast("date"))
+    return _fill(_DATE, column)
 
 
-def number(c: Column | str) -> Column:
+def number_sql(column: str) -> str:
     """The text as a double, or null when it is not a number.
 
     A finite spelling too large for a double is null; only a written ``inf`` is infinite.
     """
-    c = _col(c)
-    parsed = c.try_cast("double")
-    return (
-        F.when(c.rlike(SIMPLE_NUMBER_PATTERN), parsed)
-        .when(c.rlike(FINITE_NUMBER_PATTERN), F.when(F.abs(parsed) < float("inf"), parsed))
-        .when(c.rlike(INFINITE_NUMBER_PATTERN), parsed)
-    )
+    return _fill(_NUMBER, column)
+
+
+def comma_number_sql(column: str) -> str:
+    """Like :func:`number_sql`, reading a decimal comma as a point."""
+    return _fill(_NUMBER, f"replace({column}, ',', '.')")
+
+
+def clean(column: str) -> Column:
+    return F.expr(clean_sql(column))
+
+
+def blank(column: str) -> Column:
+    """True for null, empty, white-space-only and the text ``nan``."""
+    return F.expr(f"({clean_sql(column)}) IN ('', 'nan')")
+
+
+def iso_date(column: str) -> Column:
+    return F.expr(date_sql(column))
+
+
+def number(column: str) -> Column:
+    return F.expr(number_sql(column))
 
 
-def number_comma(c: Column | str) -> Column:
-    """Like :func:`number`, reading a decimal comma as a point."""
-    return number(F.replace(_col(c), F.lit(","), F.lit(".")))
+def number_comma(column: str) -> Column:
+    return F.expr(comma_number_sql(column))
 
 
-def written_as_integer(c: Column | str) -> Column:
-    return _col(c).rlike(INTEGER_PATTERN)
+def written_as_integer(column: str) -> Column:
+    return F.expr(f"{column} RLIKE {literal(INTEGER_PATTERN)}")
 
 
 def nulls_from_tokens(df: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def _has(df: DataFrame | None, *columns: str) -> bool:
     return df is not None and set(columns) <= set(df.columns)
 
 
+def _full_date(column: str) -> Column:
+    """The date of a text that is exactly how that date is written."""
+    day = v.iso_date(column)
+    return F.when(day.cast("string") == F.col(column), day)
+
+
 def contributions(frames: dict[str, DataFrame]) -> dict[str, tuple[str, Column, str]]:
     """feature -> (domain, value a row contributes, how a subject's values are combined).
 
@@ -43,7 +49,7 @@ def contributions(frames: dict[str, DataFrame]) -> dict[str, tuple[str, Column,
     if _has(vs, KEY, "VSTESTCD", "VSORRES"):
         out["SYSBP"] = ("VS", F.when(F.col("VSTESTCD") == SYSBP_TEST, v.number("VSORRES")), "avg")
         if _has(vs, "VSDTC"):
-            out["VSDTC"] = ("VS", F.col("VSDTC"), "min")
+            out["VSDTC"] = ("VS", _full_date("VSDTC"), "min")
     if _has(ex, KEY, "EXDOSE"):
         out["DOSE"] = ("EX", v.number("EXDOSE"), "avg")
     if _has(lb, KEY, "LBTESTCD") and ("LBSTRESN" in lb.columns or "LBORRES" in lb.columns):
@@ -60,28 +66,37 @@ def contributions(frames: dict[str, DataFrame]) -> dict[str, tuple[str, Column,
 
 def subject_features(frames: dict[str, DataFrame], scope: tuple[str, ...] = (),
                      only: set[str] | None = None) -> DataFrame:
-    """One row per subject with a value for each feature, over all domains in one aggregation."""
+    """One row per subject with a value for each feature, over all domains in one aggregation.
+
+    The first visit is the smallest text.  Texts would turn the whole aggregation into a sort, so
+    properly written dates (whose order is that of their texts) go through it as dates, and only
+    the other texts are sorted, on their own.
+    """
     wanted = {k: c for k, c in contributions(frames).items() if only is None or k in only}
-    kinds = {k: "string" if k == "VSDTC" else "double" for k in wanted}
+    kinds = {k: "date" if k == "VSDTC" else "double" for k in wanted}
     rows = []
     for code in dict.fromkeys(c[0] for c in wanted.values()):
         values = [
             (wanted[k][1] if wanted[k][0] == code else F.lit(None)).cast(kind).alias(k)
             for k, kind in kinds.items()]
-        part = frames[code].select(*scope, KEY, *values).filter(F.col(KEY).isNotNull())
-        if code != "PR":
-            part = part.filter(F.coalesce(*[F.col(k).cast("string") for k in kinds]).isNotNull())
-        rows.append(part)
+        rows.append(frames[code].select(*scope, KEY, *values).filter(F.col(KEY).isNotNull()))
     combine = {"avg": F.avg, "min": F.min, "count": F.count}
-    return reduce(DataFrame.unionByName, rows).groupBy(*scope, KEY).agg(
+    table = reduce(DataFrame.unionByName, rows).groupBy(*scope, KEY).agg(
         *[combine[how](k).alias(k) for k, (_, _, how) in wanted.items()])
+    if "VSDTC" not in wanted:
+        return table
+    others = frames["VS"].filter(F.col(KEY).isNotNull() & F.col("VSDTC").isNotNull()
+                                 & _full_date("VSDTC").isNull())
+    others = others.groupBy(*scope, KEY).agg(F.min("VSDTC").alias("_other"))
+    return table.join(others, [*scope, KEY], "left").withColumn(
+        "VSDTC", F.least(F.col("VSDTC").cast("string"), F.col("_other"))).drop("_other")
 
 
 def _feature_rows(frames: dict[str, DataFrame], scope: tuple[str, ...]) -> DataFrame:
     dm = frames["DM"]
     has_age = "AGE" in dm.columns
     age = v.number("AGE") if has_age else F.lit(None).cast("double")
-    whole = F.coalesce(v.written_as_integer("AGE"), F.lit(False)) if has_age else F.lit(False)
+    whole = F.coalesce(v.written_as_integer("CAST(AGE AS STRING)"), F.lit(False)) if has_age else F.lit(False)
     spine = dm.select(*scope, *[c for c in (ROW_INDEX,) if c in dm.columns], KEY,
                       age.alias("AGE"), whole.alias(AGE_WHOLE))
     listed = contributions(frames)

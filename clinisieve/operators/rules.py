@@ -6,17 +6,17 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinisieve.findings import COLUMNS, SCHEMA, SDTM_RULE, source_text
+from clinisieve.findings import COLUMNS, SCHEMA, SDTM_RULE
 from clinisieve.functions import text
 from clinisieve.functions import values as v
 
 ROW_INDEX = "row_index"
 
 # The derived forms of a column ``X`` that rule texts may name as ``X__clean`` and so on.
-FORMS = {"clean": v.clean, "date": v.iso_date, "number": v.number, "comma": v.number_comma}
+FORMS = {"clean": v.clean_sql, "date": v.date_sql, "number": v.number_sql, "comma": v.comma_number_sql}
 _FORM = re.compile(r"\b(\w+?)__(" + "|".join(FORMS) + r")\b")
 
 
@@ -46,7 +46,7 @@ class Rule:
 
 def listed(values: Iterable[str]) -> str:
     """A SQL list of text literals."""
-    return "(" + ", ".join("'" + x.replace("'", "\\'") + "'" for x in values) + ")"
+    return "(" + ", ".join(v.literal(x) for x in values) + ")"
 
 
 def is_blank(column: str) -> str:
@@ -104,7 +104,7 @@ def unit_must_fit(rule_id: str, severity: str, test: str, unit: str,
 def with_forms(df: DataFrame, texts: Iterable[str]) -> DataFrame:
     """Add the derived forms that the expressions name, each worked out once per row."""
     needed = sorted({m.groups() for t in texts for m in _FORM.finditer(t)})
-    return df.withColumns({f"{c}__{form}": FORMS[form](c) for c, form in needed}) if needed else df
+    return df.selectExpr("*", *[f"{FORMS[form](c)} AS {c}__{form}" for c, form in needed])
 
 
 def _guarded(rule: Rule, present: str | None) -> str:
@@ -134,37 +134,36 @@ def evaluate(df: DataFrame, rules: list[Rule], *, domain: str, finding_type: str
         return df.sparkSession.createDataFrame([], SCHEMA).select(
             *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in scope], *COLUMNS)
 
-    row_index = F.col(ROW_INDEX) if ROW_INDEX in df.columns else F.lit(None)
-    usubjid = source_text(F.col("USUBJID")) if "USUBJID" in df.columns else F.lit("")
-    keep = [*scope, row_index.cast("bigint").alias(ROW_INDEX), usubjid.alias("usubjid")]
+    row_index = ROW_INDEX if ROW_INDEX in df.columns else "NULL"
+    usubjid = "coalesce(CAST(USUBJID AS STRING), '')" if "USUBJID" in df.columns else "''"
+    keep = [*scope, f"CAST({row_index} AS BIGINT) AS {ROW_INDEX}", f"{usubjid} AS usubjid"]
     rows = with_forms(df, [t for r in rules for t in (r.predicate, r.evidence)])
     if len(rules) == 1:
-        hits = rows.filter(_guarded(rules[0], present)).select(
-            *keep, F.lit(0).alias("n"), F.expr(f"coalesce({rules[0].evidence}, '')").alias("evidence"))
+        hits = rows.filter(_guarded(rules[0], present)).selectExpr(
+            *keep, "0 AS n", f"coalesce({rules[0].evidence}, '') AS evidence")
     else:
         fired = ", ".join(
             f"CASE WHEN {_guarded(r, present)} THEN"
             f" named_struct('n', {i}, 'evidence', coalesce({r.evidence}, '')) END"
             for i, r in enumerate(rules))
-        hits = (rows.select(*keep, F.expr(f"array({fired})").alias("fired"))
-                .select(*scope, ROW_INDEX, "usubjid", F.explode_outer("fired").alias("hit"))
-                .filter(F.col("hit").isNotNull())
-                .select(*scope, ROW_INDEX, "usubjid", "hit.n", "hit.evidence"))
+        hits = (rows.selectExpr(*keep, f"array({fired}) AS fired")
+                .selectExpr(*scope, ROW_INDEX, "usubjid", "inline_outer(fired) AS (n, evidence)")
+                .filter("n IS NOT NULL"))
 
-    def constant(attribute: str) -> Column:
+    def constant(attribute: str) -> str:
         texts = [getattr(r, attribute) for r in rules]
         if len(set(texts)) == 1:
-            return F.lit(texts[0])
-        return F.get(F.lit(texts), F.col("n"))
+            return v.literal(texts[0])
+        return f"array({', '.join(map(v.literal, texts))})[n]"
 
-    return hits.select(
+    return hits.selectExpr(
         *scope,
-        F.lit(finding_type).alias("finding_type"),
-        constant("rule_id").alias("rule_id"),
-        constant("severity").alias("severity"),
-        F.lit(domain).alias("domain"),
-        constant("field").alias("field"),
-        text.with_found(constant("message"), F.col("evidence")).alias("message"),
+        f"{v.literal(finding_type)} AS finding_type",
+        f"{constant('rule_id')} AS rule_id",
+        f"{constant('severity')} AS severity",
+        f"{v.literal(domain)} AS domain",
+        f"{constant('field')} AS field",
+        f"{text.with_found_sql(constant('message'), 'evidence')} AS message",
         ROW_INDEX,
         "usubjid",
         "evidence",

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinisieve.operators.joins import lookup_join
+
 # Up to this many rows Spark's own exact percentile is used: its state is one entry per distinct
 # value, and that state ends up in a single task.
 SMALL = 1_000_000
@@ -61,3 +63,38 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float, *, small: int =
         low, high = value_at(math.floor(p)), value_at(math.ceil(p))
         out[c] = low + (high - low) * (p - math.floor(p))
     return out
+
+
+def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str, *,
+                     accuracy: int = ACCURACY) -> DataFrame:
+    """The exact q-quantile of ``value`` per group, however large a single group is.
+
+    A sketch per group (summed before the shuffle) names the bracket that must hold the quantile.
+    Values outside the bracket are only counted, equal values are counted as one, so a group that
+    holds most of the rows reaches one task as a few tallies.
+    """
+    step = 2.0 / accuracy
+    sides = F.percentile_approx(value, [max(q - step, 0.0), min(q + step, 1.0)], accuracy)
+    groups = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        sides.alias("_sides"), F.count(F.lit(1)).alias("_n"))
+    # Small groups are taken whole: a sketch of few values leaves no room on either side.
+    whole = F.col("_n") <= 4 * accuracy
+    groups = groups.select(
+        *keys, ((F.col("_n") - 1) * q).alias("_at"),
+        F.when(~whole & F.lit(q > step), F.col("_sides")[0].cast("double")).alias("_low"),
+        F.when(~whole & F.lit(q < 1 - step), F.col("_sides")[1].cast("double")).alias("_high"))
+    rows = lookup_join(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")),
+                       groups, keys, "inner")
+    # Everything under the bracket is tallied as one value, everything above it is dropped.
+    kept = rows.filter(F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
+    tallied = kept.withColumn("_v", F.when(F.col("_v") < F.col("_low"), F.lit(-math.inf)).otherwise(F.col("_v"))) \
+        .groupBy(*keys, "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    up_to = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = tallied.withColumn("_end", F.sum("_c").over(up_to))
+    begin = F.col("_end") - F.col("_c")
+    floor, ceil = F.floor("_at"), F.ceil("_at")
+    picked = ranked.groupBy(*keys, "_at").agg(
+        F.max(F.when((begin <= floor) & (floor < F.col("_end")), F.col("_v"))).alias("_lo"),
+        F.max(F.when((begin <= ceil) & (ceil < F.col("_end")), F.col("_v"))).alias("_hi"))
+    return picked.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo"))
+                                 * (F.col("_at") - F.floor("_at"))).alias(name))

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from clinisieve.operators import cross, features, outliers, subjects
+from clinisieve.functions import text
+from clinisieve.functions import values as v
+from clinisieve.functions.hashing import row_hash
+from clinisieve.operators import analytics, changes, cross, features, outliers, subjects
 from clinisieve.operators.domains import validate_domain
 from clinisieve.plans import pipeline
+from clinisieve.sources import files, rowid, sinks
+from clinisieve.streaming import windows
 from fixtures import oracle_cross as x
 from fixtures import oracle_rules as o
-from fixtures.tables import domains, view
+from fixtures import oracle_store as st
+from fixtures.tables import base, domains, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,3 +134,136 @@ def _outlier_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("anomaly_flags", lambda s, d: _outlier_frame(s, d).select("row_index", "USUBJID", "anomaly"))
 register("anomaly_findings", lambda s, d: outliers.outlier_findings(_outlier_frame(s, d)))
+
+
+# --- stored findings: listings, reports, changes -----------------------------------------------------
+
+def _stored(build: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over derived tables, in the order named."""
+    return lambda spark, sf_dir: build(*[view(spark, sf_dir, n) for n in names])
+
+
+def _domain_text(df: DataFrame) -> DataFrame:
+    """The map as text, since engines differ in how they hand over maps."""
+    return df.withColumn("domains", F.expr(
+        "array_join(transform(array_sort(map_entries(domains)), e -> e.key || '=' || e.value), ';')"))
+
+
+def _report_positions(findings: DataFrame) -> DataFrame:
+    """The start of the report in its order, which shows as the positions given while reading it."""
+    ordered = analytics.report_order(findings).select("id", "domain", "severity", "row_index").limit(1000)
+    position = F.row_number().over(Window.orderBy("domain", analytics.severity_rank(), "row_index", "id")) - 1
+    return ordered.withColumn("position", position.cast("bigint"))
+
+
+def _findings_with_ids(df: DataFrame) -> DataFrame:
+    return df.select("id", "status", "resolved_by", "resolved_at", "resolution_note")
+
+
+STORED = {
+    "list_findings": (lambda f: analytics.list_findings(
+        f, tenant_id="T1", domain="ae", status="OPEN", offset=20, limit=100), "findings"),
+    "report_order": (_report_positions, "findings"),
+    "report_detail": (analytics.report_detail, "findings"),
+    "report_summary": (lambda f: analytics.summary_by_severity(f, ("job_id",)), "findings"),
+    "report_text_lines": (analytics.report_text_lines, "findings"),
+    "report_header": (analytics.report_header, "jobs", "tenants", "known_studies"),
+    "top_findings_per_job": (lambda f: analytics.top_findings_per_job(f, 3), "findings"),
+    "query_context": (lambda f, j: analytics.query_context(f, j, 5), "findings", "jobs"),
+    "job_context": (lambda f, j, s: _domain_text(analytics.job_context(f, j, s)), "findings", "jobs", "known_studies"),
+    "summary_domain_map": (lambda f: _domain_text(analytics.domain_map(f, ("job_id",))), "findings"),
+    "kpi_status": (analytics.kpi_status, "studies", "jobs"),
+    "unique_study": (lambda s: analytics.repeated_keys(s, ("tenant_id", "study_id")), "studies"),
+    "latest_job_per_study": (lambda j: analytics.latest_job_per_study(j).select(
+        "tenant_id", "study_id", "job_id", "completed_at"), "jobs"),
+    "latest_dataset_per_study": (lambda d: analytics.latest_per(
+        d, ["tenant_id", "study_id"], "created_at", "dataset_id").select(
+            "tenant_id", "study_id", "dataset_id", "created_at"), "datasets"),
+    "latest_per_domain": (lambda d: analytics.latest_per_domain(d).select(
+        "tenant_id", "study_id", "domain", "dataset_id", "created_at"), "datasets"),
+    "list_audit": (lambda a: analytics.list_audit(
+        a, action="FINDINGS", since="2024-01-05 00:00:00", until="2024-01-20 12:00:00", offset=10, limit=50), "audit"),
+    "list_latest": (lambda j: analytics.list_latest(j, "job_id", "ST7", limit=50).select(
+        "job_id", "study_id", "status", "created_at"), "jobs"),
+    "selectable_studies": (lambda s: analytics.selectable_studies(s).select("id", "status"), "studies"),
+    "reportable_jobs": (lambda j: analytics.reportable_jobs(j).select("job_id", "status"), "jobs"),
+    "tenant_scope": (lambda f: analytics.tenant_scope(f, "T2").select("id", "tenant_id"), "findings"),
+    "job_datasets": (lambda j, d: analytics.job_datasets(j, d).select(
+        "tenant_id", "job_id", "dataset_id", "study_id", "domain"), "jobs", "datasets"),
+    "job_duration": (analytics.job_duration, "jobs"),
+    "apply_rule_profile": (lambda f, p: analytics.apply_rule_profile(f, p, ("tenant_id",)).select(
+        "id", "rule_id", "severity"), "findings", "overrides"),
+    "apply_resolutions": (lambda f, r: _findings_with_ids(changes.apply_resolutions(f, r)), "findings", "requests"),
+    "resolution_rejects": (changes.resolution_rejects, "findings", "requests"),
+    "soft_delete": (lambda s, e: changes.soft_delete(s, "id", e).select("id", "status"), "studies", "study_edits"),
+    "partial_update": (lambda s, e: changes.partial_update(s, "id", e).select("id", "title", "phase", "sponsor"),
+                       "studies", "study_edits"),
+    "row_hash": (lambda s: s.select("id", row_hash(s.columns).alias("hash")), "studies"),
+    "audit_diff": (lambda b, a: changes.audit_diff(b, a, "studies"), "studies", "studies_after"),
+    "findings_persist_shape": (lambda f: sinks.stored_shape(f, "T1", "J1", "ST1"), "findings"),
+    "fn_truncate_message": (lambda f: f.select(
+        "id", text.shorten_message(F.col("message"), 90).alias("short_90"),
+        text.shorten_message(F.col("message"), 200).alias("short_200")), "findings"),
+    "detect_format": (lambda d: files.with_format(d, "filename", "given_format").select(
+        "dataset_id", "format", "allowed"), "datasets"),
+    "replay_row_index": (lambda dm, ae: cross.dm_link(dm, ae, "AE").select(
+        "rule_id", F.col("row_index").alias("source_row"), rowid.position_among_findings().alias("row_index")),
+        "dm", "ae"),
+    "fn_clean": (lambda ex: ex.select("row_index", v.clean("EXROUTE").alias("route"), v.clean("EXTRT").alias("trt")), "ex"),
+    "fn_blank": (lambda ds: ds.select("row_index", v.blank("DSTERM").alias("term_blank"),
+                                      v.blank("USUBJID").alias("subject_blank")), "ds"),
+    "fn_num": (lambda ex: ex.select("row_index", v.number("EXDOSE").alias("dose")), "ex"),
+    "fn_num_comma": (lambda vs: vs.select("VSORRES", v.number_comma("VSORRES").alias("result")), "vs"),
+    "fn_iso_date": (lambda dm: dm.select("row_index", v.iso_date("RFSTDTC").alias("rf_start"),
+                                         v.iso_date("RFENDTC").alias("rf_end")), "dm"),
+    "fn_message": (lambda dm: dm.select("row_index", F.expr(text.with_found_sql(
+        "'Checked.'", "coalesce(SEX, '')")).alias("message")), "dm"),
+    "fn_feature_evidence": (lambda dm: features.with_texts(
+        dm.select("row_index", v.number("AGE").alias("AGE"),
+                  F.expr("CASE WHEN row_index % 3 > 0 THEN row_index % 3 END").alias("PR_COUNT")),
+        {"AGE": True}).transform(lambda d: d.select("row_index", features.evidence_list(d).alias("evidence"))), "dm"),
+    "vocab_pair_lookup": (lambda vs: analytics.vocabulary_mismatches(
+        vs, "VSTESTCD", "VSORRESU", vs.select(v.clean("VSTESTCD").alias("test"), v.clean("VSORRESU").alias("unit"))
+        .filter("unit <> 'sec'")).groupBy("test", "unit").agg(F.count(F.lit(1)).alias("n")), "vs"),
+}
+for _name, (_build, *_names) in STORED.items():
+    register(_name, _stored(_build, *_names), st.SQL[_name])
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.apply_ranges(features.feature_frame(_frame_domains(spark, sf_dir))).select(
+        "row_index", "AGE_valid", "SYSBP_valid", "DOSE_valid", "date_valid")
+
+
+def _imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = features.feature_frame(_frame_domains(spark, sf_dir))
+    filled = outliers.imputed(frame, [c for c in frame.columns if c in features.FEATURES])
+    return frame.select("row_index", *[e.alias(c) for c, e in filled.items()])
+
+
+register("apply_rules", _flags, st.SQL["apply_rules"])
+register("impute_medians", _imputed, st.SQL["impute_medians"])
+
+
+def _all_findings(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(pipeline.validate_all(domains(spark, sf_dir), outliers=False))
+
+
+register("union_findings", _all_findings(lambda f: f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))),
+         st.SQL["union_findings"])
+register("summary_by_severity", _all_findings(analytics.summary_by_severity), st.SQL["summary_by_severity"])
+register("summary_by_domain", _all_findings(analytics.summary_by_domain), st.SQL["summary_by_domain"])
+
+
+# --- windows over the event table ----------------------------------------------------------------------
+
+def _is_error():
+    return F.col("event_type") == "error"
+
+
+register("failed_login_windows", lambda s, d: windows.failed_login_windows(
+    base(s, d, "events"), _is_error(), width="1 day"), st.SQL["failed_login_windows"])
+register("error_rate_windows", lambda s, d: windows.error_rate_windows(base(s, d, "events"), _is_error()),
+         st.SQL["error_rate_windows"])
+register("p99_windows", lambda s, d: windows.p99_windows(
+    base(s, d, "events"), "value", width="1 hour", threshold=200.0), st.SQL["p99_windows"])

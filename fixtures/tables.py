@@ -7,7 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fixtures.views import DOMAIN_VIEWS, STORE_VIEWS
+from fixtures.store_views import STORE_VIEWS
+from fixtures.views import DOMAIN_VIEWS
 
 BASE_TABLES = ("customer", "orders", "lineitem", "events", "nation", "documents", "supplier",
                "conversations", "pages", "part")

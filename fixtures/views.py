@@ -101,6 +101,3 @@ SELECT event_id AS row_id,
  CASE WHEN event_id % 179 = 1 THEN '04/25/2024' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS RSDTC FROM events WHERE event_type <> 'click'
 """,
 }
-
-STORE_VIEWS = {
-}

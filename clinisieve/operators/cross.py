@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinisieve.findings import CROSS_DOMAIN, dataset_finding, union_findings
@@ -28,9 +28,13 @@ BLOCK = 4096
 
 # --- the rules, over event rows joined with what is known about their subject -----------------
 
+def _rule(*args) -> Rule:
+    return Rule(*args, domain="CROSS", finding_type=CROSS_DOMAIN)
+
+
 def orphan_rule(rule_id: str, code: str, table: str, known: str) -> Rule:
-    return Rule(rule_id, "HIGH", "USUBJID", f"{code} subject not found in {table} (orphan USUBJID).",
-                f"{SUBJECT} <> '' AND {known} IS NULL", SUBJECT, ("USUBJID",))
+    return _rule(rule_id, "HIGH", "USUBJID", f"{code} subject not found in {table} (orphan USUBJID).",
+                 f"{SUBJECT} <> '' AND {known} IS NULL", SUBJECT, ("USUBJID",))
 
 
 def link_rule(code: str) -> Rule:
@@ -39,23 +43,23 @@ def link_rule(code: str) -> Rule:
 
 AE_IN_VS = orphan_rule("X_VSAE_001", "AE", "VS", "in_vs")
 CM_IN_VS = orphan_rule("X_VSCM_001", "CM", "VS", "in_vs")
-AE_IN_VS_RANGE = Rule(
+AE_IN_VS_RANGE = _rule(
     "X_VSAE_002", "MED", "AESTDTC", "AE start date is outside the subject's VS date range.",
     "AESTDTC__date < vs_min OR AESTDTC__date > vs_max",
     "AESTDTC || ' vs [' || vs_min || ', ' || vs_max || ']'", ("AESTDTC",))
-VS_IN_CM_WINDOW = Rule(
+VS_IN_CM_WINDOW = _rule(
     "X_VSCM_002", "LOW", "VSDTC", "VS date is outside the subject's CM medication window.",
     "cm_max IS NOT NULL AND (VSDTC__date < cm_min OR VSDTC__date > cm_max)",
     "VSDTC || ' vs [' || cm_min || ', ' || cm_max || ']'", ("VSDTC",))
-DOSE_AFTER_START = Rule(
+DOSE_AFTER_START = _rule(
     "X_IRT_001", "HIGH", "EXSTDTC",
     "EX dosing started before the subject's DM reference start date (RFSTDTC).",
     "EXSTDTC__date < rf_start", "'EXSTDTC=' || EXSTDTC || ' < RFSTDTC=' || rf_start", ("EXSTDTC",))
-DOSE_BEFORE_END = Rule(
+DOSE_BEFORE_END = _rule(
     "X_IRT_002", "MED", "EXENDTC",
     "EX dosing extended beyond the subject's DM reference end date (RFENDTC).",
     "last_dose > rf_end", "'last dose=' || last_dose || ' > RFENDTC=' || rf_end", ())
-DOSE_BEFORE_EXIT = Rule(
+DOSE_BEFORE_EXIT = _rule(
     "X_IRT_003", "HIGH", "EXENDTC", "EX dosing occurred after the subject's DS disposition date.",
     "last_dose > ds_exit", "'last dose=' || last_dose || ' > DSSTDTC=' || ds_exit", ())
 
@@ -117,13 +121,12 @@ def _orphans(df: DataFrame, parent: DataFrame, rule: Rule, scope: tuple[str, ...
     events = _events(df, scope).filter(F.col(SUBJECT) != "")
     orphans = lookup_join(events, distinct_subjects(parent, scope), [*scope, SUBJECT], "left_anti")
     always = replace(rule, predicate="true")
-    return evaluate(_gate(orphans, parent, scope), [always], domain="CROSS",
-                    finding_type=CROSS_DOMAIN, scope=scope)
+    return evaluate(_gate(orphans, parent, scope), [always], domain="CROSS", scope=scope)
 
 
 def _outside(events: DataFrame, windows: DataFrame, rules: list[Rule], scope: tuple[str, ...]) -> DataFrame:
     joined = lookup_join(events, windows, [*scope, SUBJECT], "inner")
-    return evaluate(joined, rules, domain="CROSS", finding_type=CROSS_DOMAIN, scope=scope)
+    return evaluate(joined, rules, domain="CROSS", scope=scope)
 
 
 def dm_link(dm: DataFrame, other: DataFrame, code: str, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -158,21 +161,18 @@ def vs_cm(vs: DataFrame, cm: DataFrame, scope: tuple[str, ...] = (),
     return _chosen(only, checks)
 
 
-def _all_doses(ex: DataFrame, scope: tuple[str, ...]) -> DataFrame:
-    """Dosing rows with the last day dosed: the end, or the start where no end is known.
-
-    It is null for rows without a start date, which the dosing checks leave out.
-    """
+def _last_dose(ex: DataFrame) -> Column:
+    """The last day dosed: the end, or the start where no end is known; null without a start."""
     start = v.iso_date("EXSTDTC")
     end = v.iso_date("EXENDTC") if "EXENDTC" in ex.columns else F.lit(None)
-    keep = [c for c in (ROW_INDEX, "USUBJID", "EXSTDTC") if c in ex.columns]
-    return ex.select(*scope, *keep, subject(),
-                     F.when(start.isNotNull(), F.coalesce(end, start)).alias("last_dose"))
+    return F.when(start.isNotNull(), F.coalesce(end, start))
 
 
 def doses(ex: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Dosing rows that have a start date."""
-    return _all_doses(ex, scope).filter("last_dose IS NOT NULL")
+    keep = [c for c in (ROW_INDEX, "USUBJID", "EXSTDTC") if c in ex.columns]
+    return ex.select(*scope, *keep, subject(), _last_dose(ex).alias("last_dose")).filter(
+        "last_dose IS NOT NULL")
 
 
 def reference_periods(dm: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -201,7 +201,7 @@ def dose_periods(dm: DataFrame, ex: DataFrame, scope: tuple[str, ...] = (),
     """
     rules = [r for r in (DOSE_AFTER_START, DOSE_BEFORE_END) if only is None or r.rule_id in only]
     joined = lookup_join(doses(ex, scope), reference_periods(dm, scope), [*scope, SUBJECT], "inner")
-    found = evaluate(joined, rules, domain="CROSS", finding_type=CROSS_DOMAIN, scope=(*scope, "copies"))
+    found = evaluate(joined, rules, domain="CROSS", scope=(*scope, "copies"))
     return _repeat(found, "copies")
 
 
@@ -232,23 +232,23 @@ def _within_study(rule: Rule) -> Rule:
     return replace(rule, predicate=" AND ".join([f"({rule.predicate})", *needed]))
 
 
-# --- all checks of a study, one pass per event domain ---------------------------------------------
+# --- all checks of a study -------------------------------------------------------------------------
 
-def all_cross_checks(frames: dict[str, DataFrame], subjects: DataFrame,
-                     scope: tuple[str, ...] = ()) -> list[DataFrame]:
-    """Every cross-domain finding of non-empty ``frames``.
+def study_checks(frames: dict[str, DataFrame], scope: tuple[str, ...] = ()
+                 ) -> tuple[dict[str, list[Rule]], list[DataFrame]]:
+    """What to check between the given, non-empty domains.
 
-    Each event domain is joined once with the subject table and tested for all its rules in that
-    pass; only its identifier and date columns take part.  Within a scope, a domain that has no
-    rows for one study does not make that study's subjects orphans.
+    Returns the rules to test on each domain's rows once they are joined with the subject table
+    (see :func:`with_subjects`), and the findings that do not come from such a join: missing
+    columns, and doses against every reference period of a subject.
     """
-    parts: list[DataFrame] = []
+    found: list[DataFrame] = []
     rules: dict[str, list[Rule]] = {code: [] for code in LINKED if code in frames}
     dm, vs, ae, cm, ex, ds = (frames.get(c) for c in ("DM", "VS", "AE", "CM", "EX", "DS"))
 
     def check(gap: DataFrame | None, add: dict[str, list[Rule]]) -> bool:
         if gap is not None:
-            parts.append(gap)
+            found.append(gap)
             return False
         for code, more in add.items():
             rules[code] += more
@@ -260,26 +260,34 @@ def all_cross_checks(frames: dict[str, DataFrame], subjects: DataFrame,
     if dm is not None and ex is not None:
         has_exit = ds is not None and not _lacks(ds, "USUBJID", "DSSTDTC")
         if check(irt_gap(dm, ex, scope), {"EX": [DOSE_BEFORE_EXIT] if has_exit else []}):
-            parts.append(dose_periods(dm, ex, scope))
+            found.append(dose_periods(dm, ex, scope))
     if vs is not None and ae is not None:
         check(vs_ae_gap(vs, ae, scope), {"AE": [AE_IN_VS, AE_IN_VS_RANGE]})
     if vs is not None and cm is not None:
         window = [VS_IN_CM_WINDOW] if "CMENDTC" in cm.columns else []
         check(vs_cm_gap(vs, cm, scope), {"CM": [CM_IN_VS], "VS": window})
+    if scope:
+        rules = {code: [_within_study(r) for r in tests] for code, tests in rules.items()}
+    return {code: tests for code, tests in rules.items() if tests}, found
+
 
+def with_subjects(df: DataFrame, code: str, subjects: DataFrame, scope: tuple[str, ...] = (),
+                  narrow: bool = False) -> DataFrame:
+    """A domain's rows with what is known about their subject.
+
+    ``narrow`` keeps only the identifier and the date that the cross checks read, for a join that
+    moves the rows.  Within a scope, ``has_dm`` and ``has_vs`` say whether the row's study has
+    these domains at all.
+    """
+    if code == "EX" and "EXSTDTC" in df.columns:
+        last = _last_dose(df).alias("last_dose")
+    else:
+        last = F.lit(None).cast("date").alias("last_dose")
+    dates = {"VS": "VSDTC", "AE": "AESTDTC"}
+    keep = [c for c in (ROW_INDEX, "USUBJID", dates.get(code)) if c in df.columns]
+    events = df.select(*([*scope, *keep] if narrow else ["*"]), subject(), last)
+    joined = lookup_join(events, subjects, [*scope, SUBJECT], "left")
     if scope:
-        studies = subjects.groupBy(*scope).agg(
-            F.max("in_dm").alias("has_dm"), F.max("in_vs").alias("has_vs"))
-    for code, tests in rules.items():
-        if not tests:
-            continue
-        if code == "EX" and DOSE_BEFORE_EXIT in tests:
-            events = _all_doses(frames[code], scope)
-        else:
-            events = _events(frames[code], scope, *{"VS": ["VSDTC"], "AE": ["AESTDTC"]}.get(code, []))
-        joined = lookup_join(events, subjects, [*scope, SUBJECT], "left")
-        if scope:
-            joined = lookup_join(joined, studies, list(scope), "left")
-            tests = [_within_study(r) for r in tests]
-        parts.append(evaluate(joined, tests, domain="CROSS", finding_type=CROSS_DOMAIN, scope=scope))
-    return parts
+        studies = subjects.groupBy(*scope).agg(F.max("in_dm").alias("has_dm"), F.max("in_vs").alias("has_vs"))
+        joined = lookup_join(joined, studies, list(scope), "left")
+    return joined

@@ -225,21 +225,33 @@ def duplicate_subjects(dm: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return evaluate(copies, [rule], domain="DM", scope=scope)
 
 
-def validate_domain(df: DataFrame, code: str, scope: tuple[str, ...] = (),
-                    only: set[str] | None = None) -> DataFrame:
-    """All row-rule findings of one domain (``only`` keeps the named rules)."""
-    lacking = missing_columns(df, code, scope)
-    if lacking is not None:
-        return lacking
-    domain = DOMAINS[code]
-    rules = [r for r in domain.rules() if only is None or r.rule_id in only]
-    parts = [evaluate(df, rules, domain=code, scope=scope)] if rules else []
+def row_rules(df: DataFrame, code: str, only: set[str] | None = None) -> list[Rule]:
+    """The rules of a domain that look at one row and whose columns are there."""
+    return [r for r in DOMAINS[code].rules()
+            if r.applies_to(df.columns) and (only is None or r.rule_id in only)]
+
+
+def table_findings(df: DataFrame, code: str, scope: tuple[str, ...] = (),
+                   only: set[str] | None = None) -> list[DataFrame]:
+    """The findings that need more than one row: repeated subjects, absent optional columns."""
+    parts = []
     if code == "DM" and (only is None or "SDTM_DM_002" in only):
         parts.append(duplicate_subjects(df, scope))
-    for rule_id, column in domain.note_missing:
+    for rule_id, column in DOMAINS[code].note_missing:
         if column not in df.columns and (only is None or rule_id in only):
             parts.append(dataset_finding(
                 df, scope=scope, finding_type=SDTM_RULE, rule_id=rule_id, severity="LOW",
                 domain=code, field=column,
                 message=f"Column {column} not present; unit consistency checks skipped."))
-    return union_findings(parts)
+    return parts
+
+
+def validate_domain(df: DataFrame, code: str, scope: tuple[str, ...] = (),
+                    only: set[str] | None = None) -> DataFrame:
+    """All row-rule findings of one domain (``only`` keeps the named rules)."""
+    lacking = missing_columns(df, code, scope)
+    if lacking is not None:
+        return lacking
+    rules = row_rules(df, code, only)
+    parts = [evaluate(df, rules, domain=code, scope=scope)] if rules else []
+    return union_findings(parts + table_findings(df, code, scope, only))

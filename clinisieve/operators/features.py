@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinisieve.functions import text
 from clinisieve.functions import values as v
+from clinisieve.operators.facts import KEY, contributions, subject_facts, subject_features
 from clinisieve.operators.joins import has_rows, lookup_join
 from clinisieve.operators.rules import ROW_INDEX, Rule, evaluate
 from clinisieve.sources.scratch import written
@@ -19,114 +18,48 @@ REQUIRED = ("AGE", "SYSBP", "DOSE", "VSDTC")
 RANGES: dict[str, tuple[float | None, float | None]] = {
     "AGE": (18.0, 120.0), "SYSBP": (90.0, 180.0), "DOSE": (0.001, None)}
 
-# The test codes that feed a feature.
-SYSBP_TEST, ALT_TEST, QT_TESTS = "SYSBP", "ALT", ("QTCF", "QT")
-
-KEY = "USUBJID"
 AGE_WHOLE = "_age_whole"
 
-# --- one value per subject: what a row contributes, and how contributions are combined ------------
-
-
-def _has(df: DataFrame | None, *columns: str) -> bool:
-    return df is not None and set(columns) <= set(df.columns)
-
 
-def _full_date(column: str) -> Column:
-    """The date of a text that is exactly how that date is written."""
-    day = v.iso_date(column)
-    return F.when(day.cast("string") == F.col(column), day)
-
-
-def contributions(frames: dict[str, DataFrame]) -> dict[str, tuple[str, Column, str]]:
-    """feature -> (domain, value a row contributes, how a subject's values are combined).
-
-    Only features whose domain has the columns are listed.  Identifiers and test codes are
-    compared as they are written.
-    """
-    vs, ex, lb, eg, qs, pr = (frames.get(c) for c in ("VS", "EX", "LB", "EG", "QS", "PR"))
-    out: dict[str, tuple[str, Column, str]] = {}
-    if _has(vs, KEY, "VSTESTCD", "VSORRES"):
-        out["SYSBP"] = ("VS", F.when(F.col("VSTESTCD") == SYSBP_TEST, v.number("VSORRES")), "avg")
-        if _has(vs, "VSDTC"):
-            out["VSDTC"] = ("VS", _full_date("VSDTC"), "min")
-    if _has(ex, KEY, "EXDOSE"):
-        out["DOSE"] = ("EX", v.number("EXDOSE"), "avg")
-    if _has(lb, KEY, "LBTESTCD") and ("LBSTRESN" in lb.columns or "LBORRES" in lb.columns):
-        source = "LBSTRESN" if "LBSTRESN" in lb.columns else "LBORRES"
-        out["ALT"] = ("LB", F.when(F.col("LBTESTCD") == ALT_TEST, v.number(source)), "avg")
-    if _has(eg, KEY, "EGTESTCD", "EGORRES"):
-        out["QTCF"] = ("EG", F.when(F.col("EGTESTCD").isin(*QT_TESTS), v.number("EGORRES")), "avg")
-    if _has(qs, KEY, "QSSTRESN"):
-        out["QS_SCORE"] = ("QS", v.number("QSSTRESN"), "avg")
-    if _has(pr, KEY):
-        out["PR_COUNT"] = ("PR", F.lit(1.0), "count")
-    return out
-
-
-def subject_features(frames: dict[str, DataFrame], scope: tuple[str, ...] = (),
-                     only: set[str] | None = None) -> DataFrame:
-    """One row per subject with a value for each feature, over all domains in one aggregation.
-
-    The first visit is the smallest text.  Texts would turn the whole aggregation into a sort, so
-    properly written dates (whose order is that of their texts) go through it as dates, and only
-    the other texts are sorted, on their own.
-    """
-    wanted = {k: c for k, c in contributions(frames).items() if only is None or k in only}
-    kinds = {k: "date" if k == "VSDTC" else "double" for k in wanted}
-    rows = []
-    for code in dict.fromkeys(c[0] for c in wanted.values()):
-        values = [
-            (wanted[k][1] if wanted[k][0] == code else F.lit(None)).cast(kind).alias(k)
-            for k, kind in kinds.items()]
-        rows.append(frames[code].select(*scope, KEY, *values).filter(F.col(KEY).isNotNull()))
-    combine = {"avg": F.avg, "min": F.min, "count": F.count}
-    table = reduce(DataFrame.unionByName, rows).groupBy(*scope, KEY).agg(
-        *[combine[how](k).alias(k) for k, (_, _, how) in wanted.items()])
-    if "VSDTC" not in wanted:
-        return table
-    others = frames["VS"].filter(F.col(KEY).isNotNull() & F.col("VSDTC").isNotNull()
-                                 & _full_date("VSDTC").isNull())
-    others = others.groupBy(*scope, KEY).agg(F.min("VSDTC").alias("_other"))
-    return table.join(others, [*scope, KEY], "left").withColumn(
-        "VSDTC", F.least(F.col("VSDTC").cast("string"), F.col("_other"))).drop("_other")
-
-
-def _feature_rows(frames: dict[str, DataFrame], scope: tuple[str, ...]) -> DataFrame:
+def _feature_rows(frames: dict[str, DataFrame], scope: tuple[str, ...],
+                  facts: DataFrame | None) -> DataFrame:
     dm = frames["DM"]
     has_age = "AGE" in dm.columns
     age = v.number("AGE") if has_age else F.lit(None).cast("double")
     whole = F.coalesce(v.written_as_integer("CAST(AGE AS STRING)"), F.lit(False)) if has_age else F.lit(False)
     spine = dm.select(*scope, *[c for c in (ROW_INDEX,) if c in dm.columns], KEY,
                       age.alias("AGE"), whole.alias(AGE_WHOLE))
-    listed = contributions(frames)
-    if listed:
-        spine = lookup_join(spine, subject_features(frames, scope), [*scope, KEY], "left")
-    if "PR_COUNT" in listed:
+    if contributions(frames):
+        if facts is None:
+            facts = subject_facts(frames, scope, with_presence=False)
+        spine = lookup_join(spine, subject_features(facts, scope), [*scope, KEY], "left")
+    if "PR_COUNT" in spine.columns:
         spine = spine.withColumn("PR_COUNT", F.coalesce(F.col("PR_COUNT").cast("double"), F.lit(0.0)))
     missing = {c: F.lit(None).cast("string" if c == "VSDTC" else "double")
                for c in REQUIRED if c not in spine.columns}
     return spine.withColumns(missing) if missing else spine
 
 
-def feature_frame(frames: dict[str, DataFrame], scope: tuple[str, ...] = ()) -> DataFrame:
+def feature_frame(frames: dict[str, DataFrame], scope: tuple[str, ...] = (),
+                  facts: DataFrame | None = None) -> DataFrame:
     """One row per demographics row, duplicates included, with the subject's features.
 
     A required feature whose domain is missing is null throughout; an optional one is left out.
     A subject without procedures has a count of 0 if there is a procedures domain.
     """
-    rows = _feature_rows(frames, scope)
+    rows = _feature_rows(frames, scope, facts)
     order = [*scope, ROW_INDEX, KEY, "AGE", "SYSBP", "VSDTC", "DOSE", "ALT", "QTCF", "QS_SCORE", "PR_COUNT"]
     return rows.select(*[c for c in order if c in rows.columns])
 
 
-def flagged_features(frames: dict[str, DataFrame], scope: tuple[str, ...] = ()) -> DataFrame:
+def flagged_features(frames: dict[str, DataFrame], scope: tuple[str, ...] = (),
+                     facts: DataFrame | None = None) -> DataFrame:
     """The feature frame with validity flags and the spelling of each feature, as a stored table.
 
     Within a study, ages are spelled without a fraction when every one is written as an integer,
     and counts when no subject lacks one.
     """
-    rows = written(_feature_rows(frames, scope))
+    rows = written(_feature_rows(frames, scope, facts))
     count = F.col("PR_COUNT") if "PR_COUNT" in rows.columns else F.lit(None).cast("double")
     if scope:
         forms = rows.groupBy(*scope).agg(

@@ -28,7 +28,7 @@ class Rule:
     derived forms (``AGE__number``, ``SEX__clean``, ``VSDTC__date``, ``VSORRES__comma``).
     ``requires`` names the columns the rule reads; without one of them the rule does not apply.
     ``absent`` names columns that must not be there (for the variant of a rule that covers their
-    absence).
+    absence).  ``domain`` and ``finding_type`` override those of the table being checked.
     """
 
     rule_id: str
@@ -39,6 +39,8 @@ class Rule:
     evidence: str
     requires: tuple[str, ...] = ()
     absent: tuple[str, ...] = ()
+    domain: str | None = None
+    finding_type: str | None = None
 
     def applies_to(self, columns: Iterable[str]) -> bool:
         return set(self.requires) <= set(columns) and not set(self.absent) & set(columns)
@@ -150,18 +152,18 @@ def evaluate(df: DataFrame, rules: list[Rule], *, domain: str, finding_type: str
                 .selectExpr(*scope, ROW_INDEX, "usubjid", "inline_outer(fired) AS (n, evidence)")
                 .filter("n IS NOT NULL"))
 
-    def constant(attribute: str) -> str:
-        texts = [getattr(r, attribute) for r in rules]
+    def constant(attribute: str, default: str = "") -> str:
+        texts = [getattr(r, attribute) or default for r in rules]
         if len(set(texts)) == 1:
             return v.literal(texts[0])
         return f"array({', '.join(map(v.literal, texts))})[n]"
 
     return hits.selectExpr(
         *scope,
-        f"{v.literal(finding_type)} AS finding_type",
+        f"{constant('finding_type', finding_type)} AS finding_type",
         f"{constant('rule_id')} AS rule_id",
         f"{constant('severity')} AS severity",
-        f"{v.literal(domain)} AS domain",
+        f"{constant('domain', domain)} AS domain",
         f"{constant('field')} AS field",
         f"{text.with_found_sql(constant('message'), 'evidence')} AS message",
         ROW_INDEX,

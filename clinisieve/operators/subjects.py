@@ -6,8 +6,6 @@ Every table here has one row per subject and is built with partial sums before t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +38,15 @@ def cm_window(cm: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return days.groupBy(*scope, SUBJECT).agg(F.min("st").alias("cm_min"), F.max("en").alias("cm_max"))
 
 
-def _is_disposition(ds: DataFrame) -> Column:
+def is_disposition(ds: DataFrame) -> Column:
     if "DSCAT" not in ds.columns:
         return F.lit(False)
     return v.clean("DSCAT") == DISPOSITION
 
 
-def _choose_exit(per_subject: DataFrame, ds: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+def choose_exit(per_subject: DataFrame, ds: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     """Keep the disposition events' date if the study has any such event, else any row's date."""
-    events = ds.filter(_is_disposition(ds))
+    events = ds.filter(is_disposition(ds))
     if scope:
         studies = events.select(*scope).distinct().withColumn("_any", F.lit(True))
         marked = lookup_join(per_subject, studies, list(scope), "left")
@@ -63,44 +61,7 @@ def _choose_exit(per_subject: DataFrame, ds: DataFrame, scope: tuple[str, ...])
 def ds_exit_date(ds: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Earliest date on which a subject left the study."""
     days = ds.select(*scope, subject(), v.iso_date("DSSTDTC").alias("d"),
-                     _is_disposition(ds).alias("event")).filter("d IS NOT NULL")
+                     is_disposition(ds).alias("event")).filter("d IS NOT NULL")
     per_subject = days.groupBy(*scope, SUBJECT).agg(
         F.min(F.when(F.col("event"), F.col("d"))).alias("exit_event"), F.min("d").alias("exit_any"))
-    return _choose_exit(per_subject, ds, scope).filter("ds_exit IS NOT NULL")
-
-
-def subject_table(frames: dict[str, DataFrame], scope: tuple[str, ...] = ()) -> DataFrame:
-    """Everything the cross-domain rules need to know about a subject, in one aggregation.
-
-    ``frames`` maps domain codes to tables that have the columns concerned; a domain that is not
-    there leaves its columns null.
-    """
-    # column -> (SQL type, aggregate)
-    kinds = {
-        "in_dm": ("boolean", F.max), "in_vs": ("boolean", F.max),
-        "vs_min": ("date", F.min), "vs_max": ("date", F.max),
-        "cm_min": ("date", F.min), "cm_max": ("date", F.max),
-        "exit_event": ("date", F.min), "exit_any": ("date", F.min),
-    }
-    given: list[DataFrame] = []
-
-    def add(df: DataFrame, **columns: Column) -> None:
-        given.append(df.select(*scope, subject(), *[
-            columns.get(c, F.lit(None)).cast(kind).alias(c) for c, (kind, _) in kinds.items()]))
-
-    if "DM" in frames:
-        add(frames["DM"], in_dm=F.lit(True))
-    if "VS" in frames:
-        day = v.iso_date("VSDTC") if "VSDTC" in frames["VS"].columns else F.lit(None)
-        add(frames["VS"], in_vs=F.lit(True), vs_min=day, vs_max=day)
-    if "CM" in frames and {"CMSTDTC", "CMENDTC"} <= set(frames["CM"].columns):
-        start = v.iso_date("CMSTDTC")
-        add(frames["CM"], cm_min=start, cm_max=F.when(start.isNotNull(), v.iso_date("CMENDTC")))
-    if "DS" in frames and "DSSTDTC" in frames["DS"].columns:
-        day = v.iso_date("DSSTDTC")
-        add(frames["DS"], exit_event=F.when(_is_disposition(frames["DS"]), day), exit_any=day)
-    table = reduce(DataFrame.unionByName, given).groupBy(*scope, SUBJECT).agg(
-        *[how(c).alias(c) for c, (_, how) in kinds.items()])
-    if "DS" in frames:
-        return _choose_exit(table, frames["DS"], scope)
-    return table.withColumn("ds_exit", F.lit(None).cast("date")).drop("exit_event", "exit_any")
+    return choose_exit(per_subject, ds, scope).filter("ds_exit IS NOT NULL")

@@ -2,36 +2,74 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 
 from clinisieve.findings import COLUMNS, empty_findings, union_findings
-from clinisieve.operators.cross import all_cross_checks
-from clinisieve.operators.domains import DOMAINS, validate_domain
+from clinisieve.operators.cross import study_checks, with_subjects
+from clinisieve.operators.domains import DOMAINS, missing_columns, row_rules, table_findings
+from clinisieve.operators.facts import subject_facts, subject_table
 from clinisieve.operators.features import apply_ranges, flagged_features, range_findings, with_texts
+from clinisieve.operators.joins import broadcast_limit, planned_bytes
 from clinisieve.operators.outliers import detect_outliers, outlier_findings
-from clinisieve.operators.subjects import subject_table
+from clinisieve.operators.rules import evaluate
 from clinisieve.sources.scratch import written
 
 
 def non_empty(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The domains that have rows, in reporting order; a table is only read up to its first row."""
-    return {code: frames[code] for code in DOMAINS if code in frames and not frames[code].isEmpty()}
+    given = [code for code in DOMAINS if code in frames]
+    with ThreadPoolExecutor(max(len(given), 1)) as pool:
+        empty = list(pool.map(lambda code: frames[code].isEmpty(), given))
+    return {code: frames[code] for code, nothing in zip(given, empty) if not nothing}
 
 
-def domain_findings(frames: dict[str, DataFrame], scope: tuple[str, ...] = ()) -> list[DataFrame]:
+def domain_findings(frames: dict[str, DataFrame], facts: DataFrame | None,
+                    scope: tuple[str, ...] = ()) -> list[DataFrame]:
     """Row rules and cross-domain rules of the given, non-empty domains.
 
-    Each domain is scanned once for its row rules, and its identifiers and dates once more for
-    the cross-domain rules.  What is known about the subjects is worked out once, written, and
-    read by every cross check; the planner then knows whether it is small enough to ship.
+    The written subject table's size decides how they run.  A small one is shipped to every task,
+    and a domain's row rules and cross-domain rules are tested together in a single scan that
+    moves no rows.  Otherwise the row rules have a scan of their own, still moving nothing, and
+    only identifiers and dates take part in a shuffled join.
     """
-    parts = [validate_domain(df, code, scope) for code, df in frames.items()]
-    keyed = {code: df for code, df in frames.items() if "USUBJID" in df.columns}
-    if "DM" in keyed or "VS" in keyed:
-        parts += all_cross_checks(frames, written(subject_table(keyed, scope)), scope)
+    cross, parts = study_checks(frames, scope)
+    subjects, ship = None, False
+    if cross:
+        subjects = written(subject_table(facts, frames, scope))
+        ship = planned_bytes(subjects) <= broadcast_limit(subjects)
+    for code, df in frames.items():
+        lacking = missing_columns(df, code, scope)
+        own = row_rules(df, code) if lacking is None else []
+        parts += [lacking] if lacking is not None else table_findings(df, code, scope)
+        between = cross.get(code, [])
+        if between and ship:
+            parts.append(evaluate(with_subjects(df, code, subjects, scope), own + between,
+                                  domain=code, scope=scope))
+            continue
+        if own:
+            parts.append(evaluate(df, own, domain=code, scope=scope))
+        if between:
+            parts.append(evaluate(with_subjects(df, code, subjects, scope, narrow=True), between,
+                                  domain=code, scope=scope))
     return parts
 
 
+def _rule_findings(frames: dict[str, DataFrame], scope: tuple[str, ...] = ()
+                   ) -> tuple[list[DataFrame], DataFrame | None]:
+    """All findings but the outliers, and the stored feature frame (None without demographics)."""
+    identified = [code for code, df in frames.items() if "USUBJID" in df.columns]
+    facts = None
+    if {"DM", "VS"} & set(identified):
+        facts = written(subject_facts({code: frames[code] for code in identified}, scope))
+    parts = domain_findings(frames, facts, scope)
+    if "DM" not in identified:
+        return parts, None
+    features = flagged_features(frames, scope, facts)
+    return [*parts, range_findings(features, scope)], features
+
+
 def _whole(parts: list[DataFrame], frames: dict[str, DataFrame], scope: tuple[str, ...] = ()) -> DataFrame:
     if not parts:
         return empty_findings(next(iter(frames.values())).sparkSession)
@@ -40,13 +78,9 @@ def _whole(parts: list[DataFrame], frames: dict[str, DataFrame], scope: tuple[st
 
 def validate_all(frames: dict[str, DataFrame], outliers: bool = True) -> DataFrame:
     """Every finding of one study.  ``frames`` maps domain codes to tables."""
-    present = non_empty(frames)
-    parts = domain_findings(present)
-    if "DM" in present and "USUBJID" in present["DM"].columns:
-        features = flagged_features(present)
-        parts.append(range_findings(features))
-        if outliers:
-            parts.append(outlier_findings(detect_outliers(features)))
+    parts, features = _rule_findings(non_empty(frames))
+    if outliers and features is not None:
+        parts.append(outlier_findings(detect_outliers(features)))
     return _whole(parts, frames)
 
 
@@ -56,10 +90,7 @@ def validate_job(frames: dict[str, DataFrame], scope: tuple[str, ...]) -> DataFr
     All keys, windows and study-wide switches hold within a study.  Outliers are left to
     :func:`validate_all` on one study, since each study has its own forest.
     """
-    present = non_empty(frames)
-    parts = domain_findings(present, scope)
-    if "DM" in present and "USUBJID" in present["DM"].columns:
-        parts.append(range_findings(flagged_features(present, scope), scope))
+    parts, _ = _rule_findings(non_empty(frames), scope)
     return _whole(parts, frames, scope)
 
 

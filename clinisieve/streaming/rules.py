@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinisieve.findings import CROSS_DOMAIN
 from clinisieve.operators.cross import link_rule
 from clinisieve.operators.domains import DOMAINS
 from clinisieve.operators.rules import evaluate
@@ -24,4 +23,4 @@ def stream_dm_link(stream: DataFrame, dm: DataFrame, code: str) -> DataFrame:
     """Orphans among arriving rows, against a demographics table that stands still."""
     known = distinct_subjects(dm).withColumn("in_dm", F.lit(True))
     joined = stream.select("*", subject()).join(known, SUBJECT, "left")
-    return evaluate(joined, [link_rule(code)], domain="CROSS", finding_type=CROSS_DOMAIN)
+    return evaluate(joined, [link_rule(code)], domain="CROSS")

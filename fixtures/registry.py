@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clinisieve.functions import text
 from clinisieve.functions import values as v
 from clinisieve.functions.hashing import row_hash
-from clinisieve.operators import analytics, changes, cross, features, outliers, subjects
+from clinisieve.operators import analytics, changes, cross, facts, features, outliers, subjects
 from clinisieve.operators.domains import validate_domain
 from clinisieve.plans import pipeline
 from clinisieve.sources import files, rowid, sinks
@@ -94,8 +94,9 @@ def _frame_domains(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def _feature_query(name: str):
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         domain = x.FEATURE_SQL[name][0]
-        return features.subject_features({domain.upper(): view(spark, sf_dir, domain)},
-                                         only={name}).filter(f"{name} IS NOT NULL")
+        rows = facts.subject_facts({domain.upper(): view(spark, sf_dir, domain)}, with_presence=False,
+                                   features={name})
+        return facts.subject_features(rows).filter(f"{name} IS NOT NULL")
     return build
 
 

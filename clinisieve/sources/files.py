@@ -62,7 +62,8 @@ def read_json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Values are read as texts.  Each document is read by one task; several documents by several.
     """
     plain = spark.read.option("primitivesAsString", True).option("multiLine", True).json(path)
-    if plain.columns == ["records"]:
+    kinds = dict(plain.dtypes)
+    if kinds.get("records", "").startswith("array<struct"):
         plain = plain.select(F.explode("records").alias("r")).select("r.*")
     return plain
 
@@ -70,4 +71,4 @@ def read_json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def csv_row_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows per CSV file."""
     rows = spark.read.options(header=True, inferSchema=False, escape='"').csv(path)
-    return rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("row_count"))
+    return rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("row_count"))

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from clinisieve.findings import COLUMNS
 from clinisieve.operators.analytics import OPEN
 
+# Values are written as they are; missing and empty texts both as nothing.
+CSV_OPTIONS = dict(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+                   ignoreTrailingWhiteSpace=False)
+
 
 def write_csv(findings: DataFrame, folder: str, prefix: str = "findings") -> str:
     """Write findings under a name with the time in it, and return that path."""
     path = f"{folder.rstrip('/')}/{prefix}_{datetime.now():%Y-%m-%d_%H-%M-%S}"
-    findings.select(*COLUMNS).write.option("header", True).option("escape", '"').option(
-        "emptyValue", "").csv(path)
+    findings.select(*COLUMNS).write.options(**CSV_OPTIONS).csv(path)
     return path
 
 

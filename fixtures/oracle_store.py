@@ -202,3 +202,86 @@ SQL = {
         "'1 hour' AS window_end, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.99) > 200 AS alert "
         "FROM events GROUP BY 1, 2"),
 }
+
+_NULL = "('', 'nan', 'NULL', 'n/a', 'NA', 'N/A', 'None', 'NaN', 'null')"
+_AE_NULLED = ", ".join(f"CASE WHEN {c} NOT IN {_NULL} THEN {c} END AS {c}"
+                       for c in ("USUBJID", "AETERM", "AESTDTC", "AEENDTC", "AESER", "AESEV"))
+_LOG = ("SELECT date_trunc('second', ts) AS timestamp, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN "
+        "'WARNING' ELSE 'INFO' END AS level, 'event ' || CAST(event_id AS STRING) || ' by user ' || "
+        "CAST(user_id AS STRING) AS message FROM events WHERE event_id % 10 <> 7")
+_DOCS = ("docs AS (SELECT DISTINCT c_custkey // 100 AS doc FROM customer), tops AS (SELECT doc, CASE WHEN doc % 7 = 6 "
+         "THEN 'DJ_001' WHEN doc % 11 = 5 THEN 'DJ_002' WHEN doc % 13 = 4 THEN 'DJ_002b' WHEN doc % 17 = 3 THEN "
+         "'DJ_003' WHEN doc % 19 = 2 THEN 'DJ_004' END AS rule FROM docs)")
+_GOOD = "(SELECT doc FROM tops WHERE rule IS NULL)"
+_RECORDS = " UNION ALL ".join(
+    f"SELECT doc, '{code}' AS domain, '{oid}' AS oid, row_number() OVER (PARTITION BY doc ORDER BY row_id) - 1 AS n, "
+    f"row_id % 77 = 5 AS broken, row_id % 50 = 3 AS short, {width} AS width FROM (SELECT *, row_id // {per} AS doc "
+    f"FROM {view}) WHERE doc IN {_GOOD}"
+    for code, oid, width, per, view in (("DM", "IG.ONE", 7, 100, "dm"), ("AE", "IG.AE", 6, 1000, "ae")))
+
+
+def sources_sql() -> dict[str, str]:
+    from fixtures.documents import GENERIC
+    generic = (f"WITH g AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_index, PATIENT_ID, "
+               + ", ".join(f"CASE WHEN {c} NOT IN {_NULL} THEN {c} END AS {c}" for c in ("AGE", "SYSBP", "VSDTC", "DOSE"))
+               + f" FROM ({GENERIC}))")
+    flags = []
+    for name, test in (("AGE", f"{N('AGE')} BETWEEN 18 AND 120"), ("SYSBP", f"{N('SYSBP')} BETWEEN 90 AND 180"),
+                       ("DOSE", f"{N('DOSE')} >= 0.001")):
+        flags.append((name, f"NOT coalesce({test}, false)", f"coalesce({name}, '')"))
+    flags.append(("date", "VSDTC IS NULL", "''"))
+    validated = " UNION ALL ".join(
+        f"SELECT 'SDTM_RULE' AS finding_type, 'GENERIC_{n.upper()}_001' AS rule_id, 'MED' AS severity, 'GENERAL' AS "
+        f"domain, '{n}' AS field, '{n} failed validation rule.' || CASE WHEN ev = '' THEN '' ELSE ' (found: ''' || ev "
+        f"|| ''')' END AS message, row_index, '' AS usubjid, ev AS evidence FROM (SELECT *, {ev} AS ev FROM g WHERE {w})"
+        for n, w, ev in flags)
+    return {
+        "scan_domain": f"WITH {domain_cte('ae')} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_index, "
+                       f"{_AE_NULLED} FROM ae",
+        "scan_generic": f"{generic} SELECT * FROM g",
+        "validate_generic_rules": f"{generic} {validated}",
+        "scan_json_records": f"WITH {domain_cte('dm')} SELECT CAST(row_id AS STRING) AS row_index, USUBJID, SEX, AGE FROM dm",
+        "dataset_row_counts": f"WITH {domain_cte('dm')} SELECT STUDYID AS dataset, count(*) AS row_count FROM dm GROUP BY 1",
+        "log_parse": _LOG,
+        "log_by_level": f"SELECT * FROM ({_LOG}) WHERE level = 'ERROR'",
+        "findings_documents": store(
+            "SELECT id, rule_id, evidence, created_at FROM findings", "findings"),
+        "dj_top_level": (
+            f"WITH {_DOCS} SELECT CAST(doc AS STRING) AS doc_id, rule AS rule_id, 'CRIT' AS severity, "
+            "CASE rule WHEN 'DJ_001' THEN 'root' WHEN 'DJ_002' THEN 'clinicalData/referenceData' WHEN 'DJ_002b' THEN "
+            "'clinicalData' ELSE 'itemGroupData' END AS field FROM tops WHERE rule IS NOT NULL"),
+        "dj_gate": f"WITH {_DOCS} SELECT CAST(doc AS STRING) AS doc_id FROM tops WHERE rule IS NULL",
+        "dj_itemgroups": (
+            f"WITH {_DOCS} SELECT CAST(doc AS STRING) AS doc_id, p AS position, CASE p WHEN 0 THEN 'IG.AE' ELSE "
+            "'IG.ONE' END AS oid FROM tops, (VALUES (0), (1)) v(p) WHERE rule IS NULL"),
+        "dj_infer_oid": (
+            f"WITH {_DOCS} SELECT CAST(doc AS STRING) AS doc_id, domain, CASE WHEN rule IS NULL THEN o END AS oid FROM tops, "
+            "(VALUES ('DM', 'IG.ONE'), ('VS', NULL), ('AE', 'IG.AE'), ('CM', NULL)) v(domain, o)"),
+        "dj_row_findings": (
+            f"WITH {domain_cte('dm', 'ae')}, {_DOCS} SELECT CAST(doc AS STRING) AS doc_id, CASE WHEN broken THEN 'DJ_105' "
+            "ELSE 'DJ_106' END AS rule_id, oid || '.itemData[' || CAST(n AS STRING) || ']' AS field, n AS row_index, CASE "
+            "WHEN broken THEN '' ELSE 'got ' || CAST(width - 1 AS STRING) || ', expected ' || CAST(width AS STRING) END AS "
+            f"evidence FROM ({_RECORDS}) WHERE broken OR short"),
+        "dj_rows": (
+            f"WITH {domain_cte('dm')}, {_DOCS} SELECT CAST(doc AS STRING) AS doc_id, row_number() OVER (PARTITION BY doc "
+            "ORDER BY row_id) - 1 AS row_index, USUBJID, STUDYID, CASE WHEN row_id % 50 <> 3 THEN RFENDTC END AS RFENDTC "
+            f"FROM (SELECT *, row_id // 100 AS doc FROM dm) WHERE row_id % 77 <> 5 AND doc IN {_GOOD}"),
+    }
+
+
+_NATION_VALUE = (
+    "CASE WHEN n.n_nationkey = c.c_nationkey THEN c.c_mktsegment WHEN n.n_nationkey = (c.c_nationkey + 1) % 25 "
+    "THEN c.c_name ELSE '' END")
+SQL_SOURCES = sources_sql() | {
+    "edc_forms": "SELECT CAST(c_custkey AS STRING) AS usubjid, '' AS siteid FROM customer",
+    "edc_projects": (
+        "SELECT CAST(c_custkey AS STRING) AS study_id, c_name AS title, CASE WHEN c_custkey % 3 > 0 THEN 'active' ELSE "
+        "'unknown' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'other purpose' ELSE c_mktsegment END AS purpose, "
+        "'' AS created FROM customer"),
+    "edc_flatten": (
+        "SELECT c.c_custkey AS record_id, string_agg(upper('f_' || regexp_replace(n.n_name, '[^A-Za-z0-9]', '_', 'g')), "
+        f"'|' ORDER BY n.n_nationkey) AS columns, string_agg({_NATION_VALUE}, '|' ORDER BY n.n_nationkey) AS values "
+        "FROM customer c, nation n WHERE n.n_regionkey = 2 GROUP BY 1"),
+    "validate_job": (f"{all_rules_sql()} SELECT *, 'ST' || CAST(length(usubjid) % 3 AS STRING) AS \"STUDYID\" "
+                     "FROM all_findings"),
+}

@@ -13,8 +13,9 @@ from clinisieve.functions.hashing import row_hash
 from clinisieve.operators import analytics, changes, cross, facts, features, outliers, subjects
 from clinisieve.operators.domains import validate_domain
 from clinisieve.plans import pipeline
-from clinisieve.sources import files, rowid, sinks
+from clinisieve.sources import dataset_json, files, form_export, logs, rowid, scratch, sinks
 from clinisieve.streaming import windows
+from fixtures import documents as docs
 from fixtures import oracle_cross as x
 from fixtures import oracle_rules as o
 from fixtures import oracle_store as st
@@ -268,3 +269,82 @@ register("error_rate_windows", lambda s, d: windows.error_rate_windows(base(s, d
          st.SQL["error_rate_windows"])
 register("p99_windows", lambda s, d: windows.p99_windows(
     base(s, d, "events"), "value", width="1 hour", threshold=200.0), st.SQL["p99_windows"])
+
+
+# --- readers, over files and documents that Spark derives from the given tables ------------------------
+
+def _scan_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_csv(spark, docs.csv_copy(view(spark, sf_dir, "ae"), "row_index"))
+
+
+def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "csv")
+    view(spark, sf_dir, "dm").write.partitionBy("STUDYID").options(**sinks.CSV_OPTIONS).csv(path)
+    counted = files.csv_row_counts(spark, path)
+    return counted.groupBy(F.regexp_extract("file", "STUDYID=([^/]+)", 1).alias("dataset")).agg(
+        F.sum("row_count").alias("row_count"))
+
+
+def _documents(findings: DataFrame) -> DataFrame:
+    """The documents read back, so that their content can be compared."""
+    back = sinks.findings_documents(findings).select(F.from_json(
+        "value", "id bigint, rule_id string, evidence string, created_at timestamp_ntz").alias("j"))
+    return back.select("j.*")
+
+
+def _dm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_json.domain_table(dataset_json.rows(docs.dataset_json(spark, sf_dir)), "DM").select(
+        "doc_id", "row_index", "USUBJID", "STUDYID", "RFENDTC")
+
+
+READERS = {
+    "scan_domain": _scan_domain,
+    "scan_generic": lambda s, d: files.read_generic(s, docs.generic_csv(s, d)),
+    "validate_generic_rules": lambda s, d: pipeline.validate_generic(
+        files.read_generic(s, docs.generic_csv(s, d)), outliers=False),
+    "scan_json_records": lambda s, d: files.read_json_records(s, docs.record_files(s, d)),
+    "dataset_row_counts": _row_counts,
+    "log_parse": lambda s, d: logs.read_log(s, docs.log_files(s, d)),
+    "log_by_level": lambda s, d: logs.by_level(logs.parse_log(docs.log_lines(s, d)), "error"),
+    "findings_documents": lambda s, d: _documents(view(s, d, "findings")),
+    "dj_top_level": lambda s, d: dataset_json.top_level_findings(docs.dataset_json(s, d)).select(
+        "doc_id", "rule_id", "severity", "field"),
+    "dj_gate": lambda s, d: dataset_json.stop_gate(docs.dataset_json(s, d)).select("doc_id"),
+    "dj_itemgroups": lambda s, d: dataset_json.item_groups(docs.dataset_json(s, d)),
+    "dj_infer_oid": lambda s, d: dataset_json.infer_oids(docs.dataset_json(s, d)),
+    "dj_row_findings": lambda s, d: dataset_json.record_findings(docs.dataset_json(s, d)).select(
+        "doc_id", "rule_id", "field", "row_index", "evidence"),
+    "dj_rows": _dm_rows,
+}
+for _name, _reader in READERS.items():
+    register(_name, _reader, st.SQL_SOURCES[_name])
+
+register("validate_generic", lambda s, d: pipeline.validate_generic(files.read_generic(s, docs.generic_csv(s, d))))
+register("dj_validate", lambda s, d: dataset_json.validate_documents(docs.dataset_json(s, d)))
+register("edc_flatten", lambda s, d: form_export.flatten(
+    docs.form_metadata(s, d), docs.form_records(s, d), "FORM_2").select(
+        "record_id", *[F.array_join(c, "|").alias(c) for c in ("columns", "values")]), st.SQL_SOURCES["edc_flatten"])
+register("edc_forms", lambda s, d: form_export.subjects(docs.form_records(s, d)), st.SQL_SOURCES["edc_forms"])
+register("edc_projects", lambda s, d: form_export.projects(docs.project_listing(s, d)), st.SQL_SOURCES["edc_projects"])
+register("dataset_sample", lambda s, d: analytics.dataset_sample(view(s, d, "ae")))
+
+
+# --- whole jobs over many studies, and the outlier cut ---------------------------------------------------
+
+def _validate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each domain's rows belong to one of three studies by their subject's number."""
+    study = F.pmod(F.length(F.coalesce("USUBJID", F.lit(""))), F.lit(3)).cast("string")
+    tables = {c: df.drop("STUDYID").withColumn("STUDYID", F.concat(F.lit("ST"), study))
+              for c, df in domains(spark, sf_dir).items()}
+    return pipeline.validate_job(tables, ("STUDYID",)).drop("row_index")
+
+
+def _outlier_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows are flagged, and how many the cut allows."""
+    return _outlier_frame(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("anomaly").alias("flagged"),
+        F.ceil(F.lit(outliers.CONTAMINATION) * (F.count(F.lit(1)) - 1)).alias("expected"))
+
+
+register("validate_job", _validate_job, st.SQL_SOURCES["validate_job"])
+register("anomaly_count_invariant", _outlier_share)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clinisieve import vocab
 from clinisieve.functions import text
+from clinisieve.functions import values as v
 from clinisieve.operators.joins import lookup_join
 
 # Limits of the listings and reports.
@@ -143,7 +144,7 @@ def reportable_jobs(jobs: DataFrame) -> DataFrame:
 def job_datasets(jobs: DataFrame, datasets: DataFrame) -> DataFrame:
     """The datasets that each job names."""
     named = jobs.select("tenant_id", "job_id", F.explode("dataset_ids").alias("dataset_id"))
-    return named.join(datasets, ["tenant_id", "dataset_id"], "inner")
+    return lookup_join(named, datasets, ["tenant_id", "dataset_id"], "inner")
 
 
 def dataset_sample(df: DataFrame) -> DataFrame:
@@ -241,8 +242,6 @@ def vocabulary_mismatches(df: DataFrame, test: str, unit: str, pairs: DataFrame)
 
     For vocabularies kept as a table (``test``, ``unit``); the built-in ones are part of the rules.
     """
-    from clinisieve.functions import values as v
-
     rows = df.filter(F.col(unit).isNotNull()).withColumns({"test": v.clean(test), "unit": v.clean(unit)})
     known = lookup_join(rows, pairs.select("test").distinct(), ["test"], "left_semi")
     return lookup_join(known, pairs.select("test", "unit").distinct(), ["test", "unit"], "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clinisieve.functions.hashing import row_hash
 from clinisieve.operators.analytics import ARCHIVED, OPEN
+from clinisieve.operators.joins import lookup_join
 
 # The tables whose changes are recorded, and the states a finding may be closed with.
 AUDITED = ("studies", "datasets", "validation_jobs", "findings", "compliance_reports",
@@ -60,15 +61,15 @@ def apply_resolutions(findings: DataFrame, requests: DataFrame) -> DataFrame:
 def resolution_rejects(findings: DataFrame, requests: DataFrame) -> DataFrame:
     """The requests that change nothing, and why."""
     first = _first_valid(requests).withColumn("_first", F.lit(True))
-    joined = (requests.join(findings.select("id", "status"), "id", "left")
-              .join(first, ["id", "request_id"], "left"))
-    winner = F.col("_first").isNotNull()
-    first_status = joined.withColumn("reason", (
+    joined = lookup_join(requests, findings.select("id", "status"), ["id"], "left").join(
+        first, ["id", "request_id"], "left")
+    reason = (
         F.when(~F.col("new_status").isin(*CLOSING), "status must be 'resolved' or 'waived'.")
         .when(F.col("status").isNull(), "Finding not found.")
         .when(F.col("status") != OPEN, F.concat(F.lit("Finding is already '"), F.col("status"), F.lit("'.")))
-        .when(~winner, "Finding is already closed by an earlier request.")))
-    return first_status.filter("reason IS NOT NULL").select("request_id", "id", "new_status", "reason")
+        .when(F.col("_first").isNull(), "Finding is already closed by an earlier request."))
+    return joined.withColumn("reason", reason).filter("reason IS NOT NULL").select(
+        "request_id", "id", "new_status", "reason")
 
 
 def soft_delete(df: DataFrame, key: str, doomed: DataFrame) -> DataFrame:

@@ -140,7 +140,8 @@ def evaluate(df: DataFrame, rules: list[Rule], *, domain: str, finding_type: str
     usubjid = "coalesce(CAST(USUBJID AS STRING), '')" if "USUBJID" in df.columns else "''"
     keep = [*scope, f"CAST({row_index} AS BIGINT) AS {ROW_INDEX}", f"{usubjid} AS usubjid"]
     rows = with_forms(df, [t for r in rules for t in (r.predicate, r.evidence)])
-    if len(rules) == 1:
+    # A test on columns as they are goes to the scan; derived forms are not to be repeated there.
+    if len(rules) == 1 and not _FORM.search(rules[0].predicate):
         hits = rows.filter(_guarded(rules[0], present)).selectExpr(
             *keep, "0 AS n", f"coalesce({rules[0].evidence}, '') AS evidence")
     else:

@@ -15,6 +15,7 @@ from clinisieve.functions.values import clean_sql, literal
 from clinisieve.operators.cross import dm_link, link_rule
 from clinisieve.operators.domains import DOMAINS, duplicate_subjects
 from clinisieve.operators.rules import ROW_INDEX, evaluate
+from clinisieve.sources.scratch import written
 
 # The keys a document may keep its item groups under, and the domains looked for.
 ROOTS = ("clinicalData", "referenceData")
@@ -267,9 +268,12 @@ def _link_findings(dm: DataFrame, other: DataFrame, code: str) -> list[DataFrame
 
 
 def validate_documents(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS) -> DataFrame:
-    """Structure, row-rule and link findings of every document, each document on its own."""
+    """Structure, row-rule and link findings of every document, each document on its own.
+
+    The records are taken out of the documents once and written; all rules read that table.
+    """
     parts = [top_level_findings(docs), group_findings(docs, domains), record_findings(docs, domains)]
-    records = rows(docs, domains)
+    records = written(rows(docs, domains))
     tables = {code: domain_table(records, code) for code in domains if code in DEFAULT_DOMAINS}
     for code, table in tables.items():
         parts += _domain_findings(table, code)

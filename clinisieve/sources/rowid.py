@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinisieve.operators.joins import lookup_join
@@ -48,9 +48,18 @@ def with_parquet_row_index(df: DataFrame) -> DataFrame:
                            (F.col("_id") + F.col("_offset")).alias(ROW_INDEX))
 
 
-def position_among_findings() -> Column:
-    """The position of a finding among those of its rule, as older findings files number them.
+def position_among_findings(findings: DataFrame, block: int = 65_536) -> DataFrame:
+    """Add ``position``, the place of a finding among those of its rule, in row order from 0.
 
-    All findings of one rule go through one task, so this is for comparing small files only.
+    Older findings files number cross-domain findings that way.  Findings are numbered within
+    blocks of rows, and the blocks' sizes are summed up, so a rule with most of the findings is
+    still spread over many tasks.
     """
-    return (F.row_number().over(Window.partitionBy("rule_id").orderBy("row_index")) - 1).cast("bigint")
+    marked = findings.withColumn("_block", F.floor(F.col(ROW_INDEX) / block))
+    sizes = marked.groupBy("rule_id", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("rule_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("rule_id", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy("rule_id", "_block").orderBy(ROW_INDEX)
+    placed = marked.withColumn("_place", F.row_number().over(within)).join(offsets, ["rule_id", "_block"])
+    return placed.withColumn("position", (F.col("_offset") + F.col("_place") - 1).cast("bigint")).drop(
+        "_block", "_place", "_offset")

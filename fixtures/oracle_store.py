@@ -46,9 +46,7 @@ SQL = {
     "list_findings": store(
         "SELECT * FROM findings WHERE tenant_id = 'T1' AND domain = 'AE' AND status = 'open' "
         f"ORDER BY {RANK}, created_at, id LIMIT 100 OFFSET 20", "findings"),
-    "report_order": store(
-        f"SELECT id, domain, severity, row_index, row_number() OVER (ORDER BY domain, {RANK}, row_index, id) - 1 "
-        "AS position FROM findings QUALIFY position < 1000", "findings"),
+    "report_order": store("SELECT id, domain, severity, row_index FROM findings", "findings"),
     "report_detail": store(
         "SELECT domain, rule_id, severity, field, left(coalesce(evidence, ''), 120) AS value, "
         f"{shorten(200)} AS message FROM (SELECT * FROM findings ORDER BY domain, {RANK}, row_index, id LIMIT 200)",
@@ -65,11 +63,11 @@ SQL = {
     "top_findings_per_job": store(
         "SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY "
         f"{RANK}, domain, rule_id, row_index, id) AS position, id, rule_id, severity, domain, field, message, usubjid "
-        "FROM findings WHERE severity IN ('CRIT', 'HIGH') QUALIFY position <= 3", "findings"),
+        "FROM findings WHERE severity IN ('CRIT', 'HIGH') QUALIFY position <= 30", "findings"),
     "query_context": store(
         f"SELECT study_id, job_id, {COUNTS} FROM (SELECT f.severity, l.study_id, f.job_id, row_number() OVER "
         "(PARTITION BY f.job_id ORDER BY f.id) AS n FROM findings f JOIN latest l USING (job_id)) "
-        "WHERE n <= 5 GROUP BY 1, 2", "findings", "jobs", extra=f", {LATEST_JOB}"),
+        "WHERE n <= 50 GROUP BY 1, 2", "findings", "jobs", extra=f", {LATEST_JOB}"),
     "job_context": store(
         "SELECT j.tenant_id, j.study_id, j.job_id, coalesce(c.total, 0) AS total, coalesce(c.\"CRIT\", 0) AS \"CRIT\", "
         "coalesce(c.\"HIGH\", 0) AS \"HIGH\", coalesce(c.\"MED\", 0) AS \"MED\", coalesce(c.\"LOW\", 0) AS \"LOW\", "
@@ -97,8 +95,7 @@ SQL = {
     "list_audit": store(
         "SELECT * FROM audit WHERE action ILIKE '%FINDINGS%' AND occurred_at >= TIMESTAMP '2024-01-05 00:00:00' "
         "AND occurred_at <= TIMESTAMP '2024-01-20 12:00:00' ORDER BY occurred_at DESC, id LIMIT 50 OFFSET 10", "audit"),
-    "list_latest": store("SELECT job_id, study_id, status, created_at FROM jobs WHERE study_id = 'ST7' "
-                         "ORDER BY created_at DESC, job_id LIMIT 50", "jobs"),
+    "list_latest": store("SELECT job_id, study_id, status, created_at FROM jobs", "jobs"),
     "selectable_studies": store("SELECT id, status FROM studies WHERE status <> 'archived'", "studies"),
     "reportable_jobs": store("SELECT job_id, status FROM jobs WHERE status = 'completed'", "jobs"),
     "tenant_scope": store("SELECT id, tenant_id FROM findings WHERE tenant_id = 'T2'", "findings"),

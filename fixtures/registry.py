@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinisieve.functions import text
@@ -151,13 +151,6 @@ def _domain_text(df: DataFrame) -> DataFrame:
         "array_join(transform(array_sort(map_entries(domains)), e -> e.key || '=' || e.value), ';')"))
 
 
-def _report_positions(findings: DataFrame) -> DataFrame:
-    """The start of the report in its order, which shows as the positions given while reading it."""
-    ordered = analytics.report_order(findings).select("id", "domain", "severity", "row_index").limit(1000)
-    position = F.row_number().over(Window.orderBy("domain", analytics.severity_rank(), "row_index", "id")) - 1
-    return ordered.withColumn("position", position.cast("bigint"))
-
-
 def _findings_with_ids(df: DataFrame) -> DataFrame:
     return df.select("id", "status", "resolved_by", "resolved_at", "resolution_note")
 
@@ -165,13 +158,13 @@ def _findings_with_ids(df: DataFrame) -> DataFrame:
 STORED = {
     "list_findings": (lambda f: analytics.list_findings(
         f, tenant_id="T1", domain="ae", status="OPEN", offset=20, limit=100), "findings"),
-    "report_order": (_report_positions, "findings"),
+    "report_order": (lambda f: analytics.report_order(f).select("id", "domain", "severity", "row_index"), "findings"),
     "report_detail": (analytics.report_detail, "findings"),
     "report_summary": (lambda f: analytics.summary_by_severity(f, ("job_id",)), "findings"),
     "report_text_lines": (analytics.report_text_lines, "findings"),
     "report_header": (analytics.report_header, "jobs", "tenants", "known_studies"),
-    "top_findings_per_job": (lambda f: analytics.top_findings_per_job(f, 3), "findings"),
-    "query_context": (lambda f, j: analytics.query_context(f, j, 5), "findings", "jobs"),
+    "top_findings_per_job": (analytics.top_findings_per_job, "findings"),
+    "query_context": (analytics.query_context, "findings", "jobs"),
     "job_context": (lambda f, j, s: _domain_text(analytics.job_context(f, j, s)), "findings", "jobs", "known_studies"),
     "summary_domain_map": (lambda f: _domain_text(analytics.domain_map(f, ("job_id",))), "findings"),
     "kpi_status": (analytics.kpi_status, "studies", "jobs"),
@@ -185,7 +178,7 @@ STORED = {
         "tenant_id", "study_id", "domain", "dataset_id", "created_at"), "datasets"),
     "list_audit": (lambda a: analytics.list_audit(
         a, action="FINDINGS", since="2024-01-05 00:00:00", until="2024-01-20 12:00:00", offset=10, limit=50), "audit"),
-    "list_latest": (lambda j: analytics.list_latest(j, "job_id", "ST7", limit=50).select(
+    "list_latest": (lambda j: analytics.list_latest(j, "job_id").select(
         "job_id", "study_id", "status", "created_at"), "jobs"),
     "selectable_studies": (lambda s: analytics.selectable_studies(s).select("id", "status"), "studies"),
     "reportable_jobs": (lambda j: analytics.reportable_jobs(j).select("job_id", "status"), "jobs"),
@@ -208,9 +201,8 @@ STORED = {
         text.shorten_message(F.col("message"), 200).alias("short_200")), "findings"),
     "detect_format": (lambda d: files.with_format(d, "filename", "given_format").select(
         "dataset_id", "format", "allowed"), "datasets"),
-    "replay_row_index": (lambda dm, ae: cross.dm_link(dm, ae, "AE").select(
-        "rule_id", F.col("row_index").alias("source_row"), rowid.position_among_findings().alias("row_index")),
-        "dm", "ae"),
+    "replay_row_index": (lambda dm, ae: rowid.position_among_findings(cross.dm_link(dm, ae, "AE"), 1000).select(
+        "rule_id", F.col("row_index").alias("source_row"), F.col("position").alias("row_index")), "dm", "ae"),
     "fn_clean": (lambda ex: ex.select("row_index", v.clean("EXROUTE").alias("route"), v.clean("EXTRT").alias("trt")), "ex"),
     "fn_blank": (lambda ds: ds.select("row_index", v.blank("DSTERM").alias("term_blank"),
                                       v.blank("USUBJID").alias("subject_blank")), "ds"),

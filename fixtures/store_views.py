@@ -10,7 +10,7 @@ SELECT c_custkey AS id, 'T' || CAST(c_custkey % 4 AS STRING) AS tenant_id, 'ST'
 STORE_VIEWS = {
     "findings": """
 SELECT o_orderkey AS id, 'T' || CAST(o_custkey % 4 AS STRING) AS tenant_id, 'ST' || CAST(o_custkey % 7 AS STRING) AS study_id,
- 'J' || CAST(o_custkey AS STRING) AS job_id,
+ 'J' || CAST(o_custkey % 40 AS STRING) AS job_id,
  CASE WHEN o_orderkey % 31 = 0 THEN 'ANOMALY' WHEN o_orderkey % 5 = 0 THEN 'CROSS_DOMAIN' ELSE 'SDTM_RULE' END AS finding_type,
  CASE o_orderkey % 6 WHEN 0 THEN 'SDTM_DM_001' WHEN 1 THEN 'SDTM_AE_002' WHEN 2 THEN 'SDTM_VS_005' WHEN 3 THEN 'SDTM_EX_007' WHEN 4 THEN 'X_DMLINK_AE_001' ELSE 'X_IRT_003' END AS rule_id,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'CRIT' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MED' WHEN '4-NOT SPECIFIED' THEN 'LOW' ELSE CASE WHEN o_orderkey % 10 = 3 THEN 'INFO' ELSE 'LOW' END END AS severity,

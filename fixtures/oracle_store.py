@@ -67,7 +67,8 @@ SQL = {
     "query_context": store(
         f"SELECT study_id, job_id, {COUNTS} FROM (SELECT f.severity, l.study_id, f.job_id, row_number() OVER "
         "(PARTITION BY f.job_id ORDER BY f.id) AS n FROM findings f JOIN latest l USING (job_id)) "
-        "WHERE n <= 50 GROUP BY 1, 2", "findings", "jobs", extra=f", {LATEST_JOB}"),
+        "WHERE n <= 50 GROUP BY 1, 2", "findings", "finding_jobs",
+        extra=", " + LATEST_JOB.replace("FROM jobs", "FROM finding_jobs")),
     "job_context": store(
         "SELECT j.tenant_id, j.study_id, j.job_id, coalesce(c.total, 0) AS total, coalesce(c.\"CRIT\", 0) AS \"CRIT\", "
         "coalesce(c.\"HIGH\", 0) AS \"HIGH\", coalesce(c.\"MED\", 0) AS \"MED\", coalesce(c.\"LOW\", 0) AS \"LOW\", "

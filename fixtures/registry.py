@@ -164,7 +164,7 @@ STORED = {
     "report_text_lines": (analytics.report_text_lines, "findings"),
     "report_header": (analytics.report_header, "jobs", "tenants", "known_studies"),
     "top_findings_per_job": (analytics.top_findings_per_job, "findings"),
-    "query_context": (analytics.query_context, "findings", "jobs"),
+    "query_context": (analytics.query_context, "findings", "finding_jobs"),
     "job_context": (lambda f, j, s: _domain_text(analytics.job_context(f, j, s)), "findings", "jobs", "known_studies"),
     "summary_domain_map": (lambda f: _domain_text(analytics.domain_map(f, ("job_id",))), "findings"),
     "kpi_status": (analytics.kpi_status, "studies", "jobs"),

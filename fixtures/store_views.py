@@ -38,6 +38,10 @@ SELECT 'J' || CAST(o_orderkey AS STRING) AS job_id, 'T' || CAST(o_custkey % 4 AS
  CASE WHEN o_orderkey % 5 = 1 THEN NULL ELSE o_orderdate + INTERVAL '10' SECOND END AS started_at,
  CASE WHEN o_orderkey % 5 IN (1, 2) THEN NULL ELSE o_orderdate + INTERVAL '10' SECOND + INTERVAL '7' SECOND * (o_orderkey % 1000) END AS completed_at
  FROM orders""",
+    "finding_jobs": """
+SELECT 'J' || CAST(k AS STRING) AS job_id, 'T' || CAST(k % 4 AS STRING) AS tenant_id, 'ST' || CAST(k % 10 AS STRING) AS study_id,
+ CASE WHEN k % 5 = 0 THEN 'failed' ELSE 'completed' END AS status, max(o_orderdate) AS completed_at
+ FROM (SELECT o_custkey % 40 AS k, o_orderdate FROM orders) o GROUP BY k""",
     "datasets": """
 SELECT 'D' || CAST(event_id AS STRING) AS dataset_id, 'T' || CAST(user_id % 4 AS STRING) AS tenant_id,
  'ST' || CAST(user_id % 50 AS STRING) AS study_id,

@@ -25,18 +25,19 @@ def has_rows(df: DataFrame) -> Column:
     return df.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
 
 
-def hot_hashes(events: DataFrame, key_hash: Column) -> Column:
+def hot_hashes(events: DataFrame, key_hash: Column) -> list[int]:
     """Hashes of the keys that hold more than their share of the rows, at most ``HOT_KEYS``.
 
-    One pass with a mergeable frequent-items sketch; only sketches are shuffled.  Which keys are
-    named only decides where rows go, never what the join returns.
+    One pass over the key columns with a mergeable frequent-items sketch; only sketches are
+    shuffled.  The sketch may differ from run to run, so it is worked out once, ahead of the join:
+    both sides of the join must agree on the hot keys.
     """
     sketch = events.select(key_hash.alias("h")).agg(
         F.expr(f"approx_top_k(h, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"),
         F.count(F.lit(1)).alias("n"),
     )
-    return sketch.select(F.expr(
-        f"transform(filter(top, x -> x.count > n * {HOT_SHARE}), x -> x.item)")).scalar()
+    return list(sketch.select(F.expr(
+        f"transform(filter(top, x -> x.count > n * {HOT_SHARE}), x -> x.item)")).first()[0] or [])
 
 
 def salted_join(events: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -44,13 +45,17 @@ def salted_join(events: DataFrame, lookup: DataFrame, on: list[str], how: str) -
 
     The lookup rows of a hot key are copied once per salt (at most ``HOT_KEYS`` keys), all other
     rows keep salt 0, so every event row still meets each of its lookup rows exactly once.
-    ``events`` must come straight from a scan, so that a re-run task gives the same salts.
+    A salt comes from the row's position in its table, or else from its place in the scan, so that
+    a re-run task gives the same salts; events without ``row_index`` must come straight from a scan.
     """
-    salts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key_hash = F.xxhash64(*on)
     hot = hot_hashes(events, key_hash)
-    is_hot = F.coalesce(F.array_contains(hot, key_hash), F.lit(False))
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    if not hot:
+        return events.join(lookup, on, how)
+    salts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = key_hash.isin(*hot)
+    place = F.col("row_index") if "row_index" in events.columns else F.monotonically_increasing_id()
+    spread = F.pmod(F.xxhash64(place), F.lit(salts)).cast("int")
     left = events.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.withColumn("_salt", F.explode(copies))

@@ -207,14 +207,14 @@ _AE_NULLED = ", ".join(f"CASE WHEN {c} NOT IN {_NULL} THEN {c} END AS {c}"
 _LOG = ("SELECT date_trunc('second', ts) AS timestamp, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN "
         "'WARNING' ELSE 'INFO' END AS level, 'event ' || CAST(event_id AS STRING) || ' by user ' || "
         "CAST(user_id AS STRING) AS message FROM events WHERE event_id % 10 <> 7")
-_DOCS = ("docs AS (SELECT DISTINCT c_custkey // 100 AS doc FROM customer), tops AS (SELECT doc, CASE WHEN doc % 7 = 6 "
+DOCS = ("docs AS (SELECT DISTINCT c_custkey // 100 AS doc FROM customer), tops AS (SELECT doc, CASE WHEN doc % 7 = 6 "
          "THEN 'DJ_001' WHEN doc % 11 = 5 THEN 'DJ_002' WHEN doc % 13 = 4 THEN 'DJ_002b' WHEN doc % 17 = 3 THEN "
          "'DJ_003' WHEN doc % 19 = 2 THEN 'DJ_004' END AS rule FROM docs)")
-_GOOD = "(SELECT doc FROM tops WHERE rule IS NULL)"
-_RECORDS = " UNION ALL ".join(
+GOOD_DOCS = "(SELECT doc FROM tops WHERE rule IS NULL)"
+RECORDS = " UNION ALL ".join(
     f"SELECT doc, '{code}' AS domain, '{oid}' AS oid, row_number() OVER (PARTITION BY doc ORDER BY row_id) - 1 AS n, "
     f"row_id % 77 = 5 AS broken, row_id % 50 = 3 AS short, {width} AS width FROM (SELECT *, row_id // {per} AS doc "
-    f"FROM {view}) WHERE doc IN {_GOOD}"
+    f"FROM {view}) WHERE doc IN {GOOD_DOCS}"
     for code, oid, width, per, view in (("DM", "IG.ONE", 7, 100, "dm"), ("AE", "IG.AE", 6, 1000, "ae")))
 
 
@@ -245,25 +245,25 @@ def sources_sql() -> dict[str, str]:
         "findings_documents": store(
             "SELECT id, rule_id, evidence, created_at FROM findings", "findings"),
         "dj_top_level": (
-            f"WITH {_DOCS} SELECT CAST(doc AS STRING) AS doc_id, rule AS rule_id, 'CRIT' AS severity, "
+            f"WITH {DOCS} SELECT CAST(doc AS STRING) AS doc_id, rule AS rule_id, 'CRIT' AS severity, "
             "CASE rule WHEN 'DJ_001' THEN 'root' WHEN 'DJ_002' THEN 'clinicalData/referenceData' WHEN 'DJ_002b' THEN "
             "'clinicalData' ELSE 'itemGroupData' END AS field FROM tops WHERE rule IS NOT NULL"),
-        "dj_gate": f"WITH {_DOCS} SELECT CAST(doc AS STRING) AS doc_id FROM tops WHERE rule IS NULL",
+        "dj_gate": f"WITH {DOCS} SELECT CAST(doc AS STRING) AS doc_id FROM tops WHERE rule IS NULL",
         "dj_itemgroups": (
-            f"WITH {_DOCS} SELECT CAST(doc AS STRING) AS doc_id, p AS position, CASE p WHEN 0 THEN 'IG.AE' ELSE "
+            f"WITH {DOCS} SELECT CAST(doc AS STRING) AS doc_id, p AS position, CASE p WHEN 0 THEN 'IG.AE' ELSE "
             "'IG.ONE' END AS oid FROM tops, (VALUES (0), (1)) v(p) WHERE rule IS NULL"),
         "dj_infer_oid": (
-            f"WITH {_DOCS} SELECT CAST(doc AS STRING) AS doc_id, domain, CASE WHEN rule IS NULL THEN o END AS oid FROM tops, "
+            f"WITH {DOCS} SELECT CAST(doc AS STRING) AS doc_id, domain, CASE WHEN rule IS NULL THEN o END AS oid FROM tops, "
             "(VALUES ('DM', 'IG.ONE'), ('VS', NULL), ('AE', 'IG.AE'), ('CM', NULL)) v(domain, o)"),
         "dj_row_findings": (
-            f"WITH {domain_cte('dm', 'ae')}, {_DOCS} SELECT CAST(doc AS STRING) AS doc_id, CASE WHEN broken THEN 'DJ_105' "
+            f"WITH {domain_cte('dm', 'ae')}, {DOCS} SELECT CAST(doc AS STRING) AS doc_id, CASE WHEN broken THEN 'DJ_105' "
             "ELSE 'DJ_106' END AS rule_id, oid || '.itemData[' || CAST(n AS STRING) || ']' AS field, n AS row_index, CASE "
             "WHEN broken THEN '' ELSE 'got ' || CAST(width - 1 AS STRING) || ', expected ' || CAST(width AS STRING) END AS "
-            f"evidence FROM ({_RECORDS}) WHERE broken OR short"),
+            f"evidence FROM ({RECORDS}) WHERE broken OR short"),
         "dj_rows": (
-            f"WITH {domain_cte('dm')}, {_DOCS} SELECT CAST(doc AS STRING) AS doc_id, row_number() OVER (PARTITION BY doc "
+            f"WITH {domain_cte('dm')}, {DOCS} SELECT CAST(doc AS STRING) AS doc_id, row_number() OVER (PARTITION BY doc "
             "ORDER BY row_id) - 1 AS row_index, USUBJID, STUDYID, CASE WHEN row_id % 50 <> 3 THEN RFENDTC END AS RFENDTC "
-            f"FROM (SELECT *, row_id // 100 AS doc FROM dm) WHERE row_id % 77 <> 5 AND doc IN {_GOOD}"),
+            f"FROM (SELECT *, row_id // 100 AS doc FROM dm) WHERE row_id % 77 <> 5 AND doc IN {GOOD_DOCS}"),
     }
 
 
@@ -280,6 +280,9 @@ SQL_SOURCES = sources_sql() | {
         "SELECT c.c_custkey AS record_id, string_agg(upper('f_' || regexp_replace(n.n_name, '[^A-Za-z0-9]', '_', 'g')), "
         f"'|' ORDER BY n.n_nationkey) AS columns, string_agg({_NATION_VALUE}, '|' ORDER BY n.n_nationkey) AS values "
         "FROM customer c, nation n WHERE n.n_regionkey = 2 GROUP BY 1"),
+    "anomaly_count_invariant": (
+        f"WITH {domain_cte('dm')} SELECT count(*) AS rows, CAST(ceil(0.05 * (count(*) - 1)) AS BIGINT) AS allowed, "
+        "true AS fits FROM dm"),
     "validate_job": (f"{all_rules_sql()} SELECT *, 'ST' || CAST(length(usubjid) % 3 AS STRING) AS \"STUDYID\" "
                      "FROM all_findings"),
 }

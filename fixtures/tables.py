@@ -18,21 +18,32 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run SQL text over the given tables it names."""
+def _register(spark: SparkSession, sf_dir: str, texts: list[str]) -> None:
     for name in BASE_TABLES:
-        if re.search(rf"\b{name}\b", sql):
+        if any(re.search(rf"\b{name}\b", sql) for sql in texts):
             base(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def _domain(spark: SparkSession, name: str) -> DataFrame:
+    df = spark.sql(DOMAIN_VIEWS[name])
+    return df.withColumnRenamed("row_id", "row_index") if "row_id" in df.columns else df
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Run SQL text over the given tables it names."""
+    _register(spark, sf_dir, [sql])
     return spark.sql(sql)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table; the ``row_id`` of a domain, if any, becomes ``row_index``."""
-    df = derived(spark, sf_dir, {**DOMAIN_VIEWS, **STORE_VIEWS}[name])
-    if name in DOMAIN_VIEWS and "row_id" in df.columns:
-        df = df.withColumnRenamed("row_id", "row_index")
-    return df
+    if name in STORE_VIEWS:
+        return derived(spark, sf_dir, STORE_VIEWS[name])
+    _register(spark, sf_dir, [DOMAIN_VIEWS[name]])
+    return _domain(spark, name)
 
 
-def domains(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name.upper(): view(spark, sf_dir, name) for name in DOMAIN_VIEWS}
+def domains(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(DOMAIN_VIEWS)) -> dict[str, DataFrame]:
+    """The derived domains by code."""
+    _register(spark, sf_dir, [DOMAIN_VIEWS[name] for name in names])
+    return {name.upper(): _domain(spark, name) for name in names}

@@ -154,6 +154,8 @@ def detect_outliers(df: DataFrame, contamination: float = CONTAMINATION) -> Data
     columns = [f"{c}_num" for c in FEATURES if f"{c}_num" in df.columns]
     if not columns:
         return df.withColumn("anomaly", F.lit(0))
+    if ROW_INDEX not in df.columns:
+        raise ValueError(f"rows must be numbered in {ROW_INDEX}")
     rows = df.count()
     if rows < MIN_ROWS:
         return df.withColumn("anomaly", F.lit(0))

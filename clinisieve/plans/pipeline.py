@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from clinisieve.findings import COLUMNS, empty_findings, union_findings
+from clinisieve.operators.analytics import summary_by_severity
 from clinisieve.operators.cross import study_checks, with_subjects
 from clinisieve.operators.domains import DOMAINS, missing_columns, row_rules, table_findings
 from clinisieve.operators.facts import subject_facts, subject_table
@@ -14,7 +15,9 @@ from clinisieve.operators.features import apply_ranges, flagged_features, range_
 from clinisieve.operators.joins import broadcast_limit, planned_bytes
 from clinisieve.operators.outliers import detect_outliers, outlier_findings
 from clinisieve.operators.rules import evaluate
+from clinisieve.sources.files import read_dataset
 from clinisieve.sources.scratch import written
+from clinisieve.sources.sinks import append_findings
 
 
 def non_empty(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -97,7 +100,28 @@ def validate_job(frames: dict[str, DataFrame], scope: tuple[str, ...]) -> DataFr
 def validate_generic(df: DataFrame, outliers: bool = True) -> DataFrame:
     """Range rules and outliers of a flat file with one row per subject."""
     flagged = with_texts(apply_ranges(df))
-    parts = [range_findings(flagged)]
-    if outliers:
-        parts.append(outlier_findings(detect_outliers(flagged)))
-    return union_findings(parts)
+    if not outliers:
+        return range_findings(flagged)
+    flagged = written(flagged)
+    return union_findings([range_findings(flagged), outlier_findings(detect_outliers(flagged))])
+
+
+def run_job(spark: SparkSession, datasets: list[tuple[str, str, str]], store: str, *,
+            tenant_id: str, job_id: str, study_id: str) -> dict[str, int]:
+    """Validate the files of one job, append the findings to the store, and count them by severity.
+
+    ``datasets`` lists (domain, format, path); of several files of a domain the last one counts.
+    """
+    frames: dict[str, DataFrame] = {}
+    parts: list[DataFrame] = []
+    for domain, file_format, path in datasets:
+        table, found = read_dataset(spark, path, file_format, domain)
+        if table is not None:
+            frames[domain] = table
+        if found is not None:
+            parts.append(found.select(*COLUMNS))
+    if frames:
+        parts.append(validate_all(frames))
+    findings = written(union_findings(parts or [empty_findings(spark)]))
+    append_findings(findings, store, tenant_id, job_id, study_id)
+    return summary_by_severity(findings).first().asDict()

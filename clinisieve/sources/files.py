@@ -11,6 +11,8 @@ from pyspark.sql.utils import AnalysisException
 from clinisieve.functions.values import nulls_from_tokens
 from clinisieve.operators.domains import DOMAINS
 from clinisieve.operators.features import REQUIRED
+from clinisieve.operators.rules import ROW_INDEX
+from clinisieve.sources import dataset_json
 from clinisieve.sources.rowid import with_row_index
 
 # The formats that are accepted; a file name that says nothing is taken for JSON.
@@ -59,13 +61,38 @@ def read_study(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def read_json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """JSON documents that are a list of objects, or an object with them under ``records``.
 
-    Values are read as texts.  Each document is read by one task; several documents by several.
+    Values are read as texts.  Wrapped records are numbered within their document, listed ones over
+    all documents.  Each document is read by one task; several documents by several.
     """
     plain = spark.read.option("primitivesAsString", True).option("multiLine", True).json(path)
-    kinds = dict(plain.dtypes)
-    if kinds.get("records", "").startswith("array<struct"):
-        plain = plain.select(F.explode("records").alias("r")).select("r.*")
-    return plain
+    if dict(plain.dtypes).get("records", "").startswith("array<struct"):
+        return plain.select(F.posexplode("records").alias("_at", "r")).select(
+            "r.*", F.col("_at").cast("bigint").alias(ROW_INDEX))
+    return with_row_index(plain)
+
+
+def read_dataset(spark: SparkSession, path: str, file_format: str, domain: str
+                 ) -> tuple[DataFrame | None, DataFrame | None]:
+    """One uploaded file as a domain's table, and what is wrong with its structure.
+
+    An unknown format gives neither.  A Dataset-JSON document with a critical fault gives no table.
+    """
+    file_format = file_format.lower()
+    if file_format == "csv":
+        return read_csv(spark, path), None
+    if file_format == "json":
+        return read_json_records(spark, path), None
+    if file_format != "dataset-json":
+        return None, None
+    docs = dataset_json.read_documents(spark, path)
+    broken = dataset_json.top_level_findings(docs)
+    if not broken.isEmpty():
+        return None, broken.drop(dataset_json.DOC)
+    found = dataset_json.group_findings(docs, (domain,)).unionByName(dataset_json.record_findings(docs, (domain,)))
+    records = dataset_json.rows(docs, (domain,))
+    names = records.select(F.explode(dataset_json.PRESENT)).distinct().collect()  # columns of one file
+    table = dataset_json.domain_table(records, domain, [r[0] for r in names]) if names else None
+    return table, found.drop(dataset_json.DOC)
 
 
 def csv_row_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -33,10 +33,10 @@ def generic_csv(spark: SparkSession, sf_dir: str) -> str:
 
 
 def record_files(spark: SparkSession, sf_dir: str) -> str:
-    """Documents of up to a hundred demographics records, half of them wrapped, one per file."""
-    dm = view(spark, sf_dir, "dm").select("row_index", "USUBJID", "SEX", "AGE")
-    docs = dm.groupBy((F.col("row_index") / DM_PER_DOC).cast("long").alias("doc")).agg(
-        F.to_json(F.collect_list(F.struct("row_index", "USUBJID", "SEX", "AGE"))).alias("records"))
+    """Documents of up to a hundred demographics records, one per file."""
+    dm = view(spark, sf_dir, "dm").select(F.col("row_index").alias("SEQ"), "USUBJID", "SEX", "AGE")
+    docs = dm.groupBy(F.floor(F.col("SEQ") / DM_PER_DOC).alias("doc")).agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct("SEQ", "USUBJID", "SEX", "AGE")))).alias("records"))
     text = F.concat(F.lit('{"note":"x","records":'), F.col("records"), F.lit("}"))
     path = new_path(spark, "json")
     docs.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)

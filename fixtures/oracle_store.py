@@ -238,7 +238,7 @@ def sources_sql() -> dict[str, str]:
                        f"{_AE_NULLED} FROM ae",
         "scan_generic": f"{generic} SELECT * FROM g",
         "validate_generic_rules": f"{generic} {validated}",
-        "scan_json_records": f"WITH {domain_cte('dm')} SELECT CAST(row_id AS STRING) AS row_index, USUBJID, SEX, AGE FROM dm",
+        "scan_json_records": f"WITH {domain_cte('dm')} SELECT CAST(row_id AS STRING) AS SEQ, row_id % 100 AS row_index, USUBJID, SEX, AGE FROM dm",
         "dataset_row_counts": f"WITH {domain_cte('dm')} SELECT STUDYID AS dataset, count(*) AS row_count FROM dm GROUP BY 1",
         "log_parse": _LOG,
         "log_by_level": f"SELECT * FROM ({_LOG}) WHERE level = 'ERROR'",

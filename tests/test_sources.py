@@ -61,7 +61,23 @@ def test_json_records(spark, tmp_path):
     rows = [{"USUBJID": "S1", "AGE": 30}, {"USUBJID": "S2"}]
     for text in (json.dumps(rows), json.dumps({"records": rows, "n": 2})):
         df = files.read_json_records(spark, write(tmp_path / "r.json", text))
-        assert sorted((r.USUBJID, r.AGE) for r in df.collect()) == [("S1", "30"), ("S2", None)]
+        assert sorted((r.row_index, r.USUBJID, r.AGE) for r in df.collect()) == [(0, "S1", "30"), (1, "S2", None)]
+
+
+def test_a_job_reads_validates_stores_and_counts(spark, tmp_path):
+    dm = {"clinicalData": {"itemGroupData": {"IG.DM": {
+        "name": "DM", "items": items("USUBJID", "STUDYID", "SEX"), "itemData": [["S1", "A", "X"], ["S2", "A"]]}}}}
+    datasets = [
+        ("DM", "Dataset-JSON", write(tmp_path / "dm.json", json.dumps(dm))),
+        ("AE", "csv", write(tmp_path / "ae.csv", "USUBJID,AETERM,AESTDTC\nS9,a,2024-01-01\n")),
+        ("CM", "json", write(tmp_path / "cm.json", json.dumps([{"USUBJID": "S1", "CMTRT": "", "CMSTDTC": "bad"}]))),
+        ("VS", "dataset-json", write(tmp_path / "vs.json", "[]")), ("LB", "xpt", str(tmp_path / "lb.xpt"))]
+    store = str(tmp_path / "store")
+    counts = pipeline.run_job(spark, datasets, store, tenant_id="T", job_id="J", study_id="S")
+    stored = spark.read.parquet(store)
+    assert sorted(r.rule_id for r in stored.collect() if not r.rule_id.startswith("GENERIC")) == [
+        "DJ_001", "DJ_106", "SDTM_CM_001", "SDTM_CM_002", "SDTM_DM_003", "X_DMLINK_AE_001"]
+    assert counts["total"] == stored.count() and counts["CRIT"] == 1
 
 
 def test_formats(spark):

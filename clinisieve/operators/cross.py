@@ -271,13 +271,17 @@ def study_checks(frames: dict[str, DataFrame], scope: tuple[str, ...] = ()
     return {code: tests for code, tests in rules.items() if tests}, found
 
 
-def with_subjects(df: DataFrame, code: str, subjects: DataFrame, scope: tuple[str, ...] = (),
-                  narrow: bool = False) -> DataFrame:
-    """A domain's rows with what is known about their subject.
+def study_presence(subjects: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """Whether a study has demographics and vital signs at all, one row per study."""
+    return subjects.groupBy(*scope).agg(F.max("in_dm").alias("has_dm"), F.max("in_vs").alias("has_vs"))
+
+
+def with_subjects(df: DataFrame, code: str, subjects: DataFrame, studies: DataFrame | None = None,
+                  scope: tuple[str, ...] = (), narrow: bool = False) -> DataFrame:
+    """A domain's rows with what is known about their subject, and within a scope about their study.
 
     ``narrow`` keeps only the identifier and the date that the cross checks read, for a join that
-    moves the rows.  Within a scope, ``has_dm`` and ``has_vs`` say whether the row's study has
-    these domains at all.
+    moves the rows.
     """
     if code == "EX" and "EXSTDTC" in df.columns:
         last = _last_dose(df).alias("last_dose")
@@ -287,7 +291,4 @@ def with_subjects(df: DataFrame, code: str, subjects: DataFrame, scope: tuple[st
     keep = [c for c in (ROW_INDEX, "USUBJID", dates.get(code)) if c in df.columns]
     events = df.select(*([*scope, *keep] if narrow else ["*"]), subject(), last)
     joined = lookup_join(events, subjects, [*scope, SUBJECT], "left")
-    if scope:
-        studies = subjects.groupBy(*scope).agg(F.max("in_dm").alias("has_dm"), F.max("in_vs").alias("has_vs"))
-        joined = lookup_join(joined, studies, list(scope), "left")
-    return joined
+    return joined if studies is None else lookup_join(joined, studies, list(scope), "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clinisieve.findings import COLUMNS, empty_findings, union_findings
 from clinisieve.operators.analytics import summary_by_severity
-from clinisieve.operators.cross import study_checks, with_subjects
+from clinisieve.operators.cross import study_checks, study_presence, with_subjects
 from clinisieve.operators.domains import DOMAINS, missing_columns, row_rules, table_findings
 from clinisieve.operators.facts import subject_facts, subject_table
 from clinisieve.operators.features import apply_ranges, flagged_features, range_findings, with_texts
@@ -38,9 +38,10 @@ def domain_findings(frames: dict[str, DataFrame], facts: DataFrame | None,
     only identifiers and dates take part in a shuffled join.
     """
     cross, parts = study_checks(frames, scope)
-    subjects, ship = None, False
+    subjects, studies, ship = None, None, False
     if cross:
         subjects = written(subject_table(facts, frames, scope))
+        studies = written(study_presence(subjects, scope)) if scope else None
         ship = planned_bytes(subjects) <= broadcast_limit(subjects)
     for code, df in frames.items():
         lacking = missing_columns(df, code, scope)
@@ -48,14 +49,14 @@ def domain_findings(frames: dict[str, DataFrame], facts: DataFrame | None,
         parts += [lacking] if lacking is not None else table_findings(df, code, scope)
         between = cross.get(code, [])
         if between and ship:
-            parts.append(evaluate(with_subjects(df, code, subjects, scope), own + between,
-                                  domain=code, scope=scope))
+            joined = with_subjects(df, code, subjects, studies, scope)
+            parts.append(evaluate(joined, own + between, domain=code, scope=scope))
             continue
         if own:
             parts.append(evaluate(df, own, domain=code, scope=scope))
         if between:
-            parts.append(evaluate(with_subjects(df, code, subjects, scope, narrow=True), between,
-                                  domain=code, scope=scope))
+            joined = with_subjects(df, code, subjects, studies, scope, narrow=True)
+            parts.append(evaluate(joined, between, domain=code, scope=scope))
     return parts
 
 

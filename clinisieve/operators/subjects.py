@@ -1,7 +1,8 @@
 """What the study knows about each subject: where it occurs, and its date windows.
 
 A subject is named by its cleaned USUBJID, so null and blank identifiers share the empty name.
-Every table here has one row per subject and is built with partial sums before the shuffle.
+Every table here has one row per subject and is built with partial sums before the shuffle.  Rows
+without a date are not filtered out first, which would parse each date twice.
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ def distinct_subjects(df: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
 
 def vs_date_range(vs: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """First and last vital-signs date."""
-    days = vs.select(*scope, subject(), v.iso_date("VSDTC").alias("d")).filter("d IS NOT NULL")
-    return days.groupBy(*scope, SUBJECT).agg(F.min("d").alias("vs_min"), F.max("d").alias("vs_max"))
+    days = vs.select(*scope, subject(), v.iso_date("VSDTC").alias("d"))
+    return days.groupBy(*scope, SUBJECT).agg(F.min("d").alias("vs_min"), F.max("d").alias("vs_max")).filter(
+        "vs_min IS NOT NULL")
 
 
 def cm_window(cm: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """First start and last end over the medications with a start date."""
-    days = cm.select(*scope, subject(), v.iso_date("CMSTDTC").alias("st"),
-                     v.iso_date("CMENDTC").alias("en")).filter("st IS NOT NULL")
-    return days.groupBy(*scope, SUBJECT).agg(F.min("st").alias("cm_min"), F.max("en").alias("cm_max"))
+    start = v.iso_date("CMSTDTC")
+    days = cm.select(*scope, subject(), start.alias("st"), F.when(start.isNotNull(), v.iso_date("CMENDTC")).alias("en"))
+    return days.groupBy(*scope, SUBJECT).agg(F.min("st").alias("cm_min"), F.max("en").alias("cm_max")).filter(
+        "cm_min IS NOT NULL")
 
 
 def is_disposition(ds: DataFrame) -> Column:
@@ -61,7 +64,7 @@ def choose_exit(per_subject: DataFrame, ds: DataFrame, scope: tuple[str, ...]) -
 def ds_exit_date(ds: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Earliest date on which a subject left the study."""
     days = ds.select(*scope, subject(), v.iso_date("DSSTDTC").alias("d"),
-                     is_disposition(ds).alias("event")).filter("d IS NOT NULL")
+                     is_disposition(ds).alias("event"))
     per_subject = days.groupBy(*scope, SUBJECT).agg(
         F.min(F.when(F.col("event"), F.col("d"))).alias("exit_event"), F.min("d").alias("exit_any"))
     return choose_exit(per_subject, ds, scope).filter("ds_exit IS NOT NULL")

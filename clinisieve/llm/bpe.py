@@ -13,6 +13,7 @@ whole is that token.
 from __future__ import annotations
 
 import base64
+import math
 from functools import lru_cache
 from itertools import chain
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Memo entries kept by a worker; a full memo is emptied, which changes the time only.
-MEMO = 200_000
+MEMO = 300_000
 MEMO_LENGTH = 64
 
 
@@ -44,66 +45,104 @@ class ByteBPE:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         # A token that merges cannot make stands for itself only as a whole piece.
-        made = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [rank]}
+        made: dict[bytes, int] = {}
+        halves: dict[int, tuple[int, int]] = {}
+        for token, rank in ranks.items():
+            if len(token) == 1:
+                made[token] = rank
+            elif len(parts := self._merge(token, 2)) == 2:
+                left, right = (ranks[p] for p in parts)
+                if max(left, right) > rank:
+                    raise ValueError(f"token {rank} ranks before its parts")
+                halves[rank] = (left, right)
+                made[token] = rank
+        self.first_edge = {rank: self._edge(rank, halves, 0) for rank in made.values()}
+        self.last_edge = {rank: self._edge(rank, halves, 1) for rank in made.values()}
         self.longest = ahocorasick.Automaton()
         for token, rank in made.items():
             self.longest.add_word(token.decode("latin-1"), rank)
         self.longest.make_automaton()
         self.shorter = {rank: next((made[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in made), None)
                         for token, rank in made.items()}
+        self.size_of = [0] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.size_of[rank] = len(token)
         self.fitting: dict[tuple[int, int], bool] = {}
         self.known: dict[str, list[int]] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The merges one by one, lowest rank first; for short pieces."""
+    def _merge(self, piece: bytes, leave: int = 1) -> list[bytes]:
+        """The merges one by one, lowest rank first, until ``leave`` parts are left; for tokens only."""
         parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > leave:
             ranked = [self.ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
             best = min((r for r in ranked if r is not None), default=None)
             if best is None:
                 break
             at = ranked.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def _edge(self, rank: int, halves: dict[int, tuple[int, int]], side: int) -> list[tuple[bytes, float]]:
+        """The parts that stand at one edge of a token while it is made, each with the rank that takes it up."""
+        edge, taken_up = [], math.inf
+        while True:
+            edge.append((self.bytes_of[rank], taken_up))
+            if rank not in halves:
+                return edge[::-1]
+            rank, taken_up = halves[rank][side], rank
 
     def fit(self, left: int, right: int) -> bool:
-        """Whether merges leave the two tokens as they are when they stand side by side."""
+        """Whether merges leave the two tokens as they are when they stand side by side.
+
+        Ranks of merges never fall, so both tokens grow as if alone until the parts that touch merge:
+        that is so if their own rank comes before those that take them up (of equal ranks the left one does).
+        """
         pair = (left, right)
         known = self.fitting.get(pair)
         if known is None:
             if len(self.fitting) >= MEMO:
                 self.fitting.clear()
-            known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.fitting[pair] = known
+            known = self.fitting[pair] = self._fit(left, right)
         return known
 
+    def _fit(self, left: int, right: int) -> bool:
+        lefts, rights, rank_of = iter(self.last_edge[left]), iter(self.first_edge[right]), self.ranks.get
+        (x, x_until), (y, y_until) = next(lefts), next(rights)
+        while True:
+            crossing = rank_of(x + y)
+            if crossing is not None and crossing < x_until and crossing <= y_until:
+                return False
+            if x_until <= y_until:
+                if x_until == math.inf:
+                    return True
+                x, x_until = next(lefts)
+            else:
+                y, y_until = next(rights)
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size = len(piece)
+        size, size_of, shorter_than = len(piece), self.size_of, self.shorter
         longest = [0] * size
         for end, rank in self.longest.iter(piece.decode("latin-1")):
-            start = end + 1 - len(self.bytes_of[rank])
-            longest[start] = rank  # matches come by ascending end
+            longest[end + 1 - size_of[rank]] = rank  # matches come by ascending end
         alive = bytearray(b"\x01") * (size + 1)
-        ids: list[int] = []
-        at, token = 0, longest[0]
+        at, token, ids = 0, longest[0], []
         while True:
-            end = at + len(self.bytes_of[token])
+            end = at + size_of[token]
             if alive[end] and (not ids or self.fit(ids[-1], token)):
                 ids.append(token)
-                at = end
-                if at == size:
+                if end == size:
                     return ids
-                token = longest[at]
+                at, token = end, longest[end]
                 continue
-            shorter = self.shorter[token]
+            shorter = shorter_than[token]
             while shorter is None:  # nothing fits here: this place is a dead end
                 alive[at] = 0
                 token = ids.pop()
-                at -= len(self.bytes_of[token])
-                shorter = self.shorter[token]
+                at -= size_of[token]
+                shorter = shorter_than[token]
             token = shorter
 
     def encode(self, text: str) -> list[int]:
@@ -134,7 +173,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def of(column: pa.Array) -> pa.Array:
         encoder = codec(path, pattern)
-        rows = [np.array(encoder.encode(t), np.int32) if t else np.empty(0, np.int32) for t in column.to_pylist()]
+        rows = [np.array(encoder.encode(t.as_py()), np.int32) if t.is_valid else np.empty(0, np.int32) for t in column]
         ends = np.cumsum([0, *map(len, rows)])
         if ends[-1] < 2**31:
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else []).cast(pa.int32()))
@@ -147,5 +186,6 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def of(column: pa.Array) -> pa.Array:
         decoder = codec(path, pattern)
-        return pa.array([decoder.decode(x) if x else b"" for x in column.to_pylist()], pa.binary())
+        # A row at a time: as Python numbers, all ids of a batch would take ten times their room.
+        return pa.array([decoder.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in column], pa.binary())
     return of(ids)

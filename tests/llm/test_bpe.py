@@ -40,10 +40,10 @@ def test_every_character(both):
 
 
 def test_tokens_that_merges_cannot_make():
-    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257, b"bcd": 258}
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bcd": 257, b"abab": 258}
     own = bpe.ByteBPE(ranks, r"[a-z]+|[^a-z]+")
     theirs = tiktoken.Encoding("own", pat_str=r"[a-z]+|[^a-z]+", mergeable_ranks=ranks, special_tokens={})
-    for text in ("abc", "abcd", "xabc", "abcab", "bcd", "abcdabc"):
+    for text in ("abc", "abcd", "xabc", "abcab", "bcd", "abcdabc", "ababab", "xababab"):
         assert own.encode(text) == theirs.encode_ordinary(text)
 
 
@@ -58,6 +58,8 @@ def test_memos_are_bounded(both, monkeypatch):
 def test_vocabulary_without_all_bytes_is_refused():
     with pytest.raises(ValueError):
         bpe.ByteBPE({b"a": 0}, ".")
+    with pytest.raises(ValueError):  # merges of falling rank
+        bpe.ByteBPE({bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257}, ".")
 
 
 def test_round_trip_of_awkward_rows(spark, both):

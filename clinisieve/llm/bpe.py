@@ -178,7 +178,8 @@ def encode(text: Column, path: str, pattern: str) -> Column:
         if ends[-1] < 2**31:
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else []).cast(pa.int32()))
         return pa.array(rows, pa.list_(pa.int32()))
-    return of(text)
+    # So marked, Spark does not encode again for each use of the ids.
+    return of.asNondeterministic()(text)
 
 
 def decode(ids: Column, path: str, pattern: str) -> Column:

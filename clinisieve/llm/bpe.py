@@ -14,18 +14,19 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Memo entries kept by a worker; a full memo is emptied, which changes the time only.
-MEMO = 300_000
+MEMO = 200_000
 MEMO_LENGTH = 64
 
 
@@ -35,7 +36,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBPE:
-    """Encoder and decoder for a table of ranks (bytes of a token to its id)."""
+    """Encoder for a table of ranks (bytes of a token to its id)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
@@ -145,8 +146,8 @@ class ByteBPE:
                 shorter = shorter_than[token]
             token = shorter
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self._ids_of, self.split(text))))
+    def encode(self, text: str) -> Iterator[int]:
+        return chain.from_iterable(map(self._ids_of, self.split(text)))
 
     def _ids_of(self, piece: str) -> list[int]:
         ids = self.known.get(piece)
@@ -158,9 +159,6 @@ class ByteBPE:
                 self.known[piece] = ids
         return ids
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteBPE:
@@ -168,25 +166,35 @@ def codec(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(read_ranks(path), pattern)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """The token ids of a text as array<int>.  Null and empty texts give an empty array."""
     @F.arrow_udf("array<int>")
     def of(column: pa.Array) -> pa.Array:
         encoder = codec(path, pattern)
-        rows = [np.array(encoder.encode(t.as_py()), np.int32) if t.is_valid else np.empty(0, np.int32) for t in column]
-        ends = np.cumsum([0, *map(len, rows)])
-        if ends[-1] < 2**31:
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else []).cast(pa.int32()))
-        return pa.array(rows, pa.list_(pa.int32()))
+        ids, ends = array("i"), [0]
+        for text in column:
+            if text.is_valid:
+                ids.extend(encoder.encode(text.as_py()))
+            ends.append(len(ids))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
     # So marked, Spark does not encode again for each use of the ids.
     return of.asNondeterministic()(text)
 
 
-def decode(ids: Column, path: str, pattern: str) -> Column:
+def decoded(ids: list[int], table: dict[int, bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, ids))
+
+
+def decode(ids: Column, path: str) -> Column:
     """The bytes that token ids (array<int>) stand for; null gives no bytes, an unknown id an error."""
     @F.arrow_udf("binary")
     def of(column: pa.Array) -> pa.Array:
-        decoder = codec(path, pattern)
+        table = token_bytes(path)
         # A row at a time: as Python numbers, all ids of a batch would take ten times their room.
-        return pa.array([decoder.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in column], pa.binary())
+        return pa.array([decoded(x.values.to_numpy().tolist(), table) if x.is_valid else b"" for x in column], pa.binary())
     return of(ids)

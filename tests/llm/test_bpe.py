@@ -26,9 +26,9 @@ def test_same_ids_on_random_texts(both):
     texts += ["".join(rnd.choice("aeinst") for _ in range(rnd.randint(1, 300))) for _ in range(300)]
     texts += ["a" * 5000, " " * 3000 + "x", "\n" * 999, "ab" * 2000, "é" * 1000, "<|endoftext|>"]
     for text in texts:
-        ids = own.encode(text)
+        ids = list(own.encode(text))
         assert ids == theirs.encode_ordinary(text)
-        assert own.decode(ids) == text.encode()
+        assert bpe.decoded(ids, own.bytes_of) == text.encode()
 
 
 def test_every_character(both):
@@ -36,7 +36,7 @@ def test_every_character(both):
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for at in range(0, len(chars), 4000):
         text = "".join(f"a {c}1" for c in chars[at:at + 4000])
-        assert own.encode(text) == theirs.encode_ordinary(text)
+        assert list(own.encode(text)) == theirs.encode_ordinary(text)
 
 
 def test_tokens_that_merges_cannot_make():
@@ -44,14 +44,14 @@ def test_tokens_that_merges_cannot_make():
     own = bpe.ByteBPE(ranks, r"[a-z]+|[^a-z]+")
     theirs = tiktoken.Encoding("own", pat_str=r"[a-z]+|[^a-z]+", mergeable_ranks=ranks, special_tokens={})
     for text in ("abc", "abcd", "xabc", "abcab", "bcd", "abcdabc", "ababab", "xababab"):
-        assert own.encode(text) == theirs.encode_ordinary(text)
+        assert list(own.encode(text)) == theirs.encode_ordinary(text)
 
 
 def test_memos_are_bounded(both, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 5)
     own = bpe.ByteBPE({t: r for t, r in both[0].ranks.items() if r < 3000}, P.PATTERN)
     text = " ".join(f"word{i} other{i * 7}" for i in range(200))
-    own.encode(text)
+    list(own.encode(text))
     assert len(own.known) <= 5 and len(own.fitting) <= 5
 
 
@@ -65,7 +65,7 @@ def test_vocabulary_without_all_bytes_is_refused():
 def test_round_trip_of_awkward_rows(spark, both):
     rows = awkward()
     docs = frame(spark, rows).select("doc_id", "text", bpe.encode(bpe.F.col("text"), PATH, P.PATTERN).alias("ids"))
-    got = docs.select("*", bpe.decode(bpe.F.col("ids"), PATH, P.PATTERN).alias("back")).collect()
+    got = docs.select("*", bpe.decode(bpe.F.col("ids"), PATH).alias("back")).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.ids == both[1].encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()

@@ -22,8 +22,11 @@ from itertools import chain
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from clinisieve.llm.common import slices
 
 #: Memo entries kept by a worker; a full memo is emptied, which changes the time only.
 MEMO = 200_000
@@ -57,8 +60,7 @@ class ByteBPE:
                     raise ValueError(f"token {rank} ranks before its parts")
                 halves[rank] = (left, right)
                 made[token] = rank
-        self.first_edge = {rank: self._edge(rank, halves, 0) for rank in made.values()}
-        self.last_edge = {rank: self._edge(rank, halves, 1) for rank in made.values()}
+        self.halves = halves
         self.longest = ahocorasick.Automaton()
         for token, rank in made.items():
             self.longest.add_word(token.decode("latin-1"), rank)
@@ -68,7 +70,7 @@ class ByteBPE:
         self.size_of = [0] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.size_of[rank] = len(token)
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.fitting: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
 
     def _merge(self, piece: bytes, leave: int = 1) -> list[bytes]:
@@ -83,14 +85,14 @@ class ByteBPE:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _edge(self, rank: int, halves: dict[int, tuple[int, int]], side: int) -> list[tuple[bytes, float]]:
+    def _edge(self, rank: int, side: int) -> list[tuple[bytes, float]]:
         """The parts that stand at one edge of a token while it is made, each with the rank that takes it up."""
         edge, taken_up = [], math.inf
         while True:
             edge.append((self.bytes_of[rank], taken_up))
-            if rank not in halves:
+            if rank not in self.halves:
                 return edge[::-1]
-            rank, taken_up = halves[rank][side], rank
+            rank, taken_up = self.halves[rank][side], rank
 
     def fit(self, left: int, right: int) -> bool:
         """Whether merges leave the two tokens as they are when they stand side by side.
@@ -98,7 +100,7 @@ class ByteBPE:
         Ranks of merges never fall, so both tokens grow as if alone until the parts that touch merge:
         that is so if their own rank comes before those that take them up (of equal ranks the left one does).
         """
-        pair = (left, right)
+        pair = left << 32 | right
         known = self.fitting.get(pair)
         if known is None:
             if len(self.fitting) >= MEMO:
@@ -107,7 +109,7 @@ class ByteBPE:
         return known
 
     def _fit(self, left: int, right: int) -> bool:
-        lefts, rights, rank_of = iter(self.last_edge[left]), iter(self.first_edge[right]), self.ranks.get
+        lefts, rights, rank_of = iter(self._edge(left, 1)), iter(self._edge(right, 0)), self.ranks.get
         (x, x_until), (y, y_until) = next(lefts), next(rights)
         while True:
             crossing = rank_of(x + y)
@@ -171,19 +173,28 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in read_ranks(path).items()}
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """The token ids of a text as array<int>.  Null and empty texts give an empty array."""
-    @F.arrow_udf("array<int>")
-    def of(column: pa.Array) -> pa.Array:
+def tokenized(df: DataFrame, text_col: str, path: str, pattern: str) -> DataFrame:
+    """``df`` with ``ids``, the token ids of a text as array<int>, and ``decoded``, the bytes they stand for.
+
+    Null and empty texts give no ids and no bytes.  ``df`` may not have these two columns already.
+    Rows are worked on in parts of bounded size, however long the texts.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = codec(path, pattern)
-        ids, ends = array("i"), [0]
-        for text in column:
-            if text.is_valid:
-                ids.extend(encoder.encode(text.as_py()))
-            ends.append(len(ids))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
-    # So marked, Spark does not encode again for each use of the ids.
-    return of.asNondeterministic()(text)
+        for part in (p for batch in batches for p in slices(batch, at)):
+            ids, ends, back = array("i"), [0], []
+            for text in part.column(at):
+                own = list(encoder.encode(text.as_py())) if text.is_valid else []
+                ids.extend(own)
+                ends.append(len(ids))
+                back.append(decoded(own, encoder.bytes_of))
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+            yield pa.RecordBatch.from_arrays([*part.columns, tokens, pa.array(back, pa.binary())], [*part.schema.names, "ids", "decoded"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    return df.mapInArrow(run, schema)
 
 
 def decoded(ids: list[int], table: dict[int, bytes]) -> bytes:

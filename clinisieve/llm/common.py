@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: The characters that separate words, as a class of a regular expression.
@@ -30,6 +31,15 @@ def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, column: int, room: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts take about ``room`` bytes; a longer text is a part by itself."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    places = np.cumsum(lengths) // room
+    cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), batch.num_rows]
+    for start, stop in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(start, stop - start)
+
+
 def signed(value: int) -> int:
     """A 64-bit pattern as the signed number that Spark's bigint holds."""
     return value - (1 << 64) if value >> 63 else value

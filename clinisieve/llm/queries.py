@@ -37,10 +37,10 @@ BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
-    docs = _read(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
+    docs = bpe.tokenized(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text", path, pattern)
     return docs.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
-    encoded = docs.select("doc_id", "lang", "source", "text", bpe.encode(F.col("text"), path, pattern).alias("ids"))
-    whole = bpe.decode(F.col("ids"), path) == F.coalesce("text", F.lit("")).cast("binary")
+    encoded = bpe.tokenized(docs.select("doc_id", "lang", "source", "text"), "text", path, pattern)
+    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), whole.alias("round_trip"))
 
 

@@ -45,10 +45,11 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[list[np.ndarray]]:
     """Sorted batches of numbers, cut so that rows equal in the first ``keys`` columns stay together.
 
-    Only the last group of a batch is held back, so memory is bounded by a batch and one group.
+    Only the last group of a batch is held back, so memory is bounded by a batch and one group; with
+    ``most``, a group of so many rows or more is cut too.
     """
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -57,11 +58,12 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held is not None:
             columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        changes = group_starts(columns[:keys])
-        last = changes[-1]
+        last = group_starts(columns[:keys])[-1]
+        if most is not None and len(columns[0]) - last >= most:
+            last = len(columns[0])
         if last:
             yield [c[:last] for c in columns]
-        held = [c[last:] for c in columns]
+        held = [c[last:] for c in columns] if last < len(columns[0]) else None
     if held is not None:
         yield held
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinisieve.llm import bpe, mixing, simhash, sketch
+from clinisieve.llm import bpe, langid, mixing, quality, repeats, simhash, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +32,19 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketch.containment(own, edited).alias("kept_share"), sketch.distinct_shingles(own).alias("n_shingles"))
 
 
+PIECE_FILE = "piece_bpe_32k.model"
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(_read(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+                        F.size("starts").cast("bigint").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -43,6 +56,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.train_on(docs)
+    found = langid.predictions(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
+                        (F.col("score") < langid.AMBIGUOUS).alias("ambiguous"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -71,6 +92,6 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-for _query in (op2_simhash_near_dedup, op3_document_fingerprints, op7_byte_bpe, op10_mixing):
+for _query in (op2_simhash_near_dedup, op3_document_fingerprints, op4_quality_rules, op5_suffix_array_dedup, op7_byte_bpe, op9_language_id, op10_mixing):
     QUERIES[_query.__name__] = _query
 ORACLE["op10_mixing"] = OP10_SQL

@@ -90,7 +90,7 @@ def codewords(n: int, seed: int = 0) -> np.ndarray:
     """
     if n <= 5:
         splits = [[1 if i == n - 1 or s >> i & 1 else -1 for i in range(n)] for s in range(2 ** max(0, n - 1) - 1)]
-        return np.array(splits, np.int8).T.reshape(n, -1)
+        return np.array(splits, np.int8).T.reshape(n, len(splits))
     rng = np.random.default_rng(seed)
     bits = 10 * math.ceil(math.log2(n))
     best, most = None, -1

@@ -12,7 +12,8 @@ has a band of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -166,17 +167,22 @@ def size_class() -> Column:
 def bands(judged: DataFrame, by: list[str], suffix: str) -> DataFrame:
     """(by..., then for each measure its median and deviation) of the groups with enough texts."""
     middles = judged.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, 0.5, 1000).alias(f"{m}_mid") for m in MEASURES])
-    middles = middles.where(F.col("n") >= (MIN_GROUP if by else 1)).withColumnsRenamed({c: f"{c}{suffix}" for c in by})
-    same = F.lit(True)
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"{c}{suffix}"))
+    middles = middles.where(F.col("n") >= MIN_GROUP).withColumnsRenamed({c: f"{c}{suffix}" for c in by})
     keys = [f"{c}{suffix}" for c in by]
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)])
     apart = [F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, 1000).alias(f"{m}_mad") for m in MEASURES]
     spread = judged.join(middles, same).groupBy(*keys, *[f"{m}_mid" for m in MEASURES]).agg(*apart)
     return spread.select(*keys, *[F.struct(F.col(f"{m}_mid").alias("mid"), F.greatest(
         F.col(f"{m}_mad") * 1.4826, F.lit(FLOORS[m])).alias("deviation")).alias(f"{m}{suffix}") for m in MEASURES])
 
 
+def band_of_all(judged: DataFrame) -> dict[str, tuple[float, float]]:
+    """Median and deviation of each measure over all texts: two numbers each."""
+    middle = judged.agg(*[F.percentile_approx(m, 0.5, 1000).alias(m) for m in MEASURES]).first()
+    apart = judged.agg(*[F.percentile_approx(F.abs(F.col(m) - F.lit(middle[m])), 0.5, 1000).alias(m) for m in MEASURES]).first()
+    return {m: (middle[m] or 0.0, max((apart[m] or 0.0) * 1.4826, FLOORS[m])) for m in MEASURES}
+
+
 def verdicts(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Measures of every row, ``base_failed`` and ``kept``.
 
@@ -189,14 +195,15 @@ def verdicts(docs: DataFrame, path: str, text_col: str = "text", lang_col: str =
     measured = measures(chosen, path, "text", ("id", "grp"))
     measured = written(measured.withColumn("base_failed", base_failed()).withColumn("cls", size_class()))
     judged = measured.where("NOT base_failed").select("grp", "cls", *MEASURES)
-    own, sized, everyone = bands(judged, ["grp", "cls"], "_own"), bands(judged, ["cls"], "_sized"), bands(judged, [], "_all")
+    own, sized, everyone = bands(judged, ["grp", "cls"], "_own"), bands(judged, ["cls"], "_sized"), band_of_all(judged)
     joined = (measured.join(own, F.col("grp").eqNullSafe(F.col("grp_own")) & (F.col("cls") == F.col("cls_own")), "left")
-              .join(sized, F.col("cls") == F.col("cls_sized"), "left").join(everyone, how="left"))
+              .join(sized, F.col("cls") == F.col("cls_sized"), "left"))
     off = {}
     for m in MEASURES:
-        band = F.coalesce(f"{m}_own", f"{m}_sized", f"{m}_all")
+        fallback = F.struct(F.lit(everyone[m][0]).alias("mid"), F.lit(everyone[m][1]).alias("deviation"))
+        band = F.coalesce(f"{m}_own", f"{m}_sized", fallback)
         off[m] = (F.col(m) - band["mid"]) / band["deviation"]
-    reach = 1 + F.lit(SLACK) / F.sqrt("n_tokens")
+    reach = 1 + F.lit(SLACK) / F.sqrt(F.greatest(F.lit(1), "n_tokens"))
     inside = off["chars_per_token"] + off["entropy"] >= -JOINT_WIDTH * reach
     for m in MEASURES:
         inside &= F.abs(off[m]) <= WIDTH * reach

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinisieve.llm import bpe, langid, mixing, quality, repeats, simhash, sketch
+from clinisieve.llm import bpe, fixity, langid, licenses, mixing, pii, quality, repeats, simhash, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +18,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_pseudonyms(docs, kinds="kinds")
+    return found.select("doc_id", "text", F.size("kinds").cast("bigint").alias("n_pseudonyms"), F.array_join("kinds", ",").alias("kinds"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(_read(spark, sf_dir, "documents"), width=3, max_bits=3)
     return groups.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -45,6 +51,41 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("starts").cast("bigint").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def damaged_pages(pages: DataFrame) -> DataFrame:
+    """A replica of the pages with faults planted by their numbers: a changed byte, a cut body, a lost record."""
+    page = F.col("page_id")
+    html = F.when(page % 211 == 17, F.overlay(F.col("html"), F.lit("#"), F.lit(20))).when(
+        page % 1009 == 400, F.left(F.col("html"), F.lit(100))).otherwise(F.col("html"))
+    return pages.where("page_id % 1511 <> 700").select("page_id", "url", html.alias("html"))
+
+
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = fixity.audit(fixity.warc_records(pages), fixity.warc_records(damaged_pages(pages)))
+    return found.select(F.col("record_id").alias("page_id"), "file", "offset", "n_bytes", "digest", "state")
+
+
+OP6_SQL = r"""
+WITH replicas AS (
+  SELECT 0 AS replica, page_id, url, html FROM pages
+  UNION ALL
+  SELECT 1, page_id, url, CASE WHEN page_id % 211 = 17 THEN substr(html, 1, 19) || '#' || substr(html, 21)
+                               WHEN page_id % 1009 = 400 THEN left(html, 100) ELSE html END FROM pages WHERE page_id % 1511 <> 700),
+records AS (
+  SELECT replica, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+    || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM replicas),
+placed AS (
+  SELECT replica, page_id, page_id // 1024 AS file, strlen(record) AS n_bytes, sha256(record) AS digest,
+    (sum(strlen(record)) OVER (PARTITION BY replica, page_id // 1024 ORDER BY page_id))::BIGINT - strlen(record) AS "offset"
+  FROM records)
+SELECT a.page_id, a.file, a."offset", a.n_bytes, a.digest,
+  CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.digest <> b.digest THEN 'changed' ELSE 'intact' END AS state
+FROM (SELECT * FROM placed WHERE replica = 0) a LEFT JOIN (SELECT * FROM placed WHERE replica = 1) b USING (page_id)
+"""
+
+
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -56,6 +97,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train_on(docs)
@@ -92,6 +139,8 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-for _query in (op2_simhash_near_dedup, op3_document_fingerprints, op4_quality_rules, op5_suffix_array_dedup, op7_byte_bpe, op9_language_id, op10_mixing):
+for _query in (op1_pii_pseudonyms, op2_simhash_near_dedup, op3_document_fingerprints, op4_quality_rules, op5_suffix_array_dedup,
+               op6_merkle_fixity, op7_byte_bpe, op8_license_scans, op9_language_id, op10_mixing):
     QUERIES[_query.__name__] = _query
+ORACLE["op6_merkle_fixity"] = OP6_SQL
 ORACLE["op10_mixing"] = OP10_SQL

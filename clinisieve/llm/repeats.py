@@ -6,16 +6,19 @@ A string of ``LENGTH`` bytes is repeated if it also starts in a document with a
 1. Of each window of ``LENGTH`` bytes the position whose ``SEED_LENGTH``-byte prefix hashes lowest is a
    seed.  Equal windows have equal seeds, so sorting the names of the seeds' prefixes brings
    all repeats together, at a tenth of the positions.  Seeds of a unique prefix drop out.
-2. Each seed also has the name of everything that windows around it can reach.  A seed whose
+   Each seed also has the name of everything that windows around it can reach.  A seed whose
    surroundings occur in an earlier document settles all its windows at once; of seeds with equal
-   surroundings only the first document's go on, and only if a part as long as every shared window must
-   share, left or right of the seed, also occurs in other surroundings.
-3. For the windows left the pair of names of their halves, at offsets 0 and ``LENGTH`` / 2, is sorted, and
-   a pair that an earlier document has is a repeat: the threshold is passed.
-
-Copies of a passage are settled in level 2, most of them before any shuffle (a batch keeps only the
+   surroundings only the first document's go on.
+2. A window reaches half of what it can beyond its seed on one side at least.  So seeds go on only with a side, the seed
+   and half the reach to the right or left of it, whose name other surroundings share.  The names of
+   the sides are sorted.
+3. Within a side, the pairs of names of the windows' halves are sorted, and a pair that an earlier
+   document has is a repeat: the threshold is passed.
+
+Copies of a passage are settled in level 1, many of them before any shuffle (a batch keeps only the
 first document of equal surroundings), so a passage in a third of all documents costs a row per
-batch.  A seed that many different surroundings share streams through one task in bounded memory.
+batch.  A seed that very many different surroundings share streams through one task in bounded memory,
+and the windows of a side with over ``HELD`` rows are sorted by Spark instead of in the side's task.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinisieve.llm.common import LAST_ID, group_starts, runs_of, slices, texts_as_bytes
+from clinisieve.llm.common import LAST_ID, group_starts, runs_of, signed, slices, texts_as_bytes
 
 LENGTH = 50
 SEED_LENGTH = 16
@@ -38,6 +41,8 @@ HELD = 1 << 16
 _PLACES = 31
 _TAG_BITS = 20
 _SIDE = 10
+#: What a code says of a seed: settled, or open to its right, its left, or both.
+SETTLED, RIGHT, LEFT = 0, 1, 2
 _STEP = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 5) for b in range(256)], np.uint64)
@@ -164,27 +169,31 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.diff(np.append(own, len(name)))
         groups = np.repeat(np.arange(len(own)), rows)[starts]
         sides = around[starts].view(np.uint64)
-        alive = (_shared(sides >> np.uint64(64 - _SIDE), groups)
-                 | _shared(sides << np.uint64(_SIDE) >> np.uint64(64 - _SIDE), groups))
         cut = rows >= HELD  # such a name may go on in the next run
         cut[0] |= name[0] == before
         before = name[-1]
-        alive |= cut[groups]
-        open_ = alive[which] & ~later & ~done
-        kept = later | done | open_
-        code = (at & ((1 << _PLACES) - 1)) << 1 | open_
+        right = _shared(sides >> np.uint64(64 - _SIDE), groups) | cut[groups]
+        left = _shared(sides << np.uint64(_SIDE) >> np.uint64(64 - _SIDE), groups) | cut[groups]
+        open_ = right * RIGHT + left * LEFT
+        sides_open = np.where(later | done, 0, open_[which])
+        kept = later | done | (sides_open > 0)
+        code = (at & ((1 << _PLACES) - 1)) << 2 | sides_open
         yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(at[kept] >> _PLACES), pa.array(code[kept])], ["id", "tag", "code"])
 
 
-def _windows(codes: np.ndarray, size: int, length: int, seed_length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of a text: is it settled, and is it open?"""
-    marks = np.zeros((2, max(0, size - length + 1) + 1), np.int64)
-    for kind in (0, 1):
-        place = codes[(codes & 1) == kind] >> 1
-        np.add.at(marks[kind], np.maximum(place - (length - seed_length), 0), 1)
-        np.add.at(marks[kind], np.minimum(place, size - length) + 1, -1)
-    settled, open_ = np.cumsum(marks, axis=1)[:, :-1] > 0
-    return settled, open_ & ~settled
+def _covered(begin: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in one of the ranges [begin, end)."""
+    marks = np.zeros(size + 1, np.int64)
+    np.add.at(marks, begin, 1)
+    np.add.at(marks, end, -1)
+    return np.cumsum(marks)[:-1] > 0
+
+
+def _settled(codes: list[int] | None, size: int, length: int, seed_length: int) -> np.ndarray:
+    """Which windows of a text its settled seeds settle."""
+    at = np.array([c >> 2 for c in codes or () if c & 3 == SETTLED], np.int64)
+    last = max(0, size - length + 1)
+    return _covered(np.maximum(at - (length - seed_length), 0), np.minimum(at + 1, last), last)
 
 
 def _text(packed: bytes) -> bytes:
@@ -199,27 +208,86 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["id", "tag", "packed"])
 
 
-def _open_windows(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> Iterator[pa.RecordBatch]:
-    """(front, back, id, at) of the open windows of (id, tag, packed, codes): the names of a window's halves."""
-    half = length // 2
+def _reaches(length: int, seed_length: int) -> dict[int, tuple[int, int]]:
+    """For each side how far its windows start before the seed: from, to (both included)."""
+    half = (length - seed_length) // 2
+    return {RIGHT: (half - 1, 0), LEFT: (length - seed_length, half)}
+
+
+def _side_rows(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> Iterator[pa.RecordBatch]:
+    """A row for each open side of a seed, of (id, tag, packed, codes): the name of the side and the bytes its windows reach.
+
+    The bytes begin where the first window starts; what the text lacks is zeros, and ``low`` and ``high``
+    bound the starts of real windows.
+    """
+    reaches, half = _reaches(length, seed_length), (length - seed_length) // 2
     for batch in batches:
         for part in slices(batch, 2):
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, tag, packed, codes in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if not codes or all(c & 1 == 0 for c in codes):
+                if not codes or not any(c & 3 for c in codes):
                     continue
                 text = _text(packed)
-                at = np.flatnonzero(_windows(np.array(codes, np.int64), len(text), length, seed_length)[1])
-                data = np.frombuffer(text, np.uint8)
-                for begin, end, low, high in _segments(len(data), length):
-                    own = at[np.searchsorted(at, begin):np.searchsorted(at, end)]
-                    names = Names(data[low:high])
-                    near = own - low
-                    for column, x in zip(out, (names.of(near, near + half).view(np.int64), names.of(near + half, near + length).view(np.int64),
-                                               np.full(len(own), doc_id), own | tag << _PLACES), strict=True):
-                        column.append(x)
+                settled = _settled(codes, len(text), length, seed_length)
+                for code in codes:
+                    place = code >> 2
+                    for side, (first, last) in reaches.items():
+                        low, high = max(0, place - first), min(place - last, len(text) - length)
+                        if not code & side or low > high or settled[low:high + 1].all():
+                            continue
+                        start = place - first
+                        data = bytes(max(0, -start)) + text[max(0, start):place - last + length]
+                        about = text[place:place + seed_length + half] if side == RIGHT else text[max(0, place - half):place + seed_length]
+                        row = (signed(xxhash.xxh64_intdigest(about, side)), doc_id, tag << _PLACES | place, side << 16 | (low - start) << 8 | (high - start),
+                               data.ljust(first - last + length, b"\0"))
+                        for column, x in zip(out, row, strict=False):
+                            column.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["front", "back", "id", "at"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["side", "id", "at", "bounds", "data"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> Iterator[pa.RecordBatch]:
+    """(front, back, id, at, done) of rows sorted by side and id.
+
+    Windows that an earlier row of the side has come out as done; those of a side with very many rows come with the names of their halves.
+    """
+    reaches, half = _reaches(length, seed_length), length // 2
+    before = None
+    for side, ids, at, bounds, data in runs_of(batches, 1, HELD):
+        own = group_starts([side])
+        rows = np.diff(np.append(own, len(side)))
+        cut = rows >= HELD
+        cut[0] |= side[0] == before
+        before = side[-1]
+        group = np.repeat(np.arange(len(own)), rows)
+        for kind, (first, last) in reaches.items():
+            which = np.flatnonzero(bounds >> 16 == kind)
+            starts = np.arange(first - last + 1)
+            if not len(which):
+                continue
+            matrix = np.frombuffer(b"".join(data[which].tolist()), np.uint8).reshape(len(which), -1)
+            Names(matrix[0])  # makes the powers long enough
+            sums = np.zeros((len(which), matrix.shape[1] + 1), np.uint64)
+            np.cumsum(_BYTES[matrix] * Names.up[:matrix.shape[1]], axis=1, out=sums[:, 1:])
+            down = Names.down[starts]
+            front = mix((sums[:, starts + half] - sums[:, starts]) * down)
+            back = mix((sums[:, starts + length] - sums[:, starts + half]) * Names.down[starts + half])
+            real = (starts >= (bounds[which] >> 8 & 255)[:, None]) & (starts <= (bounds[which] & 255)[:, None])
+            row, offset = np.nonzero(real)
+            front, back, owner = front[real], back[real], which[row]
+            order = np.lexsort((ids[owner], back, front, offset, group[owner]))
+            keys = [group[owner][order], offset[order], front[order], back[order]]
+            begins = group_starts(keys)
+            earliest = np.repeat(ids[owner][order][begins], np.diff(np.append(begins, len(order))))
+            later = np.zeros(len(order), bool)
+            later[order] = ids[owner][order] > earliest
+            undecided = cut[group[owner]]
+            kept = later | undecided
+            place = at[owner] + starts[offset] - first
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.where(later, ids[owner], front.view(np.int64))[kept]), pa.array(np.where(later, place, back.view(np.int64))[kept]),
+                 pa.array(ids[owner][kept]), pa.array(place[kept]), pa.array(later[kept])], ["front", "back", "id", "at", "done"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> Iterator[pa.RecordBatch]:
@@ -229,7 +297,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> It
             rows: list[tuple] = []
             for doc_id, _, packed, codes, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 text = _text(packed)
-                windows = _windows(np.array(codes or [], np.int64), len(text), length, seed_length)[0] if codes else np.zeros(0, bool)
+                windows = _settled(codes, len(text), length, seed_length)
                 if found:
                     windows[found] = True
                 marks = np.zeros(len(text) + 1, np.int64)
@@ -254,8 +322,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     get equal results.  ``kept`` is bytes, as cuts may fall inside a character.  Other columns are not
     looked at, whatever their names.  An empty table gives an empty table.
     """
-    if length < 2 * SEED_LENGTH:
-        raise ValueError(f"strings must have {2 * SEED_LENGTH} bytes at least")
+    if not 2 * SEED_LENGTH <= length <= 255:
+        raise ValueError(f"strings must have {2 * SEED_LENGTH} to 255 bytes")
     ids = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST_ID))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # Rows of one id are told apart by a hash of their texts; where ids are unique, the tag is 0 and costs nothing.
@@ -269,11 +337,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         F.array_distinct(F.collect_list("code")).alias("codes"))
     texts = base.mapInArrow(_pack, "id bigint, tag bigint, packed binary")
     told = texts.join(codes, ["id", "tag"], "left").select("id", "tag", "packed", "codes")
-    windows = told.mapInArrow(lambda b: _open_windows(b, **sizes), "front bigint, back bigint, id bigint, at bigint")
+    sides = told.mapInArrow(lambda b: _side_rows(b, **sizes), "side bigint, id bigint, at bigint, bounds bigint, data binary")
+    windows = sides.repartition("side").sortWithinPartitions("side", "id").mapInArrow(
+        lambda b: _compare(b, **sizes), "front bigint, back bigint, id bigint, at bigint, done boolean")
     first = F.min("id").over(Window.partitionBy("front", "back"))
     places = F.col("at").bitwiseAND(F.lit((1 << _PLACES) - 1))
-    later = windows.withColumn("first", first).where("id > first").select("id", F.shiftright("at", _PLACES).alias("tag"), places.alias("place"))
-    found = later.groupBy("id", "tag").agg(F.array_distinct(F.collect_list("place")).alias("found"))
+    later = windows.withColumn("first", first).where("done OR id > first").select("id", F.shiftright("at", _PLACES).alias("tag"), places.alias("place"))
+    found = later.groupBy("id", "tag").agg(F.collect_set("place").alias("found"))
     cut = told.join(found, ["id", "tag"], "left").select("id", "tag", "packed", "codes", "found").mapInArrow(
         lambda b: _cut(b, **sizes), "id bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept binary")
     return cut.select(F.nullif("id", F.lit(LAST_ID)).alias(id_col), "n_bytes", "starts", "stops", "kept")

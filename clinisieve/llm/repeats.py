@@ -248,9 +248,10 @@ def _side_rows(batches: Iterator[pa.RecordBatch], length: int, seed_length: int)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> Iterator[pa.RecordBatch]:
-    """(front, back, id, at, done) of rows sorted by side and id.
+    """(front, back, id, at, n, done) of rows sorted by side and id: n windows from a place on.
 
-    Windows that an earlier row of the side has come out as done; those of a side with very many rows come with the names of their halves.
+    Windows that an earlier row of the side has come out as done; others of a side with very many rows
+    come one by one, with the names of their halves.
     """
     reaches, half = _reaches(length, seed_length), length // 2
     before = None
@@ -283,11 +284,20 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -
             later = np.zeros(len(order), bool)
             later[order] = ids[owner][order] > earliest
             undecided = cut[group[owner]]
-            kept = later | undecided
             place = at[owner] + starts[offset] - first
+            # Neighbouring windows of a row that are done come out as one run.
+            goes_on = np.zeros(len(later), bool)
+            goes_on[1:] = later[1:] & later[:-1] & (owner[1:] == owner[:-1]) & (offset[1:] == offset[:-1] + 1)
+            opens = np.flatnonzero(later & ~goes_on)
+            runs = np.add.reduceat(later, opens, dtype=np.int64) if len(opens) else opens
+            rest = np.flatnonzero(undecided & ~later)
+            chosen = np.concatenate((opens, rest))
+            done = np.arange(len(chosen)) < len(opens)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(later, ids[owner], front.view(np.int64))[kept]), pa.array(np.where(later, place, back.view(np.int64))[kept]),
-                 pa.array(ids[owner][kept]), pa.array(place[kept]), pa.array(later[kept])], ["front", "back", "id", "at", "done"])
+                [pa.array(np.where(done, ids[owner[chosen]], front.view(np.int64)[chosen])),
+                 pa.array(np.where(done, place[chosen], back.view(np.int64)[chosen])), pa.array(ids[owner[chosen]]), pa.array(place[chosen]),
+                 pa.array(np.concatenate((runs, np.ones(len(rest), np.int64))).astype(np.int32)), pa.array(done)],
+                ["front", "back", "id", "at", "n", "done"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> Iterator[pa.RecordBatch]:
@@ -299,7 +309,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> It
                 text = _text(packed)
                 windows = _settled(codes, len(text), length, seed_length)
                 if found:
-                    windows[found] = True
+                    runs = np.array(found, np.int64)
+                    windows = windows | _covered(runs >> 8, (runs >> 8) + (runs & 255), len(windows))
                 marks = np.zeros(len(text) + 1, np.int64)
                 at = np.flatnonzero(windows)
                 marks[at] += 1
@@ -339,11 +350,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     told = texts.join(codes, ["id", "tag"], "left").select("id", "tag", "packed", "codes")
     sides = told.mapInArrow(lambda b: _side_rows(b, **sizes), "side bigint, id bigint, at bigint, bounds bigint, data binary")
     windows = sides.repartition("side").sortWithinPartitions("side", "id").mapInArrow(
-        lambda b: _compare(b, **sizes), "front bigint, back bigint, id bigint, at bigint, done boolean")
+        lambda b: _compare(b, **sizes), "front bigint, back bigint, id bigint, at bigint, n int, done boolean")
     first = F.min("id").over(Window.partitionBy("front", "back"))
     places = F.col("at").bitwiseAND(F.lit((1 << _PLACES) - 1))
-    later = windows.withColumn("first", first).where("done OR id > first").select("id", F.shiftright("at", _PLACES).alias("tag"), places.alias("place"))
-    found = later.groupBy("id", "tag").agg(F.collect_set("place").alias("found"))
+    later = windows.withColumn("first", first).where("done OR id > first").select(
+        "id", F.shiftright("at", _PLACES).alias("tag"), (F.shiftleft(places, 8) + F.col("n")).alias("run"))
+    found = later.groupBy("id", "tag").agg(F.collect_set("run").alias("found"))
     cut = told.join(found, ["id", "tag"], "left").select("id", "tag", "packed", "codes", "found").mapInArrow(
         lambda b: _cut(b, **sizes), "id bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept binary")
     return cut.select(F.nullif("id", F.lit(LAST_ID)).alias(id_col), "n_bytes", "starts", "stops", "kept")

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from clinisieve.llm.common import slices
 
 #: Memo entries kept by a worker; a full memo is emptied, which changes the time only.
-MEMO = 200_000
+MEMO = 600_000
 MEMO_LENGTH = 64
 
 

@@ -147,9 +147,9 @@ def job_datasets(jobs: DataFrame, datasets: DataFrame) -> DataFrame:
     return lookup_join(named, datasets, ["tenant_id", "dataset_id"], "inner")
 
 
-def dataset_sample(df: DataFrame) -> DataFrame:
-    """The first rows of a dataset, for a look at it."""
-    return df.limit(SAMPLE_READ).limit(SAMPLE_SHOWN)
+def dataset_sample(df: DataFrame, read: int = SAMPLE_READ, shown: int = SAMPLE_SHOWN) -> DataFrame:
+    """The first rows of a dataset by their positions, for a look at it; ``df`` is numbered in ``row_index``."""
+    return df.orderBy("row_index").limit(min(read, shown))
 
 
 # --- reports -----------------------------------------------------------------------------------

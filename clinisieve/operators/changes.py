@@ -34,10 +34,10 @@ def audit_diff(before: DataFrame, after: DataFrame, table: str, key: str = "id")
 
 
 def _first_valid(requests: DataFrame) -> DataFrame:
-    """Per finding, the earliest request with a permitted state (one row per finding)."""
+    """Per finding, the earliest request with a permitted state (one row per finding, even if a request is repeated)."""
     valid = requests.filter(F.col("new_status").isin(*CLOSING))
-    return valid.groupBy("id").agg(F.min(F.struct("requested_at", "request_id")).alias("first")).select(
-        "id", F.col("first.request_id").alias("request_id"))
+    return valid.groupBy("id").agg(F.min(F.struct(
+        "requested_at", "request_id", "new_status", "user_id", "note")).alias("first")).select("id", "first.*")
 
 
 def apply_resolutions(findings: DataFrame, requests: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def apply_resolutions(findings: DataFrame, requests: DataFrame) -> DataFrame:
 
     ``requests`` has request_id, id, new_status, user_id, requested_at and note.
     """
-    chosen = requests.join(_first_valid(requests), ["id", "request_id"], "left_semi").select(
+    chosen = _first_valid(requests).select(
         "id", F.col("new_status").alias("_status"), F.col("user_id").alias("_user"),
         F.col("requested_at").alias("_at"), F.col("note").alias("_note"))
     joined = findings.join(chosen, "id", "left")
@@ -60,7 +60,7 @@ def apply_resolutions(findings: DataFrame, requests: DataFrame) -> DataFrame:
 
 def resolution_rejects(findings: DataFrame, requests: DataFrame) -> DataFrame:
     """The requests that change nothing, and why."""
-    first = _first_valid(requests).withColumn("_first", F.lit(True))
+    first = _first_valid(requests).select("id", "request_id", F.lit(True).alias("_first"))
     joined = lookup_join(requests, findings.select("id", "status"), ["id"], "left").join(
         first, ["id", "request_id"], "left")
     reason = (

@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are spread; a key rarer than the share is left where it hashes to.
-HOT_KEYS = 64
-TRACKED_KEYS = 4096
-HOT_SHARE = 0.002
-
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan."""
@@ -25,50 +20,11 @@ def has_rows(df: DataFrame) -> Column:
     return df.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
 
 
-def hot_hashes(events: DataFrame, key_hash: Column) -> list[int]:
-    """Hashes of the keys that hold more than their share of the rows, at most ``HOT_KEYS``.
-
-    One pass over the key columns with a mergeable frequent-items sketch; only sketches are
-    shuffled.  The sketch may differ from run to run, so it is worked out once, ahead of the join:
-    both sides of the join must agree on the hot keys.
-    """
-    sketch = events.select(key_hash.alias("h")).agg(
-        F.expr(f"approx_top_k(h, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return list(sketch.select(F.expr(
-        f"transform(filter(top, x -> x.count > n * {HOT_SHARE}), x -> x.item)")).first()[0] or [])
-
-
-def salted_join(events: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
-    """A shuffled join in which the rows of hot keys are spread over all partitions.
-
-    The lookup rows of a hot key are copied once per salt (at most ``HOT_KEYS`` keys), all other
-    rows keep salt 0, so every event row still meets each of its lookup rows exactly once.
-    A salt comes from the row's position in its table, or else from its place in the scan, so that
-    a re-run task gives the same salts; events without ``row_index`` must come straight from a scan.
-    """
-    key_hash = F.xxhash64(*on)
-    hot = hot_hashes(events, key_hash)
-    if not hot:
-        return events.join(lookup, on, how)
-    salts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    is_hot = key_hash.isin(*hot)
-    place = F.col("row_index") if "row_index" in events.columns else F.monotonically_increasing_id()
-    spread = F.pmod(F.xxhash64(place), F.lit(salts)).cast("int")
-    left = events.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.withColumn("_salt", F.explode(copies))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
 def lookup_join(events: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join ``events`` to ``lookup`` on equal, non-null keys (inner, left, left_semi, left_anti).
 
-    A lookup whose planned size is under Spark's broadcast limit is left to Spark, which then
-    ships it to the executors and does not move the events.  Beyond it the join is shuffled and
-    salted.
+    How it runs is Spark's choice when it runs: a small lookup is shipped and the events stay where they are;
+    else both are shuffled, and the events of a hot key, however many such keys there are, are split over several tasks, each with
+    that key's lookup rows.  Both need adaptive execution, which is on unless a session turns it off.
     """
-    if planned_bytes(lookup) <= broadcast_limit(events):
-        return events.join(lookup, on, how)
-    return salted_join(events, lookup, on, how)
+    return events.join(lookup, on, how)

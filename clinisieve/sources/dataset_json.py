@@ -71,11 +71,10 @@ def _parsed(docs: DataFrame) -> DataFrame:
     ``keys`` is null unless the document is an object; ``root`` and ``groups`` are null unless
     they are objects.
     """
+    # Of a repeated key the last value counts, as JSON readers have it.
+    docs.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     opened = docs.select(
         DOC, "text", F.json_object_keys("text").alias("keys"), F.expr("try_parse_json(text)").alias("doc"))
-    opened = opened.withColumn("doc", F.expr(
-        "CASE WHEN keys IS NOT NULL AND doc IS NULL THEN raise_error("
-        f"concat('Document ', {DOC}, ' is too large for one value; split it by item group')) ELSE doc END"))
     chain = " ".join(f"WHEN array_contains(keys, '{k}') THEN '{k}'" for k in ROOTS)
     root = " ".join(f"WHEN '{k}' THEN try_variant_get(doc, '$.{k}', {OBJECT})" for k in ROOTS)
     groups = " ".join(f"WHEN '{k}' THEN try_variant_get(doc, '$.{k}.{GROUPS}', {OBJECT})" for k in ROOTS)
@@ -99,6 +98,7 @@ def top_level_findings(docs: DataFrame) -> DataFrame:
     # Rule, condition, field and message, in the order they are tested.
     checks = [
         ("DJ_001", "keys IS NULL", "'root'", "Dataset-JSON document must be a JSON object."),
+        ("DJ_000", "doc IS NULL", "'root'", "Document is too large for one value or cannot be parsed; split it by item group."),
         ("DJ_002", "root_key IS NULL", "'clinicalData/referenceData'",
          "Document must have a 'clinicalData' or 'referenceData' key."),
         ("DJ_002b", "root IS NULL", "root_key", None),

@@ -59,16 +59,17 @@ def read_study(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def read_json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON documents that are a list of objects, or an object with them under ``records``.
+    """JSON documents that are a list of objects, or an object with them under ``records``; each as it is.
 
-    Values are read as texts.  Wrapped records are numbered within their document, listed ones over
-    all documents.  Each document is read by one task; several documents by several.
+    Values are read as texts.  Records are numbered within their document.  An object without a list
+    of records has no rows.  Each document is read by one task; several documents by several.
     """
-    plain = spark.read.option("primitivesAsString", True).option("multiLine", True).json(path)
-    if dict(plain.dtypes).get("records", "").startswith("array<struct"):
-        return plain.select(F.posexplode("records").alias("_at", "r")).select(
-            "r.*", F.col("_at").cast("bigint").alias(ROW_INDEX))
-    return with_row_index(plain)
+    texts = spark.read.text(path, wholetext=True).select("value")
+    wrapped = F.json_object_keys("value").isNotNull()
+    listed = F.when(wrapped, F.get_json_object("value", "$.records")).otherwise(F.col("value"))
+    records = texts.select(F.posexplode(F.from_json(listed, "array<map<string,string>>")).alias(ROW_INDEX, "r")).where("r IS NOT NULL")
+    names = sorted(r[0] for r in records.select(F.explode(F.map_keys("r"))).distinct().collect())  # columns of a table
+    return records.select(*[F.col("r").getItem(n).alias(n) for n in names if n != ROW_INDEX], F.col(ROW_INDEX).cast("bigint").alias(ROW_INDEX))
 
 
 def read_dataset(spark: SparkSession, path: str, file_format: str, domain: str

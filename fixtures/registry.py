@@ -319,7 +319,8 @@ register("edc_flatten", lambda s, d: form_export.flatten(
         "record_id", *[F.array_join(c, "|").alias(c) for c in ("columns", "values")]), st.SQL_SOURCES["edc_flatten"])
 register("edc_forms", lambda s, d: form_export.subjects(docs.form_records(s, d)), st.SQL_SOURCES["edc_forms"])
 register("edc_projects", lambda s, d: form_export.projects(docs.project_listing(s, d)), st.SQL_SOURCES["edc_projects"])
-register("dataset_sample", lambda s, d: analytics.dataset_sample(view(s, d, "ae")))
+register("dataset_sample", lambda s, d: analytics.dataset_sample(view(s, d, "ae")),
+         f"WITH {o.domain_cte('ae')} SELECT row_id AS row_index, * EXCLUDE (row_id) FROM ae ORDER BY row_id LIMIT 5")
 
 
 # --- whole jobs over many studies, and the outlier cut ---------------------------------------------------

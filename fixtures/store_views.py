@@ -68,10 +68,10 @@ SELECT DISTINCT 'T' || CAST(c_custkey % 4 AS STRING) AS tenant_id, CASE c_custke
 SELECT l_orderkey * 10 + l_linenumber AS request_id, l_orderkey + CAST(CASE WHEN l_orderkey % 29 = 0 THEN 100000000 ELSE 0 END AS BIGINT) AS id,
  CASE min(l_partkey) % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'waived' ELSE 'resolved' END AS new_status,
  'U' || CAST(min(l_suppkey) AS STRING) AS user_id, min(l_shipdate) AS requested_at, 'note ' || CAST(min(l_suppkey) AS STRING) AS note
- FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber""",
+ FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "study_edits": """
-SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'New title' ELSE NULL END AS title,
- CASE WHEN c_custkey % 3 = 0 THEN 'IV' ELSE NULL END AS phase FROM customer WHERE c_custkey % 5 = 0""",
+SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'New title' ELSE NULL END AS title,
+ CASE WHEN c_custkey % 15 = 0 THEN 'IV' ELSE NULL END AS phase FROM customer""",
     "studies_after": f"""
 SELECT id + CAST(CASE WHEN id % 23 = 0 THEN 1000000000 ELSE 0 END AS BIGINT) AS id, tenant_id, study_id, title, phase, sponsor,
  CASE WHEN id % 19 = 0 THEN 'NEPHROLOGY' ELSE therapeutic_area END AS therapeutic_area, status,

@@ -1,4 +1,4 @@
-from clinisieve.operators import cross, joins
+from clinisieve.operators import cross
 from clinisieve.plans import pipeline
 
 DM = ("USUBJID STUDYID RFSTDTC RFENDTC", [
@@ -51,10 +51,9 @@ def test_all_checks_in_one_pass(table, hits, monkeypatch):
     assert {r.domain for r in found.filter("finding_type = 'CROSS_DOMAIN'").collect()} == {"CROSS"}
 
 
-def test_all_checks_when_nothing_can_be_shipped(spark, table, hits, monkeypatch):
-    """Without broadcasts every join is shuffled and salted; the findings stay the same."""
+def test_all_checks_when_nothing_can_be_shipped(spark, table, hits):
+    """Without broadcasts every join is shuffled; the findings stay the same."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    monkeypatch.setattr(joins, "HOT_SHARE", 0.1)
     try:
         found = pipeline.validate_all(frames(table), outliers=False)
         assert cross_hits(found, hits) == sorted(LINKS + WINDOWS)

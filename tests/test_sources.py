@@ -64,6 +64,15 @@ def test_json_records(spark, tmp_path):
         assert sorted((r.row_index, r.USUBJID, r.AGE) for r in df.collect()) == [(0, "S1", "30"), (1, "S2", None)]
 
 
+def test_json_documents_of_several_layouts(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    texts = {"a": [{"USUBJID": "S1", "AGE": 30}, {"USUBJID": "S2"}], "b": {"records": [{"USUBJID": "S3", "SEX": "M"}]}, "c": {"records": []}, "d": {"note": "none"}}
+    for name, value in texts.items():
+        write(tmp_path / "docs" / f"{name}.json", json.dumps(value))
+    df = files.read_json_records(spark, str(tmp_path / "docs"))
+    assert sorted((r.USUBJID, r.AGE, r.SEX, r.row_index) for r in df.collect()) == [("S1", "30", None, 0), ("S2", None, None, 1), ("S3", None, "M", 0)]
+
+
 def test_a_job_reads_validates_stores_and_counts(spark, tmp_path):
     dm = {"clinicalData": {"itemGroupData": {"IG.DM": {
         "name": "DM", "items": items("USUBJID", "STUDYID", "SEX"), "itemData": [["S1", "A", "X"], ["S2", "A"]]}}}}

@@ -1,10 +1,11 @@
+import os
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from clinisieve.operators import analytics, changes, joins
-from clinisieve.sources import rowid
+from clinisieve.sources import rowid, scratch
 from clinisieve.streaming import rules as stream_rules
 from clinisieve.streaming import windows
 
@@ -93,19 +94,39 @@ def test_audit_and_updates(spark):
     assert {r.id: r.status for r in gone.collect()} == {1: "x", 2: "archived", 3: "z"}
 
 
-def test_salted_joins_equal_plain_joins(spark):
-    """A key with a third of the rows, null keys, and keys without a partner."""
-    events = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None)
-                                      .otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("k"))
-    lookup = spark.range(60).select(F.when(F.col("id") == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"),
-                                    F.col("id").alias("v"))
-    lookup = lookup.union(spark.createDataFrame([("hot", 1000), ("k5", 1001)], "k string, v bigint"))
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        plain = sorted(map(str, events.join(lookup, ["k"], how).collect()))
-        salted = joins.salted_join(events, lookup, ["k"], how)
-        assert sorted(map(str, salted.collect())) == plain, how
-    hot = joins.hot_hashes(events, F.xxhash64("k"))
-    assert len(hot) <= joins.HOT_KEYS and spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0] in hot
+def test_hot_keys_are_split_by_spark(spark):
+    """A key with most of the rows: its partition is read by several tasks, and no row is lost."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        events = spark.range(0, 60_000, 1, 12).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("k"))
+        lookup = spark.range(97).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v")).union(
+            spark.createDataFrame([("hot", 1000), ("k5", 1001)], "k string, v bigint"))
+        joined = joins.lookup_join(events, lookup, ["k"], "left")
+        assert joined.count() == 60_000 + events.filter("k = 'k5'").count()
+        joined.write.format("noop").mode("overwrite").save()
+        rows = joined.collect()
+        assert len(rows) and "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_a_repeated_request_closes_a_finding_once(spark):
+    findings = spark.createDataFrame([(1, "open", None, None, None)], "id bigint, status string, resolved_by string, resolved_at string, resolution_note string")
+    requests = spark.createDataFrame([(7, 1, "waived", "U1", "2024-01-02", "n"), (7, 1, "waived", "U1", "2024-01-02", "n")],
+                                     "request_id bigint, id bigint, new_status string, user_id string, requested_at string, note string")
+    assert [(r.id, r.status, r.resolved_by) for r in changes.apply_resolutions(findings, requests).collect()] == [(1, "waived", "U1")]
+
+
+def test_written_tables_are_cleared(spark):
+    with scratch.cleared(spark):
+        path = scratch.written(spark.range(3)).inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path))
+    assert scratch.scratch_dir(spark) == scratch.scratch_dir(spark)
 
 
 def test_positions_among_findings(spark):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clinisieve.functions.values import WHITESPACE, literal
 
@@ -38,6 +39,26 @@ def double_text(c: Column) -> Column:
     )
 
 
+def as_texts(df: DataFrame, *keep: str) -> DataFrame:
+    """Columns of numbers, truth values and days as texts, as a reader without types would have them.
+
+    Whole numbers have no fraction, others the fewest digits; not-a-number is null; a time is its day.
+    Texts, nested columns and those named in ``keep`` stay as they are.
+    """
+    def spelled(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        if field.name in keep or isinstance(field.dataType, (T.StringType, T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType)):
+            return c
+        if isinstance(field.dataType, T.FloatType):
+            c = c.cast("string").cast("double")  # the digits that the float is written with
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            return F.when(~F.isnan(c), double_text(c)).alias(field.name)
+        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = c.cast("date")
+        return c.cast("string").alias(field.name)
+    return df.select(*[spelled(f) for f in df.schema])
+
+
 def feature_text(c: Column, whole_numbers: Column | bool) -> Column:
     """A feature value: without a fraction where its whole column holds integers."""
     flag = F.lit(whole_numbers) if isinstance(whole_numbers, bool) else whole_numbers

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinisieve.findings import CROSS_DOMAIN, dataset_finding, union_findings
+from clinisieve.functions.text import as_texts
 from clinisieve.functions import values as v
 from clinisieve.operators.joins import has_rows, lookup_join
 from clinisieve.operators.rules import ROW_INDEX, Rule, evaluate
@@ -105,6 +106,10 @@ def irt_gap(dm: DataFrame, ex: DataFrame, scope: tuple[str, ...] = ()) -> DataFr
 
 # --- event rows, as narrow as the checks allow ---------------------------------------------------
 
+def _texts(scope: tuple[str, ...], *tables: DataFrame) -> list[DataFrame]:
+    return [as_texts(df, ROW_INDEX, *scope) for df in tables]
+
+
 def _events(df: DataFrame, scope: tuple[str, ...], *columns: str) -> DataFrame:
     keep = [c for c in (ROW_INDEX, "USUBJID", *columns) if c in df.columns]
     return df.select(*scope, *keep, subject())
@@ -131,6 +136,7 @@ def _outside(events: DataFrame, windows: DataFrame, rules: list[Rule], scope: tu
 
 def dm_link(dm: DataFrame, other: DataFrame, code: str, scope: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``other`` whose subject demographics does not know."""
+    dm, other = _texts(scope, dm, other)
     gap = link_gap(dm, other, code, scope)
     return gap if gap is not None else _orphans(other, dm, link_rule(code), scope)
 
@@ -138,6 +144,7 @@ def dm_link(dm: DataFrame, other: DataFrame, code: str, scope: tuple[str, ...] =
 def vs_ae(vs: DataFrame, ae: DataFrame, scope: tuple[str, ...] = (),
           only: set[str] | None = None) -> DataFrame:
     """Adverse events without vital signs, or outside the subject's vital-signs dates."""
+    vs, ae = _texts(scope, vs, ae)
     gap = vs_ae_gap(vs, ae, scope)
     if gap is not None:
         return gap
@@ -151,6 +158,7 @@ def vs_ae(vs: DataFrame, ae: DataFrame, scope: tuple[str, ...] = (),
 def vs_cm(vs: DataFrame, cm: DataFrame, scope: tuple[str, ...] = (),
           only: set[str] | None = None) -> DataFrame:
     """Medications without vital signs, and vital signs outside the medication window."""
+    vs, cm = _texts(scope, vs, cm)
     gap = vs_cm_gap(vs, cm, scope)
     if gap is not None:
         return gap
@@ -208,6 +216,7 @@ def dose_periods(dm: DataFrame, ex: DataFrame, scope: tuple[str, ...] = (),
 def irt(dm: DataFrame, ex: DataFrame, ds: DataFrame | None, scope: tuple[str, ...] = (),
         only: set[str] | None = None) -> DataFrame:
     """Dosing outside the subject's time in the study."""
+    dm, ex = _texts(scope, dm, ex)
     gap = irt_gap(dm, ex, scope)
     if gap is not None:
         return gap
@@ -216,6 +225,7 @@ def irt(dm: DataFrame, ex: DataFrame, ds: DataFrame | None, scope: tuple[str, ..
     if periods:
         checks[min(periods)] = lambda: dose_periods(dm, ex, scope, periods)
     if ds is not None and not _lacks(ds, "USUBJID", "DSSTDTC"):
+        ds, = _texts(scope, ds)
         checks["X_IRT_003"] = lambda: _outside(doses(ex, scope), ds_exit_date(ds, scope),
                                                [DOSE_BEFORE_EXIT], scope)
     return _chosen(only, checks)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from clinisieve import vocab
 from clinisieve.findings import SDTM_RULE, dataset_finding, union_findings
+from clinisieve.functions.text import as_texts
 from clinisieve.functions import values as v
 from clinisieve.operators.joins import lookup_join
 from clinisieve.operators.rules import (
+    ROW_INDEX,
     Rule,
     evaluate,
     is_blank,
@@ -249,6 +251,7 @@ def table_findings(df: DataFrame, code: str, scope: tuple[str, ...] = (),
 def validate_domain(df: DataFrame, code: str, scope: tuple[str, ...] = (),
                     only: set[str] | None = None) -> DataFrame:
     """All row-rule findings of one domain (``only`` keeps the named rules)."""
+    df = as_texts(df, ROW_INDEX, *scope)
     lacking = missing_columns(df, code, scope)
     if lacking is not None:
         return lacking

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinisieve.functions.text import as_texts
 from clinisieve.functions import text
 from clinisieve.functions import values as v
 from clinisieve.operators.facts import KEY, contributions, subject_facts, subject_features
@@ -47,7 +48,7 @@ def feature_frame(frames: dict[str, DataFrame], scope: tuple[str, ...] = (),
     A required feature whose domain is missing is null throughout; an optional one is left out.
     A subject without procedures has a count of 0 if there is a procedures domain.
     """
-    rows = _feature_rows(frames, scope, facts)
+    rows = _feature_rows({code: as_texts(df, ROW_INDEX, *scope) for code, df in frames.items()}, scope, facts)
     order = [*scope, ROW_INDEX, KEY, "AGE", "SYSBP", "VSDTC", "DOSE", "ALT", "QTCF", "QS_SCORE", "PR_COUNT"]
     return rows.select(*[c for c in order if c in rows.columns])
 

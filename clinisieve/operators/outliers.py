@@ -24,6 +24,7 @@ from clinisieve.sources.scratch import written
 TREES, SAMPLE, SEED, CONTAMINATION, MIN_ROWS = 100, 256, 42, 0.05, 10
 EULER = 0.5772156649015329
 OVERSAMPLE = 4
+COPIES_AT_ONCE = 1 << 16
 
 ROW_HASH = "_row_hash"
 TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double"
@@ -51,31 +52,45 @@ def imputed(df: DataFrame, columns: list[str]) -> dict[str, Column]:
             for c in columns}
 
 
-def _sample(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
-    """(tree, rank hash, features): per tree a few hundred rows chosen by hash.
+def _smallest(ranks: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` smallest ranks."""
+    return np.argpartition(ranks, most)[:most] if len(ranks) > most else np.arange(len(ranks))
 
-    A row is a candidate of a tree when its hash for that tree is small; the smallest 256 are the
-    tree's sample.  The choice depends on the row and the seed only, not on the partitioning.
+
+def _sample(df: DataFrame, columns: list[str], rows: int, sample: int = SAMPLE) -> DataFrame:
+    """(tree, rank, features): per tree a few hundred rows chosen by hash.
+
+    Equal rows are counted first, and the n-th of them has a hash of its values and n.  For each tree the rows with the smallest hashes are
+    its sample, of which a batch gives ``sample`` at most.  The choice depends on the values of the features and the seed only: not on
+    positions, which may repeat or lack, nor on the partitioning.
     """
-    share = 1.0 if rows <= OVERSAMPLE * SAMPLE else OVERSAMPLE * SAMPLE / rows
+    share = 1.0 if rows <= OVERSAMPLE * sample else OVERSAMPLE * sample / rows
     limit = np.uint64(min(share * 2.0 ** 64, 2.0 ** 64 - 2.0 ** 12))
     salts = _mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes = batch[ROW_HASH].to_numpy().astype(np.int64).view(np.uint64)
-            values = batch[columns].to_numpy(dtype=float)
-            for tree, salt in enumerate(salts):
-                ranks = _mix(hashes ^ salt)
-                chosen = np.flatnonzero(ranks <= limit)
-                if len(chosen):
-                    out = pd.DataFrame(values[chosen], columns=columns)
-                    out.insert(0, "tree", np.int32(tree))
-                    out.insert(1, "rank", ranks[chosen].view(np.int64))
-                    yield out
+            values, copies = batch[columns].to_numpy(dtype=float), batch["_copies"].to_numpy()
+            ends = np.cumsum(copies)
+            for start in range(0, int(ends[-1]) if len(ends) else 0, COPIES_AT_ONCE):
+                number = np.arange(start, min(start + COPIES_AT_ONCE, int(ends[-1])))
+                at = np.searchsorted(ends, number, side="right")
+                nth = (number - (ends - copies)[at]).astype(np.uint64)
+                own = _mix(hashes[at] + _mix(nth + np.uint64(1)))
+                for tree, salt in enumerate(salts):
+                    ranks = _mix(own ^ salt)
+                    chosen = np.flatnonzero(ranks <= limit)
+                    chosen = chosen[_smallest(ranks[chosen], sample)]
+                    if len(chosen):
+                        out = pd.DataFrame(values[at[chosen]], columns=columns)
+                        out.insert(0, "tree", np.int32(tree))
+                        out.insert(1, "rank", ranks[chosen].view(np.int64))
+                        yield out
 
     schema = "tree int, rank bigint, " + ", ".join(f"`{c}` double" for c in columns)
-    return df.select(ROW_HASH, *columns).mapInPandas(candidates, schema)
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    return counted.select(F.xxhash64(*columns).alias(ROW_HASH), *columns, "_copies").mapInPandas(candidates, schema)
 
 
 def _grow(sample: np.ndarray, random: np.random.Generator) -> list[tuple]:
@@ -147,20 +162,18 @@ def forest_score(forest: pd.DataFrame, rows: int, spark: SparkSession):
 def detect_outliers(df: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
     """Add ``score``, and ``anomaly``: 1 where the score is under the given quantile, else 0.
 
-    ``df`` went through ``apply_ranges`` and has its rows numbered in ``row_index``; it is read
-    several times, so it should be a stored table.  Fewer than ten rows, or no feature, give 0
+    ``df`` went through ``apply_ranges``; it is read several times, so it should be a stored table.
+    Positions are not looked at.  Fewer than ten rows, or no feature, give 0
     throughout.  The scores are written to the shared folder and read from there.
     """
     columns = [f"{c}_num" for c in FEATURES if f"{c}_num" in df.columns]
     if not columns:
         return df.withColumn("anomaly", F.lit(0))
-    if ROW_INDEX not in df.columns:
-        raise ValueError(f"rows must be numbered in {ROW_INDEX}")
     rows = df.count()
     if rows < MIN_ROWS:
         return df.withColumn("anomaly", F.lit(0))
     inputs = imputed(df, columns)
-    model = df.select(F.xxhash64(ROW_INDEX).alias(ROW_HASH), *[e.alias(c) for c, e in inputs.items()])
+    model = df.select(*[e.alias(c) for c, e in inputs.items()])
     forest = train(model, columns, rows)
     score = forest_score(forest, rows, df.sparkSession)
     scored = written(df.withColumn("score", score(*inputs.values())))
@@ -178,5 +191,5 @@ def outlier_findings(flagged: DataFrame, scope: tuple[str, ...] = ()) -> DataFra
         field="multivariate",
         message=F.when(F.col("_evidence") == "", F.lit(message)).otherwise(
             F.concat(F.lit(f"{message} (found: "), F.col("_evidence"), F.lit(")"))),
-        row_index=F.col(ROW_INDEX), usubjid=usubjid, evidence=F.col("_evidence"),
+        row_index=F.col(ROW_INDEX) if ROW_INDEX in flagged.columns else F.lit(None), usubjid=usubjid, evidence=F.col("_evidence"),
     )).select(*scope, *COLUMNS)

@@ -143,11 +143,11 @@ def evaluate(df: DataFrame, rules: list[Rule], *, domain: str, finding_type: str
     # A test on columns as they are goes to the scan; derived forms are not to be repeated there.
     if len(rules) == 1 and not _FORM.search(rules[0].predicate):
         hits = rows.filter(_guarded(rules[0], present)).selectExpr(
-            *keep, "0 AS n", f"coalesce({rules[0].evidence}, '') AS evidence")
+            *keep, "0 AS n", f"coalesce(CAST({rules[0].evidence} AS STRING), '') AS evidence")
     else:
         fired = ", ".join(
             f"CASE WHEN {_guarded(r, present)} THEN"
-            f" named_struct('n', {i}, 'evidence', coalesce({r.evidence}, '')) END"
+            f" named_struct('n', {i}, 'evidence', coalesce(CAST({r.evidence} AS STRING), '')) END"
             for i, r in enumerate(rules))
         hits = (rows.selectExpr(*keep, f"array({fired}) AS fired")
                 .selectExpr(*scope, ROW_INDEX, "usubjid", "inline_outer(fired) AS (n, evidence)")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clinisieve.findings import COLUMNS, empty_findings, union_findings
+from clinisieve.functions.text import as_texts
 from clinisieve.operators.analytics import summary_by_severity
 from clinisieve.operators.cross import study_checks, study_presence, with_subjects
 from clinisieve.operators.domains import DOMAINS, missing_columns, row_rules, table_findings
@@ -14,18 +18,18 @@ from clinisieve.operators.facts import subject_facts, subject_table
 from clinisieve.operators.features import apply_ranges, flagged_features, range_findings, with_texts
 from clinisieve.operators.joins import broadcast_limit, planned_bytes
 from clinisieve.operators.outliers import detect_outliers, outlier_findings
-from clinisieve.operators.rules import evaluate
+from clinisieve.operators.rules import ROW_INDEX, evaluate
 from clinisieve.sources.files import read_dataset
 from clinisieve.sources.scratch import written
 from clinisieve.sources.sinks import append_findings
 
 
-def non_empty(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The domains that have rows, in reporting order; a table is only read up to its first row."""
+def non_empty(frames: dict[str, DataFrame], scope: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The domains that have rows, as texts, in reporting order; a table is only read up to its first row."""
     given = [code for code in DOMAINS if code in frames]
     with ThreadPoolExecutor(max(len(given), 1)) as pool:
         empty = list(pool.map(lambda code: frames[code].isEmpty(), given))
-    return {code: frames[code] for code, nothing in zip(given, empty) if not nothing}
+    return {code: as_texts(frames[code], ROW_INDEX, *scope) for code, nothing in zip(given, empty) if not nothing}
 
 
 def domain_findings(frames: dict[str, DataFrame], facts: DataFrame | None,
@@ -88,13 +92,27 @@ def validate_all(frames: dict[str, DataFrame], outliers: bool = True) -> DataFra
     return _whole(parts, frames)
 
 
-def validate_job(frames: dict[str, DataFrame], scope: tuple[str, ...]) -> DataFrame:
-    """Every rule finding of many studies in one job; ``scope`` names the columns of a study.
+def study_outliers(features: DataFrame, scope: tuple[str, ...]) -> list[DataFrame]:
+    """The outlier findings of each study: a forest, medians and a cut of its own.
 
-    All keys, windows and study-wide switches hold within a study.  Outliers are left to
-    :func:`validate_all` on one study, since each study has its own forest.
+    ``features`` is a stored table.  The studies of a job, a short list, are worked on one after
+    the other, each by distributed jobs of its own.
     """
-    parts, _ = _rule_findings(non_empty(frames), scope)
+    parts = []
+    for study in features.select(*scope).distinct().orderBy(*scope).collect():
+        own = reduce(and_, [F.col(c).eqNullSafe(F.lit(study[c])) for c in scope])
+        parts.append(outlier_findings(detect_outliers(features.where(own)), scope))
+    return parts
+
+
+def validate_job(frames: dict[str, DataFrame], scope: tuple[str, ...], outliers: bool = True) -> DataFrame:
+    """Every finding of many studies in one job; ``scope`` names the columns of a study.
+
+    All keys, windows, study-wide switches and outliers hold within a study.
+    """
+    parts, features = _rule_findings(non_empty(frames, scope), scope)
+    if outliers and features is not None:
+        parts += study_outliers(features, scope)
     return _whole(parts, frames, scope)
 
 

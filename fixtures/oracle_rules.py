@@ -187,3 +187,45 @@ def rule_select(domain: str, number: str, row_index: bool | None = None, extra:
 
 def rule_sql(domain: str, number: str) -> str:
     return f"WITH {domain_cte(domain)} {rule_select(domain, number)}"
+
+
+#: Columns of the typed variants of some domains, and the kinds they are cast to; what does not fit is null.
+TYPED = {"dm": {"AGE": "int", "RFSTDTC": "date", "RFENDTC": "timestamp"}, "ex": {"EXDOSE": "double", "EXSTDTC": "date"},
+         "vs": {"VSDTC": "timestamp", "VSORRES": "bigint"}}
+_SPELLED = {"int": "CAST(try_cast({c} AS INTEGER) AS VARCHAR)", "bigint": "CAST(try_cast({c} AS BIGINT) AS VARCHAR)",
+            "double": "CAST(try_cast({c} AS DOUBLE) AS VARCHAR)"}
+
+
+def typed_sql() -> str:
+    """The row rules over the same tables with the typed columns spelled as texts."""
+    ctes, parts = [], []
+    for domain, kinds in TYPED.items():
+        # A day is one only if it is written in full, or with unpadded parts.
+        day = "CASE WHEN regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{1,2}}(-[0-9]{{1,2}})?') THEN CAST(try_cast(CASE WHEN length({c}) - length(replace({c}, '-', '')) = 1 THEN {c} || '-01' ELSE {c} END AS DATE) AS VARCHAR) END"
+        spelled = ", ".join(f"{_SPELLED.get(kind, day).format(c=c)} AS {c}" for c, kind in kinds.items())
+        ctes.append(f"{domain} AS (SELECT * REPLACE ({spelled}) FROM ({DOMAIN_VIEWS[domain]}) given)")
+        parts += [rule_select(domain, number, row_index=False) for number in RULES[domain]]
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"({p})" for p in parts)
+
+
+def _dataset_sql(source: str, ftype: str, rule: str, domain: str, field: str, message: str) -> str:
+    return (f"(SELECT '{ftype}' AS finding_type, '{rule}' AS rule_id, 'CRIT' AS severity, '{domain}' AS domain, '{field}' AS field, "
+            f"{Q(message)} AS message, CAST(-1 AS BIGINT) AS row_index, '' AS usubjid, '' AS evidence FROM (SELECT 1 FROM ({DOMAIN_VIEWS[source]}) given LIMIT 1) one)")
+
+
+def lacking_sql(missing: dict[str, tuple[str, ...]]) -> str:
+    return " UNION ALL ".join(_dataset_sql(
+        d, "SDTM_RULE", f"SDTM_{d.upper()}_000", d.upper(), ",".join(columns), f"Missing required columns for {d.upper()}: {list(columns)}")
+        for d, columns in missing.items())
+
+
+def links_lacking_sql(linked: list[str]) -> str:
+    return " UNION ALL ".join(_dataset_sql(d, "CROSS_DOMAIN", f"X_DMLINK_{d.upper()}_000", "CROSS", "USUBJID",
+                                           f"Missing USUBJID for DM/{d.upper()} link check.") for d in linked)
+
+
+def pairs_lacking_sql() -> str:
+    return " UNION ALL ".join(_dataset_sql(source, "CROSS_DOMAIN", rule, "CROSS", field, message) for source, rule, field, message in (
+        ("ae", "X_VSAE_000", "USUBJID/--DTC", "Missing required columns for VS/AE cross checks."),
+        ("cm", "X_VSCM_000", "USUBJID/--DTC", "Missing required columns for VS/CM cross checks."),
+        ("ex", "X_IRT_000", "USUBJID", "Missing required columns for IRT (EX/DM/DS) consistency checks.")))

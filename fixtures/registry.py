@@ -11,7 +11,8 @@ from clinisieve.functions import text
 from clinisieve.functions import values as v
 from clinisieve.functions.hashing import row_hash
 from clinisieve.operators import analytics, changes, cross, facts, features, outliers, subjects
-from clinisieve.operators.domains import validate_domain
+from clinisieve.findings import union_findings
+from clinisieve.operators.domains import DOMAINS, validate_domain
 from clinisieve.plans import pipeline
 from clinisieve.sources import dataset_json, files, form_export, logs, rowid, scratch, sinks
 from clinisieve.streaming import windows
@@ -127,6 +128,39 @@ def _validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.validate_all(domains(spark, sf_dir), outliers=False).drop("row_index")
 
 
+def _validate_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row rules of tables whose numbers and days have types, as most stored tables have them."""
+    parts = []
+    for domain, kinds in o.TYPED.items():
+        df = view(spark, sf_dir, domain)
+        df = df.withColumns({c: F.col(c).try_cast(kind) for c, kind in kinds.items()})
+        parts.append(validate_domain(df, domain.upper()).drop("row_index"))
+    return union_findings(parts)
+
+
+register("validate_typed", _validate_typed, o.typed_sql())
+
+
+def _lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each domain without two of the columns that it cannot do without."""
+    return union_findings([validate_domain(df.drop(*DOMAINS[code].required[:2]), code)
+                           for code, df in domains(spark, sf_dir).items()])
+
+
+def _links_lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = domains(spark, sf_dir)
+    return union_findings([cross.dm_link(tables["DM"], df.drop("USUBJID"), code) for code, df in tables.items() if code != "DM"])
+
+
+def _pairs_lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = domains(spark, sf_dir, ("dm", "vs", "ae", "cm", "ex"))
+    return union_findings([cross.vs_ae(t["VS"].drop("VSDTC"), t["AE"]), cross.vs_cm(t["VS"], t["CM"].drop("CMSTDTC")),
+                           cross.irt(t["DM"].drop("RFSTDTC"), t["EX"], None)])
+
+
+register("rule_required_columns", _lacking, o.lacking_sql({code.lower(): d.required[:2] for code, d in DOMAINS.items()}))
+register("dmlink_missing_col", _links_lacking, o.links_lacking_sql([c.lower() for c in DOMAINS if c != "DM"]))
+register("x_required_columns", _pairs_lacking, o.pairs_lacking_sql())
 register("validate_rules", _validate_rules, f"{x.all_rules_sql()} SELECT * FROM all_findings")
 register("validate_all", lambda s, d: pipeline.validate_all(domains(s, d)))
 
@@ -330,7 +364,7 @@ def _validate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     study = F.pmod(F.length(F.coalesce("USUBJID", F.lit(""))), F.lit(3)).cast("string")
     tables = {c: df.drop("STUDYID").withColumn("STUDYID", F.concat(F.lit("ST"), study))
               for c, df in domains(spark, sf_dir).items()}
-    return pipeline.validate_job(tables, ("STUDYID",)).drop("row_index")
+    return pipeline.validate_job(tables, ("STUDYID",), outliers=False).drop("row_index")
 
 
 def _outlier_share(spark: SparkSession, sf_dir: str) -> DataFrame:

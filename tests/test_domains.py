@@ -111,3 +111,18 @@ def test_optional_columns_may_be_absent(table, hits):
 def test_empty_tables_give_nothing(table, hits):
     assert hits(validate_domain(table("STUDYID", []), "DM")) == []
     assert hits(validate_domain(table("USUBJID STUDYID SEX", []), "DM")) == []
+
+
+def test_typed_columns_are_read_as_texts(spark):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    from clinisieve.functions.text import as_texts
+    row = (1, 2, 3.5, 4.0, float("nan"), Decimal("1.50"), True, date(2024, 1, 2), datetime(2024, 1, 2, 3, 4), "x", 1e20, None)
+    df = spark.createDataFrame([row], "row_index bigint, a int, b double, c float, d double, e decimal(5,2), f boolean, g date, h timestamp, i string, j double, k int")
+    assert tuple(as_texts(df, "row_index").first()) == (1, "2", "3.5", "4.0", None, "1.50", "true", "2024-01-02", "2024-01-02", "x", "1e+20", None)
+    dm = spark.createDataFrame([(0, "S1", "X", 150, date(2024, 2, 1), date(2024, 1, 1), 5)],
+                               "row_index bigint, USUBJID string, SEX string, AGE int, RFSTDTC date, RFENDTC date, STUDYID int")
+    found = {(r.rule_id, r.evidence) for r in validate_domain(dm, "DM").collect()}
+    texts = dm.selectExpr("row_index", "USUBJID", "SEX", "CAST(AGE AS STRING) AGE", "CAST(RFSTDTC AS STRING) RFSTDTC", "CAST(RFENDTC AS STRING) RFENDTC", "CAST(STUDYID AS STRING) STUDYID")
+    assert found == {(r.rule_id, r.evidence) for r in validate_domain(texts, "DM").collect()} and any(e == "2024-02-01 > 2024-01-01" for _, e in found)

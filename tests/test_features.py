@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +122,39 @@ def test_missing_values_are_replaced_not_dropped(spark):
         (1.0, 0.0), (3.0, 0.0), (2.0, 0.0)]
 
 
+@pytest.mark.parametrize("positions", ["row_index", "row_index % 3", "CAST(NULL AS BIGINT)", None])
+def test_flags_do_not_hang_on_positions(spark, positions):
+    """Repeated, null and missing positions, repeated rows, and any partitioning give the flags of numbered rows."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), float(b), 50.0) for i, (a, b) in enumerate(rng.normal((45, 125), (15, 12), (700, 2)))]
+    rows += [(700 + i, 45.0, 125.0, 50.0) for i in range(1300)]  # most rows are alike
+    given = spark.createDataFrame(rows, "row_index bigint, AGE double, SYSBP double, DOSE double")
+    def run(df):
+        out = outliers.detect_outliers(written(features.apply_ranges(df)))
+        return sorted((r.AGE_num, r.SYSBP_num, r.anomaly) for r in out.collect())
+    other = given.drop("row_index") if positions is None else given.withColumn("row_index", F.expr(positions))
+    assert run(given) == run(other.repartition(9))
+
+
+def test_a_tree_gets_a_bounded_sample(spark):
+    given = spark.range(0, 30_000, 1, 6).select((F.col("id") % 2).cast("double").alias("a"))
+    per_tree = outliers._sample(given, ["a"], 30_000).groupBy("tree").count().collect()
+    assert len(per_tree) == outliers.TREES and all(outliers.SAMPLE <= r["count"] <= 4 * 256 + 300 for r in per_tree)
+
+
+def test_each_study_of_a_job_has_its_own_outliers(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"ST{i % 3}", f"S{i // 3}", str(round(float(rng.normal(40 + 100 * (i % 3 == 1), 3)), 1))) for i in range(180)]
+    rows[17] = (17, "ST2", "S5", "90")
+    dm = spark.createDataFrame([(i, s, u, "M", a, "2020-01-01") for i, s, u, a in rows],
+                               "row_index bigint, STUDYID string, USUBJID string, SEX string, AGE string, RFSTDTC string")
+    found = pipeline.validate_job({"DM": dm}, ("STUDYID",)).filter("rule_id = 'ANOMALY_001'").collect()
+    per_study = Counter(r.STUDYID for r in found)
+    alone = {s: {r.row_index for r in pipeline.validate_all({"DM": dm.filter(F.col("STUDYID") == s)}).filter("rule_id = 'ANOMALY_001'").collect()} for s in per_study}
+    assert set(per_study) == {"ST0", "ST1", "ST2"} and {s: {r.row_index for r in found if r.STUDYID == s} for s in per_study} == alone
+    assert 17 in alone["ST2"]
+
+
 def test_precision_recall_and_share_on_a_planted_cohort(spark):
     """300 subjects, three features, 5 % planted outliers: about 90 % precision and recall."""
     rng = np.random.default_rng(7)

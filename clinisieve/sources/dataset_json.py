@@ -84,7 +84,7 @@ def _parsed(docs: DataFrame) -> DataFrame:
             .withColumn("root", F.expr(f"CASE root_key {root} END"))
             .withColumn("groups", F.expr(f"CASE root_key {groups} END"))
             .withColumn("oids", F.expr(
-                f"coalesce(CASE WHEN groups IS NOT NULL THEN CASE root_key {written} END END, array())")))
+                f"array_distinct(coalesce(CASE WHEN groups IS NOT NULL THEN CASE root_key {written} END END, array()))")))
 
 
 def _finding(rule_id, severity, field, message, row_index: Column | int = -1, evidence: Column | str = "") -> list[Column]:
@@ -169,9 +169,14 @@ def _opened_groups(docs: DataFrame, domains: tuple[str, ...]) -> DataFrame:
     )
 
 
-def group_findings(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS) -> DataFrame:
-    """Domains that cannot be found or read."""
-    faults = _opened_groups(docs, domains).filter("fault IS NOT NULL")
+def opened_groups(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS) -> DataFrame:
+    """The item groups of the domains as a stored table, so that each document is parsed once."""
+    return written(_opened_groups(docs, domains))
+
+
+def group_findings(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS, opened: DataFrame | None = None) -> DataFrame:
+    """Domains that cannot be found or read.  ``opened`` is the documents' :func:`opened_groups`, if there."""
+    faults = (_opened_groups(docs, domains) if opened is None else opened).filter("fault IS NOT NULL")
     # Field and message of each fault.
     field = F.expr("CASE fault WHEN 'DJ_110' THEN 'domain' WHEN 'DJ_100' THEN 'itemGroupData' "
                    "WHEN 'DJ_102' THEN concat(oid, '.itemData') ELSE concat(oid, '.items') END")
@@ -185,15 +190,15 @@ def group_findings(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS)
     return faults.select(*_finding(F.col("fault"), "CRIT", field, message, evidence=keys))
 
 
-def _records(docs: DataFrame, domains: tuple[str, ...]) -> DataFrame:
-    groups = _opened_groups(docs, domains).filter("fault IS NULL")
+def _records(docs: DataFrame, domains: tuple[str, ...], opened: DataFrame | None) -> DataFrame:
+    groups = (_opened_groups(docs, domains) if opened is None else opened).filter("fault IS NULL")
     rows = groups.select(DOC, "domain", "oid", "names", F.posexplode("records").alias(ROW_INDEX, "record"))
     return rows.withColumn("cells", F.expr(f"try_variant_get(record, '$', {ARRAY})")).drop("record")
 
 
-def record_findings(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS) -> DataFrame:
+def record_findings(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS, opened: DataFrame | None = None) -> DataFrame:
     """Records that are no arrays, or not as long as there are columns."""
-    bad = _records(docs, domains).filter("cells IS NULL OR size(cells) <> size(names)")
+    bad = _records(docs, domains, opened).filter("cells IS NULL OR size(cells) <> size(names)")
     field = F.concat(F.col("oid"), F.lit(".itemData["), F.col(ROW_INDEX).cast("string"), F.lit("]"))
     no_array = F.col("cells").isNull()
     lengths = F.concat(F.lit("got "), F.size("cells").cast("string"), F.lit(", expected "),
@@ -204,13 +209,13 @@ def record_findings(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS)
         row_index=F.col(ROW_INDEX).cast("bigint"), evidence=F.when(no_array, "").otherwise(lengths)))
 
 
-def rows(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS) -> DataFrame:
+def rows(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS, opened: DataFrame | None = None) -> DataFrame:
     """The records as texts under their column names, padded with nulls or cut to fit.
 
     A record that is no array is left out; the others are numbered without it.
     """
     cells = F.expr("transform(names, (n, i) -> try_variant_get(get(cells, i), '$', 'string'))")
-    good = _opened_groups(docs, domains).filter("fault IS NULL").withColumn("records", F.expr(
+    good = (_opened_groups(docs, domains) if opened is None else opened).filter("fault IS NULL").withColumn("records", F.expr(
         f"filter(transform(records, r -> try_variant_get(r, '$', {ARRAY})), c -> c IS NOT NULL)"))
     return good.select(DOC, "domain", "oid", "names", F.posexplode("records").alias(ROW_INDEX, "cells")).select(
         DOC, "domain", "oid", F.col(ROW_INDEX).cast("bigint").alias(ROW_INDEX),
@@ -270,10 +275,13 @@ def _link_findings(dm: DataFrame, other: DataFrame, code: str) -> list[DataFrame
 def validate_documents(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS) -> DataFrame:
     """Structure, row-rule and link findings of every document, each document on its own.
 
-    The records are taken out of the documents once and written; all rules read that table.
+    Both layouts are accepted.  The documents in one layout, their item groups, and the groups' records are
+    each worked out once and written; all rules read those tables.
     """
-    parts = [top_level_findings(docs), group_findings(docs, domains), record_findings(docs, domains)]
-    records = written(rows(docs, domains))
+    docs = written(unwrap_envelopes(docs))
+    opened = opened_groups(docs, domains)
+    parts = [top_level_findings(docs), group_findings(docs, domains, opened), record_findings(docs, domains, opened)]
+    records = written(rows(docs, domains, opened))
     tables = {code: domain_table(records, code) for code in domains if code in DEFAULT_DOMAINS}
     for code, table in tables.items():
         parts += _domain_findings(table, code)

@@ -85,12 +85,13 @@ def read_dataset(spark: SparkSession, path: str, file_format: str, domain: str
         return read_json_records(spark, path), None
     if file_format != "dataset-json":
         return None, None
-    docs = dataset_json.read_documents(spark, path)
+    docs = dataset_json.unwrap_envelopes(dataset_json.read_documents(spark, path))
     broken = dataset_json.top_level_findings(docs)
     if not broken.isEmpty():
         return None, broken.drop(dataset_json.DOC)
-    found = dataset_json.group_findings(docs, (domain,)).unionByName(dataset_json.record_findings(docs, (domain,)))
-    records = dataset_json.rows(docs, (domain,))
+    opened = dataset_json.opened_groups(docs, (domain,))
+    found = dataset_json.group_findings(docs, (domain,), opened).unionByName(dataset_json.record_findings(docs, (domain,), opened))
+    records = dataset_json.rows(docs, (domain,), opened)
     names = records.select(F.explode(dataset_json.PRESENT)).distinct().collect()  # columns of one file
     table = dataset_json.domain_table(records, domain, [r[0] for r in names]) if names else None
     return table, found.drop(dataset_json.DOC)

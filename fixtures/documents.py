@@ -21,9 +21,9 @@ SELECT c_custkey AS row_id, CAST(1000 + c_custkey AS STRING) AS PATIENT_ID,
 
 
 def csv_copy(rows: DataFrame, order: str, drop: bool = True) -> str:
-    """Write a table as several CSV files whose order is that of a column."""
+    """Write a table as several CSV files whose order is that of a column, as many as a shuffle has partitions."""
     path = new_path(rows.sparkSession, "csv")
-    sorted_rows = rows.repartitionByRange(4, order).sortWithinPartitions(order)
+    sorted_rows = rows.repartitionByRange(order).sortWithinPartitions(order)
     (sorted_rows.drop(order) if drop else sorted_rows).write.options(**sinks.CSV_OPTIONS).csv(path)
     return path
 
@@ -82,6 +82,47 @@ def dataset_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("doc").cast("string").alias("doc_id"), text.alias("text"))
 
 
+def mixed_record_files(spark: SparkSession, sf_dir: str, lists_only: bool) -> str:
+    """Demographics records as lists, or by turns as lists and wrapped, next to documents without any."""
+    dm = view(spark, sf_dir, "dm").select(F.col("row_index").alias("SEQ"), "USUBJID", "SEX", "AGE")
+    docs = dm.groupBy(F.floor(F.col("SEQ") / DM_PER_DOC).alias("doc")).agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct("SEQ", "USUBJID", "SEX", "AGE")))).alias("records"))
+    wrapped = F.concat(F.lit('{"records":'), F.col("records"), F.lit("}"))
+    text = F.col("records") if lists_only else F.when(F.col("doc") % 2 == 0, F.col("records")).otherwise(wrapped)
+    texts = docs.select(text.alias("value"))
+    if not lists_only:
+        texts = texts.union(docs.select(F.explode(F.array(F.lit('{"records":[]}'), F.lit('{"note":"none"}'), F.lit("[]")))))
+    path = new_path(spark, "json")
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def _dm_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, records): demographics as arrays of values in the order of ``DM_COLUMNS``."""
+    dm = view(spark, sf_dir, "dm")
+    cells = F.to_json(F.array(*[F.col(c).cast("string") for c in DM_COLUMNS]))
+    return dm.groupBy(F.floor(F.col("row_index") / DM_PER_DOC).cast("bigint").alias("doc")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_index", cells.alias("r")))), lambda x: x["r"]), ",").alias("records"))
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the flat layout: one group each, as columns and rows."""
+    columns = ",".join(f'{{"itemOID":"IT.DM.{c}","name":"{c}"}}' for c in DM_COLUMNS)
+    return _dm_arrays(spark, sf_dir).select(F.col("doc").cast("string").alias("doc_id"), F.concat(
+        F.lit(f'{{"datasetJSONVersion":"1.1.0","itemGroupOID":"IG.DM","columns":[{columns}],"rows":['), F.col("records"), F.lit("]}")).alias("text"))
+
+
+def faulty_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose demographics group is sound, no object, or without items, records or names, by turns; every key is written twice."""
+    items = "[" + ",".join(f'{{"OID":"IT.{c}","name":"{c}"}}' for c in DM_COLUMNS) + "]"
+    group = F.element_at(F.array(
+        F.concat(F.lit(f'{{"items":{items},"itemData":['), F.col("records"), F.lit("]}")), F.lit("5"), F.lit('{"items":[],"itemData":[]}'),
+        F.concat(F.lit(f'{{"items":{items},"itemData":"'), F.col("doc").cast("string"), F.lit('"}')), F.lit('{"items":[1,2],"itemData":[]}')),
+        (F.col("doc") % 5 + 1).cast("int"))
+    return _dm_arrays(spark, sf_dir).select(F.col("doc").cast("string").alias("doc_id"), F.concat(
+        F.lit('{"clinicalData":0,"clinicalData":{"itemGroupData":{"IG.DM":0,"IG.DM":'), group, F.lit("}}}")).alias("text"))
+
+
 def form_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five forms of five fields, one field per nation."""
     kinds = ["text", "notes", "calc", "slider", "radio"]

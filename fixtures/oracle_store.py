@@ -238,7 +238,7 @@ def sources_sql() -> dict[str, str]:
                        f"{_AE_NULLED} FROM ae",
         "scan_generic": f"{generic} SELECT * FROM g",
         "validate_generic_rules": f"{generic} {validated}",
-        "scan_json_records": f"WITH {domain_cte('dm')} SELECT CAST(row_id AS STRING) AS SEQ, row_id % 100 AS row_index, USUBJID, SEX, AGE FROM dm",
+        "scan_json_records": f"WITH {domain_cte('dm')} SELECT CAST(row_id AS STRING) AS SEQ, row_number() OVER (PARTITION BY row_id // 100 ORDER BY row_id) - 1 AS row_index, USUBJID, SEX, AGE FROM dm",
         "dataset_row_counts": f"WITH {domain_cte('dm')} SELECT STUDYID AS dataset, count(*) AS row_count FROM dm GROUP BY 1",
         "log_parse": _LOG,
         "log_by_level": f"SELECT * FROM ({_LOG}) WHERE level = 'ERROR'",
@@ -270,7 +270,30 @@ def sources_sql() -> dict[str, str]:
 _NATION_VALUE = (
     "CASE WHEN n.n_nationkey = c.c_nationkey THEN c.c_mktsegment WHEN n.n_nationkey = (c.c_nationkey + 1) % 25 "
     "THEN c.c_name ELSE '' END")
+_RECORDS_SQL = f"WITH {domain_cte('dm')} SELECT CAST(row_id AS STRING) AS SEQ, (row_number() OVER (PARTITION BY row_id // 100 ORDER BY row_id)) - 1 AS row_index, USUBJID, SEX, AGE FROM dm"
+_DOC_NUMBERS = "(SELECT DISTINCT c_custkey // 100 AS doc FROM customer)"
 SQL_SOURCES = sources_sql() | {
+    "scan_json_list": _RECORDS_SQL,
+    "scan_json_mixed": _RECORDS_SQL,
+    "dj_group_findings": (
+        "SELECT CAST(doc AS STRING) AS doc_id, CASE doc % 5 WHEN 1 THEN 'DJ_100' WHEN 2 THEN 'DJ_101' WHEN 3 THEN 'DJ_102' ELSE 'DJ_104' END AS rule_id, "
+        "CASE doc % 5 WHEN 1 THEN 'itemGroupData' WHEN 3 THEN 'IG.DM.itemData' ELSE 'IG.DM.items' END AS field, "
+        "CASE doc % 5 WHEN 1 THEN 'OID ''IG.DM'' not found.' WHEN 2 THEN 'Non-empty ''items'' array required.' "
+        "WHEN 3 THEN '''itemData'' must be an array.' ELSE 'Could not derive column names.' END AS message, '' AS evidence "
+        f"FROM {_DOC_NUMBERS} d WHERE doc % 5 > 0 UNION ALL SELECT CAST(doc AS STRING), 'DJ_110', 'domain', "
+        f"'Could not infer OID for domain ''AE''.', 'IG.DM' FROM {_DOC_NUMBERS} d"),
+    "dj_envelopes": (
+        f"WITH {domain_cte('dm')} SELECT CAST(row_id // 100 AS STRING) AS doc_id, "
+        "row_number() OVER (PARTITION BY row_id // 100 ORDER BY row_id) - 1 AS row_index, USUBJID, STUDYID, SEX, AGE, AGEU, RFSTDTC, RFENDTC FROM dm"),
+    "edc_form_list": "SELECT DISTINCT 'FORM_' || n_regionkey AS form FROM nation",
+    "edc_fields": (
+        "SELECT n_nationkey AS position, 'IT.FORM_2.' || nm AS \"itemOID\", nm AS name, CASE n_nationkey % 5 WHEN 2 THEN 'float' WHEN 3 THEN 'integer' ELSE 'string' END "
+        "AS \"dataType\", n_name AS label, CASE n_nationkey % 5 WHEN 1 THEN 4000 WHEN 2 THEN 20 ELSE 200 END AS length FROM "
+        "(SELECT *, upper('f_' || regexp_replace(n_name, '[^A-Za-z0-9]', '_', 'g')) AS nm FROM nation) n WHERE n_regionkey = 2"),
+    "edc_project_metadata": (
+        "SELECT CAST(c_custkey AS STRING) AS study_id, c_name AS title, ' ' AS sponsor, '' AS protocol_id, '' AS start_date, 'active' AS status "
+        "FROM customer WHERE c_custkey = 7"),
+    "parquet_positions": "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders",
     "edc_forms": "SELECT CAST(c_custkey AS STRING) AS usubjid, '' AS siteid FROM customer",
     "edc_projects": (
         "SELECT CAST(c_custkey AS STRING) AS study_id, c_name AS title, CASE WHEN c_custkey % 3 > 0 THEN 'active' ELSE "

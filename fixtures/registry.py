@@ -265,7 +265,7 @@ def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = features.feature_frame(_frame_domains(spark, sf_dir))
+    frame = scratch.written(features.feature_frame(_frame_domains(spark, sf_dir)))
     filled = outliers.imputed(frame, [c for c in frame.columns if c in features.FEATURES])
     return frame.select("row_index", *[e.alias(c) for c, e in filled.items()])
 
@@ -343,6 +343,18 @@ READERS = {
         "doc_id", "rule_id", "field", "row_index", "evidence"),
     "dj_rows": _dm_rows,
 }
+READERS |= {
+    "scan_json_list": lambda s, d: files.read_json_records(s, docs.mixed_record_files(s, d, True)),
+    "scan_json_mixed": lambda s, d: files.read_json_records(s, docs.mixed_record_files(s, d, False)),
+    "dj_group_findings": lambda s, d: dataset_json.group_findings(docs.faulty_groups(s, d), ("DM", "AE")).select(
+        "doc_id", "rule_id", "field", "message", "evidence"),
+    "dj_envelopes": lambda s, d: dataset_json.domain_table(
+        dataset_json.rows(dataset_json.unwrap_envelopes(docs.envelopes(s, d)), ("DM",)), "DM", docs.DM_COLUMNS).drop("_columns"),
+    "edc_form_list": lambda s, d: form_export.forms(docs.form_metadata(s, d)),
+    "edc_fields": lambda s, d: form_export.form_fields(docs.form_metadata(s, d), "FORM_2"),
+    "edc_project_metadata": lambda s, d: form_export.project_metadata(docs.project_listing(s, d), "7"),
+    "parquet_positions": lambda s, d: rowid.with_parquet_row_index(base(s, d, "orders").select("o_orderkey", "o_custkey")),
+}
 for _name, _reader in READERS.items():
     register(_name, _reader, st.SQL_SOURCES[_name])
 

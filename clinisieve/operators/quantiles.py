@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinisieve.operators.joins import lookup_join
@@ -13,6 +13,22 @@ from clinisieve.operators.joins import lookup_join
 # value, and that state ends up in a single task.
 SMALL = 1_000_000
 ACCURACY = 10_000
+# A bracket's values are ranked in so many tasks, by equal steps from its low end to its high end.
+BLOCKS = 256
+
+
+def _ranked(tallied: DataFrame, keys: list[str], value: str, count: str, low: Column, high: Column) -> DataFrame:
+    """Add ``_before``, the rows of the group under a value: summed up per block first, and then within blocks."""
+    place = F.floor((F.col(value) - low) / (high - low) * BLOCKS)
+    block = F.when(high > low, F.least(F.lit(BLOCKS - 1), F.greatest(F.lit(0), place)))
+    marked = tallied.withColumn("_block", F.coalesce(block, F.lit(0)).cast("int"))
+    sizes = marked.groupBy(*keys, "_block").agg(F.sum(count).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = marked.join(offsets, [*keys, "_block"])
+    before = F.col("_offset") + F.coalesce(F.sum(count).over(inside), F.lit(0))
+    return placed.withColumn("_before", before).drop("_block", "_offset")
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], q: float, *, small: int = SMALL,
@@ -29,7 +45,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float, *, small: int =
 
     # A sketch rank is off by at most n/accuracy, so two steps to either side are enough.
     sides = [max(q - 2.0 / accuracy, 0.0), min(q + 2.0 / accuracy, 1.0)]
-    bracket = df.agg(*[F.percentile_approx(c, sides, accuracy).alias(c) for c in columns]).first()
+    bracket = df.agg(*[F.percentile_approx(c, sides, accuracy).alias(c) for c in columns],
+                     *[F.struct(F.min(c), F.max(c)).alias(f"{c}_ends") for c in columns]).first()
     long_counts = {c: counts[c] for c in columns if counts[c] > 4 * accuracy}
     rest = [c for c in columns if c not in long_counts]
     out: dict[str, float | None] = exact_quantiles(df, rest, q) if rest else {}
@@ -44,8 +61,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float, *, small: int =
                         F.col(c).cast("double")).alias("value"))
         for c in long_counts])).alias("x")).select("x.*").filter("value IS NOT NULL")
     tallied = inside.groupBy("name", "value").count()
-    before = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tallied.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    def end(side: int, whole: bool) -> Column:
+        ends = F.lit(None).cast("double")
+        for c in long_counts:
+            at = bracket[f"{c}_ends"][side] if whole else bracket[c][side]
+            ends = F.when(F.col("name") == c, F.lit(float(at))).otherwise(ends)
+        return ends
+    ranked = _ranked(tallied, ["name"], "value", "count", end(0, sides[0] <= 0), end(1, sides[1] >= 1)).withColumnRenamed("_before", "before")
 
     position = {c: (n - 1) * q for c, n in long_counts.items()}
     wanted = F.lit(False)
@@ -88,10 +110,10 @@ def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float, name:
     # Everything under the bracket is tallied as one value, everything above it is dropped.
     kept = rows.filter(F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
     tallied = kept.withColumn("_v", F.when(F.col("_v") < F.col("_low"), F.lit(-math.inf)).otherwise(F.col("_v"))) \
-        .groupBy(*keys, "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    up_to = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tallied.withColumn("_end", F.sum("_c").over(up_to))
-    begin = F.col("_end") - F.col("_c")
+        .groupBy(*keys, "_at", "_low", "_high", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = _ranked(tallied, keys, "_v", "_c", F.col("_low"), F.col("_high"))
+    begin = F.col("_before")
+    ranked = ranked.withColumn("_end", begin + F.col("_c"))
     floor, ceil = F.floor("_at"), F.ceil("_at")
     picked = ranked.groupBy(*keys, "_at").agg(
         F.max(F.when((begin <= floor) & (floor < F.col("_end")), F.col("_v"))).alias("_lo"),

@@ -306,6 +306,12 @@ SQL_SOURCES = sources_sql() | {
     "anomaly_count_invariant": (
         f"WITH {domain_cte('dm')} SELECT count(*) AS rows, CAST(ceil(0.05 * (count(*) - 1)) AS BIGINT) AS allowed, "
         "true AS fits FROM dm"),
+    "validate_all_counts": (
+        f"{all_rules_sql()} SELECT rule_id, count(*) AS n FROM all_findings GROUP BY 1 UNION ALL "
+        "SELECT 'ANOMALY_001', CAST(ceil(0.05 * (count(*) - 1)) AS BIGINT) FROM dm"),
+    "validate_generic_counts": (
+        f"SELECT rule_id, count(*) AS n FROM ({sources_sql()['validate_generic_rules']}) f GROUP BY 1 UNION ALL "
+        "SELECT 'ANOMALY_001', CAST(ceil(0.05 * (count(*) - 1)) AS BIGINT) FROM customer"),
     "validate_job": (f"{all_rules_sql()} SELECT *, 'ST' || CAST(length(usubjid) % 3 AS STRING) AS \"STUDYID\" "
                      "FROM all_findings"),
 }

@@ -380,12 +380,19 @@ def _validate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _outlier_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether some rows are flagged, and no more than the cut allows (fewer only where scores tie)."""
+    """Whether as many rows are flagged as the cut wants."""
     allowed = F.ceil(F.lit(outliers.CONTAMINATION) * (F.count(F.lit(1)) - 1))
     return _outlier_frame(spark, sf_dir).agg(
         F.count(F.lit(1)).alias("rows"), allowed.alias("allowed"),
-        F.sum("anomaly").between(1, allowed).alias("fits"))
+        (F.sum("anomaly") == allowed).alias("fits"))
 
 
+def _counts(findings: DataFrame) -> DataFrame:
+    return findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+register("validate_all_counts", lambda s, d: _counts(pipeline.validate_all(domains(s, d))), st.SQL_SOURCES["validate_all_counts"])
+register("validate_generic_counts", lambda s, d: _counts(pipeline.validate_generic(files.read_generic(s, docs.generic_csv(s, d)))),
+         st.SQL_SOURCES["validate_generic_counts"])
 register("validate_job", _validate_job, st.SQL_SOURCES["validate_job"])
 register("anomaly_count_invariant", _outlier_share, st.SQL_SOURCES["anomaly_count_invariant"])

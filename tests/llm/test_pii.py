@@ -3,8 +3,6 @@ import re
 from collections import Counter
 from datetime import date, timedelta
 
-import pytest
-
 from clinisieve.llm import pii, queries
 from tests.llm.cases import awkward, frame
 
@@ -107,11 +105,14 @@ def test_turning_back(spark):
     assert [back[i][0] for i in range(len(texts))] == texts
 
 
-@pytest.mark.parametrize("text", ["4111111111111112", "9807915762804490", "1234", "256.1.1.1", "01.2.3.4", "1.2.3.4.5", "2021-02-29", "31.04.2020", "13/13/2000", "1899-01-01",
-                                  "000-12-3456", "666-12-3456", "912-12-3456", "DE00123456789012345678", "00000000000000000000000000000000000000", "a@b", "12-34", "deadbeef",
-                                  "X4111111111111111111111111111111", "v2.0", "3.14159", "", " ", "plain words only"])
-def test_what_is_not_valid_stays(spark, text):
-    assert run(spark, [text, f"a {text} b"]) == {0: (text, []), 1: (f"a {text} b", [])}
+NOT_VALID = ["4111111111111112", "9807915762804490", "1234", "256.1.1.1", "01.2.3.4", "1.2.3.4.5", "2021-02-29", "31.04.2020", "13/13/2000", "1899-01-01",
+             "000-12-3456", "666-12-3456", "912-12-3456", "DE00123456789012345678", "00000000000000000000000000000000000000", "a@b", "12-34", "deadbeef",
+             "X4111111111111111111111111111111", "v2.0", "3.14159", "", " ", "plain words only"]
+
+
+def test_what_is_not_valid_stays(spark):
+    texts = NOT_VALID + [f"a {text} b" for text in NOT_VALID]
+    assert run(spark, texts) == {i: (text, []) for i, text in enumerate(texts)}
 
 
 def test_small_domains_are_permuted(spark):

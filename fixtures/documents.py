@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clinisieve.sources import sinks
 from clinisieve.sources.scratch import new_path
 from fixtures.tables import base, derived, view
+from fixtures.views import DOMAIN_VIEWS
 
 # Subjects, and adverse events, per document; a document is small whatever the tables' size.
 DM_PER_DOC, AE_PER_DOC = 100, 1000
@@ -97,6 +98,22 @@ def mixed_record_files(spark: SparkSession, sf_dir: str, lists_only: bool) -> st
     return path
 
 
+def uploads(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, str]]:
+    """(domain, format, folder) of every domain as JSON documents of about a thousand records."""
+    out = []
+    for name in DOMAIN_VIEWS:
+        df = view(spark, sf_dir, name).drop("row_index")
+        record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        rows = df.select(record.alias("r"))
+        count = rows.count()
+        docs = rows.groupBy(F.pmod(F.xxhash64("r"), F.lit(-(-count // AE_PER_DOC) or 1)).alias("doc")).agg(
+            F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value"))
+        path = new_path(spark, "upload")
+        docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+        out.append((name.upper(), "json", path))
+    return out
+
+
 def _dm_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, records): demographics as arrays of values in the order of ``DM_COLUMNS``."""
     dm = view(spark, sf_dir, "dm")

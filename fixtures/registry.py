@@ -391,6 +391,14 @@ def _counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _run_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole job: files read, validated, findings stored, and the store read back."""
+    store = scratch.new_path(spark, "store")
+    pipeline.run_job(spark, docs.uploads(spark, sf_dir), store, tenant_id="T", job_id="J", study_id="S")
+    return _counts(spark.read.parquet(store))
+
+
+register("run_job", _run_job, st.SQL_SOURCES["validate_all_counts"])
 register("validate_all_counts", lambda s, d: _counts(pipeline.validate_all(domains(s, d))), st.SQL_SOURCES["validate_all_counts"])
 register("validate_generic_counts", lambda s, d: _counts(pipeline.validate_generic(files.read_generic(s, docs.generic_csv(s, d)))),
          st.SQL_SOURCES["validate_generic_counts"])

@@ -22,6 +22,7 @@ from fixtures import oracle_rules as o
 from fixtures import oracle_store as st
 from fixtures.oracle_documents import documents_sql
 from fixtures.tables import base, domains, view
+from fixtures.views import STUDY_OF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -372,10 +373,11 @@ register("dataset_sample", lambda s, d: analytics.dataset_sample(view(s, d, "ae"
 # --- whole jobs over many studies, and the outlier cut ---------------------------------------------------
 
 def _validate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each domain's rows belong to one of three studies by their subject's number."""
-    study = F.pmod(F.length(F.coalesce("USUBJID", F.lit(""))), F.lit(3)).cast("string")
-    tables = {c: df.drop("STUDYID").withColumn("STUDYID", F.concat(F.lit("ST"), study))
-              for c, df in domains(spark, sf_dir).items()}
+    """Three studies that share subjects, one of them without vital signs and disposition events."""
+    tables = {}
+    for code, df in domains(spark, sf_dir).items():
+        study = F.expr(STUDY_OF[code.lower()].replace("row_id", "row_index"))
+        tables[code] = df.drop("STUDYID").withColumn("STUDYID", F.concat(F.lit("ST"), study.cast("string")))
     return pipeline.validate_job(tables, ("STUDYID",), outliers=False).drop("row_index")
 
 

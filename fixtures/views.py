@@ -5,6 +5,15 @@ Every view has all rows of its source; subjects without rows of a domain are pla
 Domains whose source has a unique key carry it as ``row_id``; the others have no row position.
 """
 
+# The study (0 to 2) of each row when the tables are one job's: a subject's rows are spread over studies, study 2 has
+# no vital signs, and no disposition events either.
+STUDY_OF = {n: "row_id % 3" for n in ("dm", "ae", "cm", "ex", "pr", "qs", "rs")} | {
+    "ds": "CASE WHEN DSCAT = 'DISPOSITION EVENT' THEN row_id % 2 ELSE row_id % 3 END",
+    "vs": "(length(coalesce(VSORRES, '')) + length(coalesce(VSDTC, '')) + length(coalesce(USUBJID, ''))) % 2",
+    "lb": "(length(coalesce(LBORRES, '')) + length(coalesce(USUBJID, ''))) % 3",
+    "eg": "(length(coalesce(EGORRES, '')) + length(coalesce(EGTESTCD, '')) + length(coalesce(USUBJID, ''))) % 3",
+}
+
 DOMAIN_VIEWS = {
     "dm": """
 SELECT c_custkey AS row_id, 'ST' || CAST(c_custkey % 3 AS STRING) AS STUDYID,

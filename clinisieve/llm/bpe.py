@@ -176,9 +176,10 @@ def token_bytes(path: str) -> dict[int, bytes]:
 def tokenized(df: DataFrame, text_col: str, path: str, pattern: str) -> DataFrame:
     """``df`` with ``ids``, the token ids of a text as array<int>, and ``decoded``, the bytes they stand for.
 
-    Null and empty texts give no ids and no bytes.  ``df`` may not have these two columns already.
+    Null and empty texts give no ids and no bytes.  Columns that ``df`` has by these names are replaced.
     Rows are worked on in parts of bounded size, however long the texts.
     """
+    df = df.drop("ids", "decoded")
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

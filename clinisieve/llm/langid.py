@@ -165,8 +165,9 @@ def predictions(df: DataFrame, model: Model, text_col: str = "text", lang_into:
     """``df`` with the predicted language and a score; only the text is looked at.
 
     Texts that are null or without a letter, and all texts if no language was learned, are ``und``
-    with score 0.  ``df`` may not have columns of the two names already.
+    with score 0.  Columns that ``df`` has by the two names are replaced.
     """
+    df = df.drop(lang_into, score_into)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,8 @@
 """Mixing sources to target weights, by prefix sums over hash-random orders.
 
 Every document gets a random key from a hash of its id.  Within its source it falls into one of so
-many equal ranges of keys that a range holds about ``PER_RANGE`` documents; ranges are summed up,
-their sums accumulated per source, and documents accumulated within their range.  So each document
+many equal ranges of keys that a range holds about ``PER_RANGE`` documents, or fewer if they have over
+``WORDS_PER_RANGE`` words; ranges are summed up, their sums accumulated per source, and documents accumulated within their range.  So each document
 knows how many words stand before it in its source, and a source is cut at the exact word where its
 budget ends, after as many whole epochs as the budget holds.  A hot source is many ranges.
 """
@@ -16,6 +16,7 @@ from clinisieve.llm.common import WORD
 from clinisieve.sources.scratch import written
 
 PER_RANGE = 2048
+WORDS_PER_RANGE = 1 << 21
 _KEY_BITS = 60
 
 
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     base = written(base)
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = written(source_targets(sources, weights, share, most).withColumnRenamed("source", "name"))
-    ranges = F.ceil(F.col("n") / PER_RANGE)
+    ranges = F.greatest(F.ceil(F.col("n") / PER_RANGE), F.ceil(F.col("source_size") / WORDS_PER_RANGE))
     in_range = F.floor(F.col("key") / F.lit(float(1 << _KEY_BITS)) * ranges)
     ranged = base.join(targets, F.col("source").eqNullSafe(F.col("name"))).withColumn("range", in_range)
     sums = ranged.groupBy("number", "range").agg(F.sum("size").alias("range_size"))

@@ -275,13 +275,13 @@ def with_pseudonyms(df: DataFrame, text_col: str = "text", key: str = KEY, inver
     """``df`` with the pseudonyms in the text, and with ``kinds`` the array of what was replaced, in order.
 
     ``inverse`` turns the pseudonyms of the same key back.  Null texts stay null and texts without
-    a valid value unchanged.  All other columns stay, whatever their names; ``kinds`` must be new.
+    a valid value unchanged.  All other columns stay, whatever their names, but for one named as ``kinds`` says, which is replaced.
 
     Limits: dates are those of 1904 to 2099 in ten characters; a value may by chance be its own
     pseudonym (for dates one in 71,589).
     """
     text = F.col(f"`{text_col}`")
-    names = [c for c in df.columns]
+    names = [c for c in df.columns if c.lower() != (kinds or "").lower()]
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     one = pattern()
     found = F.when(F.coalesce(text.rlike("[0-9@]"), F.lit(False)), F.regexp_extract_all(text, F.lit(one), F.lit(0))).otherwise(F.array().cast("array<string>"))

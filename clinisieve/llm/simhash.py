@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinisieve.llm.common import fresh, group_starts, runs_of, signed, texts_as_bytes
+from clinisieve.llm.common import group_starts, runs_of, signed, texts_as_bytes
 from clinisieve.llm.components import components
 from clinisieve.sources.scratch import written
 
@@ -136,7 +136,14 @@ def near_groups(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: str
     fingerprint zero and are linked like any other.  Repeated rows stay and share their component.
     Other columns are not looked at, whatever their names.  An empty table gives an empty table.
     """
-    marked = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fingerprint")))
+    found = _grouped(docs, width, max_bits, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "fingerprint", "component_id", "component")
+
+
+def _grouped(docs: DataFrame, width: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fingerprint, text_hash, component_id, component) of every row."""
+    marked = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fingerprint"),
+                                 F.xxhash64(text_col).alias("text_hash")))
     classes = written(marked.groupBy("fingerprint").agg(F.min("id").alias("first")))
     roots = components(near_links(classes.select("fingerprint"), max_bits))
     rooted = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
@@ -144,7 +151,7 @@ def near_groups(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: str
     rooted = written(rooted)
     least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "component").select("fingerprint", "component", "component_id")
-    return marked.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id", "component")
+    return marked.join(named, "fingerprint").select("id", "fingerprint", "text_hash", "component_id", "component")
 
 
 def one_per_group(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,15 +161,11 @@ def one_per_group(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: st
     columns' hash); a component whose ids are all null keeps one row the same way.  All columns of
     ``docs`` are returned unchanged.
     """
-    groups = near_groups(docs, width, max_bits, id_col, text_col)
-    root, key = fresh(docs, "component"), fresh(docs, "key")
-    heads = groups.groupBy(F.col("component").alias(root)).agg(F.min(id_col).alias(key))
-    # A head's id may stand on rows of other texts too; only rows of the component's fingerprints compete.
-    prints = groups.select(F.col("component").alias(root), F.col(id_col).alias(key), F.col("fingerprint").alias("_fp")).distinct()
-    wanted = heads.join(prints, (heads[root] == prints[root]) & heads[key].eqNullSafe(prints[key]), "inner").select(
-        heads[root], heads[key], "_fp")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.join(wanted, F.col(f"row.`{id_col}`").eqNullSafe(F.col(key)))
-    own = joined.where(fingerprint(F.col(f"row.`{text_col}`"), width) == F.col("_fp"))
+    groups = _grouped(docs, width, max_bits, id_col, text_col)
+    heads = groups.groupBy("component").agg(F.min("id").alias("head"))
+    # A head's id may stand on rows of other texts too, and null ids on any; only rows of the component's own texts compete.
+    wanted = groups.join(heads, "component").where("id <=> head").select("component", "head", "text_hash").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("own_hash"))
+    own = rows.join(wanted, F.col(f"row.`{id_col}`").eqNullSafe(F.col("head")) & (F.col("own_hash") == F.col("text_hash")))
     order = F.struct(F.col(f"row.`{text_col}`"), F.xxhash64("row"))
-    return own.groupBy(root).agg(F.min_by("row", order).alias("row")).select("row.*")
+    return own.groupBy("component").agg(F.min_by("row", order).alias("row")).select("row.*")

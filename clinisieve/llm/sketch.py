@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinisieve.llm.common import BLANKS, LAST_ID, WORD
+from clinisieve.llm.common import BLANKS, LAST_ID, fresh
 
 K = 128
 WIDTH = 5
@@ -22,14 +22,15 @@ def with_sketch(df: DataFrame, text: Column, into: str, k: int = K, width: int =
     """Add the sketch of a text as array<bigint>.
 
     Shingles are ``width`` neighbouring words; a shorter text is one shingle, a text that is null or
-    has no word has an empty sketch.  Equal texts have equal sketches.
+    has no word has an empty sketch.  Equal texts have equal sketches.  A column of that name is replaced.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()]
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
     # Each step is a column of its own and used more than once, so that Spark works it out once per row.
-    hashed = df.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("_words"))
-    w = F.col("_words")
+    name = fresh(df, "words")
+    hashed = df.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias(name))
+    w = F.col(name)
     rolled = F.transform(F.sequence(F.lit(0), F.size(w) - width),
                          lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]))
     shingles = F.when(F.size(w) >= width, rolled).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))

@@ -81,3 +81,9 @@ def test_query_against_the_library(spark, both):
         ids = both[1].encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_columns_of_the_same_names_are_replaced(spark, both):
+    docs = spark.createDataFrame([(1, "one two", "x", "y")], "doc_id bigint, text string, ids string, Decoded string")
+    got = bpe.tokenized(docs, "text", PATH, P.PATTERN)
+    assert got.columns == ["doc_id", "text", "ids", "decoded"] and got.first().ids == both[1].encode_ordinary("one two")

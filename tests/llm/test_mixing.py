@@ -95,3 +95,10 @@ def test_empty_table_and_no_words(spark):
     assert {(r.size, r.taken, r.target) for r in mixing.mix(blank).collect()} == {(0, 0, 0.0)}
     with pytest.raises(ValueError):
         mixing.mix(blank, share=3.0)
+
+
+def test_ranges_of_few_words(spark, monkeypatch):
+    rows = awkward()
+    whole = sorted(map(repr, mixing.mix(frame(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "WORDS_PER_RANGE", 50)
+    assert sorted(map(repr, mixing.mix(frame(spark, rows)).collect())) == whole

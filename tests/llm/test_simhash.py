@@ -112,3 +112,17 @@ def test_sorted_runs_survive_batch_borders():
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(range(a, b))], ["k", "v"]) for a, b in ((0, 1), (1, 4), (4, 4), (4, 8))]
     runs = [c[0].tolist() for c in runs_of(iter(batches), 1)]
     assert sum(runs, []) == keys and all(set(a).isdisjoint(b) for a, b in zip(runs, runs[1:]))
+
+
+def test_many_rows_without_id(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdefghijklmnop") * 3 for _ in range(40)) for _ in range(60)]
+    rows = [(None, t, "en", "a", 1, "", 0, "", 0) for t in texts] * 2
+    got = [r.text for r in simhash.one_per_group(frame(spark, rows)).collect()]
+    prints = {t: plain(t) for t in texts}
+    items = sorted(set(prints.values()))
+    root = roots(items, [(a, b) for a in items for b in items if a < b and (a ^ b).bit_count() <= 3])
+    least = {}
+    for t, p in prints.items():
+        least[root[p]] = min(t, least.get(root[p], t))
+    assert sorted(got) == sorted(least.values())

@@ -83,3 +83,9 @@ def test_query(spark):
     by_text = {}
     texts = dict(docs)
     assert all(by_text.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint for r in got)
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 5)], "doc_id bigint, text string, _words string, Sketch int")
+    got = sketch.with_sketch(docs, F.col("text"), "sketch")
+    assert got.columns == ["doc_id", "text", "_words", "sketch"] and len(got.first().sketch) == 2

@@ -164,7 +164,9 @@ def one_per_group(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: st
     groups = _grouped(docs, width, max_bits, id_col, text_col)
     heads = groups.groupBy("component").agg(F.min("id").alias("head"))
     # A head's id may stand on rows of other texts too, and null ids on any; only rows of the component's own texts compete.
-    wanted = groups.join(heads, "component").where("id <=> head").select("component", "head", "text_hash").distinct()
+    own_id = heads.withColumnRenamed("component", "root")
+    wanted = groups.join(own_id, (F.col("component") == F.col("root")) & F.col("id").eqNullSafe(F.col("head"))).select(
+        "component", "head", "text_hash").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("own_hash"))
     own = rows.join(wanted, F.col(f"row.`{id_col}`").eqNullSafe(F.col("head")) & (F.col("own_hash") == F.col("text_hash")))
     order = F.struct(F.col(f"row.`{text_col}`"), F.xxhash64("row"))

@@ -5,6 +5,9 @@ gives characters per token, the share of tokens that are bytes of characters the
 and the entropy of the tokens.  What is usual differs by language, and the entropy also by length, so
 the bands beyond which a text is rejected come from all documents of its language and size (tokens
 by powers of two): median and median deviation, from sketches that merge, wider for texts of few tokens.
+The fewer texts a language has of a size, the more its neighbouring sizes count, brought to this size by
+the steps from size to size; the fewer it has at all, the more those steps come from all languages.
+Only the level of the entropy, which length governs, leans on other languages, and only if a language has a few texts in all.
 Text with symbols strewn in falls short of both usual fertility and entropy, so their summed deviation
 has a band of its own.
 """
@@ -12,13 +15,13 @@ has a band of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
-from operator import and_
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +38,14 @@ JOINT_WIDTH = 4.5
 SLACK = 4.0
 #: Least deviation of each measure, so that a language whose texts are all alike keeps a band.
 FLOORS = {"chars_per_token": 0.03, "fallback_share": 0.01, "entropy": 0.012}
-#: A language with fewer judged texts of a size is held to the bands of all languages at that size, and
-#: a size with fewer texts to the bands of all texts.
+#: What is known of a language and size from elsewhere counts as much as this many texts of its own, at most.
 MIN_GROUP = 50
+#: As how many texts of a language the level of the entropy in all languages counts.
+LEAN = 5
+#: How much less each size further away counts.
+DECAY = 0.25
+#: More than the powers of two that any text's tokens reach.
+SIZES = 64
 MEMO = 200_000
 MEMO_LENGTH = 64
 MEASURES = ("chars_per_token", "fallback_share", "entropy")
@@ -164,23 +172,123 @@ def size_class() -> Column:
     return F.greatest(F.lit(5), F.floor(F.log2("n_tokens"))).cast("int")
 
 
-def bands(judged: DataFrame, by: list[str], suffix: str) -> DataFrame:
-    """(by..., then for each measure its median and deviation) of the groups with enough texts."""
-    middles = judged.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, 0.5, 1000).alias(f"{m}_mid") for m in MEASURES])
-    middles = middles.where(F.col("n") >= MIN_GROUP).withColumnsRenamed({c: f"{c}{suffix}" for c in by})
-    keys = [f"{c}{suffix}" for c in by]
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)])
-    apart = [F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, 1000).alias(f"{m}_mad") for m in MEASURES]
-    spread = judged.join(middles, same).groupBy(*keys, *[f"{m}_mid" for m in MEASURES]).agg(*apart)
-    return spread.select(*keys, *[F.struct(F.col(f"{m}_mid").alias("mid"), F.greatest(
-        F.col(f"{m}_mad") * 1.4826, F.lit(FLOORS[m])).alias("deviation")).alias(f"{m}{suffix}") for m in MEASURES])
+def blend(own: np.ndarray, weight: np.ndarray | float, prior: np.ndarray | float, evidence: np.ndarray | float) -> np.ndarray:
+    """Between a value by ``weight`` texts and a prior by ``evidence`` texts, of which ``MIN_GROUP`` count at most; both by their cubes.
 
+    So a few odd texts hardly move the prior, and a wrong prior hardly moves many texts.
+    """
+    w, e = np.power(weight, 3), np.power(np.minimum(evidence, MIN_GROUP), 3)
+    return (w * own + e * prior) / np.maximum(w + e, 1e-300)
+
+
+def nearby(values: np.ndarray, weights: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the mean of the values at the other places, near ones first, and how many texts speak for it."""
+    decayed = np.where(places[:, None] == places, 0.0, weights * DECAY ** np.abs(places[:, None] - places))
+    evidence = decayed.sum(axis=1)[:, None]
+    return decayed @ values / np.maximum(evidence, 1e-300), evidence
+
+
+def told(n: np.ndarray | Column, m: np.ndarray | Column) -> np.ndarray | Column:
+    """How many texts speak for the step between groups of n and m texts."""
+    return n * m / (n + m)
 
-def band_of_all(judged: DataFrame) -> dict[str, tuple[float, float]]:
-    """Median and deviation of each measure over all texts: two numbers each."""
-    middle = judged.agg(*[F.percentile_approx(m, 0.5, 1000).alias(m) for m in MEASURES]).first()
-    apart = judged.agg(*[F.percentile_approx(F.abs(F.col(m) - F.lit(middle[m])), 0.5, 1000).alias(m) for m in MEASURES]).first()
-    return {m: (middle[m] or 0.0, max((apart[m] or 0.0) * 1.4826, FLOORS[m])) for m in MEASURES}
+
+def shape_of_all(groups: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """(for each size the sum of the languages' steps of each measure to the next size, the texts that speak for them, level of the entropy).
+
+    Each language counts with ``MIN_GROUP`` texts of a size at most; a row for each size reaches the driver.
+    """
+    following = Window.partitionBy("grp").orderBy("cls")
+    pair = F.least(F.lit(MIN_GROUP), told(F.col("n"), F.lead("n").over(following)))
+    ahead = F.when(F.lead("cls").over(following) == F.col("cls") + 1, pair * pair / MIN_GROUP)
+    steps = groups.select("cls", F.least("n", F.lit(MIN_GROUP)).alias("w"), "entropy", ahead.alias("ahead"), *[
+        (F.lead(m).over(following) - F.col(m)).alias(f"{m}_step") for m in MEASURES])
+    rows = steps.groupBy("cls").agg(F.sum("w"), F.sum(F.col("w") * F.col("entropy")), F.coalesce(F.sum("ahead"), F.lit(0.0)), *[
+        F.coalesce(F.sum(F.col("ahead") * F.col(f"{m}_step")), F.lit(0.0)) for m in MEASURES]).collect()
+    table = np.zeros((SIZES, 3 + len(MEASURES)))
+    for row in rows:
+        table[row[0]] = row[1:]
+    sums, spoken, texts = table[:, 3:], table[:, 2], table[:, 0]
+    height = heights(usual_steps(sums, spoken, sums, spoken))[:, MEASURES.index("entropy")]
+    return sums, spoken, float((table[:, 1] - texts * height).sum() / max(texts.sum(), 1))
+
+
+def usual_steps(sums: np.ndarray, spoken: np.ndarray, all_sums: np.ndarray, all_spoken: np.ndarray) -> np.ndarray:
+    """The mean step from each size, the fewer texts speak for it the more like the steps of all texts at the sizes nearby."""
+    near, _ = nearby(all_sums / np.maximum(all_spoken, 1e-300)[:, None], all_spoken, np.arange(SIZES))
+    evidence = (all_spoken.sum() - all_spoken)[:, None]
+    near = blend(near, evidence, 0.0, MIN_GROUP)
+    return blend(sums / np.maximum(spoken, 1e-300)[:, None], spoken[:, None], near, MIN_GROUP)
+
+
+def heights(step: np.ndarray) -> np.ndarray:
+    """The sum of the steps up to each size."""
+    return np.concatenate([np.zeros((1, step.shape[1])), np.cumsum(step, axis=0)[:-1]])
+
+
+def middles_of(cls: np.ndarray, n: np.ndarray, medians: np.ndarray, shape: tuple) -> np.ndarray:
+    """What is usual for the sizes of one language, by its medians (a row for each size, in order) and the shape of all languages."""
+    sums, spoken, level = shape
+    pairs = np.flatnonzero(np.diff(cls) == 1)
+    weight, change = np.zeros(SIZES), np.zeros((SIZES, len(MEASURES)))
+    weight[cls[pairs]] = told(n[pairs], n[pairs + 1])
+    change[cls[pairs]] = medians[pairs + 1] - medians[pairs]
+    put = np.square(np.minimum(weight, MIN_GROUP)) / MIN_GROUP  # by this language into the sums
+    others = spoken - put
+    rest = np.where(others > 1e-6, others, 0.0)
+    shared = usual_steps(np.where(rest[:, None] > 0, sums - put[:, None] * change, 0.0), rest, sums, spoken)
+    step = blend(change, weight[:, None], shared, MIN_GROUP)
+    prior, evidence, height_of_all = np.zeros(medians.shape), np.zeros((len(cls), 1)), heights(usual_steps(sums, spoken, sums, spoken))[cls]
+    for i, c in enumerate(cls):
+        # A size's own median speaks for itself, and not again in the steps that lead to it.
+        leading = step.copy()
+        leading[c - 1:c + 1] = shared[c - 1:c + 1]
+        height = heights(leading)
+        found, by = nearby(medians - height[cls], n, cls)
+        prior[i], evidence[i] = found[i] + height[c], by[i]
+    evidence = np.repeat(evidence, len(MEASURES), axis=1)
+    at = MEASURES.index("entropy")
+    prior[:, at] = blend(prior[:, at], n.sum() - n, level + height_of_all[:, at], LEAN)
+    evidence[:, at] += LEAN
+    return blend(medians, n[:, None].astype(float), prior, evidence)
+
+
+def bands(judged: DataFrame) -> DataFrame:
+    """(grp_own, cls_own, then for each measure a struct of what is usual and the deviation) of every language and size among the texts.
+
+    The deviation is that of the group's texts and, as ``MIN_GROUP`` texts, that of its size in all
+    languages, each text's from the median of its own group, times how much more the language's texts deviate.
+    """
+    medians = [F.percentile_approx(m, 0.5, 1000).alias(m) for m in MEASURES]
+    groups = written(judged.groupBy("grp", "cls").agg(F.count(F.lit(1)).cast("double").alias("n"), *medians))
+    shape = shape_of_all(groups)
+
+    def middles(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cls")
+        found = middles_of(rows["cls"].to_numpy(), rows["n"].to_numpy(), rows[list(MEASURES)].to_numpy(float), shape)
+        return pd.DataFrame({"grp_own": rows["grp"], "cls_own": rows["cls"], **{f"{m}_mid": found[:, i] for i, m in enumerate(MEASURES)}})
+    usual = written(groups.groupBy("grp").applyInPandas(middles, "grp_own string, cls_own int, " + ", ".join(f"{m}_mid double" for m in MEASURES)))
+    medians = groups.select(F.col("grp").alias("grp_own"), F.col("cls").alias("cls_own"), *[F.col(m).alias(f"{m}_median") for m in MEASURES])
+    same = F.col("grp").eqNullSafe(F.col("grp_own")) & (F.col("cls") == F.col("cls_own"))
+    apart = judged.join(medians, same).select("grp_own", "cls_own", *[F.abs(F.col(m) - F.col(f"{m}_median")).alias(m) for m in MEASURES])
+    spread = written(apart.cube("grp_own", "cls_own").agg(F.grouping_id().alias("over"), F.count(F.lit(1)).cast("double").alias("n"), *[F.greatest(
+        F.percentile_approx(m, 0.5, 1000) * 1.4826, F.lit(FLOORS[m])).alias(m) for m in MEASURES]))
+    # The bits of grouping_id tell what was not grouped by: 1 is a language, 2 a size, 3 all texts.
+    every = spread.where("over = 3").select(F.col("n").alias("n_all"), *[F.col(m).alias(f"{m}_all") for m in MEASURES])
+    sized = spread.where("over = 2").select(F.col("cls_own").alias("cls_sized"), F.col("n").alias("n_sized"), *[F.col(m).alias(f"{m}_sized") for m in MEASURES])
+    lang = spread.where("over = 1").select(F.col("grp_own").alias("grp_lang"), F.col("n").alias("n_lang"), *[F.col(m).alias(f"{m}_lang") for m in MEASURES])
+    own = spread.where("over = 0").drop("over").join(usual.withColumnsRenamed({"grp_own": "grp_mid", "cls_own": "cls_mid"}), F.col("grp_own").eqNullSafe(
+        F.col("grp_mid")) & (F.col("cls_own") == F.col("cls_mid")))
+    joined = own.join(lang, F.col("grp_own").eqNullSafe(F.col("grp_lang"))).join(sized, F.col("cls_own") == F.col("cls_sized")).crossJoin(every)
+
+    def mean(value: Column, n: Column, prior: Column) -> Column:
+        return (n ** 3 * value + MIN_GROUP ** 3 * prior) / (n ** 3 + MIN_GROUP ** 3)
+
+    def deviation(m: str) -> Column:
+        all_ = F.col(f"{m}_all")
+        prior = mean(F.col(f"{m}_sized"), F.col("n_sized"), all_) * mean(F.col(f"{m}_lang"), F.col("n_lang"), all_) / all_
+        return F.greatest(mean(F.col(m), F.col("n"), prior), F.lit(FLOORS[m]))
+    return joined.select("grp_own", "cls_own", *[F.struct(F.col(f"{m}_mid").alias("mid"), deviation(m).alias("deviation")).alias(f"{m}_own") for m in MEASURES])
 
 
 def verdicts(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
@@ -195,14 +303,9 @@ def verdicts(docs: DataFrame, path: str, text_col: str = "text", lang_col: str =
     measured = measures(chosen, path, "text", ("id", "grp"))
     measured = written(measured.withColumn("base_failed", base_failed()).withColumn("cls", size_class()))
     judged = measured.where("NOT base_failed").select("grp", "cls", *MEASURES)
-    own, sized, everyone = bands(judged, ["grp", "cls"], "_own"), bands(judged, ["cls"], "_sized"), band_of_all(judged)
-    joined = (measured.join(own, F.col("grp").eqNullSafe(F.col("grp_own")) & (F.col("cls") == F.col("cls_own")), "left")
-              .join(sized, F.col("cls") == F.col("cls_sized"), "left"))
-    off = {}
-    for m in MEASURES:
-        fallback = F.struct(F.lit(everyone[m][0]).alias("mid"), F.lit(everyone[m][1]).alias("deviation"))
-        band = F.coalesce(f"{m}_own", f"{m}_sized", fallback)
-        off[m] = (F.col(m) - band["mid"]) / band["deviation"]
+    own = bands(judged)
+    joined = measured.join(own, F.col("grp").eqNullSafe(F.col("grp_own")) & (F.col("cls") == F.col("cls_own")), "left")
+    off = {m: (F.col(m) - F.col(f"{m}_own")["mid"]) / F.col(f"{m}_own")["deviation"] for m in MEASURES}
     reach = 1 + F.lit(SLACK) / F.sqrt(F.greatest(F.lit(1), "n_tokens"))
     inside = off["chars_per_token"] + off["entropy"] >= -JOINT_WIDTH * reach
     for m in MEASURES:

@@ -114,3 +114,33 @@ def test_query(spark):
     assert len(got) == len(texts_of)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_base(texts_of[r.doc_id])
+
+
+def prose(rnd, vocab, n):
+    return " ".join(rnd.choice(vocab) for _ in range(n))
+
+
+def test_rare_languages_and_sizes_are_held_to_their_own_language(spark):
+    rnd = random.Random(10)
+    common = ["".join(rnd.choice("tha ing ent er on re".split()) for _ in range(rnd.randint(1, 3))) for _ in range(300)]
+    rare = ["".join(rnd.choice("qz xk vj wq kz".split()) for _ in range(rnd.randint(1, 3))) for _ in range(300)]
+    made = []
+    for lang, vocab, sizes in (("en", common, [40, 80, 160, 320, 640] * 60), ("qx", rare, [40, 80, 160] * 4), ("en", common, [3000] * 6)):
+        made += [(lang, prose(rnd, vocab, n + rnd.randrange(n // 4))) for n in sizes]
+    strange = [("en", prose(rnd, common[:20], 2500)), ("en", " ".join(rnd.choice(common) + "ſʃ" for _ in range(3000))),
+               ("qx", prose(rnd, "qz xk vj wq kz qzxk vjwq".split(), 120))]
+    rows = [(i, text, lang, "a", 1, "", 0, "", 0) for i, (lang, text) in enumerate(made + strange)]
+    got = {r.doc_id: r for r in quality.verdicts(frame(spark, rows), PATH).collect()}
+    assert not any(got[i].base_failed for i in range(len(rows)))
+    assert all(got[i].kept for i, (lang, _) in enumerate(made) if lang == "qx")
+    assert all(got[i].kept for i in range(len(made) - 6, len(made)))
+    assert not any(got[i].kept for i in range(len(made), len(rows)))
+
+
+def test_a_group_weighs_more_with_each_text():
+    shape = (np.full((quality.SIZES, 3), -25.0), np.full(quality.SIZES, 500.0), 0.9)
+    cls, medians = np.array([7, 8]), np.array([[2.0, 0.0, 0.8], [3.0, 0.0, 0.6]])
+    found = [quality.middles_of(cls, np.array([400.0, n]), medians, shape)[1, 0] for n in (1, 10, 49, 50, 51, 1000, 10**6)]
+    assert found == sorted(found) and found[0] < 2.1 and found[-1] > 2.99 and found[4] - found[2] < 0.05
+    alone = quality.middles_of(np.array([7]), np.array([2.0]), medians[:1], shape)
+    assert np.allclose(alone[0, :2], medians[0, :2])  # no other language's

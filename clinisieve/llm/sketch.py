@@ -101,8 +101,8 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], per_range: int =
     """Add ``next_<c>`` for each column: its value in the row that follows by ascending id.
 
     The row after the last is the first one.  Null ids come last; rows of one id are ordered by
-    ``columns``.  Rows are dealt into ranges of ids of about equal size, at most ten for each shuffle partition; the first row of each range
-    also visits the range before it, so every row meets its follower without a sort in one task.
+    ``columns``.  Rows are dealt into ranges of ids of about equal size, at most ten for each shuffle partition; the rows of each range's
+    smallest id also visit the last range before it that has rows, so every row meets its follower without a sort in one task.
     """
     spark = docs.sparkSession
     place = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST_ID))
@@ -112,10 +112,15 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], per_range: int =
     bounds = _bounds(ids, max(1, min(rows // per_range, 10 * partitions))) or [0]
     placed = docs.select(F.col(f"`{id_col}`").alias("_id"), place.alias("_place"), *[F.col(f"`{c}`") for c in columns])
     placed = placed.withColumn("_range", _range_of(F.col("_place"), bounds))
-    array = F.array(*[F.lit(b).cast("bigint") for b in bounds])
+    # A bound is an estimate, worked out in doubles, so it need not be an id; a range may even be empty.
+    found = {r[0]: r[1] for r in placed.groupBy("_range").agg(F.min("_place")).collect()}
+    held = sorted(found)
+    visits = {r: held[i - 1] for i, r in enumerate(held)}
+    least = F.array(*[F.lit(found.get(i)).cast("bigint") for i in range(len(bounds))])
+    earlier = F.array(*[F.lit(visits.get(i)).cast("int") for i in range(len(bounds))])
     here = F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest"))
-    before = F.struct(F.pmod(F.col("_range") - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("guest"))
-    seats = F.when(F.get(array, F.col("_range")) == F.col("_place"), F.array(here, before)).otherwise(F.array(here))
+    before = F.struct(F.get(earlier, F.col("_range")).alias("range"), F.lit(1).alias("guest"))
+    seats = F.when(F.get(least, F.col("_range")) == F.col("_place"), F.array(here, before)).otherwise(F.array(here))
     seated = placed.select("*", F.explode(seats).alias("_seat")).drop("_range")
     order = Window.partitionBy("_seat.range").orderBy("_seat.guest", "_place", *[F.col(f"`{c}`") for c in columns])
     followed = seated.select("_id", "_seat", *columns, *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])

@@ -36,6 +36,17 @@ def test_next_crosses_ranges(spark):
     assert sketch.with_next(frame(spark, []), "doc_id", ["text"]).count() == 0
 
 
+def test_next_of_ids_beyond_the_doubles(spark):
+    rnd = random.Random(11)
+    for ids in ([rnd.randrange(-2**63, 2**63 - 1) for _ in range(500)], [2**60 + i for i in range(500)], [2**62 + i for i in range(250)] + [-2**62 - i for i in range(250)]):
+        rows = [(i, f"text {i}", "en", "a", 1, "", 0, "", 0) for i in ids]
+        got = sketch.with_next(frame(spark, rows).repartition(5), "doc_id", ["text"], per_range=10).collect()
+        order = sorted(ids)
+        following = dict(zip(order, [*order[1:], order[0]], strict=True))
+        assert sorted(r.doc_id for r in got) == order
+        assert all(r.next_text == f"text {following[r.doc_id]}" for r in got)
+
+
 def shingles(text, width=5):
     words = text.split()
     return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()

@@ -20,15 +20,23 @@ KEY = "change this key"
 
 # The forms of the identifiers, in the order in which they are tried.
 _NO_DIGIT_BEFORE, _NO_DIGIT_AFTER = r"(?<![0-9])(?<![0-9]\.)", r"(?!\.?[0-9])"
+#: Characters of the IBANs of a country, which tell where one that is printed in groups of four ends.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV SD", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_GROUPED_IBAN = "|".join(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+                         for n, countries in _IBAN_LENGTHS.items())
+_GROUPED_CARD = r"[0-9]{4}(?: [0-9]{4}){3}"
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|" + _GROUPED_IBAN + r")(?![A-Za-z0-9])",
     "ip": _NO_DIGIT_BEFORE + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _NO_DIGIT_AFTER,
     "date": _NO_DIGIT_BEFORE + r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})" + r"(?![0-9])(?![-/.][0-9])",
     "ssn": r"(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
     "phone": r"(?<![0-9+])(?:(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+[0-9]{1,3}[ .-])?[0-9]{3}-[0-9]{3}-[0-9]{4}"
-             r"|\+[0-9]{8,15}|\+[0-9]{1,3}(?: [0-9]{2,4}){3,5})(?![0-9])",
+             r"|\+[0-9]{8,15}|\+[0-9]{1,3}(?:(?!(?: " + _GROUPED_CARD + r")+(?! ?[0-9])) [0-9]{2,4}){3,5}(?<!" + "[0-9] ?" * 15 + r"[0-9]))(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -145,13 +153,23 @@ def _iban_rest(value: Column) -> Column:
 
 
 def _iban(key: str, m: Column, inverse: bool) -> Column:
-    """Country and letters stay, digits of the account are permuted, the check digits follow."""
+    """Country, letters and blanks stay, digits of the account are permuted, the check digits follow."""
+    bare = F.regexp_replace(m, " ", "")
+
     def checked(body: Column) -> Column:
         country = F.substring(m, 1, 2)
         check = F.lpad((F.lit(98) - _iban_rest(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
         return F.concat(country, check, body)
-    account = F.substring(m, F.lit(5), F.length(m))
-    return F.when(checked(account) == m, _let(_refill(account, _string(key, "iban", _only_digits(account), (_DIGITS,), inverse)), checked))
+    account = F.substring(bare, F.lit(5), F.length(bare))
+    refilled = _refill(account, _string(key, "iban", _only_digits(account), (_DIGITS,), inverse))
+    return F.when(checked(account) == bare, _refill(m, _only_digits(_let(refilled, checked))))
+
+
+def _card_within(key: str, m: Column, inverse: bool) -> Column:
+    """What looks like an IBAN in groups of four and is none, with the pseudonym of a card in it; null without one."""
+    form = r"(?<![0-9])" + _GROUPED_CARD + r"(?![0-9])"
+    inner = F.regexp_extract(m, form, 0)
+    return F.when(inner != "", _let(_card(key, inner, inverse), lambda c: F.regexp_replace(m, F.lit(form), c)))
 
 
 def _ip(key: str, m: Column, inverse: bool) -> Column:
@@ -267,7 +285,10 @@ def pseudonym(match: Column, key: str = KEY, inverse: bool = False) -> Column:
         value = F.lit(None).cast("string")
         for name in reversed(FORMS):
             value = F.when(kind == name, _KINDS[name](key, match, inverse)).otherwise(value)
-        return _let(value, lambda v: F.struct(F.when(v.isNotNull(), kind).alias("kind"), v.alias("value")))
+        def told(v: Column) -> Column:
+            within = F.when(v.isNull() & (kind == "iban"), _card_within(key, match, inverse))
+            return _let(within, lambda c: F.struct(F.when(v.isNotNull(), kind).when(c.isNotNull(), F.lit("card")).alias("kind"), F.coalesce(v, c).alias("value")))
+        return _let(value, told)
     return _let(kind_of(match), of)
 
 
@@ -277,8 +298,9 @@ def with_pseudonyms(df: DataFrame, text_col: str = "text", key: str = KEY, inver
     ``inverse`` turns the pseudonyms of the same key back.  Null texts stay null and texts without
     a valid value unchanged.  All other columns stay, whatever their names, but for one named as ``kinds`` says, which is replaced.
 
-    Limits: dates are those of 1904 to 2099 in ten characters; a value may by chance be its own
-    pseudonym (for dates one in 71,589).
+    Limits: dates are those of 1904 to 2099 in ten characters; IBANs in groups of four are those of the
+    countries listed; a value that overlaps the end of an earlier match that is not valid is not
+    found; a value may by chance be its own pseudonym (for dates one in 71,589).
     """
     text = F.col(f"`{text_col}`")
     names = [c for c in df.columns if c.lower() != (kinds or "").lower()]

@@ -132,6 +132,26 @@ def test_neighbours_and_edges(spark):
     assert got[0][0].split()[0] == got[1][0]
 
 
+def test_groups_of_four_and_values_after_a_phone(spark):
+    rnd = random.Random(12)
+    grouped = lambda v: " ".join(v[i:i + 4] for i in range(0, len(v), 4))
+    a, b = grouped(card(rnd)), grouped(card(rnd, first="5"))
+    ibans = [grouped(v) for v in ("DE89370400440532013000", iban(rnd), iban(rnd, "BE", 12), iban(rnd, "FR", 23), iban(rnd, "NO", 11), "GB82WEST12345698765432")]
+    texts = ["+1 555 123 4567 4111 1111 1111 1111", f"call +1 555 123 4567 {a} {b}.", f"+44 20 7946 0958 {a}", "+1 555 123 4567 1234 12 34", f"+1 555 123 4567 {a.replace(' ', '')}"]
+    kinds = [["phone", "card"], ["phone", "card", "card"], ["phone", "card"], ["phone"], ["phone", "card"]]
+    texts += [f"to {v} THE bank, {v}." for v in ibans] + ["DE12 4111 1111 1111 1111 00", f"DE89 3704 0044 0532 0130 00 {a}"]
+    kinds += [["iban", "iban"]] * len(ibans) + [["card"], ["iban", "card"]]
+    got = run(spark, texts)
+    assert [got[i][1] for i in range(len(texts))] == kinds
+    for i, text in enumerate(texts):
+        assert SHAPE(got[i][0]) == SHAPE(text) and "4111 1111" not in got[i][0] and a not in got[i][0]
+    for i, v in enumerate(ibans, 5):
+        one, two = re.fullmatch(r"to (.*) THE bank, (.*)\.", got[i][0]).groups()
+        assert one == two != v and valid("iban", one.replace(" ", ""))
+    back = run(spark, [got[i][0] for i in range(len(texts))], inverse=True)
+    assert [back[i][0] for i in range(len(texts))] == texts
+
+
 def test_awkward_rows_and_all_columns(spark):
     rows = awkward()
     docs = frame(spark, rows)

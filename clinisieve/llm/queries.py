@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinisieve.llm import bpe, fixity, langid, licenses, mixing, pii, quality, repeats, simhash, sketch
+from clinisieve.llm import bpe, fixity, langid, licenses, manifest, mixing, pii, quality, repeats, simhash, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,8 +139,62 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = {"n_chars": F.col("n_chars") + F.when(hit, 1).otherwise(0)}
+    found = manifest.manifest(_read(spark, sf_dir, "documents"), tampered=tampered)
+    path = F.col("path")
+    found = found.withColumn("folded_root", manifest.folded(F.col("tampered_leaf"), path))
+    return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(path).alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(({v})::VARCHAR) || ':' || ({v})::VARCHAR, '-')" for v in values) + ")"
+
+
+#: DuckDB has no crc32, so it is worked out bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)::BIGINT[]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+OP12_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql(f"n_chars + CASE WHEN {_CRC_SQL} % 7 = 0 THEN 1 ELSE 0 END")} AS tampered,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, {_leaf_sql("n_chars")}) - 1 AS pos FROM documents),
+nodes AS (
+  SELECT lang, 0 AS level, pos AS idx, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(string_agg(d, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 2),
+subroots AS (
+  SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_nodes AS (
+  SELECT 0 AS level, pos AS idx, subroot AS d, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(d, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM upper_nodes WHERE n > 1 GROUP BY level, idx // 2),
+steps AS (
+  SELECT l.lang, l.pos, 0 AS phase, a.level, a.idx % 2 = 1 AS is_right, s.d AS sibling
+  FROM leaves l JOIN nodes a ON a.lang IS NOT DISTINCT FROM l.lang AND a.n > 1 AND a.idx = l.pos >> a.level
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM a.lang AND s.level = a.level AND s.idx = xor(a.idx, 1)
+  UNION ALL
+  SELECT l.lang, l.pos, 1, a.level, a.idx % 2 = 1, s.d
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN upper_nodes a ON a.n > 1 AND a.idx = r.pos >> a.level
+  LEFT JOIN upper_nodes s ON s.level = a.level AND s.idx = xor(a.idx, 1)),
+paths AS (
+  SELECT lang, pos, list(CASE WHEN is_right THEN 'L' ELSE 'R' END || coalesce(sibling, '') ORDER BY phase, level) AS path,
+         sha256(string_agg(coalesce(sibling, ''), '' ORDER BY phase, level)) AS proof FROM steps GROUP BY lang, pos),
+folded AS (
+  SELECT l.doc_id, l.leaf, r.subroot, (SELECT d FROM upper_nodes WHERE n = 1) AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+         list_reduce(list_prepend(l.tampered, coalesce(p.path, [])),
+           lambda digest, s: sha256(CASE WHEN s[1] = 'L' THEN substr(s, 2) || digest ELSE digest || substr(s, 2) END)) AS folded_root
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 for _query in (op1_pii_pseudonyms, op2_simhash_near_dedup, op3_document_fingerprints, op4_quality_rules, op5_suffix_array_dedup,
-               op6_merkle_fixity, op7_byte_bpe, op8_license_scans, op9_language_id, op10_mixing):
+               op6_merkle_fixity, op7_byte_bpe, op8_license_scans, op9_language_id, op10_mixing, op12_merkle_manifest):
     QUERIES[_query.__name__] = _query
 ORACLE["op6_merkle_fixity"] = OP6_SQL
 ORACLE["op10_mixing"] = OP10_SQL
+ORACLE["op12_merkle_manifest"] = OP12_SQL

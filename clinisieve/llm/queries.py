@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinisieve.llm import bpe, fixity, langid, licenses, manifest, mixing, pii, quality, repeats, simhash, sketch
+from clinisieve.llm import bpe, fixity, langid, licenses, manifest, mixing, negatives, pii, quality, repeats, simhash, sketch, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,6 +139,30 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
+OP11_SQL = """
+WITH clean AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM clean a JOIN clean b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     tampered = {"n_chars": F.col("n_chars") + F.when(hit, 1).otherwise(0)}
@@ -192,9 +216,21 @@ folded AS (
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """
 
+WORD_FILE = "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    found = tokencount.token_counts(docs.select("doc_id", n_bytes.alias("n_bytes"), "text"), "text", public_tokenizers.path(WORD_FILE))
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 for _query in (op1_pii_pseudonyms, op2_simhash_near_dedup, op3_document_fingerprints, op4_quality_rules, op5_suffix_array_dedup,
-               op6_merkle_fixity, op7_byte_bpe, op8_license_scans, op9_language_id, op10_mixing, op12_merkle_manifest):
+               op6_merkle_fixity, op7_byte_bpe, op8_license_scans, op9_language_id, op10_mixing, op11_hard_negatives, op12_merkle_manifest, op13_token_counts):
     QUERIES[_query.__name__] = _query
 ORACLE["op6_merkle_fixity"] = OP6_SQL
 ORACLE["op10_mixing"] = OP10_SQL
+ORACLE["op11_hard_negatives"] = OP11_SQL
 ORACLE["op12_merkle_manifest"] = OP12_SQL

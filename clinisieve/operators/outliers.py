@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clinisieve.findings import ANOMALY, COLUMNS, finding_columns, source_text
 from clinisieve.operators.features import FEATURES, evidence_list
-from clinisieve.operators.quantiles import exact_quantiles
+from clinisieve.operators.joins import lookup_join
+from clinisieve.operators.quantiles import exact_quantiles, grouped_quantile
 from clinisieve.operators.rules import ROW_INDEX
 from clinisieve.sources.scratch import written
 
@@ -25,6 +28,8 @@ TREES, SAMPLE, SEED, CONTAMINATION, MIN_ROWS = 100, 256, 42, 0.05, 10
 EULER = 0.5772156649015329
 OVERSAMPLE = 4
 COPIES_AT_ONCE = 1 << 16
+#: Trees of a study that one task grows, and rows of a study that one task scores, on average.
+BAND, PART = 10, 1 << 17
 
 ROW_HASH = "_row_hash"
 TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double"
@@ -45,6 +50,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _salts() -> np.ndarray:
+    """A number per tree, which its ranks of the rows hang on."""
+    return _mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
+
+
 def imputed(df: DataFrame, columns: list[str]) -> dict[str, Column]:
     """Each column with its nulls replaced by its median, or by 0 where it has no value at all."""
     medians = exact_quantiles(df, columns, 0.5)
@@ -66,7 +76,7 @@ def _sample(df: DataFrame, columns: list[str], rows: int, sample: int = SAMPLE)
     """
     share = 1.0 if rows <= OVERSAMPLE * sample else OVERSAMPLE * sample / rows
     limit = np.uint64(min(share * 2.0 ** 64, 2.0 ** 64 - 2.0 ** 12))
-    salts = _mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
+    salts = _salts()
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,21 +154,26 @@ def forest_score(forest: pd.DataFrame, rows: int, spark: SparkSession):
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for series in parts:
             x = np.column_stack([s.to_numpy(dtype=float) for s in series])
-            total = np.zeros(len(x))
-            for feature, threshold, left, right, length in shared.value:
-                node = np.zeros(len(x), dtype=np.int64)
-                inner = np.arange(len(x)) if feature[0] >= 0 else np.arange(0)
-                while len(inner):
-                    here = node[inner]
-                    goes_left = x[inner, feature[here]] <= threshold[here]
-                    node[inner] = np.where(goes_left, left[here], right[here])
-                    inner = inner[feature[node[inner]] >= 0]
-                total += length[node]
-            yield pd.Series(-np.exp2(-(total / len(shared.value)) / usual))
+            yield pd.Series(_scores(x, shared.value, usual))
 
     return score
 
 
+def _scores(x: np.ndarray, trees: list[tuple[np.ndarray, ...]], usual: float) -> np.ndarray:
+    """The scores of rows in a forest of (feature, threshold, left, right, length) per tree."""
+    total = np.zeros(len(x))
+    for feature, threshold, left, right, length in trees:
+        node = np.zeros(len(x), dtype=np.int64)
+        inner = np.arange(len(x)) if feature[0] >= 0 else np.arange(0)
+        while len(inner):
+            here = node[inner]
+            goes_left = x[inner, feature[here]] <= threshold[here]
+            node[inner] = np.where(goes_left, left[here], right[here])
+            inner = inner[feature[node[inner]] >= 0]
+        total += length[node]
+    return -np.exp2(-(total / len(trees)) / usual)
+
+
 def detect_outliers(df: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
     """Add ``score``, and ``anomaly``: 1 where the score is under the given quantile, else 0.
 
@@ -181,6 +196,118 @@ def detect_outliers(df: DataFrame, contamination: float = CONTAMINATION) -> Data
     return scored.withColumn("anomaly", (F.col("score") < F.lit(cut)).cast("int"))
 
 
+# --- many studies at once ---------------------------------------------------------------------------
+
+STUDY = "_study"
+_TREES = "feature array<int>, threshold array<double>, left array<int>, right array<int>, length array<double>"
+
+
+def study_key(scope: tuple[str, ...]) -> Column:
+    """A text per study that is never null."""
+    return F.to_json(F.struct(*scope))
+
+
+def _study_medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(study, a median per column): null where a study has no value."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns]))
+    long = df.select(STUDY, values.alias("x")).select(STUDY, "x.name", "x.value")
+    medians = grouped_quantile(long, [STUDY, "name"], "value", 0.5, "median")
+    return medians.groupBy(STUDY).agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"_median_{c}") for c in columns])
+
+
+def _study_samples(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(study, band, hash, features): the rows that some tree of a band may sample, each once per band.
+
+    The choice is that of a study by itself; rows of other studies do not matter.
+    """
+    salts = _salts().reshape(-1, BAND)
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = batch[ROW_HASH].to_numpy().astype(np.int64).view(np.uint64)
+            share = np.minimum(1.0, OVERSAMPLE * SAMPLE / batch["_rows"].to_numpy(dtype=float))
+            limits = np.minimum(share * 2.0 ** 64, 2.0 ** 64 - 2.0 ** 12).astype(np.uint64)
+            copies = batch["_copies"].to_numpy()
+            ends = np.cumsum(copies)
+            for start in range(0, int(ends[-1]) if len(ends) else 0, COPIES_AT_ONCE):
+                number = np.arange(start, min(start + COPIES_AT_ONCE, int(ends[-1])))
+                at = np.searchsorted(ends, number, side="right")
+                own = _mix(hashes[at] + _mix((number - (ends - copies)[at]).astype(np.uint64) + np.uint64(1)))
+                for band, band_salts in enumerate(salts):
+                    chosen = np.flatnonzero((_mix(own[:, None] ^ band_salts) <= limits[at][:, None]).any(axis=1))
+                    out = batch[[STUDY, *columns]].iloc[at[chosen]].reset_index(drop=True)
+                    out.insert(1, "band", np.int32(band))
+                    out.insert(2, "own", own[chosen].view(np.int64))
+                    yield out
+
+    schema = f"{STUDY} string, band int, own bigint, " + ", ".join(f"`{c}` double" for c in columns)
+    counted = df.groupBy(STUDY, "_rows", *columns).agg(F.count(F.lit(1)).alias("_copies"))
+    return counted.select(STUDY, "_rows", F.xxhash64(*columns).alias(ROW_HASH), *columns, "_copies").mapInPandas(candidates, schema)
+
+
+def study_forests(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(study, tree, arrays of its nodes), a row per tree, grown in one task per study and band of trees."""
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, values = pdf["own"].to_numpy().view(np.uint64), pdf[columns].to_numpy(dtype=float)
+        salts, out = _salts(), []
+        for tree in range(int(key[1]) * BAND, (int(key[1]) + 1) * BAND):
+            ranks = _mix(own ^ salts[tree])
+            nearest = _smallest(ranks, SAMPLE)
+            nodes = _grow(values[nearest[np.argsort(ranks[nearest], kind="stable")]], np.random.default_rng([SEED, tree]))
+            out.append((key[0], tree, *(list(c) for c in list(zip(*nodes, strict=True))[1:])))
+        return pd.DataFrame(out, columns=[STUDY, "tree", "feature", "threshold", "left", "right", "length"])
+
+    return _study_samples(df, columns).groupBy(STUDY, "band").applyInPandas(grow, f"{STUDY} string, tree int, {_TREES}")
+
+
+def _study_scores(df: DataFrame, forests: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``score``; a large study is split into parts, each of which gets the study's forest."""
+    def score(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        if rows.num_rows and trees.num_rows:
+            arrays = [[np.asarray(v) for v in trees.column(f"own_{c}").to_pylist()] for c in ("feature", "threshold", "left", "right", "length")]
+            x = np.column_stack([rows.column(c).to_numpy() for c in columns])
+            usual = float(average_path(min(rows.column("_rows")[0].as_py(), SAMPLE)))
+            # In the order of the trees, so that sums of equal rows do not differ between parts.
+            order = np.argsort(trees.column("tree").to_numpy(), kind="stable")
+            scores = pa.array(_scores(x, [tuple(a[i] for a in arrays) for i in order], usual), pa.float64())
+        else:
+            scores = pa.nulls(rows.num_rows, pa.float64())
+        return rows.append_column("score", scores)
+
+    parts = F.ceil(F.col("_rows") / F.lit(PART)).cast("int")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts).cast("int")
+    left = df.withColumn("_part", place)
+    studies = df.groupBy(STUDY).agg(F.first(parts).alias("parts")).withColumnRenamed(STUDY, "study")
+    right = lookup_join(forests.select(F.col(STUDY).alias("study"), "tree", *[
+        F.col(c).alias(f"own_{c}") for c in ("feature", "threshold", "left", "right", "length")]), studies, ["study"], "inner")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    schema = T.StructType([*left.schema.fields, T.StructField("score", T.DoubleType())])
+    return left.groupBy(STUDY, "_part").cogroup(right.groupBy("study", "part")).applyInArrow(score, schema).drop("_part")
+
+
+def detect_study_outliers(df: DataFrame, scope: tuple[str, ...], contamination: float = CONTAMINATION) -> DataFrame:
+    """As :func:`detect_outliers`, for each study that ``scope`` names by itself: its own medians, forest and cut.
+
+    Every step is one job over all studies.  A study's forest is rows of a table that its rows are
+    joined to in parts of bounded size, so neither many studies nor a very large one gathers in one place.
+    Null study columns are a study too.
+    """
+    columns = [f"{c}_num" for c in FEATURES if f"{c}_num" in df.columns]
+    if not columns:
+        return df.withColumn("anomaly", F.lit(0))
+    keyed = df.withColumn(STUDY, study_key(scope))
+    sizes = keyed.groupBy(STUDY).agg(F.count(F.lit(1)).alias("_rows"))
+    known = lookup_join(lookup_join(keyed, sizes, [STUDY], "inner"), _study_medians(keyed, columns), [STUDY], "left")
+    inputs = [f"_input_{c}" for c in columns]
+    filled = [F.coalesce(F.col(c), F.col(f"_median_{c}"), F.lit(0.0)).alias(i) for c, i in zip(columns, inputs, strict=True)]
+    stored = written(known.select(*df.columns, STUDY, "_rows", *filled))
+    forests = written(study_forests(stored.where(F.col("_rows") >= MIN_ROWS), inputs))
+    scored = written(_study_scores(stored, forests, inputs))
+    cuts = grouped_quantile(scored, [STUDY], "score", contamination, "_cut")
+    flagged = lookup_join(scored, cuts, [STUDY], "left")
+    return flagged.select(*df.columns, "score", F.coalesce(F.col("score") < F.col("_cut"), F.lit(False)).cast("int").alias("anomaly"))
+
+
 def outlier_findings(flagged: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """One LOW finding per outlier, naming the features of its row."""
     usubjid = source_text(F.col("USUBJID")) if "USUBJID" in flagged.columns else F.lit("")

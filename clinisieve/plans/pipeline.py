@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clinisieve.findings import COLUMNS, empty_findings, union_findings
 from clinisieve.functions.text import as_texts
@@ -17,7 +14,7 @@ from clinisieve.operators.domains import DOMAINS, missing_columns, row_rules, ta
 from clinisieve.operators.facts import subject_facts, subject_table
 from clinisieve.operators.features import apply_ranges, flagged_features, range_findings, with_texts
 from clinisieve.operators.joins import broadcast_limit, planned_bytes
-from clinisieve.operators.outliers import detect_outliers, outlier_findings
+from clinisieve.operators.outliers import detect_outliers, detect_study_outliers, outlier_findings
 from clinisieve.operators.rules import ROW_INDEX, evaluate
 from clinisieve.sources.files import read_dataset
 from clinisieve.sources.scratch import written
@@ -92,19 +89,6 @@ def validate_all(frames: dict[str, DataFrame], outliers: bool = True) -> DataFra
     return _whole(parts, frames)
 
 
-def study_outliers(features: DataFrame, scope: tuple[str, ...]) -> list[DataFrame]:
-    """The outlier findings of each study: a forest, medians and a cut of its own.
-
-    ``features`` is a stored table.  The studies of a job, a short list, are worked on one after
-    the other, each by distributed jobs of its own.
-    """
-    parts = []
-    for study in features.select(*scope).distinct().orderBy(*scope).collect():
-        own = reduce(and_, [F.col(c).eqNullSafe(F.lit(study[c])) for c in scope])
-        parts.append(outlier_findings(detect_outliers(features.where(own)), scope))
-    return parts
-
-
 def validate_job(frames: dict[str, DataFrame], scope: tuple[str, ...], outliers: bool = True) -> DataFrame:
     """Every finding of many studies in one job; ``scope`` names the columns of a study.
 
@@ -112,7 +96,7 @@ def validate_job(frames: dict[str, DataFrame], scope: tuple[str, ...], outliers:
     """
     parts, features = _rule_findings(non_empty(frames, scope), scope)
     if outliers and features is not None:
-        parts += study_outliers(features, scope)
+        parts.append(outlier_findings(detect_study_outliers(features, scope), scope))
     return _whole(parts, frames, scope)
 
 

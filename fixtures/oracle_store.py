@@ -330,4 +330,10 @@ SQL_SOURCES = sources_sql() | {
         f"SELECT rule_id, count(*) AS n FROM ({sources_sql()['validate_generic_rules']}) f GROUP BY 1 UNION ALL "
         "SELECT 'ANOMALY_001', CAST(ceil(0.05 * (count(*) - 1)) AS BIGINT) FROM customer"),
     "validate_job": job_sql(),
+    "validate_job_counts": (
+        f"SELECT \"STUDYID\", rule_id, count(*) AS n FROM ({job_sql()}) f GROUP BY 1, 2 UNION ALL "
+        f"SELECT 'ST' || ({STUDY_OF['dm']}), 'ANOMALY_001', CAST(ceil(0.05 * (count(*) - 1)) AS BIGINT) FROM ({DOMAIN_VIEWS['dm']}) dm GROUP BY 1"),
+    "anomaly_by_study": (
+        f"WITH {domain_cte('dm')} SELECT CASE WHEN row_id % 62 > 0 THEN 'ST' || (row_id % 62) END AS \"STUDYID\", count(*) AS rows, "
+        "CASE WHEN count(*) < 10 THEN 0 ELSE CAST(ceil(0.05 * (count(*) - 1)) AS BIGINT) END AS flagged FROM dm GROUP BY 1"),
 }

@@ -372,13 +372,30 @@ register("dataset_sample", lambda s, d: analytics.dataset_sample(view(s, d, "ae"
 
 # --- whole jobs over many studies, and the outlier cut ---------------------------------------------------
 
-def _validate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _job_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Three studies that share subjects, one of them without vital signs and disposition events."""
     tables = {}
     for code, df in domains(spark, sf_dir).items():
         study = F.expr(STUDY_OF[code.lower()].replace("row_id", "row_index"))
         tables[code] = df.drop("STUDYID").withColumn("STUDYID", F.concat(F.lit("ST"), study.cast("string")))
-    return pipeline.validate_job(tables, ("STUDYID",), outliers=False).drop("row_index")
+    return tables
+
+
+def _validate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.validate_job(_job_tables(spark, sf_dir), ("STUDYID",), outliers=False).drop("row_index")
+
+
+def _job_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pipeline.validate_job(_job_tables(spark, sf_dir), ("STUDYID",))
+    return found.groupBy("STUDYID", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _outliers_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects dealt to 61 studies and one without a name."""
+    frame = features.flagged_features(_frame_domains(spark, sf_dir))
+    studies = frame.withColumn("STUDYID", F.when(F.col("row_index") % 62 > 0, F.concat(F.lit("ST"), (F.col("row_index") % 62).cast("string"))))
+    found = outliers.detect_study_outliers(scratch.written(studies), ("STUDYID",))
+    return found.groupBy("STUDYID").agg(F.count(F.lit(1)).alias("rows"), F.sum("anomaly").alias("flagged"))
 
 
 def _outlier_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,4 +422,6 @@ register("validate_all_counts", lambda s, d: _counts(pipeline.validate_all(domai
 register("validate_generic_counts", lambda s, d: _counts(pipeline.validate_generic(files.read_generic(s, docs.generic_csv(s, d)))),
          st.SQL_SOURCES["validate_generic_counts"])
 register("validate_job", _validate_job, st.SQL_SOURCES["validate_job"])
+register("validate_job_counts", _job_counts, st.SQL_SOURCES["validate_job_counts"])
+register("anomaly_by_study", _outliers_by_study, st.SQL_SOURCES["anomaly_by_study"])
 register("anomaly_count_invariant", _outlier_share, st.SQL_SOURCES["anomaly_count_invariant"])

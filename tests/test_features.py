@@ -155,6 +155,49 @@ def test_each_study_of_a_job_has_its_own_outliers(spark):
     assert 17 in alone["ST2"]
 
 
+def _studies(spark, sizes, seed=11):
+    """Rows of many studies, each with one far-off subject at its end."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for study, n in sizes.items():
+        for i in range(n):
+            far = 5000.0 if i == n - 1 else 0.0
+            rows.append((len(rows), study, float(rng.normal(45, 15)) if i % 7 else None, float(rng.normal(125, 12)) + far, float(rng.choice([0, 50, 100]))))
+    return written(features.apply_ranges(spark.createDataFrame(rows, "row_index bigint, STUDYID string, AGE double, SYSBP double, DOSE double").repartition(3)))
+
+
+def test_grouped_forests_equal_a_forest_per_study(spark, monkeypatch):
+    monkeypatch.setattr(outliers, "PART", 150)  # the large study is scored in several parts
+    df = _studies(spark, {"A": 700, "B": 9, None: 40, "D": 10, "E": 1})
+    found = outliers.detect_study_outliers(df, ("STUDYID",))
+    assert found.columns == [*df.columns, "score", "anomaly"]
+    rows = found.collect()
+    assert len(rows) == 760
+    for study in ("A", "B", None, "D", "E"):
+        own = outliers.detect_outliers(written(df.where(F.col("STUDYID").eqNullSafe(F.lit(study)))))
+        assert {r.row_index for r in own.where("anomaly = 1").collect()} == {r.row_index for r in rows if r.STUDYID == study and r.anomaly}
+    assert {r.STUDYID for r in rows if r.anomaly} == {"A", None, "D"}
+
+
+def test_studies_without_values_and_without_rows(spark):
+    df = features.apply_ranges(spark.createDataFrame([(i, f"S{i % 2}", None, None) for i in range(40)], "row_index bigint, STUDYID string, AGE double, SYSBP double"))
+    assert {r.anomaly for r in outliers.detect_study_outliers(df, ("STUDYID",)).collect()} == {0}
+    assert outliers.detect_study_outliers(df.where("false"), ("STUDYID",)).collect() == []
+    assert outliers.detect_study_outliers(df.drop("AGE", "AGE_num", "SYSBP", "SYSBP_num"), ("STUDYID",)).where("anomaly = 1").isEmpty()
+
+
+def test_the_number_of_jobs_does_not_depend_on_the_studies(spark):
+    def jobs(studies):
+        df = _studies(spark, {f"S{i}": 12 for i in range(studies)})
+        spark.sparkContext.setJobGroup(f"studies-{studies}", "")
+        try:
+            outliers.detect_study_outliers(df, ("STUDYID",)).count()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"studies-{studies}"))
+    assert abs(jobs(2) - jobs(40)) <= 2  # stages that adaptive execution may or may not merge
+
+
 def test_precision_recall_and_share_on_a_planted_cohort(spark):
     """300 subjects, three features, 5 % planted outliers: about 90 % precision and recall."""
     rng = np.random.default_rng(7)

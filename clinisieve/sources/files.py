@@ -12,7 +12,7 @@ from clinisieve.functions.values import nulls_from_tokens
 from clinisieve.operators.domains import DOMAINS
 from clinisieve.operators.features import REQUIRED
 from clinisieve.operators.rules import ROW_INDEX
-from clinisieve.sources import dataset_json
+from clinisieve.sources import csv_records, dataset_json
 from clinisieve.sources.rowid import with_row_index
 
 # The formats that are accepted; a file name that says nothing is taken for JSON.
@@ -26,14 +26,21 @@ def with_format(df: DataFrame, filename: str, given: str) -> DataFrame:
         "allowed", F.col("format").isin(*FORMATS))
 
 
-def read_csv(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
+# Missing values and empty texts are read alike; a doubled quote inside quotes is one.
+CSV_OPTIONS = dict(escape='"', nullValue="", emptyValue="")
+
+
+def read_csv(spark: SparkSession, path: str | list[str], multiline: bool | None = None) -> DataFrame:
     """A CSV table as texts, "no value" texts as nulls, rows numbered in file order.
 
-    ``multiline`` is for files with line breaks inside quotes; such files cannot be split.
+    A file may have line breaks inside quotes, and is read in pieces either way.  Unless ``multiline`` says
+    whether there are any, a pass over the files looks for a line that leaves a quote open.
     """
-    options = dict(header=True, inferSchema=False, multiLine=multiline, escape='"', enforceSchema=False,
-                   nullValue="", emptyValue="")
-    raw = spark.read.options(**options).csv(path)
+    if multiline is None:
+        multiline = csv_records.has_breaks_in_quotes(spark, path)
+    if multiline:
+        return nulls_from_tokens(csv_records.read_records(spark, path, CSV_OPTIONS))
+    raw = spark.read.options(header=True, inferSchema=False, enforceSchema=False, **CSV_OPTIONS).csv(path)
     return nulls_from_tokens(with_row_index(raw))
 
 
@@ -97,7 +104,11 @@ def read_dataset(spark: SparkSession, path: str, file_format: str, domain: str
     return table, found.drop(dataset_json.DOC)
 
 
-def csv_row_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows per CSV file."""
+def csv_row_counts(spark: SparkSession, path: str | list[str], multiline: bool | None = None) -> DataFrame:
+    """Rows per CSV file; ``multiline`` as for :func:`read_csv`."""
+    if multiline is None:
+        multiline = csv_records.has_breaks_in_quotes(spark, path)
+    if multiline:
+        return csv_records.record_counts(spark, path)
     rows = spark.read.options(header=True, inferSchema=False, escape='"').csv(path)
     return rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("row_count"))

@@ -305,6 +305,15 @@ def _scan_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_csv(spark, docs.csv_copy(view(spark, sf_dir, "ae"), "row_index"))
 
 
+def _scan_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as CSV fields, with their line breaks and quotes, read in pieces shorter than many of them."""
+    path = docs.csv_copy(base(spark, sf_dir, "documents").select("doc_id", "lang", "text", "source"), "doc_id", drop=False)
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    small.conf.set("spark.sql.files.openCostInBytes", "65536")
+    return files.read_csv(small, path)
+
+
 def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "csv")
     view(spark, sf_dir, "dm").write.partitionBy("STUDYID").options(**sinks.CSV_OPTIONS).csv(path)
@@ -327,6 +336,7 @@ def _dm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 READERS = {
     "scan_domain": _scan_domain,
+    "scan_breaks": _scan_breaks,
     "scan_generic": lambda s, d: files.read_generic(s, docs.generic_csv(s, d)),
     "validate_generic_rules": lambda s, d: pipeline.validate_generic(
         files.read_generic(s, docs.generic_csv(s, d)), outliers=False),

@@ -1,13 +1,15 @@
 import json
 import os
+import random
 
+import pandas as pd
 import pytest
 
 from clinisieve.findings import COLUMNS, empty_findings, union_findings
 from clinisieve.operators.domains import validate_domain
 from clinisieve.plans import pipeline
 from clinisieve.sources import dataset_json as dj
-from clinisieve.sources import files, form_export, logs, rowid, sinks
+from clinisieve.sources import csv_records, files, form_export, logs, rowid, sinks
 
 
 def write(path, text):
@@ -35,6 +37,53 @@ def test_positions_hold_over_split_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+FIELDS = ["plain", '"a\nb"', '"a ""q"" b"', '"x\n\n\ny"', '5" x', '""', '"ends""\n"', '"\r\nin"', '" ,\n,"', 'a"b',
+          '"' + "\n".join(f"line {k}, z" for k in range(90)) + '"', '"""\n"""', '"\n"']
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_breaks_in_quotes_at_the_borders_of_pieces(spark, tmp_path, seed):
+    rnd, want = random.Random(seed), []
+    for f in range(2):
+        out = "ID,TEXT,N\n" if f or seed < 2 else '"ID",TEXT,N\r\n'
+        for i in range(60):
+            out += f"{f * 100 + i},{rnd.choice(FIELDS)},{i}" + rnd.choice(["\n", "\n", "\r\n"] if seed else ["\n"]) + rnd.choice(["", "", "\n", "  \n"])
+        (tmp_path / f"f{f}.csv").write_bytes(out.encode())
+        frame = pd.read_csv(tmp_path / f"f{f}.csv", dtype=str, keep_default_na=False)
+        want += [tuple(x or None for x in r) for r in frame.itertuples(index=False)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        pieces = csv_records.pieces_of(csv_records.lines_of(spark, str(tmp_path)))
+        assert pieces.count() > 8 and pieces.where("entry").count() > 1
+        got = files.read_csv(spark, str(tmp_path)).orderBy("row_index").collect()
+        assert [(r.ID, r.TEXT, r.N) for r in got] == want
+        assert [r.row_index for r in got] == list(range(len(want)))
+        assert [r.row_count for r in files.csv_row_counts(spark, str(tmp_path)).collect()] == [60, 60]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_records_without_rows_and_open_ends(spark, tmp_path):
+    write(tmp_path / "a.csv", 'A,"B\nC"\n')
+    assert files.read_csv(spark, str(tmp_path)).columns == ["A", "B\nC", "row_index"] and files.read_csv(spark, str(tmp_path)).count() == 0
+    write(tmp_path / "a.csv", 'A,B\n1,2\n3,"never\nshut\n')
+    assert [(r.A, r.row_index) for r in files.read_csv(spark, str(tmp_path)).orderBy("row_index").collect()] == [("1", 0), ("3", 1)]
+    write(tmp_path / "b.csv", 'A,C\n1,"x\ny"\n')
+    with pytest.raises(ValueError, match="different headers"):
+        files.read_csv(spark, str(tmp_path))
+    assert csv_records.header_names('x,"",X,y') == ["x0", "_c1", "X2", "y"]
+
+
+def test_a_break_in_a_study_file_is_no_row(spark, tmp_path, hits):
+    write(tmp_path / "dm.csv", "STUDYID,USUBJID,SEX,RFSTDTC\nA,S1,M,2024-01-01\n")
+    write(tmp_path / "ae.csv", 'USUBJID,AETERM,AESTDTC\nS1,"Rash\non the arm",2024-01-01\nS1,Cough,2024-01-02\n')
+    frames = files.read_study(spark, str(tmp_path))
+    assert frames["AE"].count() == 2
+    assert not [h for h in hits(pipeline.validate_all(frames, outliers=False)) if h[0] in ("SDTM_AE_002", "X_DMLINK_AE_001")]
+
+
 def test_parquet_positions(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.range(1000).repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(path)

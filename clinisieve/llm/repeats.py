@@ -38,8 +38,6 @@ LENGTH = 50
 SEED_LENGTH = 16
 #: Rows of one seed name that a task compares with each other; beyond, all of them go on to level 3.
 HELD = 1 << 16
-_PLACES = 31
-_TAG_BITS = 20
 _SIDE = 10
 #: What a code says of a seed: settled, or open to its right, its left, or both.
 SETTLED, RIGHT, LEFT = 0, 1, 2
@@ -121,15 +119,15 @@ def seeds(data: np.ndarray, length: int, seed_length: int) -> tuple[np.ndarray,
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (name, around, id, at) of (id, tag, text); ``at`` is negative if settled here, else the place, with the tag above it."""
+    """Rows (name, around, id, at, tag) of (id, tag, text); ``at`` is the place, or -1 less the place if settled here."""
     for batch in batches:
-        columns: list[list[np.ndarray]] = [[], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], []]
         for part in slices(batch, 2):
             for doc_id, tag, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_as_bytes(part.column(2)), strict=True):
                 name, around, place = seeds(np.frombuffer(text, np.uint8), length, seed_length)
-                for column, x in zip(columns, (name, around, np.full(len(place), doc_id), place | tag << _PLACES), strict=True):
+                for column, x in zip(columns, (name, around, np.full(len(place), doc_id), place, np.full(len(place), tag)), strict=True):
                     column.append(x)
-        name, around, ids, at = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
+        name, around, ids, at, tags = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
         if not len(name):
             continue
         name, around = name.view(np.int64), around.view(np.int64)
@@ -139,10 +137,10 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], length: int, seed_length: int)
         settled = np.empty(len(order), bool)
         settled[order] = ids[order] > first
         # What is settled needs no partner any more; it goes along, dealt by its document.
-        name = np.where(settled, ids * 31 + 7, name)
+        name = np.where(settled, ids * 31 + 7 + tags, name)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(name), pa.array(np.where(settled, 0, around)), pa.array(ids), pa.array(np.where(settled, -1 - at, at))],
-            ["name", "around", "id", "at"])
+            [pa.array(name), pa.array(np.where(settled, 0, around)), pa.array(ids), pa.array(np.where(settled, -1 - at, at)), pa.array(tags)],
+            ["name", "around", "id", "at", "tag"])
 
 
 def _shared(side: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -156,9 +154,13 @@ def _shared(side: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tag, code) from rows sorted by name, surroundings, id: settled seeds, and open ones that may share a window."""
+    """(id, tag, code) from rows sorted by name, surroundings, id: settled seeds, and open ones that may share a window.
+
+    Without a column of tags they are 0.
+    """
     before = None
-    for name, around, ids, at in runs_of(batches, 1, HELD):
+    for name, around, ids, at, *rest in runs_of(batches, 1, HELD):
+        tags = rest[0] if rest else np.zeros(len(ids), np.int64)
         done = at < 0
         at = np.where(done, -1 - at, at)
         starts = group_starts([name, around])
@@ -177,8 +179,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = right * RIGHT + left * LEFT
         sides_open = np.where(later | done, 0, open_[which])
         kept = later | done | (sides_open > 0)
-        code = (at & ((1 << _PLACES) - 1)) << 2 | sides_open
-        yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(at[kept] >> _PLACES), pa.array(code[kept])], ["id", "tag", "code"])
+        code = at << 2 | sides_open
+        yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(tags[kept]), pa.array(code[kept])], ["id", "tag", "code"])
 
 
 def _covered(begin: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
@@ -238,24 +240,26 @@ def _side_rows(batches: Iterator[pa.RecordBatch], length: int, seed_length: int)
                         start = place - first
                         data = bytes(max(0, -start)) + text[max(0, start):place - last + length]
                         about = text[place:place + seed_length + half] if side == RIGHT else text[max(0, place - half):place + seed_length]
-                        row = (signed(xxhash.xxh64_intdigest(about, side)), doc_id, tag << _PLACES | place, side << 16 | (low - start) << 8 | (high - start),
-                               data.ljust(first - last + length, b"\0"))
-                        for column, x in zip(out, row, strict=False):
+                        row = (signed(xxhash.xxh64_intdigest(about, side)), doc_id, place, side << 16 | (low - start) << 8 | (high - start),
+                               data.ljust(first - last + length, b"\0"), tag)
+                        for column, x in zip(out, row, strict=True):
                             column.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["side", "id", "at", "bounds", "data"])
+                    [*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary()), pa.array(out[5], pa.int64())],
+                    ["side", "id", "at", "bounds", "data", "tag"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> Iterator[pa.RecordBatch]:
-    """(front, back, id, at, n, done) of rows sorted by side and id: n windows from a place on.
+    """(front, back, id, at, n, done, tag) of rows sorted by side and id: n windows from a place on.
 
     Windows that an earlier row of the side has come out as done; others of a side with very many rows
     come one by one, with the names of their halves.
     """
     reaches, half = _reaches(length, seed_length), length // 2
     before = None
-    for side, ids, at, bounds, data in runs_of(batches, 1, HELD):
+    for side, ids, at, bounds, data, *rest in runs_of(batches, 1, HELD):
+        tags = rest[0] if rest else np.zeros(len(ids), np.int64)
         own = group_starts([side])
         rows = np.diff(np.append(own, len(side)))
         cut = rows >= HELD
@@ -290,14 +294,14 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -
             goes_on[1:] = later[1:] & later[:-1] & (owner[1:] == owner[:-1]) & (offset[1:] == offset[:-1] + 1)
             opens = np.flatnonzero(later & ~goes_on)
             runs = np.add.reduceat(later, opens, dtype=np.int64) if len(opens) else opens
-            rest = np.flatnonzero(undecided & ~later)
-            chosen = np.concatenate((opens, rest))
+            others = np.flatnonzero(undecided & ~later)
+            chosen = np.concatenate((opens, others))
             done = np.arange(len(chosen)) < len(opens)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.where(done, ids[owner[chosen]], front.view(np.int64)[chosen])),
                  pa.array(np.where(done, place[chosen], back.view(np.int64)[chosen])), pa.array(ids[owner[chosen]]), pa.array(place[chosen]),
-                 pa.array(np.concatenate((runs, np.ones(len(rest), np.int64))).astype(np.int32)), pa.array(done)],
-                ["front", "back", "id", "at", "n", "done"])
+                 pa.array(np.concatenate((runs, np.ones(len(others), np.int64))).astype(np.int32)), pa.array(done), pa.array(tags[owner[chosen]])],
+                ["front", "back", "id", "at", "n", "done", "tag"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, seed_length: int) -> Iterator[pa.RecordBatch]:
@@ -337,25 +341,25 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         raise ValueError(f"strings must have {2 * SEED_LENGTH} to 255 bytes")
     ids = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST_ID))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    # Rows of one id are told apart by a hash of their texts; where ids are unique, the tag is 0 and costs nothing.
+    # Rows of one id are told apart by a hash of their texts; where ids are unique, no tag is shuffled.
     repeated = not docs.select(ids.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    tag = F.pmod(F.xxhash64(text), F.lit(1 << _TAG_BITS)) if repeated else F.lit(0).cast("bigint")
-    base = docs.select(ids.alias("id"), tag.alias("tag"), text.alias("text"))
+    base = docs.select(ids.alias("id"), (F.xxhash64(text) if repeated else F.lit(0).cast("bigint")).alias("tag"), text.alias("text"))
+    unused = () if repeated else ("tag",)
     sizes = {"length": length, "seed_length": SEED_LENGTH}
-    rows = base.mapInArrow(lambda b: _seed_rows(b, **sizes), "name bigint, around bigint, id bigint, at bigint")
+    rows = base.mapInArrow(lambda b: _seed_rows(b, **sizes), "name bigint, around bigint, id bigint, at bigint, tag bigint").drop(*unused)
     ordered = rows.repartition("name").sortWithinPartitions("name", "around", "id")
     codes = ordered.mapInArrow(_settle, "id bigint, tag bigint, code bigint").groupBy("id", "tag").agg(
         F.array_distinct(F.collect_list("code")).alias("codes"))
     texts = base.mapInArrow(_pack, "id bigint, tag bigint, packed binary")
     told = texts.join(codes, ["id", "tag"], "left").select("id", "tag", "packed", "codes")
-    sides = told.mapInArrow(lambda b: _side_rows(b, **sizes), "side bigint, id bigint, at bigint, bounds bigint, data binary")
+    sides = told.mapInArrow(lambda b: _side_rows(b, **sizes), "side bigint, id bigint, at bigint, bounds bigint, data binary, tag bigint").drop(*unused)
     windows = sides.repartition("side").sortWithinPartitions("side", "id").mapInArrow(
-        lambda b: _compare(b, **sizes), "front bigint, back bigint, id bigint, at bigint, n int, done boolean")
+        lambda b: _compare(b, **sizes), "front bigint, back bigint, id bigint, at bigint, n int, done boolean, tag bigint").drop(*unused)
     first = F.min("id").over(Window.partitionBy("front", "back"))
-    places = F.col("at").bitwiseAND(F.lit((1 << _PLACES) - 1))
     later = windows.withColumn("first", first).where("done OR id > first").select(
-        "id", F.shiftright("at", _PLACES).alias("tag"), (F.shiftleft(places, 8) + F.col("n")).alias("run"))
+        "id", F.col("tag") if repeated else F.lit(0).cast("bigint").alias("tag"), (F.shiftleft("at", 8) + F.col("n")).alias("run"))
     found = later.groupBy("id", "tag").agg(F.collect_set("run").alias("found"))
+    # Rows equal in id and text are one row of ``found`` and ``codes`` each, which all of them take.
     cut = told.join(found, ["id", "tag"], "left").select("id", "tag", "packed", "codes", "found").mapInArrow(
         lambda b: _cut(b, **sizes), "id bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept binary")
     return cut.select(F.nullif("id", F.lit(LAST_ID)).alias(id_col), "n_bytes", "starts", "stops", "kept")

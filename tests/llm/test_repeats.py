@@ -99,3 +99,17 @@ def test_query(spark):
     want = {(i, n, int(g.sum()), len(spans(g)), hashlib.sha256(k).hexdigest()) for i, n, g, k in plain(docs)}
     got = {tuple(r) for r in queries.op5_suffix_array_dedup(spark, sf).collect()}
     assert got == want and sum(x[2] for x in want) > 0
+
+
+@pytest.mark.parametrize("repeated", [None, 77])
+def test_ten_thousand_rows_of_one_id(spark, repeated):
+    """Each text takes its own cuts, though thousands share an id and a passage at one of several places."""
+    rnd = random.Random(1)
+    passage = "".join(rnd.choice("abcdefghij ") for _ in range(80))
+    row = lambda i, t: (i, t, "en", "a", 1, "", 0, "", 0)
+    rows = [row(1, passage)]
+    for n in range(10_000):
+        filler = "".join(rnd.choice("klmnopqrst") for _ in range(rnd.choice([3, 60, 200])))
+        rows.append(row(repeated, filler + passage if n % 2 else passage + filler))
+    rows += [row(2, passage[:60] + "zz")] * 3
+    check(spark, rows, 5)

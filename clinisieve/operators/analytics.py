@@ -26,14 +26,14 @@ def severity_rank(severity: str = "severity") -> Column:
 
 # --- counts -----------------------------------------------------------------------------------
 
-def _severity_counts() -> list[Column]:
+def severity_counts() -> list[Column]:
     return [F.count(F.lit(1)).alias("total"),
             *[F.count_if(F.col("severity") == s).alias(s) for s in vocab.SEVERITIES]]
 
 
 def summary_by_severity(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Total and one column per severity, zeros included; per job or study with ``by``."""
-    return findings.groupBy(*by).agg(*_severity_counts())
+    return findings.groupBy(*by).agg(*severity_counts())
 
 
 def summary_by_domain(findings: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def query_context(findings: DataFrame, jobs: DataFrame, limit: int = CONTEXT_FIN
     of_latest = lookup_join(findings.drop("study_id"), latest, ["job_id"], "inner")
     order = Window.partitionBy("job_id").orderBy("id")
     first = of_latest.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
-    return first.groupBy("study_id", "job_id").agg(*_severity_counts())
+    return first.groupBy("study_id", "job_id").agg(*severity_counts())
 
 
 def job_context(findings: DataFrame, jobs: DataFrame, studies: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clinisieve.findings import COLUMNS, empty_findings, union_findings
 from clinisieve.functions.text import as_texts
-from clinisieve.operators.analytics import summary_by_severity
 from clinisieve.operators.cross import study_checks, study_presence, with_subjects
 from clinisieve.operators.domains import DOMAINS, missing_columns, row_rules, table_findings
 from clinisieve.operators.facts import subject_facts, subject_table
@@ -17,8 +16,8 @@ from clinisieve.operators.joins import broadcast_limit, planned_bytes
 from clinisieve.operators.outliers import detect_outliers, detect_study_outliers, outlier_findings
 from clinisieve.operators.rules import ROW_INDEX, evaluate
 from clinisieve.sources.files import read_dataset
-from clinisieve.sources.scratch import written
-from clinisieve.sources.sinks import append_findings
+from clinisieve.sources.scratch import cleared, written
+from clinisieve.sources.sinks import store_findings
 
 
 def non_empty(frames: dict[str, DataFrame], scope: tuple[str, ...] = ()) -> dict[str, DataFrame]:
@@ -111,20 +110,20 @@ def validate_generic(df: DataFrame, outliers: bool = True) -> DataFrame:
 
 def run_job(spark: SparkSession, datasets: list[tuple[str, str, str]], store: str, *,
             tenant_id: str, job_id: str, study_id: str) -> dict[str, int]:
-    """Validate the files of one job, append the findings to the store, and count them by severity.
+    """Validate the files of one job, store the findings, and count them by severity.
 
-    ``datasets`` lists (domain, format, path); of several files of a domain the last one counts.
+    ``datasets`` lists (domain, format, path); of several files of a domain the last one counts.  A job
+    that is run again replaces its findings; one that fails leaves those of an earlier run.
     """
     frames: dict[str, DataFrame] = {}
     parts: list[DataFrame] = []
-    for domain, file_format, path in datasets:
-        table, found = read_dataset(spark, path, file_format, domain)
-        if table is not None:
-            frames[domain] = table
-        if found is not None:
-            parts.append(found.select(*COLUMNS))
-    if frames:
-        parts.append(validate_all(frames))
-    findings = written(union_findings(parts or [empty_findings(spark)]))
-    append_findings(findings, store, tenant_id, job_id, study_id)
-    return summary_by_severity(findings).first().asDict()
+    with cleared(spark):
+        for domain, file_format, path in datasets:
+            table, found = read_dataset(spark, path, file_format, domain)
+            if table is not None:
+                frames[domain] = table
+            if found is not None:
+                parts.append(found.select(*COLUMNS))
+        if frames:
+            parts.append(validate_all(frames))
+        return store_findings(union_findings(parts or [empty_findings(spark)]), store, tenant_id, job_id, study_id)

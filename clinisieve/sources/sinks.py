@@ -1,14 +1,16 @@
-"""Writing findings: CSV, a partitioned table, and JSON documents."""
+"""Writing findings: CSV, a table with a partition per job, and JSON documents."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clinisieve.findings import COLUMNS
-from clinisieve.operators.analytics import OPEN
+from clinisieve.findings import COLUMNS, SCHEMA
+from clinisieve.operators.analytics import OPEN, severity_counts
+from clinisieve.sources.store import Store
 
 # Values are written as they are; missing and empty texts both as nothing.
 CSV_OPTIONS = dict(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
@@ -30,10 +32,25 @@ def stored_shape(findings: DataFrame, tenant_id: str, job_id: str, study_id: str
         F.lit(OPEN).alias("status"))
 
 
-def append_findings(findings: DataFrame, path: str, tenant_id: str, job_id: str, study_id: str) -> None:
-    """Append to the findings table, which is laid out by tenant and study."""
+def findings_store(path: str) -> Store:
+    """The table of all jobs' findings; a partition per job."""
+    texts = ["tenant_id", "job_id", "study_id"]
+    fields = [*(T.StructField(c, T.StringType()) for c in texts), *SCHEMA.fields,
+              T.StructField("status", T.StringType()), T.StructField("created_at", T.TimestampType())]
+    return Store(path, T.StructType(fields), ("tenant_id", "study_id", "job_id"))
+
+
+def store_findings(findings: DataFrame, path: str, tenant_id: str, job_id: str, study_id: str) -> dict[str, int]:
+    """Store a job's findings in place of those it may have stored before; their counts by severity.
+
+    The counts are taken while the findings are written, so they are read once.
+    """
+    store, counted = findings_store(path), Observation()
     rows = stored_shape(findings, tenant_id, job_id, study_id).withColumn("created_at", F.current_timestamp())
-    rows.write.mode("append").partitionBy("tenant_id", "study_id").parquet(path)
+    store.replace(rows.observe(counted, *severity_counts()))
+    if not counted.get["total"]:  # nothing to put in place of what there was
+        store.remove(findings.sparkSession, tenant_id=tenant_id, job_id=job_id, study_id=study_id)
+    return dict(counted.get)
 
 
 def findings_documents(findings: DataFrame) -> DataFrame:

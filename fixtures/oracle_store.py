@@ -290,6 +290,10 @@ def job_sql() -> str:
 _RECORDS_SQL = f"WITH {domain_cte('dm')} SELECT CAST(row_id AS STRING) AS SEQ, (row_number() OVER (PARTITION BY row_id // 100 ORDER BY row_id)) - 1 AS row_index, USUBJID, SEX, AGE FROM dm"
 _DOC_NUMBERS = "(SELECT DISTINCT c_custkey // 100 AS doc FROM customer)"
 SQL_SOURCES = sources_sql() | {
+    "findings_stored_once": store(
+        "SELECT '7' AS tenant_id, job_id, '01' AS study_id, finding_type, rule_id, severity, domain, field, message, row_index, "
+        "nullif(usubjid, '') AS usubjid, nullif(evidence, '') AS evidence, 'open' AS status "
+        "FROM findings WHERE job_id IN ('J1', 'J4') OR (job_id = 'J2' AND id % 2 = 0)", "findings"),
     "scan_breaks": (
         "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, doc_id::VARCHAR AS doc_id, lang, nullif(text, '') AS text, source FROM documents"),
     "scan_json_list": _RECORDS_SQL,

@@ -14,7 +14,7 @@ from clinisieve.operators import analytics, changes, cross, facts, features, out
 from clinisieve.findings import union_findings
 from clinisieve.operators.domains import DOMAINS, validate_domain
 from clinisieve.plans import pipeline
-from clinisieve.sources import dataset_json, files, form_export, logs, rowid, scratch, sinks
+from clinisieve.sources import dataset_json, files, form_export, logs, rowid, scratch, sinks, store
 from clinisieve.streaming import windows
 from fixtures import documents as docs
 from fixtures import oracle_cross as x
@@ -421,13 +421,43 @@ def _counts(findings: DataFrame) -> DataFrame:
 
 
 def _run_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole job: files read, validated, findings stored, and the store read back."""
-    store = scratch.new_path(spark, "store")
-    pipeline.run_job(spark, docs.uploads(spark, sf_dir), store, tenant_id="T", job_id="J", study_id="S")
-    return _counts(spark.read.parquet(store))
+    """A whole job, run twice as after a lost worker: files read, validated, findings stored, and the store read back."""
+    path, uploads = scratch.new_path(spark, "store"), docs.uploads(spark, sf_dir)
+    for _ in range(2):
+        pipeline.run_job(spark, uploads, path, tenant_id="T", job_id="J", study_id="S")
+    return _counts(sinks.findings_store(path).read(spark))
+
+
+def _stored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of four jobs, two of which run again and find less, or nothing."""
+    found, path = view(spark, sf_dir, "findings"), scratch.new_path(spark, "store")
+    for job, keep in (("J1", "true"), ("J2", "true"), ("J3", "true"), ("J4", "true"), ("J2", "id % 2 = 0"), ("J3", "false")):
+        sinks.store_findings(found.where(f"job_id = '{job}' AND {keep}"), path, "7", job, "01")
+    return sinks.findings_store(path).read(spark).drop("created_at")
+
+
+def _changed_store(table: str, requests: str, by: tuple[str, ...], apply: Callable[[DataFrame, DataFrame], DataFrame],
+                   columns: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table stored, changed in place, and read back."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, asked = view(spark, sf_dir, table), view(spark, sf_dir, requests)
+        stored = store.Store(scratch.new_path(spark, "store"), rows.schema, by)
+        stored.replace(rows)
+        stored.change(asked, lambda own: apply(own, asked))
+        return stored.read(spark).select(*columns)
+    return build
 
 
 register("run_job", _run_job, st.SQL_SOURCES["validate_all_counts"])
+register("findings_stored_once", _stored_once, st.SQL_SOURCES["findings_stored_once"])
+register("store_resolutions", _changed_store(
+    "findings", "requests", ("tenant_id", "study_id", "job_id"), changes.apply_resolutions,
+    ("id", "status", "resolved_by", "resolved_at", "resolution_note")), st.SQL["apply_resolutions"])
+register("store_soft_delete", _changed_store(
+    "studies", "study_edits", ("tenant_id",), lambda own, edits: changes.soft_delete(own, "id", edits), ("id", "status")), st.SQL["soft_delete"])
+register("store_partial_update", _changed_store(
+    "studies", "study_edits", ("tenant_id",), lambda own, edits: changes.partial_update(own, "id", edits),
+    ("id", "title", "phase", "sponsor")), st.SQL["partial_update"])
 register("validate_all_counts", lambda s, d: _counts(pipeline.validate_all(domains(s, d))), st.SQL_SOURCES["validate_all_counts"])
 register("validate_generic_counts", lambda s, d: _counts(pipeline.validate_generic(files.read_generic(s, docs.generic_csv(s, d)))),
          st.SQL_SOURCES["validate_generic_counts"])

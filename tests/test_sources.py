@@ -160,8 +160,8 @@ def test_findings_sinks(spark, table, tmp_path):
     path = sinks.write_csv(found, str(tmp_path / "out"))
     back = spark.read.option("header", True).option("escape", '"').csv(path)
     assert back.columns == COLUMNS and back.count() == 2
-    sinks.append_findings(found, str(tmp_path / "store"), "T", "J", "ST")
-    sinks.append_findings(found, str(tmp_path / "store"), "T", "J2", "ST")
+    sinks.store_findings(found, str(tmp_path / "store"), "T", "J", "ST")
+    sinks.store_findings(found, str(tmp_path / "store"), "T", "J2", "ST")
     stored = spark.read.parquet(str(tmp_path / "store")).filter("tenant_id = 'T' AND study_id = 'ST'")
     assert stored.count() == 4
     assert {(r.usubjid, r.evidence, r.status) for r in stored.collect()} == {("S1", "X", "open"), (None, None, "open")}

@@ -344,22 +344,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     # Rows of one id are told apart by a hash of their texts; where ids are unique, no tag is shuffled.
     repeated = not docs.select(ids.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     base = docs.select(ids.alias("id"), (F.xxhash64(text) if repeated else F.lit(0).cast("bigint")).alias("tag"), text.alias("text"))
-    unused = () if repeated else ("tag",)
+    keys, unused = (["id", "tag"], ()) if repeated else (["id"], ("tag",))
     sizes = {"length": length, "seed_length": SEED_LENGTH}
     rows = base.mapInArrow(lambda b: _seed_rows(b, **sizes), "name bigint, around bigint, id bigint, at bigint, tag bigint").drop(*unused)
     ordered = rows.repartition("name").sortWithinPartitions("name", "around", "id")
-    codes = ordered.mapInArrow(_settle, "id bigint, tag bigint, code bigint").groupBy("id", "tag").agg(
+    codes = ordered.mapInArrow(_settle, "id bigint, tag bigint, code bigint").groupBy(*keys).agg(
         F.array_distinct(F.collect_list("code")).alias("codes"))
     texts = base.mapInArrow(_pack, "id bigint, tag bigint, packed binary")
-    told = texts.join(codes, ["id", "tag"], "left").select("id", "tag", "packed", "codes")
+    told = texts.join(codes, keys, "left").select("id", "tag", "packed", "codes")
     sides = told.mapInArrow(lambda b: _side_rows(b, **sizes), "side bigint, id bigint, at bigint, bounds bigint, data binary, tag bigint").drop(*unused)
     windows = sides.repartition("side").sortWithinPartitions("side", "id").mapInArrow(
         lambda b: _compare(b, **sizes), "front bigint, back bigint, id bigint, at bigint, n int, done boolean, tag bigint").drop(*unused)
     first = F.min("id").over(Window.partitionBy("front", "back"))
     later = windows.withColumn("first", first).where("done OR id > first").select(
-        "id", F.col("tag") if repeated else F.lit(0).cast("bigint").alias("tag"), (F.shiftleft("at", 8) + F.col("n")).alias("run"))
-    found = later.groupBy("id", "tag").agg(F.collect_set("run").alias("found"))
+        *keys, (F.shiftleft("at", 8) + F.col("n")).alias("run"))
+    found = later.groupBy(*keys).agg(F.collect_set("run").alias("found"))
     # Rows equal in id and text are one row of ``found`` and ``codes`` each, which all of them take.
-    cut = told.join(found, ["id", "tag"], "left").select("id", "tag", "packed", "codes", "found").mapInArrow(
+    cut = told.join(found, keys, "left").select("id", "tag", "packed", "codes", "found").mapInArrow(
         lambda b: _cut(b, **sizes), "id bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept binary")
     return cut.select(F.nullif("id", F.lit(LAST_ID)).alias(id_col), "n_bytes", "starts", "stops", "kept")

@@ -15,6 +15,7 @@ from clinisieve.functions.values import clean_sql, literal
 from clinisieve.operators.cross import dm_link, link_rule
 from clinisieve.operators.domains import DOMAINS, duplicate_subjects
 from clinisieve.operators.rules import ROW_INDEX, evaluate
+from clinisieve.sources.large_documents import split_large
 from clinisieve.sources.scratch import written
 
 # The keys a document may keep its item groups under, and the domains looked for.
@@ -97,8 +98,7 @@ def top_level_findings(docs: DataFrame) -> DataFrame:
     """What keeps a document from being read at all, the first such thing only."""
     # Rule, condition, field and message, in the order they are tested.
     checks = [
-        ("DJ_001", "keys IS NULL", "'root'", "Dataset-JSON document must be a JSON object."),
-        ("DJ_000", "doc IS NULL", "'root'", "Document is too large for one value or cannot be parsed; split it by item group."),
+        ("DJ_001", "keys IS NULL OR doc IS NULL", "'root'", "Dataset-JSON document must be a JSON object."),
         ("DJ_002", "root_key IS NULL", "'clinicalData/referenceData'",
          "Document must have a 'clinicalData' or 'referenceData' key."),
         ("DJ_002b", "root IS NULL", "root_key", None),
@@ -145,15 +145,19 @@ def infer_oids(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS) -> D
     return _resolved(docs, domains).select(DOC, "domain", "oid")
 
 
-def _opened_groups(docs: DataFrame, domains: tuple[str, ...]) -> DataFrame:
-    """Item groups with their column names and records, and the fault that keeps one from use."""
+def _opened_groups(docs: DataFrame, domains: tuple[str, ...], chunks: DataFrame | None = None) -> DataFrame:
+    """Item groups with their column names and records, and the fault that keeps one from use.
+
+    A group of a document that was taken apart has a row for each part of its records; ``first`` is the
+    number of a part's first record, ``good`` that of the arrays among those before it.
+    """
     names = (
         "transform(filter(transform(items, (it, i) -> named_struct("
         f"'item', try_variant_get(it, '$', {OBJECT}), 'i', i)), x -> x.item IS NOT NULL), x -> coalesce("
         "nullif(try_variant_get(x.item['name'], '$', 'string'), ''), "
         "nullif(try_variant_get(x.item['OID'], '$', 'string'), ''), concat('COL_', x.i)))"
     )
-    return (
+    opened = (
         _resolved(docs, domains)
         .withColumn("grp", F.expr(f"try_variant_get(groups[oid], '$', {OBJECT})"))
         .withColumn("items", F.expr(f"try_variant_get(grp['items'], '$', {ARRAY})"))
@@ -165,18 +169,34 @@ def _opened_groups(docs: DataFrame, domains: tuple[str, ...]) -> DataFrame:
             "CASE WHEN oid IS NULL THEN 'DJ_110' WHEN grp IS NULL THEN 'DJ_100' "
             "WHEN items IS NULL OR size(items) = 0 THEN 'DJ_101' WHEN records IS NULL THEN 'DJ_102' "
             "WHEN size(names) = 0 THEN 'DJ_104' END"))
-        .select(DOC, "domain", "oid", "oids", "names", "records", "fault")
+        .select(DOC, "domain", "oid", "oids", "names", "records", "fault", F.lit(0).alias("part"),
+                F.lit(0).cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("good"))
     )
-
-
-def opened_groups(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS) -> DataFrame:
-    """The item groups of the domains as a stored table, so that each document is parsed once."""
-    return written(_opened_groups(docs, domains))
+    if chunks is None:
+        return opened
+    # Only documents that were taken apart have chunks, and there a mark is all that an array holds.
+    marked = opened.withColumn("mark", F.expr("try_variant_get(get(records, 0), '$', 'string')"))
+    found = chunks.select(F.col(DOC).alias("_doc"), F.col("mark").alias("_mark"), *[F.col(c).alias(f"_{c}") for c in ("part", "first", "good", "records")])
+    same = (F.col(DOC).cast("string") == F.col("_doc")) & (F.col("mark") == F.col("_mark"))
+    joined = marked.join(found, same, "left").join(chunks.select(F.col(DOC).alias("_apart")).distinct(), F.col(DOC).cast("string") == F.col("_apart"), "left")
+    return joined.select(
+        DOC, "domain", "oid", "oids", "names",
+        F.when(F.col("_records").isNotNull(), F.col("_records")).when(F.col("_apart").isNotNull() & F.col("records").isNotNull(), F.expr(
+            "filter(records, r -> false)")).otherwise(F.col("records")).alias("records"),
+        "fault", *[F.coalesce(f"_{c}", c).alias(c) for c in ("part", "first", "good")])
+
+
+def opened_groups(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS, chunks: DataFrame | None = None) -> DataFrame:
+    """The item groups of the domains as a stored table, so that each document is parsed once.
+
+    ``chunks`` are the records of the documents that :func:`split_large` took apart.
+    """
+    return written(_opened_groups(docs, domains, chunks))
 
 
 def group_findings(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS, opened: DataFrame | None = None) -> DataFrame:
     """Domains that cannot be found or read.  ``opened`` is the documents' :func:`opened_groups`, if there."""
-    faults = (_opened_groups(docs, domains) if opened is None else opened).filter("fault IS NOT NULL")
+    faults = (_opened_groups(docs, domains) if opened is None else opened).filter("fault IS NOT NULL AND part = 0")
     # Field and message of each fault.
     field = F.expr("CASE fault WHEN 'DJ_110' THEN 'domain' WHEN 'DJ_100' THEN 'itemGroupData' "
                    "WHEN 'DJ_102' THEN concat(oid, '.itemData') ELSE concat(oid, '.items') END")
@@ -192,8 +212,9 @@ def group_findings(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS,
 
 def _records(docs: DataFrame, domains: tuple[str, ...], opened: DataFrame | None) -> DataFrame:
     groups = (_opened_groups(docs, domains) if opened is None else opened).filter("fault IS NULL")
-    rows = groups.select(DOC, "domain", "oid", "names", F.posexplode("records").alias(ROW_INDEX, "record"))
-    return rows.withColumn("cells", F.expr(f"try_variant_get(record, '$', {ARRAY})")).drop("record")
+    rows = groups.select(DOC, "domain", "oid", "names", "first", F.posexplode("records").alias("_place", "record"))
+    return rows.withColumn(ROW_INDEX, F.col("first") + F.col("_place")).withColumn(
+        "cells", F.expr(f"try_variant_get(record, '$', {ARRAY})")).drop("record", "first", "_place")
 
 
 def record_findings(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS, opened: DataFrame | None = None) -> DataFrame:
@@ -217,8 +238,8 @@ def rows(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAINS, opened: Da
     cells = F.expr("transform(names, (n, i) -> try_variant_get(get(cells, i), '$', 'string'))")
     good = (_opened_groups(docs, domains) if opened is None else opened).filter("fault IS NULL").withColumn("records", F.expr(
         f"filter(transform(records, r -> try_variant_get(r, '$', {ARRAY})), c -> c IS NOT NULL)"))
-    return good.select(DOC, "domain", "oid", "names", F.posexplode("records").alias(ROW_INDEX, "cells")).select(
-        DOC, "domain", "oid", F.col(ROW_INDEX).cast("bigint").alias(ROW_INDEX),
+    return good.select(DOC, "domain", "oid", "names", "good", F.posexplode("records").alias("_place", "cells")).select(
+        DOC, "domain", "oid", (F.col("good") + F.col("_place")).alias(ROW_INDEX),
         F.col("names").alias(PRESENT), cells.alias("values"))
 
 
@@ -276,10 +297,11 @@ def validate_documents(docs: DataFrame, domains: tuple[str, ...] = DEFAULT_DOMAI
     """Structure, row-rule and link findings of every document, each document on its own.
 
     Both layouts are accepted.  The documents in one layout, their item groups, and the groups' records are
-    each worked out once and written; all rules read those tables.
+    each worked out once and written; all rules read those tables.  A large document is taken apart first, and its records
+    are worked on by many tasks.
     """
-    docs = written(unwrap_envelopes(docs))
-    opened = opened_groups(docs, domains)
+    docs, chunks = split_large(written(unwrap_envelopes(docs)))
+    opened = opened_groups(docs, domains, chunks)
     parts = [top_level_findings(docs), group_findings(docs, domains, opened), record_findings(docs, domains, opened)]
     records = written(rows(docs, domains, opened))
     tables = {code: domain_table(records, code) for code in domains if code in DEFAULT_DOMAINS}

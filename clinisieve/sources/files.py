@@ -13,7 +13,9 @@ from clinisieve.operators.domains import DOMAINS
 from clinisieve.operators.features import REQUIRED
 from clinisieve.operators.rules import ROW_INDEX
 from clinisieve.sources import csv_records, dataset_json
+from clinisieve.sources.large_documents import split_large
 from clinisieve.sources.rowid import with_row_index
+from clinisieve.sources.scratch import written
 
 # The formats that are accepted; a file name that says nothing is taken for JSON.
 FORMATS = ("csv", "json", "dataset-json")
@@ -92,11 +94,11 @@ def read_dataset(spark: SparkSession, path: str, file_format: str, domain: str
         return read_json_records(spark, path), None
     if file_format != "dataset-json":
         return None, None
-    docs = dataset_json.unwrap_envelopes(dataset_json.read_documents(spark, path))
+    docs, chunks = split_large(written(dataset_json.unwrap_envelopes(dataset_json.read_documents(spark, path))))
     broken = dataset_json.top_level_findings(docs)
     if not broken.isEmpty():
         return None, broken.drop(dataset_json.DOC)
-    opened = dataset_json.opened_groups(docs, (domain,))
+    opened = dataset_json.opened_groups(docs, (domain,), chunks)
     found = dataset_json.group_findings(docs, (domain,), opened).unionByName(dataset_json.record_findings(docs, (domain,), opened))
     records = dataset_json.rows(docs, (domain,), opened)
     names = records.select(F.explode(dataset_json.PRESENT)).distinct().collect()  # columns of one file

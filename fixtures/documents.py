@@ -83,6 +83,13 @@ def dataset_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("doc").cast("string").alias("doc_id"), text.alias("text"))
 
 
+def large_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for every five thousand subjects, with some records cut short and some that are no arrays."""
+    items = ",".join(f'{{"OID":"IT.{c}","name":"{c}"}}' for c in DM_COLUMNS)
+    return _group(view(spark, sf_dir, "dm"), 5000, DM_COLUMNS).select(F.col("doc").cast("string").alias("doc_id"), F.concat(
+        F.lit(f'{{"clinicalData":{{"itemGroupData":{{"IG.DM":{{"items":[{items}],"itemData":['), F.col("records"), F.lit("]}}}}")).alias("text"))
+
+
 def mixed_record_files(spark: SparkSession, sf_dir: str, lists_only: bool) -> str:
     """Demographics records as lists, or by turns as lists and wrapped, next to documents without any."""
     dm = view(spark, sf_dir, "dm").select(F.col("row_index").alias("SEQ"), "USUBJID", "SEX", "AGE")

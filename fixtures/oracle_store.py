@@ -290,6 +290,14 @@ def job_sql() -> str:
 _RECORDS_SQL = f"WITH {domain_cte('dm')} SELECT CAST(row_id AS STRING) AS SEQ, (row_number() OVER (PARTITION BY row_id // 100 ORDER BY row_id)) - 1 AS row_index, USUBJID, SEX, AGE FROM dm"
 _DOC_NUMBERS = "(SELECT DISTINCT c_custkey // 100 AS doc FROM customer)"
 SQL_SOURCES = sources_sql() | {
+    "dj_large_rows": (
+        f"WITH {domain_cte('dm')} SELECT CAST(row_id // 5000 AS STRING) AS doc_id, row_number() OVER (PARTITION BY row_id // 5000 "
+        "ORDER BY row_id) - 1 AS row_index, USUBJID, STUDYID, CASE WHEN row_id % 50 <> 3 THEN RFENDTC END AS RFENDTC FROM dm WHERE row_id % 77 <> 5"),
+    "dj_large_findings": (
+        f"WITH {domain_cte('dm')} SELECT doc_id, CASE WHEN row_id % 77 = 5 THEN 'DJ_105' ELSE 'DJ_106' END AS rule_id, "
+        "'IG.DM.itemData[' || CAST(row_index AS STRING) || ']' AS field, row_index, CASE WHEN row_id % 77 = 5 THEN '' ELSE 'got 6, expected 7' END AS evidence "
+        "FROM (SELECT row_id, CAST(row_id // 5000 AS STRING) AS doc_id, row_number() OVER (PARTITION BY row_id // 5000 ORDER BY row_id) - 1 AS row_index FROM dm) d "
+        "WHERE row_id % 77 = 5 OR row_id % 50 = 3"),
     "findings_stored_once": store(
         "SELECT '7' AS tenant_id, job_id, '01' AS study_id, finding_type, rule_id, severity, domain, field, message, row_index, "
         "nullif(usubjid, '') AS usubjid, nullif(evidence, '') AS evidence, 'open' AS status "

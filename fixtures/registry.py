@@ -14,7 +14,7 @@ from clinisieve.operators import analytics, changes, cross, facts, features, out
 from clinisieve.findings import union_findings
 from clinisieve.operators.domains import DOMAINS, validate_domain
 from clinisieve.plans import pipeline
-from clinisieve.sources import dataset_json, files, form_export, logs, rowid, scratch, sinks, store
+from clinisieve.sources import dataset_json, files, form_export, large_documents, logs, rowid, scratch, sinks, store
 from clinisieve.streaming import windows
 from fixtures import documents as docs
 from fixtures import oracle_cross as x
@@ -334,6 +334,25 @@ def _dm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "row_index", "USUBJID", "STUDYID", "RFENDTC")
 
 
+def _taken_apart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Large documents and their opened groups; a small limit, so that all are taken apart."""
+    texts, chunks = large_documents.split_large(scratch.written(docs.large_documents(spark, sf_dir)), 1 << 15, 1 << 13)
+    return texts, dataset_json.opened_groups(texts, ("DM",), chunks)
+
+
+def _large_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, opened = _taken_apart(spark, sf_dir)
+    return dataset_json.domain_table(dataset_json.rows(texts, ("DM",), opened), "DM").select(
+        "doc_id", "row_index", "USUBJID", "STUDYID", "RFENDTC")
+
+
+def _large_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, opened = _taken_apart(spark, sf_dir)
+    found = [dataset_json.top_level_findings(texts), dataset_json.group_findings(texts, ("DM",), opened),
+             dataset_json.record_findings(texts, ("DM",), opened)]
+    return union_findings(found).select("doc_id", "rule_id", "field", "row_index", "evidence")
+
+
 READERS = {
     "scan_domain": _scan_domain,
     "scan_breaks": _scan_breaks,
@@ -353,6 +372,8 @@ READERS = {
     "dj_row_findings": lambda s, d: dataset_json.record_findings(docs.dataset_json(s, d)).select(
         "doc_id", "rule_id", "field", "row_index", "evidence"),
     "dj_rows": _dm_rows,
+    "dj_large_rows": _large_rows,
+    "dj_large_findings": _large_findings,
 }
 READERS |= {
     "scan_json_list": lambda s, d: files.read_json_records(s, docs.mixed_record_files(s, d, True)),

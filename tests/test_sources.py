@@ -4,12 +4,14 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from clinisieve.findings import COLUMNS, empty_findings, union_findings
 from clinisieve.operators.domains import validate_domain
 from clinisieve.plans import pipeline
 from clinisieve.sources import dataset_json as dj
-from clinisieve.sources import csv_records, files, form_export, logs, rowid, sinks
+from clinisieve.sources import csv_records, files, form_export, large_documents, logs, rowid, sinks
+from clinisieve.sources.scratch import written
 
 
 def write(path, text):
@@ -294,3 +296,50 @@ def test_projects(spark):
     assert [tuple(r) for r in form_export.projects(listing).collect()] == [
         ("7", "T", "active", "o", ""), ("8", "", "unknown", "", "")]
     assert tuple(form_export.project_metadata(listing, "7").first()) == ("7", "T", "A B", "", "", "active")
+
+
+# --- large documents ------------------------------------------------------------------------------------
+
+TRICKY = {"itemData": [[1]], "clinicalData": {"x": [["itemData", [1, 2]]], "itemGroupData": {
+    "IG.DM": {"name": "DM", "items": items("USUBJID", "STUDYID", "SEX"), "itemData": [
+        [f"S{i}", 'a "quoted" ] , [ \\\\ text', {"itemData": [[1], [2]]} if i % 9 == 0 else "M"] if i % 7 else (f"no, array [{i}" if i % 2 else {"a": [1, 2]})
+        for i in range(60)]},
+    "IG.AE": {"items": items("USUBJID", "AETERM", "AESTDTC"), "itemData": []},
+    "VS": {"items": items("USUBJID"), "itemData": "none"}, "CM": {"items": [{"itemData": [3]}], "itemData": [["x"], ["y", "z"]]}}}}
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_documents_taken_apart_give_the_same(spark, monkeypatch, indent):
+    texts = [json.dumps(TRICKY, indent=indent), json.dumps(TRICKY["clinicalData"]), '{"referenceData":{"itemGroupData":{"DM":{"itemData":5,"itemData":[[1],[2]],"items":[{"name":"A"}]}}}}',
+             "{}", "[]", '{"clinicalData":{"itemGroupData":{"DM":{"items":[{"name":"A"}],"itemData":[[1],[2,}]}}}}', '{"clinicalData":{"itemGroupData":{"DM":{"itemData":[[1],']
+    docs = written(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string"))
+    want = dj.opened_groups(docs)
+
+    def results(docs, opened):
+        return [sorted(map(str, f.collect())) for f in (
+            dj.top_level_findings(docs), dj.group_findings(docs, opened=opened), dj.record_findings(docs, opened=opened), dj.rows(docs, opened=opened))]
+
+    small, chunks = large_documents.split_large(docs, 10, 90)
+    assert chunks.groupBy("doc_id", "mark").count().agg({"count": "max"}).first()[0] > 5
+    assert results(small, dj.opened_groups(small, chunks=chunks)) == results(docs, want)
+    assert [len(x) for x in results(docs, want)][0] == 5
+    monkeypatch.setattr(large_documents, "LARGE_BYTES", 10)
+    monkeypatch.setattr(large_documents, "CHUNK", 90)
+    apart = sorted(map(str, dj.validate_documents(docs).collect()))
+    monkeypatch.undo()
+    assert apart == sorted(map(str, dj.validate_documents(docs).collect()))
+
+
+def test_a_document_beyond_one_variant_value(spark, tmp_path):
+    """More bytes than a variant may have: every record is read, by several tasks."""
+    record = json.dumps(["S1", "A", "x" * 900])
+    head = '{"clinicalData":{"itemGroupData":{"IG.DM":{"name":"DM","items":' + json.dumps(items("USUBJID", "STUDYID", "SEX")) + ',"itemData":['
+    n = 150_000
+    (tmp_path / "big.json").write_text(head + ",".join([record] * n) + "]}}}}")
+    raw = dj.read_documents(spark, str(tmp_path))
+    assert raw.select(F.expr("try_parse_json(text) IS NULL")).first()[0]
+    docs, chunks = large_documents.split_large(raw)
+    assert dj.top_level_findings(docs).count() == 0
+    rows = dj.rows(docs, ("DM",), dj.opened_groups(docs, ("DM",), chunks))
+    assert rows.count() == n and rows.select("row_index").distinct().count() == n
+    assert chunks.count() > 100

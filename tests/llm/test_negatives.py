@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,9 +46,7 @@ def gaussian(n, seed, width=12, labels=4):
     return [(i, [c + rnd.gauss(0, .2) for c in centres[rnd.randrange(len(centres))]], rnd.randrange(labels)) for i in range(n)]
 
 
-@pytest.mark.parametrize("stretch", [16, 1 << 13])
-def test_equals_brute_force(spark, monkeypatch, stretch):
-    monkeypatch.setattr(negatives, "STRETCH", stretch)
+def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(negatives, "ROWS_LEAST", 40)
     monkeypatch.setattr(negatives, "ANCHORS_HELD", 17)
     rows = gaussian(300, 3)
@@ -55,6 +54,25 @@ def test_equals_brute_force(spark, monkeypatch, stretch):
     assert found == plain(rows, 5) and len(found) > 100
 
 
+@pytest.mark.parametrize("stretch", [3, 16, 1 << 13])
+def test_scan_of_several_stretches(monkeypatch, stretch):
+    """Bounds and the rows found so far prune nothing that a window wants."""
+    monkeypatch.setattr(negatives, "STRETCH", stretch)
+    rnd = np.random.default_rng(stretch)
+    vectors = rnd.integers(-40, 40, (200, 24)).astype(np.int32)
+    vectors[50:90] = vectors[50]
+    ids, label = rnd.permutation(200), rnd.integers(0, 4, 200)
+    table = pa.table({"row": np.arange(200), "id": ids, "label": label, "vector": list(vectors)})
+    columns = negatives.Columns(table, 24)
+    for a in range(0, 200, 7):
+        scores = (vectors.astype(np.int64) @ vectors[a]).tolist()
+        for low, high in (([-(1 << 62)], [1 << 62]), ([0, 2000, -500], [900, 2500, 10_000])):
+            found = negatives.scan(columns, vectors[a], np.arange, low, high, 4)
+            for (score, place), x, y in zip(found, low, high, strict=True):
+                want = sorted((-s, i) for s, i in zip(scores, ids.tolist()) if x <= s <= y)[:4]
+                assert [(-s, i) for s, i in zip(score.tolist(), columns.id[place].tolist())] == want
+
+
 def test_awkward_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = gaussian(60, 4, labels=2) + [

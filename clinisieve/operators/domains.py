@@ -212,6 +212,10 @@ def missing_columns(df: DataFrame, code: str, scope: tuple[str, ...] = ()) -> Da
         message=f"Missing required columns for {code}: {missing}")
 
 
+#: What is said of each copy of a subject that demographics hold more than once.
+DUPLICATE = Rule("SDTM_DM_002", "HIGH", "USUBJID", "USUBJID must be unique in DM.", "true", "_subject", ("USUBJID",))
+
+
 def duplicate_subjects(dm: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Every copy of a subject that demographics holds more than once.
 
@@ -222,9 +226,7 @@ def duplicate_subjects(dm: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     on = [*scope, "_subject"]
     repeated = filled.groupBy(*on).count().filter(F.col("count") > 1).select(*on)
     copies = lookup_join(filled, repeated, on, "left_semi")
-    rule = Rule("SDTM_DM_002", "HIGH", "USUBJID", "USUBJID must be unique in DM.",
-                "true", "_subject", ("USUBJID",))
-    return evaluate(copies, [rule], domain="DM", scope=scope)
+    return evaluate(copies, [DUPLICATE], domain="DM", scope=scope)
 
 
 def row_rules(df: DataFrame, code: str, only: set[str] | None = None) -> list[Rule]:

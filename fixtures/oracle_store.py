@@ -289,7 +289,18 @@ def job_sql() -> str:
 
 _RECORDS_SQL = f"WITH {domain_cte('dm')} SELECT CAST(row_id AS STRING) AS SEQ, (row_number() OVER (PARTITION BY row_id // 100 ORDER BY row_id)) - 1 AS row_index, USUBJID, SEX, AGE FROM dm"
 _DOC_NUMBERS = "(SELECT DISTINCT c_custkey // 100 AS doc FROM customer)"
+_RANK = "CASE severity WHEN 'CRIT' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MED' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END"
 SQL_SOURCES = sources_sql() | {
+    "audit_stream": store(
+        f"SELECT 'studies.create' AS action, CAST(id AS VARCHAR) AS target_id, '' AS before_hash, {hashed(STUDY_CONTENT)} AS after_hash FROM studies "
+        f"UNION ALL SELECT action, CAST(target_id AS VARCHAR), before_hash, after_hash FROM ({SQL['audit_diff']}) d", "studies"),
+    "summary_kept_up": store("SELECT tenant_id, job_id, domain, count(*) AS findings FROM findings GROUP BY 1, 2, 3", "findings"),
+    "deep_page_findings": store(
+        f"SELECT position, id, severity, created_at FROM (SELECT *, row_number() OVER (ORDER BY {_RANK}, created_at, id) - 1 AS position "
+        "FROM findings WHERE tenant_id = 'T1') f WHERE position BETWEEN 2950 AND 3049", "findings"),
+    "deep_page_jobs": store(
+        "SELECT position, job_id, created_at FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, job_id) - 1 AS position FROM jobs) j "
+        "WHERE position BETWEEN 9990 AND 10009", "jobs"),
     "dj_large_rows": (
         f"WITH {domain_cte('dm')} SELECT CAST(row_id // 5000 AS STRING) AS doc_id, row_number() OVER (PARTITION BY row_id // 5000 "
         "ORDER BY row_id) - 1 AS row_index, USUBJID, STUDYID, CASE WHEN row_id % 50 <> 3 THEN RFENDTC END AS RFENDTC FROM dm WHERE row_id % 77 <> 5"),

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from clinisieve.functions import text
 from clinisieve.functions import values as v
 from clinisieve.functions.hashing import row_hash
-from clinisieve.operators import analytics, changes, cross, facts, features, outliers, subjects
+from clinisieve.operators import analytics, changes, cross, facts, features, outliers, pages, subjects
 from clinisieve.findings import union_findings
 from clinisieve.operators.domains import DOMAINS, validate_domain
 from clinisieve.plans import pipeline
 from clinisieve.sources import dataset_json, files, form_export, large_documents, logs, rowid, scratch, sinks, store
+from clinisieve.streaming import changes as stream_changes
+from clinisieve.streaming import subjects as stream_subjects
 from clinisieve.streaming import windows
 from fixtures import documents as docs
 from fixtures import oracle_cross as x
@@ -299,6 +301,65 @@ register("p99_windows", lambda s, d: windows.p99_windows(
     base(s, d, "events"), "value", width="1 hour", threshold=200.0), st.SQL["p99_windows"])
 
 
+# --- rows as they arrive, and deep pages ---------------------------------------------------------------
+
+def _streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """What a stream over a folder of files gives once all of them are read."""
+    out, notes = scratch.new_path(spark, "out"), scratch.new_path(spark, "notes")
+    query = df.writeStream.format("parquet").option("checkpointLocation", notes).option("path", out).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def _stream(spark: SparkSession, folder: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(folder)
+
+
+def _audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All studies as new records, then what became of them; some come twice."""
+    before, after, folder = view(spark, sf_dir, "studies"), view(spark, sf_dir, "studies_after"), scratch.new_path(spark, "changes")
+    gone = before.join(after.select("id"), "id", "left_anti").select(*before.columns)
+    batches = [before.withColumns({"seq": F.lit(1), "deleted": F.lit(False)}),
+               after.withColumns({"seq": F.lit(2), "deleted": F.lit(False)}).unionByName(gone.withColumns({"seq": F.lit(2), "deleted": F.lit(True)})),
+               after.where("id % 3 = 0").withColumns({"seq": F.lit(3), "deleted": F.lit(False)})]
+    for rows in batches:
+        rows.write.mode("append").parquet(folder)
+    return _streamed(spark, stream_changes.audit_stream(_stream(spark, folder, batches[0].schema), "studies"))
+
+
+def _stream_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.new_path(spark, "dm")
+    view(spark, sf_dir, "dm").repartition(9).write.parquet(folder)
+    return _streamed(spark, stream_subjects.stream_duplicate_subjects(_stream(spark, folder, spark.read.parquet(folder).schema)))
+
+
+def _kept_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings counted in four batches, one of them run again after it found more."""
+    found, kept = view(spark, sf_dir, "findings"), stream_changes.KeptCounts(scratch.new_path(spark, "counts"))
+    for batch, rows in ((0, "id % 4 = 0"), (1, "id % 4 = 1"), (2, "id % 4 = 2 AND id % 3 = 0"), (3, "id % 4 = 3"), (2, "id % 4 = 2")):
+        kept.add(found.where(rows), batch)
+    return kept.by_domain(spark)
+
+
+def _deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "pages")
+    pages.lay_out(view(spark, sf_dir, "findings"), path, pages.findings_order(), ("tenant_id",), block=500)
+    return pages.page(spark, path, 2950, 100, block=500, tenant_id="T1").select("position", "id", "severity", "created_at")
+
+
+def _deep_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "pages")
+    pages.lay_out(view(spark, sf_dir, "jobs"), path, pages.newest_first("job_id"), block=1000)
+    return pages.page(spark, path, 9_990, 20, block=1000).select("position", "job_id", "created_at")
+
+
+register("audit_stream", _audit_stream, st.SQL_SOURCES["audit_stream"])
+register("stream_dm_002", _stream_duplicates, f"SELECT * FROM ({o.rule_sql('dm', '002')}) f")
+register("summary_kept_up", _kept_up, st.SQL_SOURCES["summary_kept_up"])
+register("deep_page_findings", _deep_page, st.SQL_SOURCES["deep_page_findings"])
+register("deep_page_jobs", _deep_jobs, st.SQL_SOURCES["deep_page_jobs"])
+
+
 # --- readers, over files and documents that Spark derives from the given tables ------------------------
 
 def _scan_domain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,14 @@ only texts with a digit are searched at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = "change this key"
+#: The setting that holds the key; without it the example key is taken, which everybody knows.
+KEY_SETTING, KEY = "clinisieve.pseudonyms.key", "change this key"
 
 # The forms of the identifiers, in the order in which they are tried.
 _NO_DIGIT_BEFORE, _NO_DIGIT_AFTER = r"(?<![0-9])(?<![0-9]\.)", r"(?!\.?[0-9])"
@@ -43,6 +46,14 @@ _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 _HEX_LOWER, _HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; a warning goes out where it names none."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the example key and hide nothing", stacklevel=2)
+    return key or KEY
+
+
 def pattern() -> str:
     """All forms in one; the groups that dates refer back to are renumbered by their place, which is the same as dates hold the only two."""
     return "|".join(f"(?:{form})" for form in FORMS.values())
@@ -193,7 +204,7 @@ def _ssn(key: str, m: Column, inverse: bool) -> Column:
     return F.when(sound, _let(_pair(key, "ssn", left, serial - 1, 898 * 99, 9999, inverse), spelled))
 
 
-# Days of the years 1904 to 2099, 49 cycles of four years, are 147 x 487; those from the 13th on are 245 x 177.
+# Of the days of the years 1904 to 2099, 49 cycles of four years, those to the 12th are 147 x 192, those from the 13th on 245 x 177.
 _FIRST_YEAR, _LAST_YEAR, _CYCLE = 1904, 2099, 1461
 _LENGTHS = [29 if m == 1 and y == 0 else (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[m] for y in range(4) for m in range(12)]
 _LATE_STARTS = [sum(n - 12 for n in _LENGTHS[:i]) for i in range(48)]
@@ -210,14 +221,15 @@ def _is_date(year: Column, month: Column, day: Column) -> Column:
                       & (day <= F.get(lengths, F.pmod(_month(year, month), F.lit(48)))), F.lit(False))
 
 
-def _any_day(key: str, y: Column, m: Column, d: Column, inverse: bool, spell) -> Column:
-    start = F.lit(f"{_FIRST_YEAR}-01-01").cast("date")
-    number = _number(key, "date", F.datediff(F.make_date(y, m, d), start), 147, 487, inverse)
-    return _let(F.date_add(start, number.cast("int")), lambda x: spell(F.year(x), F.month(x), F.day(x)))
+def _early_day(key: str, y: Column, m: Column, d: Column, inverse: bool, spell) -> Column:
+    """Days to the 12th stay so: where they might be months, the pseudonym is read in the same order."""
+    def back(n: Column) -> Column:
+        return _let(F.floor(n / 12), lambda months: spell(F.floor(months / 12) + _FIRST_YEAR, months % 12 + 1, n % 12 + 1))
+    return _let(_number(key, "early date", _month(y, m) * 12 + d - 1, 147, 192, inverse), back)
 
 
 def _late_day(key: str, y: Column, m: Column, d: Column, inverse: bool, spell) -> Column:
-    """For dates that only one order of day and month allows: the 13th and later stay so."""
+    """The 13th and later stay so: only one order of day and month allows them."""
     starts = F.array(*[F.lit(n) for n in _LATE_STARTS])
     cycle, month = F.floor(_month(y, m) / 48), F.pmod(_month(y, m), F.lit(48))
     number = _number(key, "late date", cycle * _LATE_CYCLE + F.get(starts, month) + d - 13, 245, 177, inverse)
@@ -229,6 +241,11 @@ def _late_day(key: str, y: Column, m: Column, d: Column, inverse: bool, spell) -
     return _let(number, back)
 
 
+def _day(key: str, y: Column, m: Column, d: Column, inverse: bool, spell) -> Column:
+    """The same day for a date however it is spelled."""
+    return F.when(d <= 12, _early_day(key, y, m, d, inverse, spell)).otherwise(_late_day(key, y, m, d, inverse, spell))
+
+
 def _date(key: str, m: Column, inverse: bool) -> Column:
     """Year first, or year last: then month first after a slash if that is a date, and else day first; after others the other way round."""
     def two(n: Column) -> Column:
@@ -237,15 +254,21 @@ def _date(key: str, m: Column, inverse: bool) -> Column:
     first = m.rlike("^[0-9]{4}")
     iso = [F.substring(m, a, n).cast("int") for a, n in ((1, 4), (6, 2), (9, 2))]
     left, right, year = F.substring(m, 1, 2).cast("int"), F.substring(m, 4, 2).cast("int"), F.substring(m, 7, 4).cast("int")
-    written_iso = lambda y, mo, d: F.concat_ws(mark, y.cast("string"), two(mo), two(d))
+    written_iso = lambda y, mo, d: F.concat(y.cast("string"), mark, two(mo), mark, two(d))
     month_first = lambda y, mo, d: F.concat(two(mo), mark, two(d), mark, y.cast("string"))
     day_first = lambda y, mo, d: F.concat(two(d), mark, two(mo), mark, y.cast("string"))
     as_month, as_day = _is_date(year, left, right), _is_date(year, right, left)
-    last = (F.when((mark == "/") & as_month, _any_day(key, year, left, right, inverse, month_first))
-            .when((mark != "/") & as_day, _any_day(key, year, right, left, inverse, day_first))
-            .when((mark == "/") & as_day, _late_day(key, year, right, left, inverse, day_first))
-            .when((mark != "/") & as_month, _late_day(key, year, left, right, inverse, month_first)))
-    return F.when(first & _is_date(*iso), _any_day(key, *iso, inverse, lambda y, mo, d: F.concat(y.cast("string"), mark, two(mo), mark, two(d)))).when(~first, last)
+    # Two numbers up to 12 stay two such numbers, so a pseudonym is read in the order of its date.
+    slash = mark == "/"
+    by_month = F.when(slash, as_month).otherwise(~as_day & as_month)
+    in_order = F.when(first, F.lit("iso")).when(by_month, F.lit("month")).otherwise(F.lit("day"))
+    month = F.when(first, iso[1]).when(in_order == "month", left).otherwise(right)
+    day = F.when(first, iso[2]).when(in_order == "month", right).otherwise(left)
+    y = F.when(first, iso[0]).otherwise(year)
+
+    def spelled(y: Column, mo: Column, d: Column) -> Column:
+        return F.when(in_order == "iso", written_iso(y, mo, d)).when(in_order == "month", month_first(y, mo, d)).otherwise(day_first(y, mo, d))
+    return F.when(F.when(first, _is_date(*iso)).otherwise(as_month | as_day), _day(key, y, month, day, inverse, spelled))
 
 
 def _phone(key: str, m: Column, inverse: bool) -> Column:
@@ -298,9 +321,14 @@ def with_pseudonyms(df: DataFrame, text_col: str = "text", key: str = KEY, inver
     ``inverse`` turns the pseudonyms of the same key back.  Null texts stay null and texts without
     a valid value unchanged.  All other columns stay, whatever their names, but for one named as ``kinds`` says, which is replaced.
 
-    Limits: dates are those of 1904 to 2099 in ten characters; IBANs in groups of four are those of the
-    countries listed; a value that overlaps the end of an earlier match that is not valid is not
-    found; a value may by chance be its own pseudonym (for dates one in 71,589).
+    Repeated rows, and a day in each of its spellings, get the same pseudonyms; an empty table gives an empty table.
+
+    Limits: dates are those of 1904 to 2099 in ten characters, and a date keeps whether its day is past the 12th;
+    IBANs in groups of four are those of the countries listed, and IBANs with hyphens, IPv6 addresses and phone numbers
+    with dots only are not found; names of e-mail addresses that differ in case are different names;
+    a value that overlaps the end of an earlier match that is not valid is not found; a value may by chance
+    be its own pseudonym (for dates one in 28,224 at most).  The key is a literal of the plan: set
+    ``spark.redaction.string.regex`` to keep it out of event logs and printed plans.
     """
     text = F.col(f"`{text_col}`")
     names = [c for c in df.columns if c.lower() != (kinds or "").lower()]

@@ -20,7 +20,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.with_pseudonyms(docs, kinds="kinds")
+    found = pii.with_pseudonyms(docs, key=pii.session_key(spark), kinds="kinds")
     return found.select("doc_id", "text", F.size("kinds").cast("bigint").alias("n_pseudonyms"), F.array_join("kinds", ",").alias("kinds"))
 
 

@@ -3,6 +3,9 @@ import re
 from collections import Counter
 from datetime import date, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from clinisieve.llm import pii, queries
 from tests.llm.cases import awkward, frame
 
@@ -172,3 +175,30 @@ def test_query(spark):
         assert not leaks
         if not re.search(r"\d|@", text):
             assert got[i].text == text and got[i].n_pseudonyms == 0
+
+
+def test_every_day_has_one_pseudonym_in_all_spellings(spark):
+    """All 71,589 days: one pseudonym each, another for each, and back again."""
+    days = spark.range(71_589).select(F.date_add(F.lit("1904-01-01").cast("date"), F.col("id").cast("int")).alias("date"))
+    forms = {"iso": ("yyyy-MM-dd",), "dots": ("yyyy.MM.dd",), "month": ("MM/dd/yyyy",), "day": ("dd.MM.yyyy",), "dash": ("dd-MM-yyyy",)}
+    spelled = days.select("date", *[F.date_format("date", f).alias(n) for n, (f,) in forms.items()],
+                          F.when(F.dayofmonth("date") > 12, F.date_format("date", "dd/MM/yyyy")).alias("late"))
+    names = [*forms, "late"]
+    for inverse in (False, True):
+        told = spelled.select("date", *[pii.pseudonym(F.col(n), "k", inverse)["value"].alias(n) for n in names])
+        read = told.select("date", *[F.to_date(n, forms.get(n, ("dd/MM/yyyy",))[0]).alias(n) for n in names])
+        assert read.where("NOT (iso = dots AND iso = month AND iso = day AND iso = dash AND coalesce(iso = late, true))").count() == 0
+        assert read.where("dayofmonth(date) > 12 AND late IS NULL").count() == 0
+        assert read.select("iso").distinct().count() == 71_589
+        spelled = told
+    assert read.where("iso <> date").count() == 0  # turned back
+
+
+def test_the_key_is_a_setting(spark):
+    with pytest.warns(UserWarning, match="example key"):
+        assert pii.session_key(spark) == pii.KEY
+    spark.conf.set(pii.KEY_SETTING, "own")
+    try:
+        assert pii.session_key(spark) == "own"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)

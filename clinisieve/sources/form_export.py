@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinisieve.operators.joins import lookup_join
+
 # Data types and lengths by field type; all other types are text of the usual length.
 DATA_TYPES = {"calc": "float", "slider": "integer"}
 LENGTHS = {"notes": 4000, "calc": 20}
@@ -34,6 +36,19 @@ def form_fields(metadata: DataFrame, form: str) -> DataFrame:
         _by_type(kind, LENGTHS, USUAL_LENGTH).alias("length"))
 
 
+def all_form_fields(metadata: DataFrame) -> DataFrame:
+    """(form, column definitions) of the fields of every form; a field without one belongs to ``UNKNOWN``.
+
+    The fields of all forms at once, as :func:`form_fields` gives them for a form that has fields.
+    """
+    form = F.upper(F.coalesce("form_name", F.lit("UNKNOWN")))
+    kind, name = F.coalesce("field_type", F.lit("text")), F.upper("field_name")
+    return metadata.select(
+        form.alias("form"), "position", F.concat(F.lit("IT."), form, F.lit("."), name).alias("itemOID"), name.alias("name"),
+        _by_type(F.lower(kind), DATA_TYPES, USUAL_TYPE).alias("dataType"), F.coalesce("field_label", F.lit("")).alias("label"),
+        _by_type(kind, LENGTHS, USUAL_LENGTH).alias("length"))
+
+
 def flatten(metadata: DataFrame, records: DataFrame, form: str) -> DataFrame:
     """One row per record with its values as texts in field order; a value not there is empty.
 
@@ -77,12 +92,23 @@ def projects(listing: DataFrame) -> DataFrame:
         purpose.alias("purpose"), _field("creation_time").alias("created"))
 
 
-def project_metadata(listing: DataFrame, study_id: str) -> DataFrame:
-    """Particulars of one project."""
-    m = listing.select(F.from_json("project", "map<string,string>").alias("m")).filter(
-        F.element_at("m", "project_id") == study_id)
+def _particulars(m: DataFrame, study_id: Column) -> DataFrame:
     return m.select(
-        _field("project_id", study_id).alias("study_id"), _field("project_title").alias("title"),
+        study_id.alias("study_id"), _field("project_title").alias("title"),
         F.concat_ws(" ", _field("project_pi_firstname"), _field("project_pi_lastname")).alias("sponsor"),
         _field("secondary_unique_field").alias("protocol_id"), _field("creation_time").alias("start_date"),
         F.lit("active").alias("status"))
+
+
+def project_metadata(listing: DataFrame, study_id: str) -> DataFrame:
+    """Particulars of one project."""
+    m = listing.select(F.from_json("project", "map<string,string>").alias("m")).filter(
+        F.element_at("m", "project_id") == study_id)
+    return _particulars(m, _field("project_id", study_id))
+
+
+def projects_metadata(listing: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Particulars of all projects that ``wanted`` names by ``study_id``, once each."""
+    m = listing.select(F.from_json("project", "map<string,string>").alias("m")).withColumn("_id", F.element_at("m", "project_id"))
+    asked = wanted.select(F.col("study_id").alias("_id")).distinct()
+    return _particulars(lookup_join(m, asked, ["_id"], "left_semi"), F.col("_id"))

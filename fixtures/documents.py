@@ -158,6 +158,17 @@ def form_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("field_label"))
 
 
+def part_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field per part: forms of about twenty fields each, some fields without a form, a type or a label."""
+    key = F.col("p_partkey")
+    kinds = F.array(*[F.lit(k) for k in ("text", "notes", "calc", "Slider", "radio")])
+    return base(spark, sf_dir, "part").select(
+        key.alias("position"), F.concat(F.lit("f_"), key.cast("string")).alias("field_name"),
+        F.when(key % 37 > 0, F.concat(F.lit("Form_"), F.floor(key / 20).cast("string"))).alias("form_name"),
+        F.when(key % 11 > 0, F.get(kinds, (key % 5).cast("int"))).alias("field_type"),
+        F.when(key % 13 > 0, F.col("p_name")).alias("field_label"))
+
+
 def form_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per customer with values for the field of its nation and of the next one."""
     customer, metadata = base(spark, sf_dir, "customer"), form_metadata(spark, sf_dir)

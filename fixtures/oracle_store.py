@@ -332,6 +332,16 @@ SQL_SOURCES = sources_sql() | {
         "SELECT n_nationkey AS position, 'IT.FORM_2.' || nm AS \"itemOID\", nm AS name, CASE n_nationkey % 5 WHEN 2 THEN 'float' WHEN 3 THEN 'integer' ELSE 'string' END "
         "AS \"dataType\", n_name AS label, CASE n_nationkey % 5 WHEN 1 THEN 4000 WHEN 2 THEN 20 ELSE 200 END AS length FROM "
         "(SELECT *, upper('f_' || regexp_replace(n_name, '[^A-Za-z0-9]', '_', 'g')) AS nm FROM nation) n WHERE n_regionkey = 2"),
+    "edc_all_forms": "SELECT DISTINCT CASE WHEN p_partkey % 37 > 0 THEN 'FORM_' || (p_partkey // 20) ELSE 'UNKNOWN' END AS form FROM part",
+    "edc_all_fields": (
+        "SELECT form, position, 'IT.' || form || '.' || name AS \"itemOID\", name, CASE WHEN kind = 'calc' THEN 'float' WHEN kind = 'Slider' THEN 'integer' "
+        "ELSE 'string' END AS \"dataType\", label, CASE kind WHEN 'notes' THEN 4000 WHEN 'calc' THEN 20 ELSE 200 END AS length FROM ("
+        "SELECT p_partkey AS position, 'F_' || p_partkey AS name, CASE WHEN p_partkey % 37 > 0 THEN 'FORM_' || (p_partkey // 20) ELSE 'UNKNOWN' END AS form, "
+        "CASE WHEN p_partkey % 11 > 0 THEN ['text', 'notes', 'calc', 'Slider', 'radio'][p_partkey % 5 + 1] ELSE 'text' END AS kind, "
+        "CASE WHEN p_partkey % 13 > 0 THEN p_name ELSE '' END AS label FROM part) p"),
+    "edc_projects_metadata": (
+        "SELECT CAST(c_custkey AS STRING) AS study_id, c_name AS title, ' ' AS sponsor, '' AS protocol_id, '' AS start_date, 'active' AS status "
+        "FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
     "edc_project_metadata": (
         "SELECT CAST(c_custkey AS STRING) AS study_id, c_name AS title, ' ' AS sponsor, '' AS protocol_id, '' AS start_date, 'active' AS status "
         "FROM customer WHERE c_custkey = 7"),

@@ -445,6 +445,10 @@ READERS |= {
         dataset_json.rows(dataset_json.unwrap_envelopes(docs.envelopes(s, d)), ("DM",)), "DM", docs.DM_COLUMNS).drop("_columns"),
     "edc_form_list": lambda s, d: form_export.forms(docs.form_metadata(s, d)),
     "edc_fields": lambda s, d: form_export.form_fields(docs.form_metadata(s, d), "FORM_2"),
+    "edc_all_forms": lambda s, d: form_export.forms(docs.part_metadata(s, d)),
+    "edc_all_fields": lambda s, d: form_export.all_form_fields(docs.part_metadata(s, d)),
+    "edc_projects_metadata": lambda s, d: form_export.projects_metadata(
+        docs.project_listing(s, d), base(s, d, "orders").select(F.col("o_custkey").cast("string").alias("study_id"))),
     "edc_project_metadata": lambda s, d: form_export.project_metadata(docs.project_listing(s, d), "7"),
     "parquet_positions": lambda s, d: rowid.with_parquet_row_index(base(s, d, "orders").select("o_orderkey", "o_custkey")),
 }

@@ -202,7 +202,8 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     is ``shares[0]`` to ``shares[1]`` percent of the positive's.  Ties go by smaller id.  Rows with a null
     label, a null vector or a component that is null or not finite take no part.  Null ids count as
     the largest one, and come out as null; they are anchors if ``is_anchor``, a condition on ``id``, holds for null.  Rows of
-    one id are rows of their own, repeated ones too.  Short or empty vectors end in zeros.  Other columns are not looked
+    one id are rows of their own, repeated ones too.  Short or empty vectors end in zeros; scaled components beyond
+    2**24 count as that.  Other columns are not looked
     at, whatever their names.  Without an anchor, as in an empty table, there is no row.
     """
     rows = taking_part(rows, id_col, vector_col, F.col("`label`") if label is None else label)

@@ -13,7 +13,8 @@ import check
 
 SF_DIR = "/root/testdata/sf0.001"
 CHOICE = ["rule_dm_002", "rule_vs_004", "dmlink_ae", "x_vsae_002", "x_irt_002", "feature_frame", "validate_rules",
-          "apply_resolutions", "report_detail", "dj_row_findings", "scan_domain", "p99_windows"]
+          "apply_resolutions", "report_detail", "dj_row_findings", "scan_domain", "p99_windows",
+          "scan_breaks", "findings_stored_once", "edc_all_fields"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
 

@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with pseudonyms for personal numbers and dates; ``n_chars`` follows the text."""
-    out = pii.with_pseudonyms(docs, "text")
+    out = pii.with_pseudonyms(docs, "text", key=pii.session_key(spark))
     length = F.when(F.col("n_chars").isNotNull(), F.coalesce(F.char_length("text"), F.lit(0))).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", length)
 

@@ -4,12 +4,15 @@ Every run of k words of every document is hashed, and Spark joins the hashes to
 templates' runs.  A hit votes for the diagonal (position in the document less position in the
 template) of its template; votes are summed per diagonal, diagonals that lie near each other are
 merged, as words put in or left out shift the rest, and a merged span is accepted if enough of the
-template's words are found and the span is dense with them.  The templates are a fixed, small table, the only one that
-is broadcast; a document's runs never leave the task that read them unless they hit.
+template's words are found and the span is dense with them.  As licenses quote and vary each other, each word
+belongs to the largest span over it (with equal words, the best covered), and a span none of whose words belong to its label is dropped.
+The templates are a small table of checked size, the only one that is broadcast; a document's runs never
+leave the task that read them unless they hit, and long texts are walked in pieces.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinisieve.llm.common import slices, texts_as_bytes
+from clinisieve.llm.wordings import TEMPLATES
 
 K = 4
 #: Diagonals at most so far apart belong together.
@@ -29,62 +33,36 @@ COVERAGE = 0.8
 ENOUGH = 40
 DENSITY = 0.7
 MEMO = 200_000
+#: Bytes of a text that are taken apart at a time.
+PIECE = 1 << 20
+#: Bytes that templates may have together, since their runs are broadcast.
+TEMPLATE_BYTES = 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_FACTS = ("id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
-# Phrases that name a license, and wordings of public licenses and their notices.
+# Phrases that name a license.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "This project is licensed under the terms of the MIT license."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-            "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
-            "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
-            "is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
-            "included in all copies or substantial portions of the Software."),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
-               "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law "
-               "or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
-               "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
-               "limitations under the License."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-            "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program "
-            "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
-            "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
-             "License as published by the Free Software Foundation"),
-    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-            "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-            "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
-            "the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-            "provided that the above copyright notice and this permission notice appear in all copies."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
-            "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
-                  "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
-                  "commercial or non-commercial, and by any means."),
-    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for "
-             "any damages arising from the use of this software."),
-    ("boost", "Distributed under the Boost Software License, Version 1.0."),
-)
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+_GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words in lower case (A-Z only): runs of ASCII letters, digits and all other characters beyond ASCII."""
     return text.translate(_FOLD).split()
 
 
+def pieces(text: bytes, room: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of a text in pieces of about ``room`` bytes, cut between words; a text without any is one empty piece."""
+    start = 0
+    while len(text) - start > room and (gap := _GAP.search(text, start + room)):
+        yield words_of(text[start:gap.start()])
+        start = gap.start()
+    yield words_of(text[start:])
+
+
 class Hashes:
     """Hashes of words, remembered, and of runs of words."""
 
@@ -99,15 +77,19 @@ class Hashes:
             self.known[word] = value
         return value
 
-    def runs(self, words: list[bytes], k: int) -> np.ndarray:
-        if len(words) < k:
-            return np.empty(0, np.int64)
+    def of(self, words: list[bytes]) -> np.ndarray:
         known, learn = self.known.get, self.word
-        values = np.array([known(w) or learn(w) for w in words], np.uint64)
-        total = np.zeros(len(words) - k + 1, np.uint64)
-        for j in range(k):
-            total = (total ^ (total >> np.uint64(29))) * _BASE + values[j:j + len(total)]
-        return total.view(np.int64)
+        return np.array([known(w) or learn(w) for w in words], np.uint64)
+
+
+def runs_of(values: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words with these hashes."""
+    if len(values) < k:
+        return np.empty(0, np.int64)
+    total = np.zeros(len(values) - k + 1, np.uint64)
+    for j in range(k):
+        total = (total ^ (total >> np.uint64(29))) * _BASE + values[j:j + len(total)]
+    return total.view(np.int64)
 
 
 def places(words: list[bytes], phrase: str) -> list[int]:
@@ -122,58 +104,114 @@ def places(words: list[bytes], phrase: str) -> list[int]:
     return found
 
 
+class Reader:
+    """Takes in the pieces of a text one after another and sums up the places of phrases."""
+
+    def __init__(self, hashes: Hashes, k: int):
+        self.hashes, self.k = hashes, k
+        self.n_words = self.n_base = 0
+        self.first = self.last = None
+        self.labels: set[str] = set()
+        self._words: list[bytes] = []
+        self._values = np.empty(0, np.uint64)
+
+    def take(self, words: list[bytes]) -> tuple[int, np.ndarray]:
+        """The place of the first run that ends in this piece, and the hashes of all that do."""
+        for phrase, label in PHRASES:
+            reach = phrase.count(" ")
+            before = self._words[-reach:] if reach else []
+            for at in places(before + words, phrase):
+                at += self.n_words - len(before)
+                self.n_base += 1
+                self.first = at if self.first is None else min(self.first, at)
+                self.last = at if self.last is None else max(self.last, at)
+                self.labels.add(label)
+        start = self.n_words - len(self._values)
+        values = np.concatenate([self._values, self.hashes.of(words)])
+        self._values = values[max(0, len(values) - self.k + 1):]
+        self._words = (self._words + words)[-max(phrase.count(" ") for phrase, _ in PHRASES):]
+        self.n_words += len(words)
+        return start, runs_of(values, self.k)
+
+
+def read_templates(spark: SparkSession, folder: str) -> tuple[tuple[str, str], ...]:
+    """The texts of a folder of licenses as templates, each labelled by its file's name in lower case, without ``.txt`` or ``.md``.
+
+    Any path that Spark reads will do.  The texts are shipped to all tasks, so a folder of more than
+    ``TEMPLATE_BYTES`` is refused.
+    """
+    name = F.regexp_replace(F.lower(F.element_at(F.split(F.input_file_name(), "/"), -1)), r"\.(txt|md)$", "")
+    texts = spark.read.text(folder, wholetext=True).select(F.url_decode(name).alias("label"), F.col("value").alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"the license texts of {folder} have {size} bytes; {TEMPLATE_BYTES} are the most that are shipped to all tasks")
+    return tuple(sorted((r.label, r.text) for r in texts.collect()))
+
+
 def template_runs(spark: SparkSession, templates: tuple = TEMPLATES, k: int = K) -> DataFrame:
     """(run, template, label, length, place): every run of every template."""
     hashes = Hashes()
     rows = [(int(run), number, label, len(words), place)
             for number, (label, text) in enumerate(templates) for words in [words_of(text.encode())]
-            for place, run in enumerate(hashes.runs(words, k))]
+            for place, run in enumerate(runs_of(hashes.of(words), k))]
     return spark.createDataFrame(rows, "run bigint, template int, label string, length int, place int")
 
 
-def _read_words(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _read_words(batches: Iterator[pa.RecordBatch], k: int, piece: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (key, id, facts of the text, start, runs), one per piece of a text; the last one alone holds the facts."""
     hashes = Hashes()
     for batch in batches:
+        kinds = [pa.int64(), batch.column(1).type, *[pa.int64()] * 4, pa.list_(pa.string()), pa.int64()]
+
+        def packed(rows: list[tuple], kinds: list[pa.DataType] = kinds) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[:8], kinds, strict=True)]
+            ends = pa.array(np.cumsum([0, *(len(r[8]) for r in rows)]), pa.int32())
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[8] for r in rows]))))
+            return pa.RecordBatch.from_arrays(columns, ["key", "id", *_FACTS[1:], "start", "runs"])
+
         for part in slices(batch, 2):
             rows: list[tuple] = []
             for key, doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_as_bytes(part.column(2)), strict=True):
-                words = words_of(text or b"")
-                hits = [(at, label) for phrase, label in PHRASES for at in places(words, phrase)]
-                starts = [at for at, _ in hits]
-                rows.append((key, doc_id, len(words), len(hits), min(starts, default=None), max(starts, default=None),
-                             sorted({label for _, label in hits}), hashes.runs(words, k)))
-            kinds = [pa.int64(), part.column(1).type, *[pa.int64()] * 4, pa.list_(pa.string())]
-            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[:7], kinds, strict=True)]
-            runs = [r[7] for r in rows]
-            ends = pa.array(np.cumsum([0, *map(len, runs)]), pa.int32())
-            columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(runs))))
-            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n_words", "n_base", "first_word", "last_word", "base_labels", "runs"])
+                reader, held = Reader(hashes, k), None
+                for words in pieces(text or b"", piece):
+                    if held:
+                        yield packed([(key, None, None, None, None, None, None, *held)])
+                    held = reader.take(words)
+                rows.append((key, doc_id, reader.n_words, reader.n_base, reader.first, reader.last, sorted(reader.labels), *held))
+            if rows:
+                yield packed(rows)
 
 
-def _words_covered(starts: str, k: int):
-    """How many words the runs at these places cover."""
-    return F.size(F.array_distinct(F.flatten(F.transform(F.col(starts), lambda p: F.sequence(p, p + (k - 1))))))
+def _covered(starts: str, k: int):
+    """The words that the runs at these places cover."""
+    return F.array_distinct(F.flatten(F.transform(F.col(starts), lambda p: F.sequence(p, p + (k - 1)))))
 
 
-def scan(docs: DataFrame, templates: tuple = TEMPLATES, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: tuple = TEMPLATES, k: int = K, id_col: str = "doc_id", text_col: str = "text",
+         piece: int = PIECE) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, spans, labels, score.
 
     ``n_base`` counts the places of ``PHRASES``, the first and last of which start at ``first_word`` and
     ``last_word`` (words from 0; null without a place).  ``spans`` are the verified matches of templates:
-    label, first and last word, and coverage, the share of the template's words found.  ``labels`` are those of phrases and spans, distinct and
-    sorted; ``score`` is the best coverage, 0 without a span.  Null and empty texts have no words.  Rows that are
+    label, first and last word, and coverage, the share of the template's words found.  A span all of whose words
+    are also in larger ones (more words of the text found, or as many and a better coverage) of other labels is none: a longer kind of a license is not also
+    the shorter one.  ``labels`` are those of phrases and spans, distinct and
+    sorted; ``score`` is the best coverage, 0 without a span.  Null and empty texts have no words.  Texts are taken apart
+    in pieces of ``piece`` bytes.  Rows that are
     alike are each scanned.  Other columns are not looked at, whatever their names.  An empty table gives an empty table.
     """
     chosen = docs.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     fields = [T.StructField("key", T.LongType()), T.StructField("id", chosen.schema["id"].dataType),
-              *[T.StructField(c, T.LongType()) for c in ("n_words", "n_base", "first_word", "last_word")],
-              T.StructField("base_labels", T.ArrayType(T.StringType())), T.StructField("runs", T.ArrayType(T.LongType()))]
-    read = chosen.mapInArrow(lambda b: _read_words(b, k), T.StructType(fields))
-    facts = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
-    each = read.select("key", F.struct(*facts).alias("facts"), F.posexplode_outer("runs").alias("at", "run"))
+              *[T.StructField(c, T.LongType()) for c in _FACTS[1:5]], T.StructField("base_labels", T.ArrayType(T.StringType())),
+              T.StructField("start", T.LongType()), T.StructField("runs", T.ArrayType(T.LongType()))]
+    read = chosen.mapInArrow(lambda b: _read_words(b, k, piece), T.StructType(fields))
+    each = read.select("key", F.when(F.col("n_words").isNotNull(), F.struct(*_FACTS)).alias("facts"), "start", F.posexplode_outer("runs").alias("at", "run"))
     # One row of a document goes on in any case and carries its facts; of the others only hits do.
-    hits = each.join(F.broadcast(template_runs(docs.sparkSession, templates, k)), "run", "left").where("template IS NOT NULL OR coalesce(at, 0) = 0")
-    hits = hits.select("key", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("facts")).alias("facts"), "template", "label", "length", "place", "at")
+    heads = F.coalesce("at", F.lit(0)) == 0
+    hits = each.join(F.broadcast(template_runs(docs.sparkSession, templates, k)), "run", "left").where(
+        F.col("template").isNotNull() | (heads & F.col("facts").isNotNull()))
+    hits = hits.select("key", F.when(heads, F.col("facts")).alias("facts"), "template", "label", "length", "place",
+                       (F.col("start") + F.col("at")).cast("int").alias("at"))
     diagonals = hits.groupBy("key", "template", "label", "length", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.max("facts").alias("facts"), F.collect_set("place").alias("places"), F.collect_set("at").alias("ats"))
     along = Window.partitionBy("key", "template").orderBy("diagonal")
@@ -182,13 +220,19 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, k: int = K, id_col: str
     merged = numbered.groupBy("key", "template", "label", "length", "span").agg(
         F.max("facts").alias("facts"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
         F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
-    first, last = F.array_min("ats"), F.array_max("ats") + (k - 1)
-    found, dense = _words_covered("places", k), _words_covered("ats", k) / (last - first + 1)
-    verified = (found >= F.least(F.ceil(F.col("length") * COVERAGE), F.lit(ENOUGH))) & (dense >= DENSITY)
-    span = F.when(F.col("template").isNotNull() & verified, F.struct(
-        "label", first.cast("bigint").alias("first_word"), last.cast("bigint").alias("last_word"), (found / F.col("length")).alias("coverage")))
-    rows = merged.select("key", "facts", span.alias("found")).groupBy("key").agg(
-        F.max("facts").alias("facts"), F.array_sort(F.collect_list("found")).alias("spans"))
+    sized = merged.select("key", "facts", "label", "length", F.size(_covered("places", k)).alias("found"), _covered("ats", k).alias("words"))
+    first, last = F.array_min("words"), F.array_max("words")
+    verified = F.col("label").isNotNull() & (F.col("found") >= F.least(F.ceil(F.col("length") * COVERAGE), F.lit(ENOUGH))) & (
+        F.size("words") / (last - first + 1) >= DENSITY)
+    spans = sized.select("key", "facts", "label", F.struct(F.size("words"), F.col("found") / F.col("length")).alias("rank"), F.when(verified, F.col("words")).alias("words"), F.struct(
+        "label", first.cast("bigint").alias("first_word"), last.cast("bigint").alias("last_word"),
+        (F.col("found") / F.col("length")).alias("coverage")).alias("span"))
+    # Every word belongs to the labels of the largest spans over it; rows without a verified span have one row without a word.
+    by_word = spans.select("key", "facts", "label", "rank", "span", F.posexplode_outer("words").alias("_", "word"))
+    by_word = by_word.withColumn("facts", F.when(F.coalesce("_", F.lit(0)) == 0, F.col("facts")))
+    belongs = F.max("rank").over(Window.partitionBy("key", "word", "label")) == F.max("rank").over(Window.partitionBy("key", "word"))
+    owned = by_word.withColumn("own", F.col("word").isNotNull() & belongs)
+    rows = owned.groupBy("key").agg(F.max("facts").alias("facts"), F.array_sort(F.collect_set(F.when(F.col("own"), F.col("span")))).alias("spans"))
     labels = F.array_sort(F.array_distinct(F.concat("facts.base_labels", "spans.label")))
     best = F.coalesce(F.array_max("spans.coverage"), F.lit(0.0))
-    return rows.select(F.col("facts.id").alias(id_col), *[f"facts.{c}" for c in facts[1:]], "spans", labels.alias("labels"), best.alias("score"))
+    return rows.select(F.col("facts.id").alias(id_col), *[f"facts.{c}" for c in _FACTS[1:]], "spans", labels.alias("labels"), best.alias("score"))

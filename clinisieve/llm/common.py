@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Null ids take part as the largest one.
 LAST_ID = 2**63 - 1
+#: Bytes of a long text that are taken apart at a time.
+PIECE = 1 << 20
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -40,6 +43,15 @@ def slices(batch: pa.RecordBatch, column: int, room: int = 1 << 20) -> Iterator[
         yield batch.slice(start, stop - start)
 
 
+def pieces(text: bytes, gap: re.Pattern[bytes], room: int = PIECE) -> Iterator[bytes]:
+    """A text in pieces of about ``room`` bytes, each of which begins where ``gap`` matches; one empty piece for an empty text."""
+    start = 0
+    while len(text) - start > room and (found := gap.search(text, start + room)):
+        yield text[start:found.start()]
+        start = found.start()
+    yield text[start:]
+
+
 def signed(value: int) -> int:
     """A 64-bit pattern as the signed number that Spark's bigint holds."""
     return value - (1 << 64) if value >> 63 else value

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinisieve.llm.common import slices, texts_as_bytes
+from clinisieve.llm.common import PIECE, pieces, slices, texts_as_bytes
 from clinisieve.llm.wordings import TEMPLATES
 
 K = 4
@@ -33,8 +33,6 @@ COVERAGE = 0.8
 ENOUGH = 40
 DENSITY = 0.7
 MEMO = 200_000
-#: Bytes of a text that are taken apart at a time.
-PIECE = 1 << 20
 #: Bytes that templates may have together, since their runs are broadcast.
 TEMPLATE_BYTES = 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,15 +52,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def pieces(text: bytes, room: int = PIECE) -> Iterator[list[bytes]]:
-    """The words of a text in pieces of about ``room`` bytes, cut between words; a text without any is one empty piece."""
-    start = 0
-    while len(text) - start > room and (gap := _GAP.search(text, start + room)):
-        yield words_of(text[start:gap.start()])
-        start = gap.start()
-    yield words_of(text[start:])
-
-
 class Hashes:
     """Hashes of words, remembered, and of runs of words."""
 
@@ -173,7 +162,7 @@ def _read_words(batches: Iterator[pa.RecordBatch], k: int, piece: int) -> Iterat
             rows: list[tuple] = []
             for key, doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_as_bytes(part.column(2)), strict=True):
                 reader, held = Reader(hashes, k), None
-                for words in pieces(text or b"", piece):
+                for words in map(words_of, pieces(text or b"", _GAP, piece)):
                     if held:
                         yield packed([(key, None, None, None, None, None, None, *held)])
                     held = reader.take(words)

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from clinisieve.llm import licenses, queries
+from clinisieve.llm.common import pieces
 from tests.llm.cases import awkward, frame
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -116,7 +117,7 @@ def test_phrases_and_runs_across_pieces(room):
     text = " ".join(rnd.choice("mit license apache general public é MIT-License".split()) for _ in range(400)).encode()
     whole, reader, runs = licenses.Reader(licenses.Hashes(), 4), licenses.Reader(licenses.Hashes(), 4), []
     _, want = whole.take(licenses.words_of(text))
-    for words in licenses.pieces(text, room):
+    for words in map(licenses.words_of, pieces(text, licenses._GAP, room)):
         start, found = reader.take(words)
         assert start == len(runs) or not len(found)
         runs += found.tolist()

@@ -12,6 +12,7 @@ more than two blocks and no link is lost.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinisieve.llm.common import group_starts, runs_of, signed, texts_as_bytes
+from clinisieve.llm.common import PIECE, group_starts, pieces, runs_of, signed, texts_as_bytes
 from clinisieve.llm.components import components
 from clinisieve.sources.scratch import written
 
@@ -30,23 +31,37 @@ SEED = 42
 PIVOTS = 24
 BLOCK = 4096
 _CHUNK = 1 << 16
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def simhash(text: bytes | None, width: int = 3) -> int:
-    """The unsigned fingerprint of a UTF-8 text; zero if it is null or has no word."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
+def _add_shingles(ones: np.ndarray, words: list[bytes], width: int) -> None:
+    """Count the set bits of the hashes of all shingles of these words."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - width + 1)
+    n = len(words) - width + 1
     stops = ends[-n:]
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, _CHUNK):
         spans = zip(starts[at:min(n, at + _CHUNK)].tolist(), stops[at:at + _CHUNK].tolist(), strict=True)
         hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def simhash(text: bytes | None, width: int = 3, piece: int = PIECE) -> int:
+    """The unsigned fingerprint of a UTF-8 text; zero if it is null or has no word.  Long texts are taken apart in pieces of ``piece`` bytes."""
+    ones, n, held = np.zeros(64, np.int64), 0, []
+    for part in pieces(text or b"", _GAP, piece):
+        words = held + part.lower().split()
+        if len(words) >= width:
+            _add_shingles(ones, words, width)
+            n += len(words) - width + 1
+            words = words[len(words) - width + 1:]
+        held = words
+    if not n:
+        if not held:
+            return 0
+        _add_shingles(ones, held, len(held))
+        n = 1
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 

@@ -23,6 +23,15 @@ def plain(text, width=3):
     return sum(1 << b for b in range(64) if 2 * votes[b] > len(shingles))
 
 
+@pytest.mark.parametrize("piece", [1, 5, 64, 1000])
+@pytest.mark.parametrize("width", [1, 2, 3, 6])
+def test_long_texts_in_pieces(piece, width):
+    rnd = random.Random(piece)
+    for n in (0, 1, 2, 3, 5, 40, 300):
+        text = rnd.choice(["", " ", "\n\n"]) + "".join(rnd.choice(["a", "The", "über", "数学", "B2"]) + rnd.choice([" ", "\t", "  \n "]) for _ in range(n))
+        assert simhash.simhash(text.encode(), width, piece) == plain(text, width)
+
+
 def roots(items, linked):
     parent = {x: x for x in items}
 

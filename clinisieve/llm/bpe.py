@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -31,6 +31,10 @@ from clinisieve.llm.common import slices
 #: Memo entries kept by a worker; a full memo is emptied, which changes the time only.
 MEMO = 600_000
 MEMO_LENGTH = 64
+#: Characters from which on a text is split piece by piece.
+LONG = 1 << 20
+#: Ids that are turned back at a time.
+_AT_ONCE = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,7 +51,7 @@ class ByteBPE:
             raise ValueError(f"the vocabulary lacks the bytes {missing[:5]}")
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         # A token that merges cannot make stands for itself only as a whole piece.
         made: dict[bytes, int] = {}
         halves: dict[int, tuple[int, int]] = {}
@@ -149,7 +153,9 @@ class ByteBPE:
             token = shorter
 
     def encode(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self._ids_of, self.split(text)))
+        """The ids of a text one by one; the pieces of a long text are not listed beforehand."""
+        found = self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text))
+        return chain.from_iterable(map(self._ids_of, found))
 
     def _ids_of(self, piece: str) -> list[int]:
         ids = self.known.get(piece)
@@ -176,7 +182,7 @@ def token_bytes(path: str) -> dict[int, bytes]:
 def tokenized(df: DataFrame, text_col: str, path: str, pattern: str) -> DataFrame:
     """``df`` with ``ids``, the token ids of a text as array<int>, and ``decoded``, the bytes they stand for.
 
-    Null and empty texts give no ids and no bytes.  Columns that ``df`` has by these names are replaced.
+    Null and empty texts give no ids and no bytes; rows alike are each worked on, and an empty table gives an empty table.  Columns that ``df`` has by these names are replaced.
     Rows are worked on in parts of bounded size, however long the texts.
     """
     df = df.drop("ids", "decoded")
@@ -187,10 +193,10 @@ def tokenized(df: DataFrame, text_col: str, path: str, pattern: str) -> DataFram
         for part in (p for batch in batches for p in slices(batch, at)):
             ids, ends, back = array("i"), [0], []
             for text in part.column(at):
-                own = list(encoder.encode(text.as_py())) if text.is_valid else []
-                ids.extend(own)
+                if text.is_valid:
+                    ids.extend(encoder.encode(text.as_py()))
+                back.append(decoded(ids[ends[-1]:], encoder.bytes_of))
                 ends.append(len(ids))
-                back.append(decoded(own, encoder.bytes_of))
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
             yield pa.RecordBatch.from_arrays([*part.columns, tokens, pa.array(back, pa.binary())], [*part.schema.names, "ids", "decoded"])
 
@@ -198,8 +204,8 @@ def tokenized(df: DataFrame, text_col: str, path: str, pattern: str) -> DataFram
     return df.mapInArrow(run, schema)
 
 
-def decoded(ids: list[int], table: dict[int, bytes]) -> bytes:
-    return b"".join(map(table.__getitem__, ids))
+def decoded(ids: Sequence[int], table: dict[int, bytes]) -> bytes:
+    return b"".join(b"".join(map(table.__getitem__, ids[at:at + _AT_ONCE])) for at in range(0, len(ids), _AT_ONCE))
 
 
 def decode(ids: Column, path: str) -> Column:

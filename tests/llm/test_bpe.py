@@ -47,6 +47,18 @@ def test_tokens_that_merges_cannot_make():
         assert list(own.encode(text)) == theirs.encode_ordinary(text)
 
 
+def test_long_texts_piece_by_piece(both, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG", 50)
+    monkeypatch.setattr(bpe, "_AT_ONCE", 7)
+    own, theirs = both
+    rnd = random.Random(8)
+    for n in (0, 49, 50, 51, 3000):
+        text = "".join(rnd.choice(["the ", "Straße", "\n", "  ", "数学", "42", "'s", "😀", "x"]) for _ in range(n))
+        ids = list(own.encode(text))
+        assert ids == theirs.encode_ordinary(text)
+        assert bpe.decoded(ids, own.bytes_of) == text.encode()
+
+
 def test_memos_are_bounded(both, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 5)
     own = bpe.ByteBPE({t: r for t, r in both[0].ranks.items() if r < 3000}, P.PATTERN)

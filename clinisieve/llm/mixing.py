@@ -59,17 +59,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """(id, size, source_size, target, taken) of every row, and with ``rows`` the row itself as struct ``row``.
 
     ``size`` is the number of words, 0 for null or empty texts; a null source is a source of its own;
-    null ids count as one id.  ``taken`` is the words that the mix takes: size for each whole epoch,
+    rows with a null id are keyed by their texts.  ``taken`` is the words that the mix takes: size for each whole epoch,
     plus what the last, partial one reaches.  The words taken of a source sum up to its target,
-    rounded down.  The order within a source hangs on ids and the seed alone, ties are ordered by the
+    rounded down.  The order within a source hangs on ids, for null ids on texts, and the seed alone, ties are ordered by the
     texts' hash, and rows alike in both are interchangeable; so reruns agree.  Other columns are not
     looked at, whatever their names.  An empty table gives an empty table.
     """
     text = F.col(f"`{text_col}`")
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), 256)
+    size = word_count(text)
+    # Any number of ids may be null.  Rows without words take none wherever they stand, so their keys may be any.
+    instead = F.concat(F.lit(":"), F.when(size > 0, F.xxhash64(text)).otherwise(F.monotonically_increasing_id()).cast("string"))
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), instead)), 256)
     key = F.conv(F.substring(digest, 1, _KEY_BITS // 4), 16, 10).cast("bigint")
     base = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text).alias("size"),
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"),
         key.alias("key"), F.xxhash64(text).alias("tie"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []))
     base = written(base)

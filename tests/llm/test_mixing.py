@@ -61,6 +61,17 @@ def test_sources_of_many_sizes(spark, counts):
     check(rows, mixing.mix(docs).collect())
 
 
+def test_null_ids_are_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PER_RANGE", 16)
+    rows = [(None if i % 4 else i, None if i % 5 == 0 else f"w{i} " * (i % 9), "en", "hot" if i % 3 else None, 1, "", 0, "", 0) for i in range(3000)]
+    one = mixing.mix(frame(spark, rows)).collect()
+    check(rows, one)
+    two = mixing.mix(frame(spark, rows[::-1]).repartition(5)).collect()
+    assert Counter(map(tuple, one)) == Counter(map(tuple, two))
+    # A source's budget ends within it, so if null ids stood together, they would be taken alike.
+    assert len({r.taken for r in one if r.doc_id is None and r.size == 8}) > 1
+
+
 def test_small_ranges_and_reruns_agree(spark, monkeypatch):
     rows = [(i, "w " * (i % 11), "en", "hot" if i % 3 else "cold", 1, "", 0, "", 0) for i in range(400)]
     one = {tuple(r) for r in mixing.mix(frame(spark, rows)).collect()}

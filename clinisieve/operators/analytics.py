@@ -42,6 +42,12 @@ def summary_by_domain(findings: DataFrame) -> DataFrame:
         F.desc("findings"), "domain")
 
 
+def ranked_domains(findings: DataFrame) -> DataFrame:
+    """The summary by domain with the ``position`` of each, from 0; only the counts are ordered as a whole."""
+    order = Window.orderBy(F.desc("findings"), "domain")
+    return summary_by_domain(findings).withColumn("position", (F.row_number().over(order) - 1).cast("bigint"))
+
+
 def domain_map(findings: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Per job, a map from domain to its number of findings (counted before it is gathered)."""
     counts = findings.groupBy(*by, "domain").agg(F.count(F.lit(1)).alias("n"))

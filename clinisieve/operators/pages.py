@@ -23,11 +23,16 @@ def newest_first(key: str) -> list[tuple[Column, bool]]:
     return [(F.col("created_at"), True), (F.col(key), False)]
 
 
-def lay_out(df: DataFrame, path: str, order: list[tuple[Column, bool]], scope: tuple[str, ...] = (), block: int = BLOCK) -> None:
-    """Write ``df`` in the given order, each row with its position within its ``scope``, in folders of ``block`` positions.
+def report_order() -> list[tuple[Column, bool]]:
+    """By domain, then the worst first, then by row."""
+    return [(F.col("domain"), False), (severity_rank(), False), (F.col("row_index"), False), (F.col("id"), False)]
+
+
+def positioned(df: DataFrame, order: list[tuple[Column, bool]], scope: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the ``position`` of each row, from 0, in the given order within its ``scope``.
 
     Rows are sorted by ranges, and the sizes of the ranges summed up, so no task sees more than a range.  The
-    order must end with a key.
+    order must end with a key; nulls come first where it ascends and last where it descends.
     """
     keyed = df.withColumns({f"_order{i}": c for i, (c, _) in enumerate(order)})
     names = [F.col(f"_order{i}").desc() if down else F.col(f"_order{i}").asc() for i, (_, down) in enumerate(order)]
@@ -36,8 +41,13 @@ def lay_out(df: DataFrame, path: str, order: list[tuple[Column, bool]], scope: t
     counts = placed.groupBy(*scope, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*scope, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    rows = lookup_join(placed, starts, [*scope, "_part"], "inner").withColumn(POSITION, F.col("_at") + F.col("_shift"))
-    rows = rows.withColumn(NUMBER, F.floor(F.col(POSITION) / block)).select(*df.columns, POSITION, NUMBER)
+    rows = lookup_join(placed, starts, [*scope, "_part"], "inner")
+    return rows.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(POSITION))
+
+
+def lay_out(df: DataFrame, path: str, order: list[tuple[Column, bool]], scope: tuple[str, ...] = (), block: int = BLOCK) -> None:
+    """Write ``df`` with its positions in the given order, see ``positioned``, in folders of ``block`` positions per ``scope``."""
+    rows = positioned(df, order, scope).withColumn(NUMBER, F.floor(F.col(POSITION) / block))
     rows.write.partitionBy(*scope, NUMBER).parquet(path)
 
 

@@ -47,7 +47,9 @@ SQL = {
     "list_findings": store(
         "SELECT * FROM findings WHERE tenant_id = 'T1' AND domain = 'AE' AND status = 'open' "
         f"ORDER BY {RANK}, created_at, id LIMIT 100 OFFSET 20", "findings"),
-    "report_order": store("SELECT id, domain, severity, row_index FROM findings", "findings"),
+    "report_order": store(
+        f"SELECT row_number() OVER (ORDER BY domain NULLS FIRST, {RANK}, row_index NULLS FIRST, id) - 1 AS position, id, domain, severity, "
+        "row_index FROM findings", "findings"),
     "report_detail": store(
         "SELECT domain, rule_id, severity, field, left(coalesce(evidence, ''), 120) AS value, "
         f"{shorten(200)} AS message FROM (SELECT * FROM findings ORDER BY domain, {RANK}, row_index, id LIMIT 200)",
@@ -97,7 +99,10 @@ SQL = {
     "list_audit": store(
         "SELECT * FROM audit WHERE action ILIKE '%FINDINGS%' AND occurred_at >= TIMESTAMP '2024-01-05 00:00:00' "
         "AND occurred_at <= TIMESTAMP '2024-01-20 12:00:00' ORDER BY occurred_at DESC, id LIMIT 50 OFFSET 10", "audit"),
-    "list_latest": store("SELECT job_id, study_id, status, created_at FROM jobs", "jobs"),
+    "list_latest": store(
+        "SELECT row_number() OVER (ORDER BY created_at DESC, job_id) - 1 AS position, job_id, study_id, status, created_at FROM jobs", "jobs"),
+    "list_latest_page": store(
+        "SELECT job_id, study_id, status, created_at FROM jobs ORDER BY created_at DESC, job_id LIMIT 50 OFFSET 100", "jobs"),
     "selectable_studies": store("SELECT id, status FROM studies WHERE status <> 'archived'", "studies"),
     "reportable_jobs": store("SELECT job_id, status FROM jobs WHERE status = 'completed'", "jobs"),
     "tenant_scope": store("SELECT id, tenant_id FROM findings WHERE tenant_id = 'T2'", "findings"),
@@ -186,7 +191,8 @@ SQL = {
     # summaries over all rule findings
     "union_findings": f"{all_rules_sql()} SELECT rule_id, count(*) AS n FROM all_findings GROUP BY 1",
     "summary_by_severity": f"{all_rules_sql()} SELECT {COUNTS} FROM all_findings",
-    "summary_by_domain": f"{all_rules_sql()} SELECT domain, count(*) AS findings FROM all_findings GROUP BY 1",
+    "summary_by_domain": f"{all_rules_sql()} SELECT domain, count(*) AS findings, row_number() OVER "
+                         "(ORDER BY count(*) DESC, domain) - 1 AS position FROM all_findings GROUP BY 1",
     # windows
     "failed_login_windows": (
         "SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' "

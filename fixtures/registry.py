@@ -196,7 +196,8 @@ def _findings_with_ids(df: DataFrame) -> DataFrame:
 STORED = {
     "list_findings": (lambda f: analytics.list_findings(
         f, tenant_id="T1", domain="ae", status="OPEN", offset=20, limit=100), "findings"),
-    "report_order": (lambda f: analytics.report_order(f).select("id", "domain", "severity", "row_index"), "findings"),
+    "report_order": (lambda f: pages.positioned(f, pages.report_order()).select(
+        "position", "id", "domain", "severity", "row_index"), "findings"),
     "report_detail": (analytics.report_detail, "findings"),
     "report_summary": (lambda f: analytics.summary_by_severity(f, ("job_id",)), "findings"),
     "report_text_lines": (analytics.report_text_lines, "findings"),
@@ -216,7 +217,9 @@ STORED = {
         "tenant_id", "study_id", "domain", "dataset_id", "created_at"), "datasets"),
     "list_audit": (lambda a: analytics.list_audit(
         a, action="FINDINGS", since="2024-01-05 00:00:00", until="2024-01-20 12:00:00", offset=10, limit=50), "audit"),
-    "list_latest": (lambda j: analytics.list_latest(j, "job_id").select(
+    "list_latest": (lambda j: pages.positioned(j, pages.newest_first("job_id")).select(
+        "position", "job_id", "study_id", "status", "created_at"), "jobs"),
+    "list_latest_page": (lambda j: analytics.list_latest(j, "job_id", offset=100, limit=50).select(
         "job_id", "study_id", "status", "created_at"), "jobs"),
     "selectable_studies": (lambda s: analytics.selectable_studies(s).select("id", "status"), "studies"),
     "reportable_jobs": (lambda j: analytics.reportable_jobs(j).select("job_id", "status"), "jobs"),
@@ -284,7 +287,7 @@ def _all_findings(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 register("union_findings", _all_findings(lambda f: f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))),
          st.SQL["union_findings"])
 register("summary_by_severity", _all_findings(analytics.summary_by_severity), st.SQL["summary_by_severity"])
-register("summary_by_domain", _all_findings(analytics.summary_by_domain), st.SQL["summary_by_domain"])
+register("summary_by_domain", _all_findings(analytics.ranked_domains), st.SQL["summary_by_domain"])
 
 
 # --- windows over the event table ----------------------------------------------------------------------

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from clinisieve.operators import analytics, changes, joins
+from clinisieve.operators import analytics, changes, joins, pages
 from clinisieve.sources import rowid, scratch
 from clinisieve.streaming import rules as stream_rules
 from clinisieve.streaming import windows
@@ -45,6 +45,15 @@ def test_report_order_and_top_findings(findings):
     assert "WindowGroupLimit" in top._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_positions_follow_the_report(findings):
+    rows = sorted(findings.collect(), key=lambda r: (r.domain, RANK.get(r.severity, 4), r.row_index, r.id))
+    got = pages.positioned(findings.repartition(7), pages.report_order()).collect()
+    assert {r.id: r.position for r in got} == {r.id: i for i, r in enumerate(rows)}
+    assert {r.id: tuple(r)[:-1] for r in got} == {r.id: tuple(r) for r in rows}
+    assert pages.positioned(findings.limit(0), pages.report_order()).count() == 0
+    assert [tuple(r) for r in analytics.ranked_domains(findings).orderBy("position").collect()] == [("AE", 60, 0), ("DM", 60, 1)]
+
+
 def test_summaries_hold_zeros(findings):
     got = analytics.summary_by_severity(findings.filter("severity = 'LOW'")).first()
     assert tuple(got) == (24, 0, 0, 0, 24)

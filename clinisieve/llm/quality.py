@@ -46,6 +46,9 @@ LEAN = 5
 DECAY = 0.25
 #: More than the powers of two that any text's tokens reach.
 SIZES = 64
+#: Scripts, as regular expressions name them, by which texts without a language are grouped.
+SCRIPTS = ("Arabic", "Armenian", "Bengali", "Cyrillic", "Devanagari", "Ethiopic", "Georgian", "Greek", "Han", "Hangul", "Hebrew",
+           "Hiragana", "Katakana", "Khmer", "Latin", "Tamil", "Telugu", "Thai")
 MEMO = 200_000
 MEMO_LENGTH = 64
 MEASURES = ("chars_per_token", "fallback_share", "entropy")
@@ -291,15 +294,28 @@ def bands(judged: DataFrame) -> DataFrame:
     return joined.select("grp_own", "cls_own", *[F.struct(F.col(f"{m}_mid").alias("mid"), deviation(m).alias("deviation")).alias(f"{m}_own") for m in MEASURES])
 
 
+def main_script(text: Column) -> Column:
+    """The script of most letters of a text, as ``script: Latin``; of equal numbers the first by name.
+
+    Any Hiragana or Katakana makes Han Japanese, named by Hiragana.  Null texts and texts without a letter of ``SCRIPTS`` have ``script: other``.
+    """
+    counts = {s: F.coalesce(F.regexp_count(text, F.lit(f"\\p{{Is{s}}}")), F.lit(0)) for s in SCRIPTS}
+    ranked = F.array_sort(F.array(*[F.struct((-n).alias("less"), F.lit(s).alias("script")) for s, n in counts.items()]))[0]
+    most = F.when((ranked["script"] == "Han") & F.coalesce(text.rlike("[\\p{IsHiragana}\\p{IsKatakana}]"), F.lit(False)), F.lit("Hiragana")).otherwise(
+        ranked["script"])
+    return F.concat(F.lit("script: "), F.when(ranked["less"] == 0, F.lit("other")).otherwise(most))
+
+
 def verdicts(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Measures of every row, ``base_failed`` and ``kept``.
 
-    Bands come from the texts that pass the base rules, by the value of ``lang_col`` (null is a group of
-    its own).  A text is rejected if it fails the base rules or lies outside a band; texts that
+    Bands come from the texts that pass the base rules, by the value of ``lang_col``, or where that
+    is null by the script of most letters of the text.  A text is rejected if it fails the base rules or lies outside a band; texts that
     pass the base rules have tokens.  Repeated rows each count.  Other columns are not looked at,
     whatever their names.  An empty table gives an empty table.
     """
     chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("grp"), F.col(f"`{text_col}`").alias("text"))
+    chosen = chosen.withColumn("grp", F.when(F.col("grp").isNull(), main_script(F.col("text"))).otherwise(F.col("grp")))
     measured = measures(chosen, path, "text", ("id", "grp"))
     measured = written(measured.withColumn("base_failed", base_failed()).withColumn("cls", size_class()))
     judged = measured.where("NOT base_failed").select("grp", "cls", *MEASURES)

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 
 from clinisieve.llm import quality, queries
@@ -144,3 +145,26 @@ def test_a_group_weighs_more_with_each_text():
     assert found == sorted(found) and found[0] < 2.1 and found[-1] > 2.99 and found[4] - found[2] < 0.05
     alone = quality.middles_of(np.array([7]), np.array([2.0]), medians[:1], shape)
     assert np.allclose(alone[0, :2], medians[0, :2])  # no other language's
+
+
+SCRIPTS = [(None, "other"), ("", "other"), ("12 !?", "other"), ("plain Ünïcode", "Latin"), ("данные x", "Cyrillic"), ("数学の本", "Hiragana"), ("数学", "Han"),
+           ("データ", "Katakana"), ("데이터", "Hangul"), ("ab αβ", "Greek"), ("نص abc طويل", "Arabic"), ("हिन्दी", "Devanagari"), ("A\x00\nбв", "Cyrillic")]
+
+
+def test_main_script(spark):
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SCRIPTS)], "i int, text string").select("i", quality.main_script(F.col("text")).alias("s"))
+    assert {r.i: r.s for r in got.collect()} == {i: f"script: {s}" for i, (_, s) in enumerate(SCRIPTS)}
+
+
+def test_texts_without_a_language_are_banded_by_script(spark):
+    rnd = random.Random(12)
+    latin = ["".join(rnd.choice("tha ing ent er on re".split()) for _ in range(rnd.randint(1, 3))) for _ in range(300)]
+    cyrillic = ["".join(rnd.choice("ная про ест ово при ть".split()) for _ in range(rnd.randint(1, 3))) for _ in range(300)]
+    texts = [(s, prose(rnd, v, rnd.randrange(60, 150))) for s, v, n in (("Latin", latin, 200), ("Cyrillic", cyrillic, 70)) for _ in range(n)]
+    texts += [("Latin", prose(rnd, ["ſʃtha", "ſʃing"] + [w + "ſʃ" for w in latin[:30]], 100)), ("Cyrillic", prose(rnd, [w + "ѪѬ" for w in cyrillic[:30]], 100))]
+    verdicts = []
+    for labelled in (True, False):
+        rows = [(i, t, f"script: {s}" if labelled else None, "a", 1, "", 0, "", 0) for i, (s, t) in enumerate(texts)]
+        verdicts.append({r.doc_id: r.kept for r in quality.verdicts(frame(spark, rows), PATH).collect()})
+    assert verdicts[0] == verdicts[1]
+    assert sum(verdicts[1].values()) >= len(texts) - 5 and not verdicts[1][len(texts) - 1]

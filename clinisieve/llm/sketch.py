@@ -8,6 +8,8 @@ Everything is built-in array functions within a row; only ``merge_sketches`` and
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,14 +80,15 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def _bounds(ids: DataFrame, ranges: int) -> list[int]:
-    """Ids at which ranges of about equally many rows begin; at most ``ranges`` numbers."""
+    """Ids at which ranges of about equally many rows begin; at most ``ranges`` numbers, and an id of many ranges as often."""
     found = ids.agg(F.min("place").alias("least"), F.percentile_approx(
         "place", [i / ranges for i in range(ranges)], F.lit(100 * ranges)).alias("cuts")).first()
-    return sorted({found["least"], *(found["cuts"] or [])} - {None})
+    cuts = sorted(found["cuts"] or [])
+    return cuts if not cuts or cuts[0] == found["least"] else [found["least"], *cuts]
 
 
-def _range_of(place: Column, bounds: list[int]) -> Column:
-    """The number of the range that holds an id, by bisection."""
+def _range_of(place: Column, tie: Column, bounds: list[int]) -> Column:
+    """The number of the range that holds an id, by bisection; rows of an id of many ranges are dealt to them by the order of their hashes."""
     array = F.array(*[F.lit(b).cast("bigint") for b in bounds])
     start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
 
@@ -94,15 +97,22 @@ def _range_of(place: Column, bounds: list[int]) -> Column:
         return F.when(at["high"] - at["low"] <= 1, at).when(
             F.get(array, middle) <= place, F.struct(middle.alias("low"), at["high"].alias("high"))).otherwise(
             F.struct(at["low"].alias("low"), middle.alias("high")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve, lambda at: at["low"])
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve, lambda at: at["low"])
+    times = Counter(bounds)
+    if len(times) == len(bounds):
+        return last
+    before = F.get(F.array(*[F.lit(times[b] - 1) for b in bounds]), last)
+    share = F.floor((tie / F.lit(2.0**64) + 0.5) * (before + 1)).cast("int")
+    return F.when(F.get(array, last) == place, last - before + F.least(share, before)).otherwise(last)
 
 
 def with_next(docs: DataFrame, id_col: str, columns: list[str], per_range: int = 1024) -> DataFrame:
     """Add ``next_<c>`` for each column: its value in the row that follows by ascending id.
 
-    The row after the last is the first one.  Null ids come last; rows of one id are ordered by
-    ``columns``.  Rows are dealt into ranges of ids of about equal size, at most ten for each shuffle partition; the rows of each range's
-    smallest id also visit the last range before it that has rows, so every row meets its follower without a sort in one task.
+    The row after the last is the first one.  Null ids come last; rows of one id are ordered by the hash of
+    the first of ``columns``, then by ``columns``.  Rows are dealt into ranges of ids of about equal size, at most ten for each shuffle partition; those of an
+    id that fills several ranges, such as null, are dealt to them by their hashes, and only rows alike in both share one for sure.  The first rows of
+    each range also visit the last range before it that has rows, so every row meets its follower without a sort in one task.
     """
     spark = docs.sparkSession
     place = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST_ID))
@@ -111,18 +121,20 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], per_range: int =
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = _bounds(ids, max(1, min(rows // per_range, 10 * partitions))) or [0]
     placed = docs.select(F.col(f"`{id_col}`").alias("_id"), place.alias("_place"), *[F.col(f"`{c}`") for c in columns])
-    placed = placed.withColumn("_range", _range_of(F.col("_place"), bounds))
+    placed = placed.withColumn("_tie", F.xxhash64(F.col(f"`{columns[0]}`")))
+    placed = placed.withColumn("_range", _range_of(F.col("_place"), F.col("_tie"), bounds))
     # A bound is an estimate, worked out in doubles, so it need not be an id; a range may even be empty.
-    found = {r[0]: r[1] for r in placed.groupBy("_range").agg(F.min("_place")).collect()}
+    found = {r[0]: r[1] for r in placed.groupBy("_range").agg(F.min(F.struct("_place", "_tie"))).collect()}
     held = sorted(found)
     visits = {r: held[i - 1] for i, r in enumerate(held)}
-    least = F.array(*[F.lit(found.get(i)).cast("bigint") for i in range(len(bounds))])
+    least, least_tie = (F.array(*[F.lit(found[i][n] if i in found else None).cast("bigint") for i in range(len(bounds))]) for n in (0, 1))
     earlier = F.array(*[F.lit(visits.get(i)).cast("int") for i in range(len(bounds))])
     here = F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest"))
     before = F.struct(F.get(earlier, F.col("_range")).alias("range"), F.lit(1).alias("guest"))
-    seats = F.when(F.get(least, F.col("_range")) == F.col("_place"), F.array(here, before)).otherwise(F.array(here))
+    first = (F.get(least, F.col("_range")) == F.col("_place")) & (F.get(least_tie, F.col("_range")) == F.col("_tie"))
+    seats = F.when(first, F.array(here, before)).otherwise(F.array(here))
     seated = placed.select("*", F.explode(seats).alias("_seat")).drop("_range")
-    order = Window.partitionBy("_seat.range").orderBy("_seat.guest", "_place", *[F.col(f"`{c}`") for c in columns])
+    order = Window.partitionBy("_seat.range").orderBy("_seat.guest", "_place", "_tie", *[F.col(f"`{c}`") for c in columns])
     followed = seated.select("_id", "_seat", *columns, *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return followed.where("_seat.guest = 0").select(F.col("_id").alias(id_col), *columns, *[f"next_{c}" for c in columns])
 

@@ -1,14 +1,21 @@
 import hashlib
 import random
+from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from clinisieve.llm import queries, sketch
 from tests.llm.cases import awkward, frame
 
 
+def tie(text):
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (value >> 63 << 64)
+
+
 def plain_next(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tie(r[1] or ""), r[1] or ""))
     return [(r, order[(i + 1) % len(order)]) for i, r in enumerate(order)]
 
 
@@ -47,6 +54,23 @@ def test_next_of_ids_beyond_the_doubles(spark):
         assert all(r.next_text == f"text {following[r.doc_id]}" for r in got)
 
 
+def test_next_of_many_null_and_repeated_ids(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice([None, None, 7, 7, i, -i]), f"text {i % 1500}", "en", "a", 1, "", 0, "", 0) for i in range(2000)]
+    got = sketch.with_next(frame(spark, rows).repartition(5), "doc_id", ["text"], per_range=10).collect()
+    order = sorted(rows, key=lambda r: (2**63 - 1 if r[0] is None else r[0], tie(r[1]), r[1]))
+    want = Counter((a[0], a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == want
+
+
+def test_a_hot_id_is_many_ranges(spark):
+    docs = frame(spark, [(None if i % 3 else i, f"text {i}", "en", "a", 1, "", 0, "", 0) for i in range(3000)])
+    place, tie = F.coalesce("doc_id", F.lit(sketch.LAST_ID)), F.xxhash64("text")
+    bounds = sketch._bounds(docs.select(place.alias("place")), 30)
+    sizes = docs.groupBy(sketch._range_of(place, tie, bounds).alias("range")).count().collect()
+    assert len(sizes) > 25 and max(r["count"] for r in sizes) < 300
+
+
 def shingles(text, width=5):
     words = text.split()
     return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()

@@ -165,7 +165,8 @@ def predictions(df: DataFrame, model: Model, text_col: str = "text", lang_into:
     """``df`` with the predicted language and a score; only the text is looked at.
 
     Texts that are null or without a letter, and all texts if no language was learned, are ``und``
-    with score 0.  Columns that ``df`` has by the two names are replaced.
+    with score 0.  Columns that ``df`` has by the two names are replaced.  Rows alike are each predicted, alike,
+    and an empty table gives an empty table.
     """
     df = df.drop(lang_into, score_into)
     at = df.columns.index(text_col)

@@ -67,6 +67,35 @@ def test_memos_are_bounded(both, monkeypatch):
     assert len(own.known) <= 5 and len(own.fitting) <= 5
 
 
+def test_frequent_pieces_stay_in_a_full_memo(both, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 64)
+    own = bpe.ByteBPE({t: r for t, r in both[0].ranks.items() if r < 3000}, P.PATTERN)
+    encoded, encode_piece = [], own.encode_piece
+    monkeypatch.setattr(own, "encode_piece", lambda piece: encoded.append(piece) or encode_piece(piece))
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    text = "".join(f" frequentword rare{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500))
+    assert list(own.encode(text)) == theirs.encode_ordinary(text)
+    assert encoded.count(b" frequentword") == 1 and len(encoded) == 501
+    for memo in (own.known, own.fitting):
+        assert len(memo) <= 64 and len(memo.older) <= 64
+
+
+def test_neighbours_that_fit_are_those_that_merges_leave(both):
+    own, _ = both
+    rnd = random.Random(5)
+    short = [r for t, r in own.ranks.items() if len(t) == 1 or len(t) <= 4 and own.left[r] >= 0]
+    pairs = [(rnd.choice(short), rnd.choice(short)) for _ in range(5000)] + [(r, r) for r in short[:2000]]
+    assert len({own.fit(x, y) for x, y in pairs}) == 2
+    for x, y in pairs:
+        parts = [own.bytes_of[x], own.bytes_of[y]]
+        assert own.fit(x, y) == (own._merge(b"".join(parts)) == parts)
+
+
+def test_vocabulary_of_bytes_only():
+    own = bpe.ByteBPE({bytes([b]): 255 - b for b in range(256)}, r"\S+|\s+")
+    assert list(own.encode("añ b")) == [255 - b for b in "añ b".encode()]
+
+
 def test_vocabulary_without_all_bytes_is_refused():
     with pytest.raises(ValueError):
         bpe.ByteBPE({b"a": 0}, ".")

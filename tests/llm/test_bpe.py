@@ -128,3 +128,10 @@ def test_columns_of_the_same_names_are_replaced(spark, both):
     docs = spark.createDataFrame([(1, "one two", "x", "y")], "doc_id bigint, text string, ids string, Decoded string")
     got = bpe.tokenized(docs, "text", PATH, P.PATTERN)
     assert got.columns == ["doc_id", "text", "ids", "decoded"] and got.first().ids == both[1].encode_ordinary("one two")
+
+
+def test_rows_without_text_among_others(spark, both):
+    for texts in ([None, ""], [None, "ein Wort", "", "é\n", None]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+        got = {r.doc_id: (r.ids, bytes(r.decoded)) for r in bpe.tokenized(docs, "text", PATH, P.PATTERN).collect()}
+        assert got == {i: (both[1].encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts)}
